@@ -1,6 +1,8 @@
 """Queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
+from .packing import op7_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .token_output import op5_token_records
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {"op5_token_records": op5_token_records, "op7_packing": op7_packing, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op10_quality_rules": OP10_SQL}
