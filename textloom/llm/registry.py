@@ -1,8 +1,16 @@
 """Queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
+from .license_scan import op4_license_scan
+from .media import op2_media_columns
 from .packing import op7_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .token_output import op5_token_records
 
-QUERIES = {"op5_token_records": op5_token_records, "op7_packing": op7_packing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op2_media_columns": op2_media_columns,
+    "op4_license_scan": op4_license_scan,
+    "op5_token_records": op5_token_records,
+    "op7_packing": op7_packing,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES = {"op10_quality_rules": OP10_SQL}
