@@ -4,9 +4,11 @@ from .license_scan import op4_license_scan
 from .media import op2_media_columns
 from .packing import op7_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .sentencepiece_codec import op1_sentencepiece
 from .token_output import op5_token_records
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_media_columns": op2_media_columns,
     "op4_license_scan": op4_license_scan,
     "op5_token_records": op5_token_records,

@@ -45,7 +45,7 @@ class MemoEncoder:
     def learn(self, pieces: set[str]) -> None:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        missing = list(pieces - self.memo.keys())
+        missing = [p for p in pieces if p not in self.memo]
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
