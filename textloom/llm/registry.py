@@ -1,6 +1,7 @@
 """Queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
 from .license_scan import op4_license_scan
+from .lm_scoring import op3_lm_scoring
 from .media import op2_media_columns
 from .packing import op7_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
@@ -10,6 +11,7 @@ from .token_output import op5_token_records
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_media_columns": op2_media_columns,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_license_scan": op4_license_scan,
     "op5_token_records": op5_token_records,
     "op7_packing": op7_packing,
