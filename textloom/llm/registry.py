@@ -1,6 +1,7 @@
 """Queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
 from .license_scan import op4_license_scan
+from .line_templates import op6_line_dedup
 from .lm_scoring import op3_lm_scoring
 from .media import op2_media_columns
 from .packing import op7_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_license_scan": op4_license_scan,
     "op5_token_records": op5_token_records,
+    "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op10_quality_rules": op10_quality_rules,
 }
