@@ -4,6 +4,7 @@ from .license_scan import op4_license_scan
 from .line_templates import op6_line_dedup
 from .lm_scoring import op3_lm_scoring
 from .media import op2_media_columns
+from .near_duplicates import op8_near_duplicates
 from .packing import op7_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentencepiece_codec import op1_sentencepiece
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_token_records": op5_token_records,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op10_quality_rules": OP10_SQL}
