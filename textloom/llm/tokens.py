@@ -1,22 +1,51 @@
-"""Exact, memoised encoding with public tokenizers: each distinct pre-token goes through the tokenizers library once."""
+"""Exact, memoised encoding with public tokenizers: each distinct unit goes through the library's BPE model once.
+
+A text is split into units at places that no pre-token spans, whatever is around them: for byte-level BPE a single space between
+two characters that are no white space (it begins the next unit), for word-level BPE any white space. Ids are kept by unit; a new
+unit is normalised and cut into pre-tokens as the tokenizer file says, and each pre-token goes to the model.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pre-token patterns of the two kinds of tokenizer.json that are supported (fixed values of those formats).
+#: White space in Python or in the pre-tokenisers' patterns, besides space and newline.
+_RARE_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_ODD_SPACES = ("  ", " \n", "\n ")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Pre-token patterns of the two kinds of tokenizer file that are supported (fixed values of those formats).
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Entries after which a memo starts afresh, so that a long-lived worker's memory stays bounded.
-MEMO_ENTRIES = 400_000
+#: Entries of a memo, and how many of them, the first that were met and so the common ones, stay when it is full.
+MEMO_ENTRIES, MEMO_STAY = 600_000, 200_000
+
+
+def trim(memo: dict, entries: int = MEMO_ENTRIES, stay: int = MEMO_STAY) -> None:
+    """Keeps a long-lived worker's memory bounded."""
+    if len(memo) > entries:
+        first = dict(islice(memo.items(), stay))
+        memo.clear()
+        memo.update(first)
+
+
+@lru_cache(maxsize=1)
+def byte_characters() -> dict[int, str]:
+    """Byte-level BPE's character for each byte: printable Latin-1 stays, the others follow from U+0100 on, in order."""
+    stay = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    moved = (b for b in range(256) if b not in stay)
+    return {**{b: chr(b) for b in stay}, **{b: chr(256 + i) for i, b in enumerate(moved)}}
 
 
 class MemoEncoder:
@@ -25,41 +54,76 @@ class MemoEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path))
+        with open(path) as f:
+            self.folded = json.load(f)["normalizer"] is not None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.folded = spec["normalizer"] is not None
-        self.pattern = WORD_LEVEL if self.folded else BYTE_LEVEL
         self.size = self.tokenizer.get_vocab_size()
+        self.model = self.tokenizer.model
+        self.pattern = WORD_LEVEL if self.folded else BYTE_LEVEL
         self.memo: dict[str, bytes] = {}
-
-    def normalise(self, text: str) -> str:
+        self.marks: dict[str, bytes] = {}
+
+    def units(self, text: str) -> list[str]:
+        """Units without the space that begins them; the first is marked by a space of its own, as nothing precedes it."""
+        if self.folded:
+            return [text] if _SEPARATORS.search(text) else text.split()
+        if any(s in text for s in _ODD_SPACES) or text[-1:] == " " or any(map(text.__contains__, _RARE_SPACES)):
+            parts = _BETWEEN.split(text)
+        else:
+            parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        return parts
+
+    def normalise(self, unit: str) -> str:
         if not self.folded:
-            return text
-        if text.isascii():
-            return text.lower()
-        if "Σ" in text:  # the library lower-cases a final capital sigma without regard to its place
-            return self.tokenizer.normalizer.normalize_str(text)
-        return unicodedata.normalize("NFC", text).lower()
-
-    def learn(self, pieces: set[str]) -> None:
+            return unit[1:] if unit[:1] == " " else " " + unit
+        if unit.isascii():
+            return unit.lower()
+        if "Σ" in unit:  # the library lower-cases a final capital sigma without regard to its place
+            return self.tokenizer.normalizer.normalize_str(unit)
+        return unicodedata.normalize("NFC", unit).lower()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a pre-token, from the library's model."""
+        if piece.isascii() and piece.isprintable():
+            spelt = piece.replace(" ", "Ġ")
+        else:
+            spelt = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_characters())
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        """Ids of a unit, kept from now on."""
+        text = self.normalise(unit)
+        word = text if self.folded else text[1:]
+        if word.isalpha():  # one pre-token
+            found = self.piece(text)
+        elif word[:-1].isalpha() and word[-1] in ".,;:!?":  # a word and a mark
+            if (mark := self.marks.get(word[-1])) is None:
+                mark = self.marks[word[-1]] = self.piece(word[-1])
+            found = self.piece(text[:-1]) + mark
+        else:
+            found = b"".join(map(self.piece, self.pattern.findall(text)))
+        self.memo[unit] = found
+        return found
+
+    def encode_text(self, text: str) -> np.ndarray:
+        units = self.units(text)
+        found = list(map(self.memo.get, units))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                found[at] = self.memo.get(units[at]) or self.unit(units[at])
+        except ValueError:  # none left
+            pass
         if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        missing = [p for p in pieces if p not in self.memo]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[piece] = np.array(e.ids, "<u4").tobytes()
+            trim(self.memo)
+        return np.frombuffer(b"".join(found), "<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[np.ndarray] = []
-        for group in _groups(texts):
-            pieces = [self.pattern.findall(self.normalise(t)) for t in group]
-            self.learn(set().union(*pieces))
-            get = self.memo.__getitem__
-            out += [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
-        return out
+        return list(map(self.encode_text, texts))
 
     def ids_ending(self, ends: str) -> np.ndarray:
         """For each id, whether its piece ends with one of these characters (word-end marks aside)."""
@@ -69,18 +133,6 @@ class MemoEncoder:
         return table
 
 
-def _groups(texts: list[str], chars: int = 1 << 20):
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str) -> MemoEncoder:
     """One encoder for each worker process and file."""
