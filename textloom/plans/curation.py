@@ -1,0 +1,137 @@
+"""The curation pipeline: prepare, score, remove duplicates, domain, privacy, order; with its rejections, pairs and reports."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import CurationConfig
+from ..functions import domain as D
+from ..functions import quality as Q
+from ..functions import text as X
+from ..operators import dedup
+from ..operators.markup import flat_table
+from ..storage import Tables
+
+
+@dataclass
+class Curation:
+    """What a run gives: all of it lazily planned over written tables."""
+
+    curated: DataFrame
+    rejections: DataFrame
+    pairs: DataFrame
+    stages: DataFrame
+    grades: DataFrame
+
+
+def page_text(pages: Column) -> Column:
+    """Texts of ten characters or more, by numeric page, joined by blank lines."""
+    ordered = F.array_sort(F.transform(F.map_entries(pages), lambda e: F.struct(e["key"].cast("int").alias("k"), X.strip(F.coalesce(e["value"]["text"], F.lit(""))).alias("t"))))
+    return F.array_join(F.filter(F.transform(ordered, lambda e: e["t"]), lambda t: F.length(t) >= 10), "\n\n")
+
+
+def table_text(tables: Column) -> Column:
+    """Each table with content under its number, counted over all tables."""
+    one = F.transform(tables, lambda t, i: F.struct((i + 1).alias("k"), flat_table(t["data"]).alias("t")))
+    full = F.filter(one, lambda t: t["t"].isNotNull() & (t["t"] != ""))
+    return F.array_join(F.transform(full, lambda t: F.concat(F.lit("[TABLE_"), t["k"].cast("string"), F.lit("]\n"), t["t"])), "\n\n")
+
+
+def prepare(docs: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """Clean content, its tokens, and reason: why the first stage rejects the document, or null."""
+    df = docs.withColumn("original_content", page_text(F.col("pages"))).withColumn("_t", table_text(F.col("tables")))
+    has = F.col("original_content") != ""
+    df = df.withColumn("original_content", F.when(has & (F.col("_t") != ""), F.concat_ws("\n\n", "original_content", "_t")).otherwise(F.col("original_content"))).drop("_t")
+    df = Q.with_tokens(df.withColumn("content", X.normalise_content(F.col("original_content"))))
+    n = F.size("words")
+    reason = F.when(~has, "No extractable content").otherwise(
+        Q.gate_reason(n, Q.sentence_pieces(F.col("content")), Q.gibberish_matches(F.col("content"), F.col("tokens")), cfg.min_words_per_doc, cfg.min_sentences_per_doc)
+    )
+    return df.withColumn("reason", reason).withColumn("word_count", n).withColumn("id", F.substring(F.md5("content"), 1, 12))
+
+
+def _rejected(df: DataFrame, stage: str, reason: Column, counted: bool = True) -> DataFrame:
+    words = F.col("word_count") if counted else F.lit(0)
+    return df.select("ord", X.basename(F.col("file_path")).alias("filename"), F.lit(stage).alias("stage"), reason.alias("reason"), words.cast("int").alias("word_count"))
+
+
+def curate(docs: DataFrame, cfg: CurationConfig | None = None) -> Curation:
+    """docs: extracted documents with ord, the order that decides ties."""
+    cfg = cfg or CurationConfig()
+    tables = Tables(docs.sparkSession, "curation")
+    prepared = tables.save(prepare(docs, cfg), "prepared")
+    rejections = _rejected(prepared.where("reason is not null"), "Stage 1 - Preparation", F.col("reason")).withColumn("word_count", F.when(F.col("reason") == "No extractable content", 0).otherwise(F.col("word_count")))
+    scored = Q.with_scores(prepared.where("reason is null"), tables=F.size("tables"), images=F.col("images_detected")).drop("words", "tokens", "lower_words", "reason")
+    scored = tables.save(scored, "scored")
+    low = F.col("overall_score") < cfg.min_quality_score
+    rejections = rejections.unionByName(_rejected(scored.where(low), "Stage 2 - Quality", F.format_string(f"Low quality score: %.3f < {cfg.min_quality_score}", "overall_score")))
+    good = scored.where(~low)
+    first = tables.save(dedup.exact_duplicates(good), "exact")
+    name = X.basename(F.col("file_path"))
+    keepers = first.select(F.col("ord").alias("first_ord"), name.alias("kept"))
+    exact = first.where(F.col("ord") != F.col("first_ord"))
+    pairs = exact.join(keepers, "first_ord").select(F.lit("exact").alias("type"), name.alias("removed"), "kept", F.lit(1.0).alias("similarity"))
+    rejections = rejections.unionByName(_rejected(exact, "Stage 3 - Exact Dedup", F.lit("Exact duplicate")))
+    left = tables.save(first.where(F.col("ord") == F.col("first_ord")).withColumn("content_hash", F.substring("content_hash", 1, 12)).drop("first_ord"), "after-exact")
+    counts = [("input", docs), ("prepared", prepared.where("reason is null")), ("quality", good), ("exact", left)]
+    for level, removals in (("fuzzy", dedup.fuzzy_removals), ("semantic", dedup.semantic_removals)):
+        if level == "semantic" and not cfg.semantic:
+            continue
+        gone = tables.save(removals(left, tables, getattr(cfg, f"{level}_dedup_threshold")), f"{level}-removals")
+        names = left.select("ord", name.alias("name"))
+        logged = gone.where("logged").join(names.toDF("removed", "removed_name"), "removed").join(names.toDF("kept", "kept_name"), "kept")
+        pairs = pairs.unionByName(logged.select(F.lit(level).alias("type"), F.col("removed_name").alias("removed"), F.col("kept_name").alias("kept"), "similarity"))
+        lost = gone.select(F.col("removed").alias("ord")).distinct()
+        rejections = rejections.unionByName(_rejected(left.join(lost, "ord"), f"Stage 3 - {level.capitalize()} Dedup", F.lit(f"{level.capitalize()} duplicate")))
+        left = tables.save(left.join(lost, "ord", "left_anti"), f"after-{level}")
+        counts.append((level, left))
+    words = F.size(X.words(F.col("content")))
+    enhanced = left.withColumn("domain_category", D.category(F.col("content"))).withColumn("_r", D.relevance(words, X.word_tokens(F.col("content"))))
+    enhanced = enhanced.withColumn("quality_score", D.boosted(F.col("overall_score"), F.col("_r"), cfg.domain_relevance_threshold, cfg.domain_boost))
+    enhanced = enhanced.withColumn("domain_relevance_score", F.round("_r", 4)).drop("_r")
+    redacted = D.redact(F.col("content")) if cfg.enable_pii_removal else F.col("content")
+    enhanced = enhanced.withColumn("text_redacted", redacted).withColumn("pii_removed", F.col("text_redacted") != F.col("content"))
+    ranked = ranks(tables.save(enhanced, "enhanced"), tables)
+    curated = ranked.select(
+        "ord", "id", F.col("text_redacted" if cfg.text_source == "redacted" else "original_content").alias("text"),
+        F.col("original_content").alias("text_original"), "text_redacted", "pii_removed", "quality_score", "quality_grade", "domain_category",
+        F.struct(
+            name.alias("file"), F.col("total_pages").alias("pages"), (F.size("tables") > 0).alias("has_tables"), (F.col("images_detected") > 0).alias("has_images"), "word_count"
+        ).alias("source_info"), "training_rank", "content_hash", "domain_relevance_score",
+    )
+    stages = None
+    for k, (stage, df) in enumerate(counts):
+        row = df.agg(F.count("*").alias("documents")).select(F.lit(k).alias("k"), F.lit(stage).alias("stage"), "documents")
+        stages = row if stages is None else stages.unionByName(row)
+    grades = good.groupBy("quality_grade").agg(F.count("*").alias("documents"))
+    return Curation(curated, rejections, pairs, stages, grades)
+
+
+def ranks(df: DataFrame, tables: Tables, score: str = "quality_score") -> DataFrame:
+    """Adds training_rank, 1-based by score from the highest on, then by ord.
+
+    Rows are counted by score, and ranks are made within each score: no one task orders all rows.
+    """
+    by = df.groupBy(score).agg(F.count("*").alias("_n"))
+    before = tables.save(by.withColumn("_before", F.sum("_n").over(Window.orderBy(F.desc(score))) - F.col("_n")).drop("_n"), "score-offsets")
+    within = F.row_number().over(Window.partitionBy(score).orderBy("ord"))
+    return df.join(before, score).withColumn("training_rank", (F.col("_before") + within).cast("int")).drop("_before")
+
+
+def retention(stages: DataFrame) -> DataFrame:
+    """Documents after each stage and their share of the input."""
+    first = stages.where("k = 0").select(F.greatest("documents", F.lit(1)).alias("input"))  # one row
+    return stages.crossJoin(F.broadcast(first)).select("k", "stage", "documents", (F.col("documents") / F.col("input")).alias("retention"))
+
+
+def metadata(c: Curation) -> DataFrame:
+    """One row: total, mean quality, domains, grades, removed pairs by level."""
+    as_map = lambda df, k, v: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias("m"))
+    total = c.curated.agg(F.count("*").alias("total_documents"), F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("average_quality"))
+    domains = as_map(c.curated.groupBy("domain_category").agg(F.count("*").alias("n")), "domain_category", "n").withColumnRenamed("m", "domain_distribution")
+    grades = as_map(c.grades, "quality_grade", "documents").withColumnRenamed("m", "quality_distribution")
+    levels = as_map(c.pairs.groupBy("type").agg(F.count("*").alias("n")), "type", "n").withColumnRenamed("m", "deduplication_stats")
+    return total.crossJoin(domains).crossJoin(grades).crossJoin(levels).withColumn("curation_date", F.current_timestamp())  # one row each

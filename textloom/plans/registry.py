@@ -1,4 +1,482 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries, each over its whole tables; oracles.py has their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import domain as D
+from ..functions import patterns as P
+from ..functions import quality as Q
+from ..functions import text as X
+from ..operators import dedup, embeddings, evaluation, markup, tfidf, tokens, training, vocabulary
+from ..sources import readers
+from ..storage import Tables
+from . import curation
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their whole text as content."""
+    return _table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("content"), "source")
+
+
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    df = curation.prepare(readers.documents_as_extracted(_table(spark, d, "documents")), curation.CurationConfig()).withColumn("doc_id", F.col("ord"))
+    # Written, so that a filter on the reason isn't pushed below the columns it is made of, which would repeat them.
+    return Tables(spark, "prepared").save(df.select("doc_id", "id", "word_count", "content", "original_content", "file_path", "reason"), "documents")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return Q.with_scores(Q.with_tokens(_raw(spark, d)))
+
+
+@query
+def doc_word_stats(spark, d):
+    w = X.words(F.col("content"))
+    return _raw(spark, d).select("doc_id", F.size(w).alias("n_words"), F.length("content").alias("n_chars"), F.size(F.array_distinct(F.transform(w, F.lower))).alias("n_distinct"))
+
+
+@query
+def doc_ids_md5(spark, d):
+    return _raw(spark, d).select("doc_id", F.substring(F.md5("content"), 1, 12).alias("id"), F.substring(F.sha2("content", 256), 1, 12).alias("sha_id"))
+
+
+@query
+def normalize_lines(spark, d):
+    return _raw(spark, d).select("doc_id", F.md5(X.normalise_content(F.col("content"))).alias("content_md5"))
+
+
+@query
+def comparison_key(spark, d):
+    return _raw(spark, d).select("doc_id", F.md5(X.comparison_key(F.col("content"))).alias("key_md5"))
+
+
+@query
+def prepared_documents(spark, d):
+    return _prepared(spark, d).select("doc_id", "id", "word_count", F.length("content").alias("char_count"), F.md5("original_content").alias("original_md5"))
+
+
+@query
+def sentence_gate(spark, d):
+    return _raw(spark, d).select("doc_id", Q.sentence_pieces(F.col("content")).alias("pieces"), (Q.sentence_pieces(F.col("content")) >= 2).alias("passes"))
+
+
+@query
+def gibberish_gate(spark, d):
+    df = Q.with_tokens(_raw(spark, d)).withColumn("n", Q.gibberish_matches(F.col("content"), F.col("tokens")))
+    return df.select("doc_id", F.col("n").alias("matches"), (F.col("n") <= F.size("words") * F.lit(0.2)).alias("passes"))
+
+
+@query
+def stage1_gate_reasons(spark, d):
+    return _prepared(spark, d).where("reason is not null").groupBy("reason").agg(F.count("*").alias("documents"))
+
+
+def _metric(name):
+    def f(spark, d):
+        return _scored(spark, d).select("doc_id", name)
+
+    f.__name__ = name
+    return query(f)
+
+
+for _name in ("lexical_diversity", "information_density", "technical_density", "structural_quality", "domain_relevance", "content_richness"):
+    _metric(_name)
+
+
+@query
+def quality_score(spark, d):
+    return _scored(spark, d).select("doc_id", "overall_score", "quality_grade")
+
+
+@query
+def quality_grades(spark, d):
+    return _scored(spark, d).groupBy("quality_grade").agg(F.count("*").alias("documents"), F.round(F.avg("overall_score"), 4).alias("mean_score"))
+
+
+@query
+def quality_gate(spark, d):
+    return _scored(spark, d).where("overall_score >= 0.25").agg(F.count("*").alias("kept"), F.round(F.min("overall_score"), 4).alias("least_score"))
+
+
+def _extraction(spark, d):
+    return Q.with_extraction_scores(_raw(spark, d), "content")
+
+
+@query
+def extraction_quality(spark, d):
+    return _extraction(spark, d).select("doc_id", F.round("overall_quality", 4).alias("overall_quality"), "extraction_grade", "word_count", "sentence_count")
+
+
+@query
+def readability(spark, d):
+    return _extraction(spark, d).select("doc_id", "readability")
+
+
+@query
+def structural_complexity(spark, d):
+    return _extraction(spark, d).select("doc_id", "structural_complexity")
+
+
+@query
+def extraction_richness(spark, d):
+    return _extraction(spark, d).select("doc_id", F.col("content_richness").alias("richness"))
+
+
+@query
+def extraction_run_stats(spark, d):
+    q = F.col("overall_quality")
+    r = lambda c: F.round(c, 4)
+    return _extraction(spark, d).agg(
+        F.count("*").alias("documents"), F.sum((F.col("word_count") > 0).cast("int")).alias("successes"), r(F.avg(q)).alias("avg_quality"), r(F.min(q)).alias("min_quality"),
+        r(F.max(q)).alias("max_quality"), r(F.avg("lexical_diversity")).alias("avg_lexical"), r(F.avg("readability")).alias("avg_readability"),
+    )
+
+
+@query
+def exact_dedup(spark, d):
+    return dedup.exact_duplicates(_raw(spark, d)).where("ord = first_ord").select("doc_id", F.substring("content_hash", 1, 12).alias("content_hash"))
+
+
+@query
+def exact_dup_pairs(spark, d):
+    return dedup.exact_duplicates(_raw(spark, d)).where("ord <> first_ord").select(F.lit("exact").alias("type"), F.col("ord").alias("removed"), F.col("first_ord").alias("kept"))
+
+
+@query
+def shingle_counts(spark, d):
+    return dedup.shingle_table(_raw(spark, d)).select(F.col("ord").alias("doc_id"), F.col("n").alias("n_shingles"))
+
+
+def _pairs(spark, d, threshold):
+    t = Tables(spark, "pairs")
+    sets = t.save(dedup.shingle_table(_raw(spark, d)), "sets").where("n > 0")
+    return dedup.similar_sets(sets, threshold, t).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def fuzzy_pairs(spark, d):
+    return _pairs(spark, d, 0.85)
+
+
+@query
+def fuzzy_pairs_half(spark, d):
+    return _pairs(spark, d, 0.5)
+
+
+@query
+def fuzzy_dedup(spark, d):
+    t = Tables(spark, "fuzzy")
+    scored = t.save(_scored(spark, d).where("size(words) > 4").select("ord", "content", "overall_score"), "scored")
+    return dedup.fuzzy_removals(scored, t).select("i", "j", F.round("similarity", 6).alias("similarity"), "removed", "kept", "logged")
+
+
+@query
+def semantic_dedup(spark, d):
+    t = Tables(spark, "semantic")
+    scored = t.save(_scored(spark, d).select("ord", "content", "overall_score"), "scored")
+    return dedup.semantic_removals(scored, t).select("i", "j", F.round("similarity", 6).alias("similarity"), "removed", "kept", "logged")
+
+
+@query
+def multi_level_dedup(spark, d):
+    return _curated(spark, d).pairs.groupBy("type").agg(F.count("*").alias("removed"))
+
+
+@query
+def tfidf_top_terms(spark, d):
+    df = _raw(spark, d)
+    return tfidf.vocabulary(tfidf.ngram_terms(df), df.count(), max_features=50).select("term", "df", "cf")
+
+
+@query
+def semantic_pairs(spark, d):
+    t = Tables(spark, "semantic-pairs")
+    return tfidf.similar_vectors(tfidf.tfidf_weights(_raw(spark, d), tables=t), 0.80, t).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def domain_category(spark, d):
+    return _raw(spark, d).groupBy(D.category(F.col("content")).alias("domain_category")).agg(F.count("*").alias("documents"))
+
+
+@query
+def domain_boost(spark, d):
+    df = _scored(spark, d).withColumn("r", D.relevance(F.size("words"), F.col("tokens")))
+    return df.select("doc_id", F.round("r", 4).alias("relevance"), F.round(D.boosted(F.col("overall_score"), F.col("r")), 6).alias("boosted_score"))
+
+
+@query
+def pii_redact(spark, d):
+    df = _raw(spark, d).withColumn("r", D.redact(F.col("content")))
+    return df.select("doc_id", F.md5("r").alias("redacted_md5"), (F.col("r") != F.col("content")).alias("pii_removed"))
+
+
+@query
+def pii_counts(spark, d):
+    return _raw(spark, d).select(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in D.pii_counts(F.col("content")).items()] or [])
+
+
+@query
+def training_rank(spark, d):
+    scored = _scored(spark, d).select("doc_id", "ord", "overall_score")
+    return curation.ranks(scored, Tables(spark, "ranks"), "overall_score").select("doc_id", "training_rank")
+
+
+@query
+def curated_top_k(spark, d):
+    return _scored(spark, d).orderBy(F.desc("overall_score"), "doc_id").limit(20).select("doc_id", "overall_score")
+
+
+def _curated(spark, d):
+    return curation.curate(readers.documents_as_extracted(_table(spark, d, "documents")))
+
+
+@query
+def curated_dataset(spark, d):
+    return _curated(spark, d).curated.drop("text_original", "text_redacted")
+
+
+@query
+def stage_retention(spark, d):
+    return curation.retention(_curated(spark, d).stages).select("stage", "documents", F.round("retention", 6).alias("retention"))
+
+
+@query
+def rejection_reasons(spark, d):
+    return _curated(spark, d).rejections.groupBy("stage", "reason").agg(F.count("*").alias("documents"))
+
+
+@query
+def rejection_files(spark, d):
+    """Rejections of the first stage, by file."""
+    df = _prepared(spark, d).where("reason is not null")
+    return df.select("doc_id", X.basename(F.col("file_path")).alias("filename"), "reason")
+
+
+@query
+def curation_metadata(spark, d):
+    return curation.metadata(_curated(spark, d)).drop("curation_date")
+
+
+@query
+def word_frequency(spark, d):
+    return vocabulary.word_counts(_raw(spark, d), "content")
+
+
+@query
+def vocabulary_counters(spark, d):
+    return word_frequency(spark, d).agg(F.sum("frequency").alias("total_words"), F.count("*").alias("unique_words"), F.sum((F.col("frequency") >= 200).cast("int")).alias("frequent_words"))
+
+
+def _base_vocabulary(spark, d):
+    """Words of the benchmark's items stand for a base vocabulary."""
+    return vocabulary.word_counts(_table(spark, d, "benchmark")).select(F.col("word").alias("token"))
+
+
+@query
+def vocab_candidates(spark, d):
+    return vocabulary.candidates(word_frequency(spark, d), _base_vocabulary(spark, d))
+
+
+@query
+def vocab_anti_join(spark, d):
+    return word_frequency(spark, d).where("frequency >= 20").join(_base_vocabulary(spark, d), F.col("word") == F.col("token"), "left_anti")
+
+
+@query
+def vocab_semi_join(spark, d):
+    return word_frequency(spark, d).where("frequency >= 20").join(_base_vocabulary(spark, d), F.col("word") == F.col("token"), "left_semi")
+
+
+@query
+def vocab_growth(spark, d):
+    from pyspark.sql import Window
+
+    base = _base_vocabulary(spark, d).withColumn("id", F.row_number().over(Window.orderBy("token")) - 1)
+    return vocabulary.grown(base, word_frequency(spark, d).where("frequency >= 200"))
+
+
+@query
+def manual_tokens(spark, d):
+    return vocabulary.manual_tokens(spark, word_frequency(spark, d).select(F.col("word").alias("token"))).select("token", "present")
+
+
+def _counts(spark, d):
+    return tokens.token_counts(_raw(spark, d), "content")
+
+
+@query
+def token_counts(spark, d):
+    return _counts(spark, d).select("doc_id", "n_tokens")
+
+
+@query
+def token_stats(spark, d):
+    s = tokens.corpus_stats(_counts(spark, d))
+    return s.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+@query
+def token_percentiles(spark, d):
+    return tokens.percentiles(_counts(spark, d)).select("percentile", F.round("value", 4).alias("value"))
+
+
+@query
+def batch_estimates(spark, d):
+    return tokens.batch_estimates(tokens.corpus_stats(_counts(spark, d)))
+
+
+@query
+def fixed_length_encode(spark, d):
+    """Lengths of words as ids, to 64 places."""
+    ids = F.transform(X.words(F.col("content")), F.length)
+    return _raw(spark, d).select("doc_id", F.array_join(F.transform(tokens.fixed_length(ids, 64), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query
+def training_tokens(spark, d):
+    return _raw(spark, d).where(X.strip(F.col("content")) != "").agg(F.count("*").alias("rows"), (F.count("*") * 4096).alias("approximate_tokens"))
+
+
+@query
+def embedding_mean_by_group(spark, d):
+    m = embeddings.mean_vectors(_table(spark, d, "embeddings"), "label", "embedding")
+    return m.select("label", F.posexplode("mean").alias("place", "x")).select("label", "place", F.round("x", 5).alias("mean"))
+
+
+@query
+def embedding_norm_check(spark, d):
+    return embeddings.verify(_table(spark, d, "embeddings")).select("vec_id", F.round("norm", 5).alias("norm"), "is_zero")
+
+
+@query
+def embedding_zero_rows(spark, d):
+    z = embeddings.zero_rows(_table(spark, d, "embeddings").select(F.col("vec_id").alias("token")), 64)
+    return embeddings.verify(z).agg(F.count("*").alias("rows"), F.sum(F.col("is_zero").cast("int")).alias("zero_rows"))
+
+
+@query
+def embedding_init_report(spark, d):
+    e = _table(spark, d, "embeddings")
+    base = e.select(F.col("vec_id").alias("id"), "embedding")
+    new = e.groupBy(F.col("label").alias("token")).agg(F.array_sort(F.collect_list("vec_id")).alias("piece_ids"))
+    return embeddings.init_report(embeddings.initialise(new, base, 64), embeddings.zero_rows(new, 64))
+
+
+@query
+def train_val_split(spark, d):
+    return training.split_rows(_raw(spark, d), "content").select("doc_id", "split")
+
+
+def _losses(spark, d):
+    return _table(spark, d, "events").select("event_type", "event_id", "value")
+
+
+@query
+def loss_monitor(spark, d):
+    return training.loss_monitor(_losses(spark, d), "event_type", "event_id", "value").select("event_id", "initial_loss", "best_loss", "is_spike", "is_explosion")
+
+
+@query
+def early_stopping(spark, d):
+    return training.early_stopping(_losses(spark, d), "event_type", "event_id", "value").select("event_id", "improved", "waited", "stop_step")
+
+
+@query
+def model_loss_summary(spark, d):
+    s = evaluation.loss_summary(_losses(spark, d).withColumn("loss", F.col("value") / 100), "event_type", "loss")
+    return s.select("model", "n", F.round("avg_loss", 6).alias("avg_loss"), F.round("perplexity", 4).alias("perplexity"))
+
+
+@query
+def improvement_verdict(spark, d):
+    v = evaluation.verdicts(evaluation.loss_summary(_losses(spark, d), "event_type", "value"), "view")
+    return v.select("model", F.round("improvement_pct", 4).alias("improvement_pct"), "verdict", "init_ok")
+
+
+@query
+def loss_boxplot(spark, d):
+    q = evaluation.loss_quartiles(_losses(spark, d), "event_type", "value")
+    return q.select("model", *[F.round(c, 4).alias(c) for c in q.columns[1:]])
+
+
+def _responses(spark, d):
+    """Turns as responses; the fixture has no times, so a turn's number gives one."""
+    return _table(spark, d, "conversations").withColumn("seconds", F.col("turn") * 0.37)
+
+
+@query
+def response_metrics(spark, d):
+    return _responses(spark, d).select("conv_id", "turn", "role", *[v.alias(k) for k, v in evaluation.response_metrics(F.col("text"), F.col("seconds")).items()])
+
+
+@query
+def response_speed_up(spark, d):
+    rates = _responses(spark, d).withColumn("r", evaluation.response_metrics(F.col("text"), F.col("seconds"))["words_per_second"])
+    by = rates.groupBy("conv_id").agg(F.round(F.avg(F.when(F.col("role") == "user", F.col("r"))), 4).alias("a"), F.round(F.avg(F.when(F.col("role") == "assistant", F.col("r"))), 4).alias("b"))
+    s = evaluation.speed_up(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0)), "user", "assistant")
+    return by.select("conv_id", s["faster"].alias("faster"), F.round(s["ratio"], 3).alias("ratio"))
+
+
+@query
+def response_table(spark, d):
+    t = evaluation.response_table(_responses(spark, d).where("turn < 2").groupBy(F.col("conv_id").cast("string").alias("prompt"), "role").agg(F.max(F.length("text")).alias("n")), "prompt", "role", "n", ["assistant", "user"])
+    return t.select("prompt", "assistant", "user")
+
+
+@query
+def html_text(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.md5(markup.html_text(F.col("html"))).alias("text_md5"))
+
+
+@query
+def html_tables(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.size(markup.html_tables(F.col("html"))).alias("tables"))
+
+
+@query
+def markdown_tables(spark, d):
+    t = markup.markdown_tables(_raw(spark, d), "doc_id", "content")
+    return t.select("doc_id", "table_no", F.md5("content").alias("content_md5"), "row_count")
+
+
+@query
+def latex_equations(spark, d):
+    e = _raw(spark, d).select("doc_id", F.posexplode(markup.equations(F.col("content"))).alias("place", "e"))
+    return e.select("doc_id", "place", "e.type", F.md5("e.latex").alias("latex_md5"))
+
+
+@query
+def text_pattern_tables(spark, d):
+    t = _raw(spark, d).select("doc_id", markup.table_of_lines(F.split("content", "\n")).alias("t")).where(F.size("t") > 0)
+    return t.select("doc_id", F.size("t").alias("rows"), F.md5(markup.flat_table(F.col("t"))).alias("flat_md5"), markup.valid_table(F.col("t")).alias("valid"))
+
+
+@query
+def validation_sample(spark, d):
+    return readers.sample(_raw(spark, d), "doc_id", "content", 100, longer_than=50).select("doc_id", F.length("content").alias("n_chars"))
+
+
+@query
+def json_roundtrip(spark, d):
+    k = F.from_json("props", "k long")
+    return _table(spark, d, "events").select("event_id", k["k"].alias("k"), F.to_json(k).alias("json"))
+
+
+@query
+def optional_predicates(spark, d):
+    c = F.col("content")
+    return _raw(spark, d).select("doc_id", c.rlike(P.LOW_INFORMATION).alias("low_information"))
