@@ -19,7 +19,14 @@ _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are wide rows: fewer of them go to a Python worker at a time, unless the session says otherwise."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -37,6 +44,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
 

@@ -13,14 +13,20 @@ A place that no piece can span (its two characters stand together in no piece) h
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
+from .tokens import trim
+
 SPACE = "▁"
-MEMO_ENTRIES = 400_000
 MINUS = -np.inf
+#: A word from this length on is walked by chunks.
+LONG_WORD = 4096
+#: Characters of a beginning whose walk is kept; lengths to try behind those of longer pieces.
+HEAD, _SHORT = 5, [2, 1]
 
 
 class PieceModel:
@@ -41,11 +47,30 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         # Words begin with their spaces if no piece has a space after another character.
-        split = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        self.word = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if split else r"(?s).+")
+        self.spaced = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
+        self.word = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.spaced else r"(?s).+")
         self.output = [p.piece.replace(SPACE, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" for p in m.pieces]
-        self.known: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, bool] = {}
+        self.rank = {p: -s for p, s in self.score.items()}
+        #: The two parts of each piece's last merge; pieces that BPE never makes are none.
+        self.parts: dict[str, tuple[str, str]] = {}
+        for p in sorted(self.ids, key=len):
+            if len(p) > 1:
+                if split := self._last_merge(p):
+                    self.parts[p] = split
+                else:
+                    self.ids.pop(p)
         self.memo: dict[str, bytes] = {}
+        self.segments: dict[str, bytes] = {}
+        #: By the last three characters of a piece, the lengths of pieces that end so, longest first.
+        self.sizes: dict[str, list[int]] = {}
+        for p in self.ids:
+            if len(p) > 2 and len(p) not in self.sizes.setdefault(p[-3:], []):
+                self.sizes[p[-3:]].append(len(p))
+        for lengths in self.sizes.values():
+            lengths.sort(reverse=True)
+            lengths += _SHORT
+        self.heads: dict[str, list[str]] = {}
 
     def normalise(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
@@ -66,14 +91,45 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        parts = list(piece)
+        while len(parts) > 2:
+            best, at = MINUS, -1
+            for i in range(len(parts) - 1):
+                if (s := self.score.get(parts[i] + parts[i + 1], MINUS)) > best:
+                    best, at = s, i
+            if at < 0:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
     def consistent(self, a: str, b: str) -> bool:
+        """Whether BPE of a + b gives a and b back.
+
+        The last merges of either side are undone, the later one first: if the parts that then meet could merge, and better than
+        what has just been undone, they would have merged before it. Of equal merges the left one goes first.
+        """
         if a[-1] + b[0] not in self.pairs:
             return True
-        found = self.known.get((a, b))
-        if found is None:
-            if len(self.known) > MEMO_ENTRIES:
-                self.known.clear()
-            found = self.known[a, b] = self.merge(a + b) == [a, b]
+        key = a + "\0" + b
+        if (found := self.known.get(key)) is not None:
+            return found
+        if a[-1] == b[0] == SPACE:  # runs of spaces have equal scores
+            found = self.merge(a + b) == [a, b]
+        else:
+            found, limit, x, y, rank, parts = True, 1e18, a, b, self.rank, self.parts
+            while True:
+                if rank.get(x + y, 1e18) < limit:
+                    found = False
+                    break
+                rx, ry = rank.get(x, -1.0) if x in parts else -1.0, rank.get(y, -1.0) if y in parts else -1.0
+                if rx < 0 and ry < 0:
+                    break
+                if rx > ry:
+                    limit, x = rx, parts[x][1]
+                else:
+                    limit, y = ry + 0.5, parts[y][0]
+        self.known[key] = found
         return found
 
     def arcs(self, text: str, i: int) -> list[str]:
@@ -82,20 +138,48 @@ class PieceModel:
         return [p for k, p in enumerate(out) if k == 0 or p in self.ids]
 
     def segment(self, text: str) -> list[str]:
-        """The best path of a text, by one walk over its places."""
-        last = [""] * (len(text) + 1)
-        for i in range(1, len(text) + 1):
-            for n in range(min(i, self.longest), 0, -1):
-                p = text[i - n : i]
-                if (n == 1 or p in self.ids) and (i == n or (last[i - n] and self.consistent(last[i - n], p))):
-                    last[i] = p
+        """The best path of a text without places that no piece spans, by one walk over it.
+
+        The last piece of a prefix's best path depends on the prefix alone, so what common beginnings give is kept.
+        """
+        ids, known, sizes, n_text = self.ids, self.known, self.sizes, len(text)
+        head = self.heads.get(text[:HEAD]) if n_text > HEAD else None
+        last = head + [""] * (n_text - HEAD) if head else [""] * (n_text + 1)
+        for i in range(HEAD + 1 if head else 1, n_text + 1):
+            for n in sizes.get(text[i - 3 : i] if i > 2 else text[:i], _SHORT):
+                if n < i:
+                    p = text[i - n : i]
+                    if (n == 1 or p in ids) and (before := last[i - n]):
+                        if (ok := known.get(before + "\0" + p)) is None:
+                            ok = self.consistent(before, p)
+                        if ok:
+                            last[i] = p
+                            break
+                elif n == i and (n == 1 or text[:i] in ids):
+                    last[i] = text[:i]
                     break
-        out, i = [], len(text)
+        if head is None and n_text > HEAD:
+            self.heads[text[:HEAD]] = last[: HEAD + 1]
+        out, i = [], n_text
         while i:
             out.append(last[i])
             i -= len(last[i])
         return out[::-1]
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word: of its parts between places that no piece spans, each kept."""
+        pairs, memo, start, out = self.pairs, self.segments, 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                part, start = word[start:i], i
+                if (found := memo.get(part)) is None:
+                    found = memo[part] = self.to_ids(self.segment(part)).tobytes()
+                out.append(found)
+        part = word[start:]
+        if (found := memo.get(part)) is None:
+            found = memo[part] = self.to_ids(self.segment(part)).tobytes()
+        return b"".join((*out, found)) if out else found
+
     def weight(self, piece: str) -> float:
         return self.score.get(piece, 0.0)
 
@@ -145,31 +229,31 @@ class PieceModel:
         ends = [n for n in value if n[1] == b]
         return {(b, b): [max(ends, key=lambda n: value.get(n, none)[k], default=(b, b)) for k in range(len(left))]}
 
+    def _cuts(self, text: str, a: int, b: int) -> tuple[int, int]:
+        """The first and the last place in [a, b] with one state; (b + 1, b + 1) if there is none."""
+        first = next((i for i in range(a, b + 1) if self.cut(text, i)), b + 1)
+        return first, next((i for i in range(b, first, -1) if self.cut(text, i)), first)
+
     def transfer(self, text: str, a: int, b: int) -> np.ndarray:
         """Matrix from states(text, a) to states(text, b) of the chunk [a, b), a < b."""
-        inner = [i for i in range(a, b + 1) if self.cut(text, i)]
-        if len(inner) > 1 and (inner[0], inner[-1]) != (a, b):  # the columns meet at a place with one state: an outer product
-            head = self.transfer(text, a, inner[0]) if inner[0] > a else np.zeros((1, 1))
-            tail = self.transfer(text, inner[-1], b) if inner[-1] < b else np.zeros((1, 1))
-            return maxplus(maxplus(head, np.array([[self._sum(text[inner[0] : inner[-1]])]])), tail)
-        if len(inner) > 1:
-            return np.array([[self._sum(text[a:b])]])
+        first, last = self._cuts(text, a, b)
+        if first < last:  # paths meet at a place with one state: an outer product around what stands between
+            head = self.transfer(text, a, first) if first > a else np.zeros((1, 1))
+            tail = self.transfer(text, last, b) if last < b else np.zeros((1, 1))
+            return maxplus(head + float(self.scores[self.encode_normalised(text[first:last])].sum()), tail)
         left, right, value, _ = self._paths(text, a, b)
         none = np.full(len(left), MINUS)
         chosen = self._enter(text, b, right, value, left)
         columns = [value.get(chosen[s], none) if isinstance(chosen[s], tuple) else np.array([value.get(n, none)[k] for k, n in enumerate(chosen[s])]) for s in right]
         return np.stack(columns, 1)
 
-    def _sum(self, text: str) -> float:
-        return float(sum(map(self.weight, self.pieces(text))))
-
-    def backtrace(self, text: str, a: int, b: int, entry: int, leave: int) -> list[str]:
-        """The pieces that start in [a, b), from the state on either edge."""
-        inner = [i for i in range(a, b + 1) if self.cut(text, i)]
-        if len(inner) > 1:
-            head = self.backtrace(text, a, inner[0], entry, 0) if inner[0] > a else []
-            tail = self.backtrace(text, inner[-1], b, 0, leave) if inner[-1] < b else []
-            return head + self.pieces(text[inner[0] : inner[-1]]) + tail
+    def backtrace(self, text: str, a: int, b: int, entry: int, leave: int) -> np.ndarray:
+        """Ids of the pieces that start in [a, b), from the state on either edge."""
+        first, last = self._cuts(text, a, b)
+        if first < last:
+            head = [self.backtrace(text, a, first, entry, 0)] if first > a else []
+            tail = [self.backtrace(text, last, b, 0, leave)] if last < b else []
+            return np.concatenate([*head, self.encode_normalised(text[first:last]), *tail])
         left, right, value, came = self._paths(text, a, b)
         chosen = self._enter(text, b, right, value, left)[right[leave]]
         node = chosen[entry] if isinstance(chosen, list) else chosen
@@ -177,37 +261,40 @@ class PieceModel:
         while node and node != left[entry]:
             out.append(text[node[0] : node[1]])
             node = came[node][entry]
-        return out[::-1]
+        return self.to_ids(out[::-1])
 
     # Whole texts of any length in one process.
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a normalised text."""
-        out: list[str] = []
-        for w in self.word.findall(text):
-            out += self.segment(w) if len(w) <= 4096 else self.scanned(w)
-        return out
-
-    def scanned(self, text: str, chunk: int = 1024) -> list[str]:
-        """The same by chunks, transfer matrices and their scan."""
+    def scanned(self, text: str, chunk: int = 1024) -> np.ndarray:
+        """Ids of a normalised text by chunks, transfer matrices and their scan."""
         edges = [*range(0, len(text), chunk), len(text)]
         spans = list(zip(edges, edges[1:]))
         path = best_states([self.transfer(text, a, b) for a, b in spans])
-        return [p for (a, b), (x, y) in zip(spans, path) for p in self.backtrace(text, a, b, x, y)]
+        return np.concatenate([self.backtrace(text, a, b, x, y) for (a, b), (x, y) in zip(spans, path)])
 
     def to_ids(self, pieces: list[str]) -> np.ndarray:
-        out = []
+        out: list[int] = []
         for p in pieces:
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
-        return np.array(out, "<u4")
+            if (i := self.ids.get(p)) is not None:
+                out.append(i)
+            else:
+                out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+        return np.frombuffer(array("I", out), "<u4")
 
     def encode_normalised(self, text: str) -> np.ndarray:
-        memo, words = self.memo, self.word.findall(text)
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        memo = self.memo
+        if self.spaced and SPACE * 2 not in text and not text.endswith(SPACE):
+            first, *rest = text.split(SPACE)
+            words = [SPACE + w for w in rest]
+            words[:0] = [first] if first else []
+        else:
+            words = self.word.findall(text)
+        trim(memo, 400_000, 150_000)
+        trim(self.segments, 250_000, 100_000)
+        trim(self.heads, 100_000, 50_000)
+        trim(self.known, 250_000, 150_000)
         for w in (w for w in set(words) if w not in memo):
-            memo[w] = self.to_ids(self.pieces(w)).tobytes()
+            memo[w] = self.word_ids(w) if len(w) <= LONG_WORD else self.scanned(w).tobytes()
         return np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4")
 
     def encode(self, text: str) -> np.ndarray:
