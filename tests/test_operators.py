@@ -171,3 +171,23 @@ def test_incremental_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("curated_stream").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("curated_stream").count() == 1
+
+
+def test_reports(spark, tmp_path):
+    from textloom.operators import reports
+
+    pairs = spark.range(10)
+    assert reports.shown_pairs(pairs).count() == 10 and reports.shown_pairs(spark.range(11)).count() == 0
+    lines = [(1, 0.0, y, 9.0, y) for y in (0.0, 5.0, 9.0)] + [(1, x, 0.0, x, 9.0) for x in (0.0, 5.0, 9.0)] + [(2, 0.0, 0.0, 9.0, 0.0)]
+    (g,) = reports.grid_box(spark.createDataFrame(lines, "k int, x0 double, y0 double, x1 double, y1 double"), "k").collect()
+    assert (g.k, g.bbox, g.data) == (1, [0.0, 0.0, 9.0, 9.0], [["Grid table detected"]])
+    schema = "doc_id int, page int, rows int, cols int, place int"
+    found, known = spark.createDataFrame([(1, 1, 2, 2, 0), (1, 1, 3, 3, 1), (1, 1, 4, 4, 2)], schema), spark.createDataFrame([(1, 1, 2, 2, 9)], schema)
+    assert [(r.rows, r.place) for r in reports.new_tables(found, known).collect()] == [(3, 1)]
+    rows = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "id int, embedding array<double>")
+    assert not reports.pretrain_check(rows, 2, 2).first().rows_ok and reports.pretrain_check(rows.where("id = 1"), 2, 3).first().asDict() == {"rows_ok": True, "sizes_ok": False}
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "f").write_text("abc")
+    assert reports.missing_files(str(tmp_path), ["out", "x"]) == ["x"] and reports.folder_bytes(str(tmp_path)) == 3
+    place = reports.clean_run(str(tmp_path), ["out"])
+    assert not (tmp_path / "out").exists() and (tmp_path / place / "out" / "f").read_text() == "abc"

