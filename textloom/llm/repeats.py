@@ -2,7 +2,7 @@
 
 1. Anchors. In every window the least 32-byte hash marks an anchor, so equal windows hold equal anchors at equal places, and a
    window can only repeat if an anchor of it occurs twice. Anchors that occur once are left out: this loses no repeat.
-2. Contexts. An anchor's context is all bytes of the windows it may mark. Copies of one context collapse into the earliest
+2. Contexts. An anchor's context is all bytes of the windows that it marks. Copies of one context collapse into the earliest
    before anything is shuffled by content; in a later copy every window repeats, so it is removed whole.
 3. Shards. The different contexts of an anchor meet in one shard. A shard's suffix array (Larsson-Sadakane) and common prefixes
    (Kasai) give its classes of equal windows; in each class all but the earliest repeat.
@@ -33,10 +33,11 @@ from .suffix_array import common_prefixes, suffix_array, window_classes
 WINDOW = 100
 ANCHOR = 32
 REACH = WINDOW - ANCHOR  # bytes around an anchor that its windows may hold on either side
+SIZE_BITS = 8  # a context's place is kept as its start, shifted by these, and its size (at most ANCHOR + 2 * REACH)
 SHARD_CONTEXTS = 4096
 SPLIT_CONTEXTS = 2048
 _FACTORS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-ANCHORS_DDL = "anchor long, context long, doc long, at int"
+ANCHORS_DDL = "anchor long, context long, doc long, at long"
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -50,7 +51,7 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, context hash, text number, place) of all anchors of some texts."""
+    """(hash, context hash, text number, the context's place) of all anchors of some texts."""
     texts_at = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
     if not texts_at:
         none = np.zeros(0, np.int64)
@@ -73,14 +74,17 @@ def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     padded[REACH : REACH + len(least)] = least
     at = np.flatnonzero(_sliding(padded, REACH + 1, np.maximum) == h)
     text = np.searchsorted(ends, at, "right")
-    a, b = np.maximum(starts[text], at - REACH), np.minimum(ends[text], at + WINDOW)
+    # The windows that hold an anchor as their least hash start next to each other.
+    marks = np.lib.stride_tricks.sliding_window_view(padded, REACH + 1)[at] == h[at][:, None]
+    a = at - REACH + marks.argmax(1)
+    b = a + marks.sum(1) - 1 + WINDOW
     context = (b - a).astype(np.uint64) * _FACTORS[0] + (at - a).astype(np.uint64)
     for j in range(6):  # 6 x 32 bytes cover every context
         context = mix(context * _FACTORS[1] + h[np.minimum(a + ANCHOR * j, b - ANCHOR)])
-    return h[at].view(np.int64), context.view(np.int64), np.array(texts_at)[text], at - starts[text]
+    return h[at].view(np.int64), context.view(np.int64), np.array(texts_at)[text], (a - starts[text] << SIZE_BITS) + b - a
 
 
-def _groups(b: pd.DataFrame, limit: int = 1 << 20):
+def _groups(b: pd.DataFrame, limit: int = 1 << 17):  # arrays of this many places stay in the processor's cache
     docs, texts, size = [], [], 0
     for doc, t in zip(b["doc"].tolist(), b["text"]):
         docs.append(doc)
@@ -95,16 +99,16 @@ def _groups(b: pd.DataFrame, limit: int = 1 << 20):
 
 def _count_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for _, texts in _groups(b):
-            anchor, n = np.unique(anchors_of(texts)[0], return_counts=True)
-            yield pd.DataFrame({"anchor": anchor, "n": n})
+        found = [anchors_of(texts)[0] for _, texts in _groups(b)]
+        anchor, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
+        yield pd.DataFrame({"anchor": anchor, "n": n}, dtype="int64")
 
 
 def _list_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for docs, texts in _groups(b):
             anchor, context, no, at = anchors_of(texts)
-            yield pd.DataFrame({"anchor": anchor, "context": context, "doc": np.array(docs, np.int64)[no], "at": at.astype(np.int32)})
+            yield pd.DataFrame({"anchor": anchor, "context": context, "doc": np.array(docs, np.int64)[no], "at": at})
 
 
 def _cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,8 +117,8 @@ def _cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, wanted in zip(b["doc"], b["text"], b["wanted"]):
             data = text.encode("utf-8", "surrogatepass")
             for w in wanted:
-                lo = max(0, w["at"] - REACH)
-                rows.append((w["anchor"], doc, lo, data[lo : w["at"] + WINDOW]))
+                lo = w["at"] >> SIZE_BITS
+                rows.append((w["anchor"], doc, lo, data[lo : lo + w["at"] % (1 << SIZE_BITS)]))
         yield pd.DataFrame(rows, columns=["anchor", "doc", "lo", "bytes"]).astype({"anchor": "int64", "doc": "int64", "lo": "int32"})
 
 
@@ -141,22 +145,24 @@ def shard_repeats(group: pd.DataFrame) -> pd.DataFrame:
     order = suffix_array(text)
     lcp = common_prefixes(text, order, ends - sizes, ends, WINDOW)
     classes = window_classes(order, lcp, WINDOW)
-    room = np.repeat(ends, sizes) - np.arange(len(text)) >= WINDOW
-    at = np.flatnonzero(room)
+    # In the order of suffixes the windows of a class stand together; places are compared by one number, (doc, start).
+    at = order[(np.repeat(ends, sizes) - np.arange(len(text)) >= WINDOW)[order]]
     own = np.repeat(np.arange(len(parts)), sizes)[at]
     doc = group["doc"].to_numpy()[own]
     start = group["lo"].to_numpy().astype(np.int64)[own] + at - (ends - sizes)[own]
-    by = np.lexsort((start, doc, classes[at]))
-    kind, doc, start, at = classes[at][by], doc[by], start[by], at[by]
-    new = np.ones(len(kind), bool)
-    new[1:] = kind[1:] != kind[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (doc != doc[first]) | (start != start[first])
+    docs, number = np.unique(group["doc"].to_numpy(), return_inverse=True)
+    place = (number[own] << 32) + start
+    new = np.ones(len(at), bool)
+    new[1:] = np.diff(classes[at]) != 0
+    heads = np.flatnonzero(new)
+    first = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(at)))) if len(at) else place
+    later = place != first
     found = _runs(doc[later], start[later])
     if not group["split"].iloc[0]:
         return found
-    data = text.tobytes()
-    runs = pd.DataFrame({"doc": doc[new], "lo": start[new].astype(np.int32), "hi": -1, "anchor": group["anchor"].iloc[0], "gram": [data[i : i + WINDOW] for i in at[new].tolist()]})
+    data, least = text.tobytes(), first[heads]
+    runs = {"doc": docs[least >> 32], "lo": (least & 0xFFFFFFFF).astype(np.int32), "hi": -1, "anchor": group["anchor"].iloc[0], "gram": [data[i : i + WINDOW] for i in at[heads].tolist()]}
+    runs = pd.DataFrame(runs)
     return pd.concat([found, runs])
 
 
@@ -204,7 +210,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     contexts = scratch.save(contexts, "contexts")
     firsts = contexts.where("n > 1").select("anchor", "context", "first")
     later = listed.join(firsts, ["anchor", "context"]).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    copies = scratch.save(later.select("doc", (F.col("at") - REACH).alias("lo"), (F.col("at") + WINDOW).alias("hi")), "copies")
+    lo = F.shiftright("at", SIZE_BITS)
+    copies = scratch.save(later.select("doc", lo.cast("int").alias("lo"), (lo + F.col("at") % (1 << SIZE_BITS)).cast("int").alias("hi")), "copies")
     scratch.drop("listed")
     several = scratch.save(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
     total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -12,36 +12,30 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     the rank of the suffix that starts as far behind as the order already reaches, which doubles each time.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    key = leading_words(text, 0)
+    order = np.argsort(key)
     s = key[order]
     new = np.ones(n, bool)
     new[1:] = s[1:] != s[:-1]
-    # A suffix shorter than the key is padded by zeros; what ties with it then is longer and ranks behind it in the next step.
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group is known by its first place in the order
     rank = np.empty(n, np.int64)
     rank[order] = group
     reach = 8
     while True:
-        sizes_end = np.append(np.flatnonzero(new)[1:], n)
-        first = np.flatnonzero(new)
-        unsorted = np.repeat(sizes_end - first > 1, sizes_end - first)
-        places = np.flatnonzero(unsorted)
+        places = np.flatnonzero(~(new & np.append(new[1:], True)))  # of groups of more than one suffix
         if not len(places):
             return order
         suffixes = order[places]
         behind = suffixes + reach
-        second = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        # Of suffixes that end within reach, which are equal so far, the shorter goes first.
+        second = np.where(behind < n, rank[np.minimum(behind, n - 1)] + reach + 1, n - suffixes)
         head = group[places]
-        sub = np.lexsort((second, head))
+        both = head * (n + reach + 2) + second
+        sub = np.argsort(both)
         order[places] = suffixes[sub]
-        head, second = head[sub], second[sub]
+        both = both[sub]
         fresh = np.ones(len(places), bool)
-        fresh[1:] = (head[1:] != head[:-1]) | (second[1:] != second[:-1])
+        fresh[1:] = both[1:] != both[:-1]
         new[places] = fresh
         group[places] = np.maximum.accumulate(np.where(fresh, places, 0))
         rank[order[places]] = group[places]
@@ -58,8 +52,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     lcp = np.zeros(n, np.int64)
-    words = np.zeros(n + most + 8, np.uint8)
-    words[:n] = text
+    words = leading_words(text, most + 8)  # eight bytes at a time
+    bytes_equal = [np.uint64(1) << np.uint64(8 * k) for k in range(1, 8)]
     length = np.zeros(len(starts), np.int64)
     for step in range(int((ends - starts).max(initial=0))):
         lanes = np.flatnonzero(starts + step < ends)
@@ -69,16 +63,25 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
         h = np.where(at > 0, np.maximum(length[lanes] - 1, 0), 0)
         active = np.flatnonzero((at > 0) & (h < most))
         while len(active):
-            a, b = i[active] + h[active], j[active] + h[active]
-            same = (words[a] == words[b]) & (a < n) & (b < n)
-            active = active[same]
-            h[active] += 1
-            active = active[h[active] < most]
+            differ = words[i[active] + h[active]] ^ words[j[active] + h[active]]
+            for limit in bytes_equal:
+                h[active] += differ < limit
+            whole = differ == 0
+            h[active] += whole
+            active = active[whole & (h[active] < most)]
+        h = np.minimum(np.minimum(h, most), n - np.maximum(i, j))
         length[lanes] = h
         lcp[at] = h
     return lcp
 
 
+def leading_words(text: np.ndarray, pad: int = 8) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian number; pad: places beyond the end that are wanted, too."""
+    padded = np.zeros(len(text) + pad + 8, np.uint8)
+    padded[: len(text)] = text
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text) + pad].copy().view(">u8").ravel().astype(np.uint64)
+
+
 def window_classes(order: np.ndarray, lcp: np.ndarray, window: int) -> np.ndarray:
     """A class number for each place of the text: suffixes in a run of common prefixes of the window's length share one."""
     classes = np.empty(len(order), np.int64)
