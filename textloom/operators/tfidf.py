@@ -51,9 +51,14 @@ def similar_vectors(weights: DataFrame, threshold: float, tables: Tables) -> Dat
     weights = tables.save(weights, "weights")
     rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("ord").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
     # rest: the squared norm of this term and all that are more frequent; below the threshold's square they can be left out
-    index = tables.save(weights.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9).select("ord", "term"), "index")
-    a, b = index.toDF("i", "term"), index.toDF("j", "term")
-    pairs = a.join(b, "term").where("i < j").select("i", "j").distinct()
+    least = threshold * threshold - 1e-9
+    ranked = weights.withColumn("rest", rest)
+    out = ranked.groupBy("ord").agg(F.sqrt(F.coalesce(F.max(F.when(F.col("rest") < least, F.col("rest"))), F.lit(0.0))).alias("beyond"))
+    index = tables.save(ranked.where(F.col("rest") >= least).select("ord", "term", "w").join(out, "ord"), "index")
+    # What a pair shares beyond the index is at most the norm beyond it of the one whose index ends first.
+    a, b = index.toDF("i", "term", "wi", "bi"), index.toDF("j", "term", "wj", "bj")
+    sums = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.max(F.greatest("bi", "bj")).alias("beyond"))
+    pairs = sums.where(F.col("dot") + F.col("beyond") >= threshold - 1e-9).select("i", "j")
     vectors = tables.save(weights.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v")), "vectors")
     both = pairs.join(vectors.toDF("i", "vi"), "i").join(vectors.toDF("j", "vj"), "j")
     dot = F.aggregate(F.map_entries("vi"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vj", e["key"]), F.lit(0.0)))
