@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import KEY, Scratch, ascii_lower, hash_words_of, load_documents, mix, row_key, text_or_empty
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 RANGES = 8_192
 MIN_SHARE = 2e-5
 MIN_COUNT = 2
@@ -38,7 +38,7 @@ FOLDS, HELD_OUT = 5, 1
 END = mix(np.array([0xE0D], np.uint64)).view(np.int64)[0]
 
 
-def token_hashes(texts: list[str], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts: list[str], limit: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of each text, its end included, and where each text's tokens end."""
     found, sizes, group, size = [], [], [], 0
 
