@@ -34,35 +34,35 @@ MIN_TOKENS = 4
 MIN_DOCS = 10
 MAX_CHILDREN = 4
 MIN_CONSTANT = 0.6
-WILDCARD = "<*>"
-_DIGIT = re.compile(r"\d")
-_TOKEN = re.compile("[^\x20\x09-\x0d]+")
-LINES_DDL = f"{KEY_DDL}, line int, leaf long, own long, context long, tokens binary"
+WILDCARD = b"<*>"
+_DIGIT = re.compile(rb"[0-9]")
+LINES_DDL = f"{KEY_DDL}, line int, leaf long, own long, context long, new_leaf boolean, tokens binary"
 
 
-def _hash(parts: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _hash(parts: list[bytes]) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\x1f".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def masked_tokens(line: str) -> list[str]:
-    tokens = _TOKEN.findall(line)
+def masked_tokens(line: bytes) -> list[bytes]:
+    """Runs of bytes other than ASCII white space; those with a digit are the wildcard."""
+    tokens = line.split()
     return [WILDCARD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
-def token_codes(tokens: list[str], codes: dict[str, bytes]) -> bytes:
+def token_codes(tokens: list[bytes], codes: dict[bytes, bytes]) -> bytes:
     """Four bytes for each token, by which places of a leaf are compared; zeros: the wildcard."""
-    out = []
-    for t in tokens:
-        if (c := codes.get(t)) is None:
-            c = codes[t] = bytes(4) if t == WILDCARD else (_hash([t]) & 0xFFFFFFFF or 1).to_bytes(4, "little")
-        out.append(c)
-    return b"".join(out)
+    found = list(map(codes.get, tokens))
+    if None in found:
+        for i, t in enumerate(tokens):
+            if found[i] is None:
+                found[i] = codes[t] = bytes(4) if t == WILDCARD else (_hash([t]) & 0xFFFFFFFF or 1).to_bytes(4, "little")
+    return b"".join(found)
 
 
-def parsed(text: str, min_tokens: int, depth: int) -> list[tuple[int, int, int, int, list[str]]]:
+def parsed(text: str, min_tokens: int, depth: int) -> list[tuple[int, int, int, int, list[bytes]]]:
     """(line number, leaf, own template, context, tokens) of the lines that the tree holds."""
     rows = []
-    for no, line in enumerate(text.split("\n")):
+    for no, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         tokens = masked_tokens(line)
         if tokens:
             rows.append((no, tokens, _hash(tokens)))
@@ -71,17 +71,20 @@ def parsed(text: str, min_tokens: int, depth: int) -> list[tuple[int, int, int,
     for no, tokens, own in rows:
         if len(tokens) >= min_tokens:
             context = (least[1] if len(least) > 1 else 0) if own == least[0] else least[0]
-            out.append((no, _hash([str(len(tokens)), *tokens[:depth]]), own, context, tokens))
+            out.append((no, _hash([b"%d" % len(tokens), *tokens[:depth]]), own, context, tokens))
     return out
 
 
 def _parse(min_tokens: int, depth: int):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes: dict[str, bytes] = {}
+        codes: dict[bytes, bytes] = {}
         for b in batches:
             rows = []
             for k_id, k_text, text in zip(b["k_id"], b["k_text"], b["text"]):
-                rows += [(k_id, k_text, no, leaf, own, ctx, tokens) for no, leaf, own, ctx, tokens in parsed(text, min_tokens, depth)]
+                leaves: set[int] = set()
+                for no, leaf, own, ctx, tokens in parsed(text, min_tokens, depth):
+                    rows.append((k_id, k_text, no, leaf, own, ctx, leaf not in leaves, tokens))
+                    leaves.add(leaf)
                 if len(rows) > 20_000:
                     yield _frame(rows, codes)
                     rows = []
@@ -90,15 +93,16 @@ def _parse(min_tokens: int, depth: int):
     return parse
 
 
-def _frame(rows: list, codes: dict[str, bytes]) -> pd.DataFrame:
+def _frame(rows: list, codes: dict[bytes, bytes]) -> pd.DataFrame:
     if len(codes) > 300_000:
         codes.clear()
-    return pd.DataFrame([(*r[:6], token_codes(r[6], codes)) for r in rows], columns=[*KEY, "line", "leaf", "own", "context", "tokens"])
+    return pd.DataFrame([(*r[:7], token_codes(r[7], codes)) for r in rows], columns=[*KEY, "line", "leaf", "own", "context", "new_leaf", "tokens"])
 
 
-def _effective(df: DataFrame, name: str, min_docs: int) -> DataFrame:
-    """Names that recur in at least min_docs documents, also effectively. Distinct (document, name) pairs; counts go first."""
-    docs = df.groupBy(name, "context", *KEY).agg(F.lit(1).alias("one")).groupBy(name, "context").agg(F.count("*").alias("n"))
+def _effective(df: DataFrame, name: str, min_docs: int, distinct: bool = False) -> DataFrame:
+    """Names that recur in at least min_docs documents, also effectively; distinct: a document has a name once. Counts go first."""
+    rows = df.select(name, "context") if distinct else df.groupBy(name, "context", *KEY).agg(F.lit(1).alias("one"))
+    docs = rows.groupBy(name, "context").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     return (
         docs.groupBy(name)
@@ -139,19 +143,20 @@ def recurring_lines(
     scratch = Scratch(docs.sparkSession, "templates")
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     lines = scratch.save(rows.mapInPandas(_parse(min_tokens, depth), LINES_DDL), "lines")
-    leaves = scratch.save(_effective(lines, "leaf", min_docs), "leaves")
-    reached = lines.select("leaf", "tokens").join(leaves.select("leaf"), "leaf")
-    places = reached.mapInPandas(_places, "leaf long, place int, code int").distinct()
+    leaves = scratch.save(_effective(lines.where("new_leaf"), "leaf", min_docs, distinct=True), "leaves")
+    reached = scratch.save(lines.select(*KEY, "line", "context", "own", "leaf", "tokens").join(leaves.select("leaf").hint("merge"), "leaf"), "reached")
+    places = reached.select("leaf", "tokens").mapInPandas(_places, "leaf long, place int, code int").distinct()
     counts = places.where(F.col("code") != 0).groupBy("leaf", "place").agg(F.count("*").alias("n")).where(F.col("n") > max_children)
     variable = scratch.save(counts.groupBy("leaf").agg(F.collect_list("place").alias("variable")), "variable")  # at most a line's tokens
-    own = lines.join(variable, "leaf", "left_anti").select(*KEY, "line", "context", F.col("own").alias("template"))
-    tree = lines.join(variable, "leaf").select(
+    own = lines.join(variable.hint("merge"), "leaf", "left_anti").select(*KEY, "line", "context", F.col("own").alias("template"))
+    tree = reached.join(variable.hint("merge"), "leaf").select(
         *KEY, "line", "context", _template("own", "tokens", "variable", F.lit(float(min_constant))).alias("template")
     )
     named = scratch.save(own.unionByName(tree), "named")
     scratch.drop("lines")
+    scratch.drop("reached")
     recurring = scratch.save(_effective(named, "template", min_docs), "recurring")
-    hits = named.select(*KEY, "line", "template").join(recurring.select("template"), "template")
+    hits = named.select(*KEY, "line", "template").join(recurring.select("template").hint("merge"), "template")
     return hits.groupBy(*KEY).agg(F.collect_set("line").alias("dropped"))
 
 
@@ -164,7 +169,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All documents with their recurring lines dropped, and n_dropped_lines."""
     dropped = Scratch(docs.sparkSession, "templates").save(recurring_lines(docs, id_col, text_col, **options), "dropped")
     keyed = docs.withColumns(dict(zip(KEY, row_key(id_col, text_col))))
-    joined = keyed.join(dropped, KEY, "left").withColumn("n_dropped_lines", F.coalesce(F.size("dropped"), F.lit(0)))
+    joined = keyed.join(dropped.hint("merge"), KEY, "left").withColumn("n_dropped_lines", F.coalesce(F.size("dropped"), F.lit(0)))
     changed = F.when(F.col("n_dropped_lines") > 0, _without(text_or_empty(text_col), F.coalesce("dropped", F.array().cast("array<int>")))).otherwise(F.col(text_col))
     return joined.withColumn(text_col, changed).select(*docs.columns, "n_dropped_lines")
 
