@@ -252,6 +252,18 @@ def test_language_model(spark, tmp_path):
         assert r.base_score == pytest.approx(sum(math.log10(root(w)) for w in x)) and r.score == pytest.approx(score)
 
 
+def test_bigrams_of_rare_words_in_a_large_corpus(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 3000), "h") for i in range(50)]  # 150,000 tokens
+    learnt = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    held = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows += [(i, "zeta eta", "h") for i in (*learnt, held)]
+    starts = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _ in rows)
+    got = {r.doc_id: r for r in lm_scoring.op3_lm_scoring(spark, table(spark, tmp_path, rows)).collect()}
+    arc = lambda n: math.log10((2 - lm_scoring.DISCOUNT) / n)
+    assert got[held].held_out and got[held].score == pytest.approx(arc(starts) + 2 * arc(2))
+
+
 def test_empty_tables(spark, tmp_path):
     d = table(spark, tmp_path, [])
     for q in (lm_scoring.op3_lm_scoring, line_templates.op6_line_dedup, near_duplicates.op8_near_duplicates, repeats.op9_suffix_dedup, quality_rules.op10_quality_rules):

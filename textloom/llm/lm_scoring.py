@@ -1,14 +1,13 @@
 """Operator 3, language-model scoring: a weighted backoff automaton.
 
-Smoothed n-grams become states with failure arcs: the state is the last word, if it is in the model's short list; an arc of a
-kept bigram carries its discounted log-probability; any other word follows the state's failure arc (its backoff weight) to the
-root, whose arcs are the smoothed single words. One left-to-right traversal of a text carries the state and adds up the weights.
+Smoothed n-grams become states with failure arcs: the state is the last word, if it was learnt; an arc of a kept bigram carries
+its discounted log-probability; any other word follows the state's failure arc (its backoff weight) to the root, whose arcs are
+the smoothed single words. One left-to-right traversal of a text carries the state and adds up the weights.
 
 The corpus is counted by *blocks* of documents: each block sends the distinct words it holds with their training counts, every
 word's total comes back to each block that asked, and so a block gets just its own part of a model that may be larger than any
-one machine. Only the short list (words that make up at least ``min_share`` of all training tokens, so at most 1 / min_share
-of them) and its backoff weights go to every task. Bigrams of short-list words are counted in the same way and kept from
-``min_count`` occurrences on.
+one machine. Bigrams of all words are counted in the same way, as pairs of names, and kept from ``min_count`` occurrences on;
+each state's backoff weight is summed up over its arcs and comes back beside the word's total. The driver gets two totals.
 
 Words are named by 64-bit hashes. Two words share one with probability about V^2 / 2^65 (below 1e-6 for five million words).
 
@@ -30,7 +29,8 @@ from .common import KEY, Scratch, ascii_lower, hash_words_of, load_documents, mi
 
 BLOCK_BYTES = 4 << 20
 RANGES = 8_192
-MIN_SHARE = 2e-5
+#: The share of the training tokens that a word needs to be a state: none, every learnt word is one.
+MIN_SHARE = 0
 MIN_COUNT = 2
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
@@ -66,8 +66,8 @@ def token_hashes(texts: list[str], limit: int = 1 << 17) -> tuple[np.ndarray, np
     return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
-class ShortList:
-    """The words that can be states: sorted hashes with their training counts, and each word's number."""
+class States:
+    """The words of a block that were learnt: sorted hashes with their training counts, and each word's number."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
@@ -93,8 +93,8 @@ class ShortList:
 class Automaton:
     """A block's part of the model. root: (hashes, counts) of words, arcs: (bigram numbers, counts), both sorted."""
 
-    def __init__(self, short: ShortList, backoff: np.ndarray, root: tuple, arcs: tuple, n_tokens: int, n_types: int, discount: float = DISCOUNT):
-        self.short, self.backoff, self.root, self.arcs, self.discount = short, backoff, root, arcs, discount
+    def __init__(self, states: States, backoff: np.ndarray, root: tuple, arcs: tuple, n_tokens: int, n_types: int, discount: float = DISCOUNT):
+        self.states, self.backoff, self.root, self.arcs, self.discount = states, backoff, root, arcs, discount
         self.total = n_tokens + 0.5 * (n_types + 1)
 
     @staticmethod
@@ -109,9 +109,9 @@ class Automaton:
         """For each text: known tokens, the root's score (single words), the automaton's score."""
         count = self._count(self.root, tokens)
         root = np.log10((count + 0.5) / self.total)
-        state, pair = self.short.pairs(tokens, ends)
+        state, pair = self.states.pairs(tokens, ends)
         seen = self._count(self.arcs, pair)
-        arc = np.log10(np.maximum(seen - self.discount, 1e-300) / np.maximum(self.short.counts[state] if len(self.short.counts) else 1, 1))
+        arc = np.log10(np.maximum(seen - self.discount, 1e-300) / np.maximum(self.states.counts[state] if len(self.states.counts) else 1, 1))
         fail = np.where(state >= 0, self.backoff[state] if len(self.backoff) else 0.0, 0.0)
         weight = np.where(seen > 0, arc, fail + root)
         starts = np.concatenate(([0], ends[:-1]))
@@ -134,39 +134,51 @@ def _blocks(rows: DataFrame, block_bytes: int) -> Column:
     return block("k_id", "k_text")
 
 
-def _counter(names):
-    """Counts of each block's distinct names in its training texts; names: (tokens, ends) to an array beside the tokens, -1: none."""
+def _names(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, tokens, ends, whether a token is learnt from) of each block's part of a batch."""
+    for b in batches:
+        for block, part in b.groupby("block", sort=False):
+            tokens, ends = token_hashes(part["text"].tolist())
+            yield block, tokens, ends, np.repeat(part["learn"].to_numpy(), np.diff(ends, prepend=0))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for block, part in b.groupby("block", sort=False):
-                tokens, ends = token_hashes(part["text"].tolist())
-                learnt = np.repeat(part["learn"].to_numpy(), np.diff(ends, prepend=0))
-                key, keep = names(tokens, ends)
-                distinct, inverse = np.unique(key[keep], return_inverse=True)
-                n = np.bincount(inverse, learnt[keep], minlength=len(distinct)).astype(np.int64)
-                yield pd.DataFrame({"block": np.int32(block), "key": distinct, "n": n})
 
-    return count
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each block's distinct words, with their counts in its training texts."""
+    for block, tokens, _, learnt in _names(batches):
+        distinct, inverse = np.unique(tokens, return_inverse=True)
+        n = np.bincount(inverse, learnt, minlength=len(distinct)).astype(np.int64)
+        yield pd.DataFrame({"block": np.int32(block), "key": distinct, "n": n})
 
 
-def _totals(counts: DataFrame) -> DataFrame:
+def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each block's distinct bigrams (key, next), with their counts in its training texts."""
+    for block, tokens, ends, learnt in _names(batches):
+        words = np.unique(np.append(tokens, END))
+        pairs, inverse = np.unique(States(words, words).pairs(tokens, ends)[1], return_inverse=True)
+        n = np.bincount(inverse, learnt, minlength=len(pairs)).astype(np.int64)
+        yield pd.DataFrame({"block": np.int32(block), "key": words[pairs // len(words)], "next": words[pairs % len(words)], "n": n})
+
+
+def _totals(counts: DataFrame, *names: str) -> DataFrame:
     """Every name's total beside each block that asked for it. A name has a row per block and task at most."""
-    by = Window.partitionBy("key")
+    by = Window.partitionBy(*names)
     return counts.withColumn("c", F.sum("n").over(by)).withColumn("first", F.row_number().over(by.orderBy("block")) == 1)
 
 
-def _scorer(short: ShortList, backoff: np.ndarray, n_tokens: int, n_types: int, discount: float):
+def _scorer(n_tokens: int, n_types: int, discount: float):
     def score(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        tables = []
-        for kind in (1, 2):
-            t = replies[replies["kind"] == kind].drop_duplicates("key").sort_values("key")
-            tables.append((t["key"].to_numpy(), t["c"].to_numpy()))
         out = pd.DataFrame({"doc_id": pd.array(docs["doc_id"], dtype="Int64"), "held_out": ~docs["learn"]})
-        tokens, ends = token_hashes(docs["text"].tolist())
         if not len(docs):
             return out.assign(n_tokens=0, n_known=0, train_tokens=0, base_score=0.0, score=0.0)
-        known, base, own = Automaton(short, backoff, *tables, n_tokens, n_types, discount).traverse(tokens, ends)
+        words = replies[replies["kind"] == 1].drop_duplicates("key").sort_values("key")
+        root = words["key"].to_numpy(), words["c"].to_numpy()
+        states = States(*root)
+        kept = replies[replies["kind"] == 2]
+        number = states.number(kept["key"].to_numpy()) * max(1, len(words)) + states.number(kept["next"].to_numpy())
+        number, at = np.unique(number, return_index=True)
+        tokens, ends = token_hashes(docs["text"].tolist())
+        automaton = Automaton(states, words["weight"].to_numpy(), root, (number, kept["c"].to_numpy()[at]), n_tokens, n_types, discount)
+        known, base, own = automaton.traverse(tokens, ends)
         return out.assign(n_tokens=np.diff(ends, prepend=0), n_known=known, train_tokens=n_tokens, base_score=base, score=own)
 
     return score
@@ -177,45 +189,31 @@ SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
-    min_share: float = MIN_SHARE, min_count: int = MIN_COUNT, discount: float = DISCOUNT,
+    min_count: int = MIN_COUNT, discount: float = DISCOUNT,
 ) -> DataFrame:
     """Learns from documents outside the held-out fold and scores all."""
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(True))
     rows = rows.select(_blocks(rows, block_bytes).alias("block"), "doc_id", learn.alias("learn"), "text")
     scratch = Scratch(docs.sparkSession, "lm")
-    ddl = "block int, key long, n long"
-    every = lambda tokens, ends: (tokens, np.ones(len(tokens), bool))
-    words = _totals(rows.select("block", "learn", "text").mapInPandas(_counter(every), ddl)).where("c > 0")
+    texts = rows.select("block", "learn", "text")
+    words = _totals(texts.mapInPandas(_count_words, "block int, key long, n long"), "key").where("c > 0")
     words = scratch.save(words.select("block", "key", "c", "first"), "words")
     n_tokens, n_types = words.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # At most 1 / min_share words have such a share of all tokens.
-    listed = words.where(F.col("first") & (F.col("c") >= max(1, min_share * n_tokens))).select("key", "c").collect()
-    short = ShortList(np.array([r.key for r in listed], np.int64), np.array([r.c for r in listed], np.int64))
-
-    def bigrams(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pair = short.pairs(tokens, ends)[1]
-        return pair, pair >= 0
-
-    pairs = _totals(rows.select("block", "learn", "text").mapInPandas(_counter(bigrams), ddl)).where(F.col("c") >= min_count)
-    pairs = scratch.save(pairs.select("block", "key", "c", "first"), "pairs")
+    pairs = _totals(texts.mapInPandas(_count_pairs, "block int, key long, next long, n long"), "key", "next").where(F.col("c") >= min_count)
+    pairs = scratch.save(pairs.select("block", "key", "next", "c", "first"), "pairs")
     # One row per state: sums over its arcs.
-    n = max(1, len(short.hashes))
-    root = (short.counts + 0.5) / (n_tokens + 0.5 * (n_types + 1))
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            key, c = b["key"].to_numpy(), b["c"].to_numpy()
-            state, inverse = np.unique(key // n, return_inverse=True)
-            yield pd.DataFrame({"state": state, "taken": np.bincount(inverse, c - discount), "covered": np.bincount(inverse, root[key % n])})
-
-    states = pairs.where("first").select("key", "c").mapInPandas(sums, "state long, taken double, covered double")
-    found = states.groupBy("state").agg(F.sum("taken").alias("taken"), F.sum("covered").alias("covered")).collect()  # a row per short-list word at most
-    backoff = np.zeros(len(short.hashes))
-    for r in found:
-        backoff[r.state] = np.log10((1 - r.taken / short.counts[r.state]) / (1 - r.covered))
-    replies = words.select("block", "key", "c", F.lit(1).alias("kind")).unionAll(pairs.select("block", "key", "c", F.lit(2).alias("kind")))
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scorer(short, backoff, n_tokens, n_types, discount), SCORES_DDL)
+    distinct = words.where("first")
+    root = distinct.select(F.col("key").alias("next"), ((F.col("c") + 0.5) / (n_tokens + 0.5 * (n_types + 1))).alias("root"))
+    arcs = pairs.where("first").select("key", "next", "c").join(root, "next")
+    sums = arcs.groupBy("key").agg(F.sum(F.col("c") - F.lit(float(discount))).alias("taken"), F.sum("root").alias("covered"))
+    weight = F.log10((1 - F.col("taken") / F.col("c")) / (1 - F.col("covered")))
+    backoff = scratch.save(sums.join(distinct.select("key", "c"), "key").select("key", weight.alias("weight")), "backoff")
+    weighed = words.select("block", "key", "c").join(backoff, "key", "left").select(
+        "block", "key", F.lit(0).cast("long").alias("next"), "c", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(1).alias("kind")
+    )
+    replies = weighed.unionByName(pairs.select("block", "key", "next", "c", F.lit(0.0).alias("weight"), F.lit(2).alias("kind")))
+    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scorer(n_tokens, n_types, discount), SCORES_DDL)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
