@@ -91,6 +91,19 @@ def test_line_templates(spark, tmp_path):
     assert line_templates.op6_line_dedup(spark, d).count() == len(rows)
 
 
+def test_a_block_of_shared_lines_is_dropped(spark, tmp_path):
+    rng = random.Random(13)
+    block = [prose(rng, 9) for _ in range(8)]
+    rows = [(i, "\n".join([*block[:4], *(prose(rng, 30) for _ in range(3)), *block[4:]]), "h") for i in range(30)]
+    words = prose(rng, 150).split(" ")
+    for i in range(20):  # near copies, one word apart
+        w = [*words[: 7 * i], f"edit{i}", *words[7 * i + 1 :]]
+        rows.append((100 + i, "\n".join(" ".join(w[k : k + 30]) for k in range(0, 150, 30)), "h"))
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    got = {r.k_id: sorted(r.dropped) for r in line_templates.recurring_lines(docs).collect()}
+    assert got == {i: [0, 1, 2, 3, 7, 8, 9, 10] for i in range(30)}
+
+
 def jaccard_classes(rows):
     def shingles(t):
         w = (t or "").lower().split()

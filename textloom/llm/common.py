@@ -57,7 +57,7 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, label: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:

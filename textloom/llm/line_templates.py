@@ -6,9 +6,9 @@ fields and become wildcards; a line's template is what remains, provided that at
 constant. Otherwise, and in all other leaves, its template is its own masked text. Templates that recur across documents are
 dropped from all of them.
 
-Recurrence is counted in effective documents: documents are put in classes by the least line hash among their other lines, and
-n documents in classes of sizes c count as n^2 / sum(c^2). Copies of one document so count about once and stay whole for the
-near-duplicate stage, while a line that stands in unrelated documents counts fully.
+Recurrence is counted in near-duplicate classes (operator 8): a template is dropped if documents of ``min_docs`` different
+classes hold it. Copies of one document so count once and stay whole for the near-duplicate stage, while a line that stands in
+unrelated documents counts fully, however many other lines they share.
 
 Defined cases: a null text has no lines and stays null; lines without a token are kept and never counted; lines of fewer than
 ``min_tokens`` tokens are kept; rows of equal id and text get the same decisions; an empty table gives an empty result; only
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import KEY, KEY_DDL, Scratch, load_documents, row_key, text_or_empty
+from .near_duplicates import duplicate_classes
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -36,7 +37,7 @@ MAX_CHILDREN = 4
 MIN_CONSTANT = 0.6
 WILDCARD = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
-LINES_DDL = f"{KEY_DDL}, line int, leaf long, own long, context long, new_leaf boolean, tokens binary"
+LINES_DDL = f"{KEY_DDL}, line int, leaf long, own long, new_leaf boolean, tokens binary"
 
 
 def _hash(parts: list[bytes]) -> int:
@@ -59,19 +60,13 @@ def token_codes(tokens: list[bytes], codes: dict[bytes, bytes]) -> bytes:
     return b"".join(found)
 
 
-def parsed(text: str, min_tokens: int, depth: int) -> list[tuple[int, int, int, int, list[bytes]]]:
-    """(line number, leaf, own template, context, tokens) of the lines that the tree holds."""
-    rows = []
+def parsed(text: str, min_tokens: int, depth: int) -> list[tuple[int, int, int, list[bytes]]]:
+    """(line number, leaf, own template, tokens) of the lines that the tree holds."""
+    out = []
     for no, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         tokens = masked_tokens(line)
-        if tokens:
-            rows.append((no, tokens, _hash(tokens)))
-    least = sorted({h for *_, h in rows})[:2]
-    out = []
-    for no, tokens, own in rows:
         if len(tokens) >= min_tokens:
-            context = (least[1] if len(least) > 1 else 0) if own == least[0] else least[0]
-            out.append((no, _hash([b"%d" % len(tokens), *tokens[:depth]]), own, context, tokens))
+            out.append((no, _hash([b"%d" % len(tokens), *tokens[:depth]]), _hash(tokens), tokens))
     return out
 
 
@@ -82,8 +77,8 @@ def _parse(min_tokens: int, depth: int):
             rows = []
             for k_id, k_text, text in zip(b["k_id"], b["k_text"], b["text"]):
                 leaves: set[int] = set()
-                for no, leaf, own, ctx, tokens in parsed(text, min_tokens, depth):
-                    rows.append((k_id, k_text, no, leaf, own, ctx, leaf not in leaves, tokens))
+                for no, leaf, own, tokens in parsed(text, min_tokens, depth):
+                    rows.append((k_id, k_text, no, leaf, own, leaf not in leaves, tokens))
                     leaves.add(leaf)
                 if len(rows) > 20_000:
                     yield _frame(rows, codes)
@@ -96,20 +91,24 @@ def _parse(min_tokens: int, depth: int):
 def _frame(rows: list, codes: dict[bytes, bytes]) -> pd.DataFrame:
     if len(codes) > 300_000:
         codes.clear()
-    return pd.DataFrame([(*r[:7], token_codes(r[7], codes)) for r in rows], columns=[*KEY, "line", "leaf", "own", "context", "new_leaf", "tokens"])
-
-
-def _effective(df: DataFrame, name: str, min_docs: int, distinct: bool = False) -> DataFrame:
-    """Names that recur in at least min_docs documents, also effectively; distinct: a document has a name once. Counts go first."""
-    rows = df.select(name, "context") if distinct else df.groupBy(name, "context", *KEY).agg(F.lit(1).alias("one"))
-    docs = rows.groupBy(name, "context").agg(F.count("*").alias("n"))
-    n = F.col("n").cast("double")
-    return (
-        docs.groupBy(name)
-        .agg(F.sum("n").alias("docs"), F.sum(n * n).alias("squares"))
-        .where((F.col("docs") >= min_docs) & (F.col("docs").cast("double") * F.col("docs") >= min_docs * F.col("squares")))
-        .select(name, "docs")
-    )
+    return pd.DataFrame([(*r[:6], token_codes(r[6], codes)) for r in rows], columns=[*KEY, "line", "leaf", "own", "new_leaf", "tokens"])
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(key, class) of each document; classes are named by 64-bit hashes."""
+    near = Scratch(docs.sparkSession, "near")
+    classes, _ = duplicate_classes(docs, id_col, text_col, scratch=near)
+    out = scratch.save(classes.select(*KEY, F.xxhash64("class_id", "class_text").alias("class")).distinct(), "classes")
+    near.drop("")
+    return out
+
+
+def _recurring(named: DataFrame, classes: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
+    """Templates that documents of min_docs different classes hold. Only those of as many documents are joined with the classes."""
+    rows = named.select("template", *KEY).distinct()
+    often = scratch.save(rows.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template"), "often")
+    held = rows.join(often.hint("merge"), "template").join(classes.hint("merge"), KEY).select("template", "class").distinct()
+    return held.groupBy("template").agg(F.count("*").alias("n_classes")).where(F.col("n_classes") >= min_docs)
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,21 +140,24 @@ def recurring_lines(
 ) -> DataFrame:
     """A row per document that loses lines: key, dropped (the line numbers)."""
     scratch = Scratch(docs.sparkSession, "templates")
+    classes = _classes(docs, id_col, text_col, scratch)
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     lines = scratch.save(rows.mapInPandas(_parse(min_tokens, depth), LINES_DDL), "lines")
-    leaves = scratch.save(_effective(lines.where("new_leaf"), "leaf", min_docs, distinct=True), "leaves")
-    reached = scratch.save(lines.select(*KEY, "line", "context", "own", "leaf", "tokens").join(leaves.select("leaf").hint("merge"), "leaf"), "reached")
+    # A template lies in one leaf, so a leaf of fewer documents holds none that recurs.
+    leaves = lines.where("new_leaf").groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    leaves = scratch.save(leaves, "leaves")
+    reached = scratch.save(lines.select(*KEY, "line", "own", "leaf", "tokens").join(leaves.select("leaf").hint("merge"), "leaf"), "reached")
     places = reached.select("leaf", "tokens").mapInPandas(_places, "leaf long, place int, code int").distinct()
     counts = places.where(F.col("code") != 0).groupBy("leaf", "place").agg(F.count("*").alias("n")).where(F.col("n") > max_children)
     variable = scratch.save(counts.groupBy("leaf").agg(F.collect_list("place").alias("variable")), "variable")  # at most a line's tokens
-    own = lines.join(variable.hint("merge"), "leaf", "left_anti").select(*KEY, "line", "context", F.col("own").alias("template"))
+    own = lines.join(variable.hint("merge"), "leaf", "left_anti").select(*KEY, "line", F.col("own").alias("template"))
     tree = reached.join(variable.hint("merge"), "leaf").select(
-        *KEY, "line", "context", _template("own", "tokens", "variable", F.lit(float(min_constant))).alias("template")
+        *KEY, "line", _template("own", "tokens", "variable", F.lit(float(min_constant))).alias("template")
     )
     named = scratch.save(own.unionByName(tree), "named")
     scratch.drop("lines")
     scratch.drop("reached")
-    recurring = scratch.save(_effective(named, "template", min_docs), "recurring")
+    recurring = scratch.save(_recurring(named, classes, min_docs, scratch), "recurring")
     hits = named.select(*KEY, "line", "template").join(recurring.select("template").hint("merge"), "template")
     return hits.groupBy(*KEY).agg(F.collect_set("line").alias("dropped"))
 
