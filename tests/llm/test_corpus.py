@@ -104,6 +104,14 @@ def test_a_block_of_shared_lines_is_dropped(spark, tmp_path):
     assert got == {i: [0, 1, 2, 3, 7, 8, 9, 10] for i in range(30)}
 
 
+def test_short_lines_are_dropped_by_their_exact_tokens(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(i, "\n".join(["All rights reserved.", prose(rng, 40), f"Page {i}", "首页导航栏", "", str(i)]), "h") for i in range(12)]
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    got = {r.k_id: sorted(r.dropped) for r in line_templates.recurring_lines(docs).collect()}
+    assert got == {i: [0, 3] for i in range(12)}
+
+
 def jaccard_classes(rows):
     def shingles(t):
         w = (t or "").lower().split()

@@ -3,15 +3,15 @@
 Each line is a path in the tree: its token count, then its leading tokens (a token with a digit is the wildcard), which leads
 to a leaf. In leaves that enough documents reach, places that hold more than ``max_children`` different tokens are variable
 fields and become wildcards; a line's template is what remains, provided that at least ``min_constant`` of its tokens are
-constant. Otherwise, and in all other leaves, its template is its own masked text. Templates that recur across documents are
+constant. Otherwise, and in all other leaves, its template is its own masked text. A line of fewer than ``min_tokens`` tokens
+has too few of them to generalise: its template is its exact tokens, digits included. Templates that recur across documents are
 dropped from all of them.
 
 Recurrence is counted in near-duplicate classes (operator 8): a template is dropped if documents of ``min_docs`` different
 classes hold it. Copies of one document so count once and stay whole for the near-duplicate stage, while a line that stands in
 unrelated documents counts fully, however many other lines they share.
 
-Defined cases: a null text has no lines and stays null; lines without a token are kept and never counted; lines of fewer than
-``min_tokens`` tokens are kept; rows of equal id and text get the same decisions; an empty table gives an empty result; only
+Defined cases: a null text has no lines and stays null; lines without a token are kept and never counted; rows of equal id and text get the same decisions; an empty table gives an empty result; only
 the id and text columns are read, the others are handed through.
 """
 
@@ -61,12 +61,15 @@ def token_codes(tokens: list[bytes], codes: dict[bytes, bytes]) -> bytes:
 
 
 def parsed(text: str, min_tokens: int, depth: int) -> list[tuple[int, int, int, list[bytes]]]:
-    """(line number, leaf, own template, tokens) of the lines that the tree holds."""
+    """(line number, leaf, own template, tokens) of the lines with tokens; a short line is a leaf of its own, without places."""
     out = []
     for no, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         tokens = masked_tokens(line)
         if len(tokens) >= min_tokens:
             out.append((no, _hash([b"%d" % len(tokens), *tokens[:depth]]), _hash(tokens), tokens))
+        elif tokens:
+            exact = _hash([b"exact", *line.split()])
+            out.append((no, exact, exact, []))
     return out
 
 
