@@ -79,6 +79,15 @@ def test_wording_differences():
     assert L.scan_block("the licence of prose, or a license plate")["license"] is None
 
 
+def test_every_confirmed_licence_whatever_its_gain():
+    prose = "We walked along the river without any warranties or conditions and met a few friends near the old mill. " * 5
+    got = L.scan_block(prose + "All rights reserved. " + prose)
+    assert (got["license"], got["exact"]) == ("all-rights-reserved", True)
+    got = L.scan_block(" and ".join(L.TEMPLATES.values()))
+    assert sorted(x["license"] for x in got["licenses"]) == sorted(L.TEMPLATES) and all(x["exact"] for x in got["licenses"])
+    assert [x["license"] for x in L.scan_block("All rights reserved. " * 2 + L.TEMPLATES["gpl-3.0"])["licenses"]].count("gpl-2.0") == 0
+
+
 def test_alignment_is_the_least_edit_count():
     import random
 

@@ -1,9 +1,10 @@
 """Operator 4, license scans: conditional compression.
 
 Candidate blocks (lines that hold a word of licensing) are compressed with Zstandard, once plainly and once with each template
-as a raw dictionary. A template's gain is the size it saves; the templates are ranked by gain, and the winners are confirmed by
-exact wording differences: the least number of words to insert, delete or replace to turn the template into a part of the block
-(a semi-global alignment), which must stay below ``max_difference`` of the template's words.
+as a raw dictionary. A template's gain is the size it saves. All templates are confirmed by exact wording differences: the least
+number of words to insert, delete or replace to turn the template into a part of the block (a semi-global alignment), which must
+not exceed ``max_difference`` of the template's words. Of confirmed parts that overlap, the one with the most of its template's
+words counts; all that remain are given back, ordered by gain. A template of which the block lacks too many words is not aligned.
 
 Defined cases: a null or empty text has no blocks and gives a row with none; a block without a confirmed template counts as
 unknown; equal gains rank by template name; every whole block is used, however long; further columns are not read.
@@ -12,6 +13,7 @@ unknown; equal gains rank by template name; every whole block is used, however l
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,10 +54,8 @@ TEMPLATES = {
 #: A line with one of these is a candidate block.
 CANDIDATE = r"(?i)licen[cs]e|copyright|\(c\) |©|all rights reserved|spdx|public domain|creative commons|permission is hereby|redistribution"
 MAX_DIFFERENCE = 0.12
-MIN_GAIN = 8
-RANKED = 3
 
-BLOCKS_DDL = "doc_id long, block_no int, license string, gain int, plain_size int, n_diff int, exact boolean, differences array<string>, ranking array<string>"
+BLOCKS_DDL = "doc_id long, block_no int, place int, license string, gain int, plain_size int, n_diff int, exact boolean, differences array<string>, ranking array<string>"
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -82,14 +82,14 @@ def gains(block: str, names: tuple[str, ...] = tuple(TEMPLATES)) -> tuple[int, l
     return plain, sorted(((plain - len(by[n].compress(data)), n) for n in names), key=lambda x: (-x[0], x[1]))
 
 
-def wording_difference(template: list[str], block: list[str]) -> tuple[int, int, int]:
-    """Least edits that turn the whole template into words [start, end) of the block."""
+def _alignments(template: list[str], block: list[str]) -> Iterator[tuple[int, int, int]]:
+    """For each end in the block: least edits that turn the whole template into words [start, end)."""
     m = len(template)
     ids = {w: i for i, w in enumerate(dict.fromkeys(template))}
     t = np.array([ids[w] for w in template])
     steps = np.arange(m + 1)
     row, came = steps.copy(), np.zeros(m + 1, np.int64)
-    best = (m, 0, 0)
+    yield m, 0, 0
     for j, w in enumerate(block, 1):
         took = np.empty(m + 1, np.int64)
         new = np.empty(m + 1, np.int64)
@@ -100,9 +100,12 @@ def wording_difference(template: list[str], block: list[str]) -> tuple[int, int,
         low = np.minimum.accumulate(new - steps)
         source = np.maximum.accumulate(np.where(new - steps == low, steps, 0))
         row, came = low + steps, took[source]
-        if row[m] < best[0]:
-            best = (int(row[m]), int(came[m]), j)
-    return best
+        yield int(row[m]), int(came[m]), j
+
+
+def wording_difference(template: list[str], block: list[str]) -> tuple[int, int, int]:
+    """Least edits that turn the whole template into words [start, end) of the block."""
+    return min(_alignments(template, block), key=lambda x: x[0])
 
 
 def differences(template: list[str], part: list[str]) -> list[str]:
@@ -116,21 +119,37 @@ def differences(template: list[str], part: list[str]) -> list[str]:
     return out
 
 
-def scan_block(block: str, max_difference: float = MAX_DIFFERENCE, ranked: int = RANKED, min_gain: int = MIN_GAIN) -> dict:
+@lru_cache(maxsize=1)
+def _wordings() -> dict[str, tuple[list[str], Counter]]:
+    return {n: (w := wording(t), Counter(w)) for n, t in TEMPLATES.items()}
+
+
+def confirmed_parts(words: list[str], max_difference: float = MAX_DIFFERENCE) -> list[tuple[str, int, int, int]]:
+    """(template, edits, start, end) of all parts that templates confirm, none overlapping another; the most words first."""
+    held, found = Counter(words), []
+    for name, (template, counts) in _wordings().items():
+        limit = max_difference * len(template)
+        if sum(max(0, n - held[w]) for w, n in counts.items()) <= limit:
+            found += [(len(template) - n, n, name, a, b) for n, a, b in _alignments(template, words) if n <= limit]
+    taken, out = bytearray(len(words)), []
+    for _, n, name, a, b in sorted(found, key=lambda x: (-x[0], *x[1:])):
+        if not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
+            out.append((name, n, a, b))
+    return out
+
+
+def scan_block(block: str, max_difference: float = MAX_DIFFERENCE) -> dict:
+    """The block's confirmed licence of the largest gain; licenses: all of them in that order, as such dicts, one for each part."""
     plain, order = gains(block)
-    words, found = wording(block), None
-    for gain, name in order[:ranked]:
-        if gain < min_gain:
-            break
-        template = wording(TEMPLATES[name])
-        n, a, b = wording_difference(template, words)
-        if n <= max_difference * len(template) and (found is None or (n, -len(template)) < found[0]):
-            found = ((n, -len(template)), name, gain, differences(template, words[a:b]))
-    ranking = [f"{n}:{g}" for g, n in order[:ranked]]
-    if found is None:
-        return {"license": None, "gain": order[0][0], "plain_size": plain, "n_diff": None, "exact": None, "differences": [], "ranking": ranking}
-    (n, _), name, gain, diff = found
-    return {"license": name, "gain": gain, "plain_size": plain, "n_diff": n, "exact": n == 0, "differences": diff, "ranking": ranking}
+    words, gain = wording(block), {n: g for g, n in order}
+    shared = {"plain_size": plain, "ranking": [f"{n}:{g}" for g, n in order]}
+    licenses = [
+        {"license": name, "gain": gain[name], "n_diff": n, "exact": n == 0, "differences": differences(_wordings()[name][0], words[a:b]), **shared}
+        for name, n, a, b in sorted(confirmed_parts(words, max_difference), key=lambda x: (-gain[x[0]], *x))
+    ]
+    none = {"license": None, "gain": order[0][0], "n_diff": None, "exact": None, "differences": [], **shared}
+    return {**(licenses[0] if licenses else none), "licenses": licenses}
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,8 +161,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(memo) > 20_000:
                     memo.clear()
                 memo[block] = scan_block(block)
-            rows.append({"doc_id": doc_id, "block_no": no, **memo[block]})
-        out = pd.DataFrame(rows, columns=["doc_id", "block_no", "license", "gain", "plain_size", "n_diff", "exact", "differences", "ranking"])
+            for place, row in enumerate(memo[block]["licenses"] or [memo[block]]):
+                rows.append({"doc_id": doc_id, "block_no": no, "place": place, **row})
+        out = pd.DataFrame(rows, columns=["doc_id", "block_no", "place", "license", "gain", "plain_size", "n_diff", "exact", "differences", "ranking"])
         yield out.astype({"doc_id": "Int64", "n_diff": "Int32", "exact": "boolean"})
 
 
@@ -155,21 +175,24 @@ def candidate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per candidate block with its confirmed licence, if any."""
+    """A row per confirmed licence of a candidate block, or one without a licence."""
     return candidate_blocks(docs, id_col, text_col).mapInPandas(_scan, BLOCKS_DDL)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: its blocks by document order, and its first confirmed licence of the largest gain."""
+    """A row per document: its blocks by document order, and its first confirmed licence of the largest gain, and all of them."""
     docs = load_documents(spark, sf_dir)
     found = scan_licenses(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_blocks"),
+        F.count_distinct("block_no").alias("n_blocks"),
         F.count("license").alias("n_confirmed"),
-        F.max_by("license", F.when(F.col("license").isNotNull(), F.struct("gain", -F.col("block_no")))).alias("license"),
+        F.max_by("license", F.when(F.col("license").isNotNull(), F.struct("gain", -F.col("block_no"), -F.col("place")))).alias("license"),
         F.max(F.when(F.col("license").isNotNull(), F.col("gain"))).alias("gain"),
         F.min("n_diff").alias("least_diff"),
         F.coalesce(F.sum(F.col("exact").cast("int")), F.lit(0)).alias("n_exact"),
+        F.sort_array(F.collect_set("license")).alias("licenses"),
     )
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     out = every.join(found, every.doc_id.eqNullSafe(found.doc_id), "left").drop(found.doc_id)
-    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_blocks", "n_confirmed", "n_exact")})
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_blocks", "n_confirmed", "n_exact")}).withColumn(
+        "licenses", F.coalesce("licenses", F.array().cast("array<string>"))
+    )
