@@ -88,6 +88,17 @@ def test_every_confirmed_licence_whatever_its_gain():
     assert [x["license"] for x in L.scan_block("All rights reserved. " * 2 + L.TEMPLATES["gpl-3.0"])["licenses"]].count("gpl-2.0") == 0
 
 
+@pytest.mark.parametrize("name", list(L.TEMPLATES))
+def test_wrapped_statements_in_comments(name):
+    import textwrap
+
+    for mark in ("# ", " * ", "// "):
+        lines = textwrap.wrap(L.TEMPLATES[name], 24, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False, break_long_words=False)
+        (_, n, block), = L.passages("\n".join(["import os"] * 200 + lines + ["x = 1"] * 200))
+        assert n >= 1 and [(x["license"], x["exact"]) for x in L.scan_block(block)["licenses"]] == [(name, True)]
+    assert len(L.passages("\n".join([L.TEMPLATES[name], *["w " * 50] * 20, L.TEMPLATES[name]]))) == 2
+
+
 def test_alignment_is_the_least_edit_count():
     import random
 

@@ -1,6 +1,7 @@
 """Operator 4, license scans: conditional compression.
 
-Candidate blocks (lines that hold a word of licensing) are compressed with Zstandard, once plainly and once with each template
+Candidate blocks (lines that hold a word of licensing, with the lines around them that a template could reach, without comment
+marks; those that overlap are one) are compressed with Zstandard, once plainly and once with each template
 as a raw dictionary. A template's gain is the size it saves. All templates are confirmed by exact wording differences: the least
 number of words to insert, delete or replace to turn the template into a part of the block (a semi-global alignment), which must
 not exceed ``max_difference`` of the template's words. Of confirmed parts that overlap, the one with the most of its template's
@@ -13,9 +14,11 @@ unknown; equal gains rank by template name; every whole block is used, however l
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -51,11 +54,15 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "public-domain": "This work is dedicated to the public domain.",
 }
-#: A line with one of these is a candidate block.
-CANDIDATE = r"(?i)licen[cs]e|copyright|\(c\) |©|all rights reserved|spdx|public domain|creative commons|permission is hereby|redistribution"
+#: A line with one of these is a candidate; phrases may be wrapped, with comment marks between their words.
+CANDIDATE = r"(?i)licen[cs]e|copyright|\(c\)\s|©|all rights reserved|spdx|public domain|creative commons|permission is hereby|redistribution".replace(
+    " ", r"[\s*#/;%!>-]+"
+)
+_CANDIDATE = re.compile(CANDIDATE, re.ASCII)
+_MARKS = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|>+|!+|<!--)?\s*|\s*(?:\*+/|-->)\s*$")
 MAX_DIFFERENCE = 0.12
 
-BLOCKS_DDL = "doc_id long, block_no int, place int, license string, gain int, plain_size int, n_diff int, exact boolean, differences array<string>, ranking array<string>"
+BLOCKS_DDL = "doc_id long, block_no int, n_lines int, place int, license string, gain int, plain_size int, n_diff int, exact boolean, differences array<string>, ranking array<string>"
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -156,22 +163,54 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo: dict[str, dict] = {}
     for b in batches:
         rows = []
-        for doc_id, no, block in zip(b["doc_id"], b["block_no"], b["block"]):
+        for doc_id, no, n_lines, block in zip(b["doc_id"], b["block_no"], b["n_lines"], b["block"]):
             if block not in memo:
                 if len(memo) > 20_000:
                     memo.clear()
                 memo[block] = scan_block(block)
             for place, row in enumerate(memo[block]["licenses"] or [memo[block]]):
-                rows.append({"doc_id": doc_id, "block_no": no, "place": place, **row})
-        out = pd.DataFrame(rows, columns=["doc_id", "block_no", "place", "license", "gain", "plain_size", "n_diff", "exact", "differences", "ranking"])
+                rows.append({"doc_id": doc_id, "block_no": no, "n_lines": n_lines, "place": place, **row})
+        out = pd.DataFrame(rows, columns=["doc_id", "block_no", "n_lines", "place", "license", "gain", "plain_size", "n_diff", "exact", "differences", "ranking"])
         yield out.astype({"doc_id": "Int64", "n_diff": "Int32", "exact": "boolean"})
 
 
+def passages(text: str, max_difference: float = MAX_DIFFERENCE) -> list[tuple[int, int, str]]:
+    """(first line, candidate lines, text) of each candidate block: as many words on both sides as the longest template can reach."""
+    reach = int((1 + max_difference) * max(len(w) for w, _ in _wordings().values())) + 1
+    lines = [_MARKS.sub("", x) for x in text.split("\n")]
+    ends = list(accumulate(len(x) + 1 for x in lines))
+    size = lru_cache(maxsize=None)(lambda i: len(wording(lines[i])))
+    spans: list[list[int]] = []
+    last = -1
+    for m in _CANDIDATE.finditer("\n".join(lines)):
+        at, to = bisect_right(ends, m.start()), bisect_right(ends, m.end() - 1)
+        if at == last:
+            continue
+        last, first, n = at, at, 0
+        while first and n < reach:
+            first -= 1
+            n += size(first)
+        n = 0
+        while to + 1 < len(lines) and n < reach:
+            to += 1
+            n += size(to)
+        if spans and first <= spans[-1][1]:
+            spans[-1][1:] = [max(to, spans[-1][1]), spans[-1][2] + 1]
+        else:
+            spans.append([first, to, 1])
+    return [(a, n, "\n".join(lines[a : b + 1])) for a, b, n in spans]
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(i, *p) for i, t in zip(b["doc_id"], b["t"]) for p in passages(t)]
+        yield pd.DataFrame(rows, columns=["doc_id", "block_no", "n_lines", "block"]).astype({"doc_id": "Int64", "block_no": "int32", "n_lines": "int32"})
+
+
 def candidate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block_no, block): the lines that hold a word of licensing, found inside the JVM."""
+    """(doc_id, block_no, n_lines, block) of the texts that hold a word of licensing; those are found inside the JVM."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t")).where(F.col("t").rlike(CANDIDATE))
-    lines = rows.select("doc_id", F.posexplode(F.split("t", "\n")).alias("block_no", "block"))
-    return lines.where(F.col("block").rlike(CANDIDATE))
+    return rows.mapInPandas(_blocks, "doc_id long, block_no int, n_lines int, block string")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,10 +219,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: its blocks by document order, and its first confirmed licence of the largest gain, and all of them."""
+    """A row per document: its lines with a word of licensing (n_blocks), its confirmed parts, and its first confirmed licence of the largest gain, and all of them."""
     docs = load_documents(spark, sf_dir)
     found = scan_licenses(docs).groupBy("doc_id").agg(
-        F.count_distinct("block_no").alias("n_blocks"),
+        F.sum(F.when(F.col("place") == 0, F.col("n_lines"))).alias("n_blocks"),
         F.count("license").alias("n_confirmed"),
         F.max_by("license", F.when(F.col("license").isNotNull(), F.struct("gain", -F.col("block_no"), -F.col("place")))).alias("license"),
         F.max(F.when(F.col("license").isNotNull(), F.col("gain"))).alias("gain"),
