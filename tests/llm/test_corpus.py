@@ -77,6 +77,18 @@ def test_quality_rules(spark, tmp_path):
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and kept.where("doc_id = 300").count() == 2
 
 
+def test_lines_above_the_limit_are_removed(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    rows = [(i, f"{prose(rng, 60)}\nShare page {i} now\n\n{prose(rng, 30)}", "h") for i in range(30)]
+    rows += [(100, f"{prose(rng, 60)}\nShare page 5 now", "other"), (101, prose(rng, 60), None)]
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    expected = {i: t.replace(f"\nShare page {i} now", "") for i, t, _ in rows}
+    assert {i: r.text for i, r in out.items()} == expected and all(r.n_chars == len(r.text) and r.k_id == "x" for r in out.values())
+
+
 def test_line_templates(spark, tmp_path):
     rng = random.Random(4)
     names = [f"name{chr(97 + i)}" for i in range(15)]

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import KEY, KEY_DDL, WHITESPACE, Scratch, load_documents, row_key
 
@@ -44,6 +45,10 @@ def normalise_line(line: str) -> str:
     return _SPACES.sub(" ", _DIGITS.sub("0", line.translate(_FOLD))).strip(WHITESPACE)
 
 
+def line_hash(key: str) -> bytes:
+    return hashlib.md5(key.encode("utf-8", "surrogatepass")).digest()
+
+
 def repeated_words(words: list) -> int:
     """Words inside three-word windows that occur twice or more, their first occurrences included."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -77,7 +82,7 @@ def distinct_lines(text: str) -> list[tuple[bytes, bytes, int]]:
     words: dict[bytes, int] = {}
     for line in text.split("\n"):
         if key := normalise_line(line):
-            h = hashlib.md5(key.encode("utf-8", "surrogatepass")).digest()
+            h = line_hash(key)
             words[h] = words.get(h, 0) + key.count(" ") + 1
     least = sorted(words)[:2]
     other = lambda h: least[h == least[0]] if len(least) > 1 else b""
@@ -118,39 +123,69 @@ def frequent_lines(profiles: DataFrame, max_docs_per_host: int = MAX_DOCS_PER_HO
     )
 
 
-def judge(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    max_docs_per_host: int = MAX_DOCS_PER_HOST,
-    max_removed_percent: int = MAX_REMOVED_PERCENT,
-) -> DataFrame:
-    """One row per document: key, doc_id, the rules' counts, n_removed_words, base_failed, kept."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs_per_host: int, max_removed_percent: int) -> tuple[DataFrame, DataFrame]:
+    """The verdicts that judge() gives, and (key, host, h, words) of each document's lines above the limit."""
     scratch = Scratch(docs.sparkSession, "quality")
     profiles = scratch.save(profile(docs, id_col, text_col, host_col), "profiles")
     above = scratch.save(frequent_lines(profiles, max_docs_per_host), "above")
     lines = profiles.select(*KEY, "host", F.explode("lines").alias("l")).select(*KEY, "host", "l.h", "l.words")
     # An inner join whose sides are both dealt by the join itself: AQE may split the many rows of a very common line.
-    hits = lines.join(above.select("host", "h"), ["host", "h"]).groupBy(*KEY).agg(F.sum("words").alias("removed"), F.count("*").alias("hits"))
+    found = lines.join(above.select("host", "h"), ["host", "h"])
+    hits = found.groupBy(*KEY).agg(F.sum("words").alias("removed"), F.count("*").alias("hits"))
     copies = profiles.groupBy(*KEY).agg(F.count("*").alias("copies"))
     removed = hits.join(copies, KEY).select(*KEY, F.expr("removed div copies").alias("n_removed_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
+    verdicts = (
         profiles.drop("lines")
         .join(removed, KEY, "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (100 * F.col("n_removed_words") <= max_removed_percent * F.col("n_words")))
     )
+    return verdicts, found
+
+
+def judge(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs_per_host: int = MAX_DOCS_PER_HOST,
+    max_removed_percent: int = MAX_REMOVED_PERCENT,
+) -> DataFrame:
+    """One row per document: key, doc_id, the rules' counts, n_removed_words, base_failed, kept."""
+    return _judged(docs, id_col, text_col, host_col, max_docs_per_host, max_removed_percent)[0]
+
 
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    out = []
+    for t, hashes in zip(text, map(set, gone)):
+        out.append("\n".join(x for x in t.split("\n") if not (key := normalise_line(x)) or line_hash(key) not in hashes))
+    return pd.Series(out, dtype=object)
 
-def apply_quality_rules(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with all their columns and whole texts."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    kept = judge(docs, **options).where("kept").select(*KEY).distinct()
-    keyed = docs.withColumns(dict(zip(KEY, row_key(id_col, text_col))))
-    return keyed.join(kept, KEY, "left_semi").select(*docs.columns)
+
+def apply_quality_rules(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs_per_host: int = MAX_DOCS_PER_HOST,
+    max_removed_percent: int = MAX_REMOVED_PERCENT,
+) -> DataFrame:
+    """The documents that are kept, with all their columns, and their texts without the lines above the limit."""
+    scratch = Scratch(docs.sparkSession, "quality-kept")
+    verdicts, found = _judged(docs, id_col, text_col, host_col, max_docs_per_host, max_removed_percent)
+    kept = scratch.save(verdicts.where("kept").select(*KEY, "host").distinct(), "kept")
+    gone = scratch.save(found.groupBy(*KEY, "host").agg(F.collect_set("h").alias("gone")), "gone")  # at most a text's lines
+    names = dict(zip(KEY, row_key(id_col, text_col)), host=F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")
+    keyed = docs.select(own, *[v.alias(k) for k, v in names.items()])
+    joined = keyed.join(kept, [*KEY, "host"], "left_semi").join(gone.hint("merge"), [*KEY, "host"], "left")
+    text = F.coalesce(F.col("own")[text_col], F.lit(""))
+    without = _without(text, F.coalesce("gone", F.array().cast("array<binary>")))
+    changed = F.when(F.col("gone").isNotNull(), without).otherwise(F.col("own")[text_col])
+    return joined.select(*[changed.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
