@@ -253,7 +253,8 @@ def test_suffix_array_and_common_prefixes():
             assert lcp[k] == min(10, next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
 
 
-def test_language_model(spark, tmp_path):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 900, "range_bytes": 700}])
+def test_language_model(spark, tmp_path, sizes):
     rows = corpus()
     rows = [(i, None if t is None else t.replace("wa", "Wa"), s) for i, t, s in rows if i is not None]
     d = table(spark, tmp_path, rows)
@@ -263,26 +264,20 @@ def test_language_model(spark, tmp_path):
     c = Counter(w for x, o in zip(words, out) if not o for w in x)
     total, kinds = sum(c.values()), len(c)
     root = lambda w: (c.get(w, 0) + 0.5) / (total + 0.5 * (kinds + 1))
-    states = {w for w in c if c[w] >= max(1, lm_scoring.MIN_SHARE * total)}
-    arcs = Counter(p for x, o in zip(words, out) if not o for p in zip(["end", *x], x) if p[0] in states and p[1] in states)
-    arcs = {p: n for p, n in arcs.items() if n >= 2}
-    taken, covered = Counter(), Counter()
-    for (a, b), n in arcs.items():
-        taken[a] += n - lm_scoring.DISCOUNT
-        covered[a] += root(b)
-    got = {r.doc_id: r for r in lm_scoring.op3_lm_scoring(spark, d).collect()}
+    arcs = Counter(p for x, o in zip(words, out) if not o for p in zip(["end", *x], x))
+    arcs = {p: n - lm_scoring.DISCOUNT for p, n in arcs.items() if n >= 2}
+    taken = Counter()
+    for (a, _), n in arcs.items():
+        taken[a] += n
+    chance = lambda a, w: arcs.get((a, w), 0) / max(c.get(a, 0), 1) + (1 - taken[a] / max(c.get(a, 0), 1)) * root(w)
+    for a in ["end", *list(c)[:20], "never met"]:  # a state's probabilities, that of any unknown word with them, add up to 1
+        assert sum(chance(a, w) for w in [*c, "never met"]) == pytest.approx(1)
+    got = {r.doc_id: r for r in lm_scoring.score_documents(spark.read.parquet(f"{d}/documents.parquet"), **sizes).collect()}
     for (i, _, _), x, o in zip(rows, words, out):
-        score, state = 0.0, "end"
-        for w in x:
-            if (state, w) in arcs:
-                score += math.log10((arcs[state, w] - lm_scoring.DISCOUNT) / c[state])
-            else:
-                score += math.log10((1 - taken[state] / c[state]) / (1 - covered[state])) if state in states else 0.0
-                score += math.log10(root(w))
-            state = w
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (o, len(x), sum(w in c for w in x), total)
-        assert r.base_score == pytest.approx(sum(math.log10(root(w)) for w in x)) and r.score == pytest.approx(score)
+        assert r.base_score == pytest.approx(sum(math.log10(root(w)) for w in x))
+        assert r.score == pytest.approx(sum(math.log10(chance(a, w)) for a, w in zip(["end", *x], x)))
 
 
 def test_bigrams_of_rare_words_in_a_large_corpus(spark, tmp_path):
@@ -291,10 +286,18 @@ def test_bigrams_of_rare_words_in_a_large_corpus(spark, tmp_path):
     learnt = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
     held = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 5 == 1)
     rows += [(i, "zeta eta", "h") for i in (*learnt, held)]
-    starts = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _ in rows)
     got = {r.doc_id: r for r in lm_scoring.op3_lm_scoring(spark, table(spark, tmp_path, rows)).collect()}
-    arc = lambda n: math.log10((2 - lm_scoring.DISCOUNT) / n)
-    assert got[held].held_out and got[held].score == pytest.approx(arc(starts) + 2 * arc(2))
+    # Two arcs of 1.25 / 2, and more than 1.25 / (documents learnt from) at the start: far above what single words would give.
+    assert got[held].held_out and got[held].score > 2 * math.log10(1.25 / 2) + math.log10(1.25 / 53) and got[held].base_score < -12
+
+
+def test_language_model_with_a_very_long_text_repeated_rows_and_null_ids(spark, tmp_path):
+    rng = random.Random(21)
+    long = prose(rng, 120_000)
+    rows = [(1, long, "h"), (2, "short text", "h"), (2, "short text", "h"), (None, "no id", None), (3, None, "h")]
+    got = lm_scoring.score_documents(spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet"), block_bytes=10_000, range_bytes=50_000).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 120_001), (2, 3), (2, 3), (3, 1)]
+    assert len({r.train_tokens for r in got}) == 1 and len({r.score for r in got if r.doc_id == 2}) == 1
 
 
 def test_empty_tables(spark, tmp_path):

@@ -1,41 +1,49 @@
 """Operator 3, language-model scoring: a weighted backoff automaton.
 
 Smoothed n-grams become states with failure arcs: the state is the last word, if it was learnt; an arc of a kept bigram carries
-its discounted log-probability; any other word follows the state's failure arc (its backoff weight) to the root, whose arcs are
+its smoothed log-probability; any other word follows the state's failure arc (its backoff weight) to the root, whose arcs are
 the smoothed single words. One left-to-right traversal of a text carries the state and adds up the weights.
 
-The corpus is counted by *blocks* of documents: each block sends the distinct words it holds with their training counts, every
-word's total comes back to each block that asked, and so a block gets just its own part of a model that may be larger than any
-one machine. Bigrams of all words are counted in the same way, as pairs of names, and kept from ``min_count`` occurrences on;
-each state's backoff weight is summed up over its arcs and comes back beside the word's total. The driver gets two totals.
+With c(a b) >= ``min_count`` a bigram is kept, and p(b | a) = (c(a b) - discount) / c(a) + g(a) p(b); any other word has
+g(a) p(b). g(a), the backoff weight, is what the kept arcs of a leave of 1, so the probabilities of a state add up to 1.
 
-Words are named by 64-bit hashes. Two words share one with probability about V^2 / 2^65 (below 1e-6 for five million words).
+The corpus is counted by *blocks* of documents and by *ranges* of names, both of bounded size; words and bigrams are named by
+64-bit hashes. A block sends each range one row: the sorted names of the range that it holds, packed, with their counts in its
+training texts. The range adds them up and answers each block in the same order, so a block gets just its part of a model that
+may be larger than any one machine. Each kept bigram has one owner among the blocks; owners send what their bigrams take of the
+states' mass to the ranges, which answer with the sums. A name adds one entry a block to its range, and there are at most
+``MAX_BLOCKS`` blocks, so a very common name does not make a range much larger. The driver gets two totals.
+
+Two words (or bigrams) share a name with probability about V^2 / 2^65 (for five million words, below 1e-6; for a hundred million
+bigrams, about 3e-4).
 
 Defined cases: a null text is an empty text (its end only); a row's part is decided by its id, so rows of equal id are all held
-out or all learnt from, each as a document of its own; an empty table gives an empty result; further columns are not read.
+out or all learnt from, each as a document of its own; a very long text is a block by itself; an empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, Scratch, ascii_lower, hash_words_of, load_documents, mix, row_key, text_or_empty
+from .common import Scratch, ascii_lower, hash_words_of, load_documents, mix, row_key, text_or_empty, total_bytes
 
-BLOCK_BYTES = 4 << 20
-RANGES = 8_192
-#: The share of the training tokens that a word needs to be a state: none, every learnt word is one.
-MIN_SHARE = 0
+BLOCK_BYTES = 6 << 20
+MAX_BLOCKS = 1 << 20
+RANGE_BYTES = 8 << 20
+ID_RANGES = 8_192
 MIN_COUNT = 2
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text, as a word; it is also the state at a text's start.
-END = mix(np.array([0xE0D], np.uint64)).view(np.int64)[0]
+END = mix(np.array([0xE0D], np.uint64))[0]
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def token_hashes(texts: list[str], limit: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +54,10 @@ def token_hashes(texts: list[str], limit: int = 1 << 17) -> tuple[np.ndarray, np
         hashes, ends = hash_words_of(group)
         counts = np.diff(ends, prepend=0)
         stops = ends + np.arange(1, len(group) + 1)
-        out = np.full(len(hashes) + len(group), END, np.int64)
+        out = np.full(len(hashes) + len(group), END, np.uint64)
         inside = np.ones(len(out), bool)
         inside[stops - 1] = False
-        out[inside] = hashes.view(np.int64)
+        out[inside] = hashes
         found.append(out)
         sizes.append(counts + 1)
 
@@ -62,67 +70,49 @@ def token_hashes(texts: list[str], limit: int = 1 << 17) -> tuple[np.ndarray, np
     if group:
         flush()
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
-class States:
-    """The words of a block that were learnt: sorted hashes with their training counts, and each word's number."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+class Block:
+    """The names of a block's texts: sorted distinct words and bigrams, each token's places among them, each bigram's state."""
 
-    def number(self, tokens: np.ndarray) -> np.ndarray:
-        """The word's number, or -1."""
-        if not len(self.hashes):
-            return np.full(len(tokens), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, at, -1)
-
-    def pairs(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the number of the state before it, and the bigram's number; -1 where there is none."""
-        word = self.number(tokens)
-        state = np.empty_like(word)
-        state[1:] = word[:-1]
-        starts = np.concatenate(([0], ends[:-1]))
-        state[starts[starts < len(state)]] = self.number(np.array([END]))[0]
-        return state, np.where((state >= 0) & (word >= 0), state * max(1, len(self.hashes)) + word, -1)
+    def __init__(self, texts: list[str]):
+        tokens, self.ends = token_hashes(texts)
+        self.starts = np.concatenate(([0], self.ends[:-1])).astype(np.int64)
+        # The state at a text's start is the end of a text, so that word is one of the block's in any case.
+        self.words, self.word = np.unique(tokens, return_inverse=True)
+        end = int(np.searchsorted(self.words, END))
+        self.state = np.empty_like(self.word)
+        self.state[1:] = self.word[:-1]
+        self.state[self.starts] = end
+        names = mix(self.words[self.state] * _PAIR + tokens)
+        self.pairs, first, self.pair = np.unique(names, return_index=True, return_inverse=True)
+        self.pair_state = self.state[first]
 
 
 class Automaton:
-    """A block's part of the model. root: (hashes, counts) of words, arcs: (bigram numbers, counts), both sorted."""
+    """A block's part of the model: counts of its words and bigrams (0: not kept), and each word's backoff weight g."""
 
-    def __init__(self, states: States, backoff: np.ndarray, root: tuple, arcs: tuple, n_tokens: int, n_types: int, discount: float = DISCOUNT):
-        self.states, self.backoff, self.root, self.arcs, self.discount = states, backoff, root, arcs, discount
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, backoff: np.ndarray, n_tokens: int, n_types: int, discount: float = DISCOUNT):
+        self.words, self.pairs, self.backoff, self.discount = words, pairs, backoff, discount
         self.total = n_tokens + 0.5 * (n_types + 1)
 
-    @staticmethod
-    def _count(table: tuple, keys: np.ndarray) -> np.ndarray:
-        names, counts = table
-        if not len(names):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, counts[at], 0)
-
-    def traverse(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def traverse(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: known tokens, the root's score (single words), the automaton's score."""
-        count = self._count(self.root, tokens)
-        root = np.log10((count + 0.5) / self.total)
-        state, pair = self.states.pairs(tokens, ends)
-        seen = self._count(self.arcs, pair)
-        arc = np.log10(np.maximum(seen - self.discount, 1e-300) / np.maximum(self.states.counts[state] if len(self.states.counts) else 1, 1))
-        fail = np.where(state >= 0, self.backoff[state] if len(self.backoff) else 0.0, 0.0)
-        weight = np.where(seen > 0, arc, fail + root)
-        starts = np.concatenate(([0], ends[:-1]))
-        return tuple(np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), root, weight))
-
-
-def _blocks(rows: DataFrame, block_bytes: int) -> Column:
+        root = (self.words + 0.5) / self.total
+        at_root, state = root[block.word], block.state
+        seen = self.pairs[block.pair]
+        learnt = np.maximum(self.words[state], 1)
+        weight = np.where(seen > 0, (seen - self.discount) / learnt, 0.0) + self.backoff[state] * at_root
+        parts = (self.words[block.word] > 0).astype(np.int64), np.log10(at_root), np.log10(weight)
+        return tuple(np.add.reduceat(x, block.starts) for x in parts)
+
+
+def _blocks(rows: DataFrame, total: int, block_bytes: int) -> Column:
     """Ranges of ids of about equal numbers of rows, split further by the text's hash where there would be too many of them."""
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    ranges = min(n, RANGES)
+    n = max(1, -(-total // max(block_bytes, total // MAX_BLOCKS)))
+    ranges = min(n, ID_RANGES)
     places = [i / ranges for i in range(1, ranges)]
     cuts = rows.agg(F.percentile_approx("k_id", places, 100 * ranges)).first()[0] if places else []
     edges, parts = np.array(cuts or [], np.int64), -(-n // ranges)
@@ -134,52 +124,116 @@ def _blocks(rows: DataFrame, block_bytes: int) -> Column:
     return block("k_id", "k_text")
 
 
-def _names(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, tokens, ends, whether a token is learnt from) of each block's part of a batch."""
-    for b in batches:
-        for block, part in b.groupby("block", sort=False):
-            tokens, ends = token_hashes(part["text"].tolist())
-            yield block, tokens, ends, np.repeat(part["learn"].to_numpy(), np.diff(ends, prepend=0))
-
-
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each block's distinct words, with their counts in its training texts."""
-    for block, tokens, _, learnt in _names(batches):
-        distinct, inverse = np.unique(tokens, return_inverse=True)
-        n = np.bincount(inverse, learnt, minlength=len(distinct)).astype(np.int64)
-        yield pd.DataFrame({"block": np.int32(block), "key": distinct, "n": n})
-
-
-def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each block's distinct bigrams (key, next), with their counts in its training texts."""
-    for block, tokens, ends, learnt in _names(batches):
-        words = np.unique(np.append(tokens, END))
-        pairs, inverse = np.unique(States(words, words).pairs(tokens, ends)[1], return_inverse=True)
-        n = np.bincount(inverse, learnt, minlength=len(pairs)).astype(np.int64)
-        yield pd.DataFrame({"block": np.int32(block), "key": words[pairs // len(words)], "next": words[pairs % len(words)], "n": n})
-
-
-def _totals(counts: DataFrame, *names: str) -> DataFrame:
-    """Every name's total beside each block that asked for it. A name has a row per block and task at most."""
-    by = Window.partitionBy(*names)
-    return counts.withColumn("c", F.sum("n").over(by)).withColumn("first", F.row_number().over(by.orderBy("block")) == 1)
-
-
-def _scorer(n_tokens: int, n_types: int, discount: float):
-    def score(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"doc_id": pd.array(docs["doc_id"], dtype="Int64"), "held_out": ~docs["learn"]})
-        if not len(docs):
-            return out.assign(n_tokens=0, n_known=0, train_tokens=0, base_score=0.0, score=0.0)
-        words = replies[replies["kind"] == 1].drop_duplicates("key").sort_values("key")
-        root = words["key"].to_numpy(), words["c"].to_numpy()
-        states = States(*root)
-        kept = replies[replies["kind"] == 2]
-        number = states.number(kept["key"].to_numpy()) * max(1, len(words)) + states.number(kept["next"].to_numpy())
-        number, at = np.unique(number, return_index=True)
-        tokens, ends = token_hashes(docs["text"].tolist())
-        automaton = Automaton(states, words["weight"].to_numpy(), root, (number, kept["c"].to_numpy()[at]), n_tokens, n_types, discount)
-        known, base, own = automaton.traverse(tokens, ends)
-        return out.assign(n_tokens=np.diff(ends, prepend=0), n_known=known, train_tokens=n_tokens, base_score=base, score=own)
+def _cuts(names: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of names begins in sorted names, and the end."""
+    edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+    return np.append(np.searchsorted(names, edges), len(names))
+
+
+CELLS_DDL = "block int, range int, words binary, word_counts binary, pairs binary, pair_counts binary"
+
+
+def _count(ranges: int) -> Callable:
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        """The block's names by range, each with its count in the block's training texts."""
+        block = Block(part["text"].tolist())
+        learnt = np.repeat(part["learn"].to_numpy(), np.diff(block.ends, prepend=0))
+        n_words = np.bincount(block.word, learnt, len(block.words)).astype("<u4")
+        n_pairs = np.bincount(block.pair, learnt, len(block.pairs)).astype("<u4")
+        rows = [
+            (block.words[a:b].tobytes(), n_words[a:b].tobytes(), block.pairs[c:d].tobytes(), n_pairs[c:d].tobytes())
+            for (a, b), (c, d) in zip(_steps(_cuts(block.words, ranges)), _steps(_cuts(block.pairs, ranges)))
+        ]
+        out = pd.DataFrame(rows, columns=["words", "word_counts", "pairs", "pair_counts"])
+        out.insert(0, "block", np.int32(part["block"].iloc[0]))
+        out.insert(1, "range", np.arange(ranges, dtype=np.int32))
+        return out[(out["words"].str.len() > 0) | (out["pairs"].str.len() > 0)]
+
+    return count
+
+
+def _steps(edges: np.ndarray) -> list[tuple[int, int]]:
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
+REPLIES_DDL = "block int, range int, words binary, pairs binary, own binary, n_tokens long, n_types long"
+
+
+def _totals(names: list[bytes], counts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names' sums; each entry's place among them; which entry is its name's first; where each block's entries end."""
+    every = np.frombuffer(b"".join(names), "<u8")
+    distinct, first, at = np.unique(every, return_index=True, return_inverse=True)
+    total = np.bincount(at, np.frombuffer(b"".join(counts), kind), len(distinct))
+    own = np.zeros(len(every), bool)
+    own[first] = True
+    return total, at, own, np.cumsum([len(x) // 8 for x in names])
+
+
+def _answer(min_count: int) -> Callable:
+    def answer(cells: pd.DataFrame) -> pd.DataFrame:
+        """For each block its entries' totals, in their order; bigrams that are not kept have 0. own: the kept ones the block owns."""
+        total, at, _, word_ends = _totals(cells["words"].tolist(), cells["word_counts"].tolist(), "<u4")
+        words = total.astype("<i8")[at]
+        pair_total, at, own, pair_ends = _totals(cells["pairs"].tolist(), cells["pair_counts"].tolist(), "<u4")
+        pairs = np.where(pair_total >= min_count, pair_total, 0).astype("<i8")[at]
+        own &= pairs > 0
+        out = cells[["block", "range"]].copy()
+        out["words"] = [x.tobytes() for x in np.split(words, word_ends[:-1])]
+        out["pairs"] = [x.tobytes() for x in np.split(pairs, pair_ends[:-1])]
+        out["own"] = [np.packbits(x).tobytes() for x in np.split(own, pair_ends[:-1])]
+        out["n_tokens"], out["n_types"] = 0, 0
+        out.iloc[0, -2:] = int(total.sum()), int((total > 0).sum())  # of the whole range, once
+        return out
+
+    return answer
+
+
+def _own_part(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's totals of its words and its bigrams, and which bigrams it owns."""
+    replies = replies.sort_values("range")
+    words, pairs = (np.frombuffer(b"".join(replies[c]), "<i8") for c in ("words", "pairs"))
+    own = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(p) // 8) for o, p in zip(replies["own"], replies["pairs"])]
+    return words, pairs, np.concatenate(own).astype(bool)
+
+
+TAKEN_DDL = "block int, range int, words binary, taken binary"
+
+
+def _take(ranges: int, discount: float) -> Callable:
+    def take(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """What the bigrams that the block owns take of their states' mass; a state that was met once has no kept bigram."""
+        block = Block(part["text"].tolist())
+        words, pairs, own = _own_part(replies)
+        taken = np.bincount(block.pair_state[own], pairs[own] - discount, len(words))
+        asked = words > 1
+        names, taken = block.words[asked], taken[asked]
+        rows = [(names[a:b].tobytes(), taken[a:b].tobytes()) for a, b in _steps(_cuts(names, ranges))]
+        out = pd.DataFrame(rows, columns=["words", "taken"])
+        out.insert(0, "block", np.int32(part["block"].iloc[0]))
+        out.insert(1, "range", np.arange(ranges, dtype=np.int32))
+        return out[out["words"].str.len() > 0]
+
+    return take
+
+
+def _sum_taken(cells: pd.DataFrame) -> pd.DataFrame:
+    total, at, _, ends = _totals(cells["words"].tolist(), cells["taken"].tolist(), "<f8")
+    out = cells[["block", "range"]].copy()
+    out["taken"] = [x.tobytes() for x in np.split(total[at], ends[:-1])]
+    return out
+
+
+def _score(n_tokens: int, n_types: int, discount: float) -> Callable:
+    def score(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"doc_id": pd.array(part["doc_id"], dtype="Int64"), "held_out": ~part["learn"]})
+        block = Block(part["text"].tolist())
+        words, pairs, _ = _own_part(replies[replies["taken"].isna()])
+        sums = replies[replies["taken"].notna()].sort_values("range")["taken"]
+        backoff = np.ones(len(words))
+        asked = words > 1
+        backoff[asked] = 1 - np.frombuffer(b"".join(sums), "<f8") / words[asked]
+        known, base, own = Automaton(words, pairs, backoff, n_tokens, n_types, discount).traverse(block)
+        return out.assign(n_tokens=np.diff(block.ends, prepend=0), n_known=known, train_tokens=n_tokens, base_score=base, score=own)
 
     return score
 
@@ -189,31 +243,26 @@ SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
-    min_count: int = MIN_COUNT, discount: float = DISCOUNT,
+    min_count: int = MIN_COUNT, discount: float = DISCOUNT, range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Learns from documents outside the held-out fold and scores all."""
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(True))
-    rows = rows.select(_blocks(rows, block_bytes).alias("block"), "doc_id", learn.alias("learn"), "text")
+    total = total_bytes(docs, text_col)
+    rows = rows.select(_blocks(rows, total, block_bytes).alias("block"), "doc_id", learn.alias("learn"), "text")
+    by_block = rows.groupBy("block")
+    ranges = max(1, -(-total // range_bytes))
     scratch = Scratch(docs.sparkSession, "lm")
-    texts = rows.select("block", "learn", "text")
-    words = _totals(texts.mapInPandas(_count_words, "block int, key long, n long"), "key").where("c > 0")
-    words = scratch.save(words.select("block", "key", "c", "first"), "words")
-    n_tokens, n_types = words.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    pairs = _totals(texts.mapInPandas(_count_pairs, "block int, key long, next long, n long"), "key", "next").where(F.col("c") >= min_count)
-    pairs = scratch.save(pairs.select("block", "key", "next", "c", "first"), "pairs")
-    # One row per state: sums over its arcs.
-    distinct = words.where("first")
-    root = distinct.select(F.col("key").alias("next"), ((F.col("c") + 0.5) / (n_tokens + 0.5 * (n_types + 1))).alias("root"))
-    arcs = pairs.where("first").select("key", "next", "c").join(root, "next")
-    sums = arcs.groupBy("key").agg(F.sum(F.col("c") - F.lit(float(discount))).alias("taken"), F.sum("root").alias("covered"))
-    weight = F.log10((1 - F.col("taken") / F.col("c")) / (1 - F.col("covered")))
-    backoff = scratch.save(sums.join(distinct.select("key", "c"), "key").select("key", weight.alias("weight")), "backoff")
-    weighed = words.select("block", "key", "c").join(backoff, "key", "left").select(
-        "block", "key", F.lit(0).cast("long").alias("next"), "c", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(1).alias("kind")
+    cells = rows.select("block", "learn", "text").groupBy("block").applyInPandas(_count(ranges), CELLS_DDL)
+    replies = scratch.save(cells.groupBy("range").applyInPandas(_answer(min_count), REPLIES_DDL), "replies")
+    n_tokens, n_types = replies.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
+    taken = rows.select("block", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_take(ranges, discount), TAKEN_DDL)
+    sums = scratch.save(taken.groupBy("range").applyInPandas(_sum_taken, "block int, range int, taken binary"), "sums")
+    columns = ["block", "range", "words", "pairs", "own"]
+    answers = replies.select(*columns, F.lit(None).cast("binary").alias("taken")).unionByName(
+        sums.select("block", "range", *[F.lit(None).cast("binary").alias(c) for c in columns[2:]], "taken")
     )
-    replies = weighed.unionByName(pairs.select("block", "key", "next", "c", F.lit(0.0).alias("weight"), F.lit(2).alias("kind")))
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scorer(n_tokens, n_types, discount), SCORES_DDL)
+    return by_block.cogroup(answers.groupBy("block")).applyInPandas(_score(n_tokens, n_types, discount), SCORES_DDL)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
