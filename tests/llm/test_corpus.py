@@ -124,17 +124,19 @@ def test_short_lines_are_dropped_by_their_exact_tokens(spark, tmp_path):
     assert got == {i: [0, 3] for i in range(12)}
 
 
-def jaccard_classes(rows):
-    def shingles(t):
-        w = (t or "").lower().split()
-        k, seen, out = min(5, len(w)), Counter(), set()
-        for i in range(len(w) - k + 1 if w else 0):
-            x = tuple(w[i : i + k])
-            out.add((x, seen[x]))
-            seen[x] += 1
-        return out
-
-    s, parent = [shingles(t) for _, t, _ in rows], list(range(len(rows)))
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def similar_classes(rows):
+    """Classes of texts by the longest common subsequence of their words, all pairs compared."""
+    words, parent = [(t or "").lower().split() for _, t, _ in rows], list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
@@ -142,7 +144,9 @@ def jaccard_classes(rows):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if s[a] and s[b] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]):
+        x, y = words[a], words[b]
+        bag = sum((Counter(x) & Counter(y)).values())
+        if x and y and bag >= 0.8 * (len(x) + len(y) - bag) and (m := common_words(x, y)) >= 0.8 * (len(x) + len(y) - m):
             parent[root(b)] = root(a)
     classes = defaultdict(list)
     for i in range(len(rows)):
@@ -165,7 +169,7 @@ def test_near_duplicates(spark, tmp_path):
     for k, r in enumerate(got):
         empty = r.n_links == 0 and r.class_id in (200, 201)
         classes[r.class_id, k if empty else 0].append(r.doc_id if r.doc_id is not None else -1)
-    assert sorted(map(sorted, classes.values())) == jaccard_classes(rows)
+    assert sorted(map(sorted, classes.values())) == similar_classes(rows)
     kept = near_duplicates.drop_near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet"))
     again = [(1, rows[0][1], "h"), (1, rows[1][1], "h"), (1, rows[1][1], "h"), (2, rows[0][1], "h")]
     same_id = near_duplicates.drop_near_duplicates(spark.read.parquet(table(spark, tmp_path / "again", again) + "/documents.parquet"))
@@ -176,7 +180,7 @@ def test_near_duplicates(spark, tmp_path):
 def test_order_min_hash_depends_on_order():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 60, 400).astype(np.uint64)
-    same = lambda x, y: (near_duplicates.bands_of(x) == near_duplicates.bands_of(y)).mean()
+    same = lambda x, y: (near_duplicates.sketches_of(x) == near_duplicates.sketches_of(y)).mean()
     near = a.copy()
     near[::40] = rng.integers(0, 1 << 60, 10).astype(np.uint64)
     assert same(a, a) == 1 and same(a, near) > 0.5 and same(a, a[::-1].copy()) < 0.3
@@ -184,16 +188,55 @@ def test_order_min_hash_depends_on_order():
 
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(8)
-    for _ in range(200):
-        a, b = rng.sample(range(30), rng.randint(5, 20)), rng.sample(range(30), rng.randint(5, 20))
-        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
-        m = d[-1][-1]
-        t = 0.2
-        got = near_duplicates.alike(np.array(a, np.uint64), np.array(b, np.uint64), t)
-        assert got == (min(len(a), len(b)) >= t * max(len(a), len(b)) and m >= t * (len(a) + len(b) - m))
+    for _ in range(300):
+        words = range(rng.choice([4, 30]))
+        a = [rng.choice(words) for _ in range(rng.randint(5, 40))]
+        b = [x for x in a if rng.random() < 0.9] if rng.random() < 0.5 else [rng.choice(words) for _ in range(rng.randint(5, 40))]
+        for _ in range(rng.randint(0, 3)):
+            b.insert(rng.randint(0, len(b)), rng.choice(words))
+        m = common_words(a, b)
+        assert near_duplicates.banded_matches(a, b, 50) == m
+        for t in (0.3, 0.8):
+            got = near_duplicates.alike(np.array(a, np.uint64), np.array(b, np.uint64), t)
+            assert got == (min(len(a), len(b)) >= t * max(len(a), len(b)) and m >= t * (len(a) + len(b) - m))
+
+
+def test_very_long_texts_are_aligned_in_parts():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 3000, 50_000).astype(np.uint64)
+    b = a.copy()
+    b[rng.random(len(a)) < 0.1] = 5000  # 0.9 / 1.1 = 0.82
+    c = a.copy()
+    c[rng.random(len(a)) < 0.14] = 5000  # 0.86 / 1.14 = 0.75
+    assert near_duplicates.alike(a, b) and not near_duplicates.alike(a, c) and not near_duplicates.alike(a, np.sort(a))
+
+
+def edited(rng, words, share):
+    return [f"e{rng.random()}" if rng.random() < share else w for w in words]
+
+
+def test_recall_by_edit_rate(spark, tmp_path):
+    rng = random.Random(31)
+    rows, rates = [], (0.0, 0.01, 0.02, 0.03, 0.05)
+    for k, rate in enumerate(rates):
+        for i in range(60):
+            text = prose(rng, 300, 399).split(" ")
+            rows += [(10_000 * k + 2 * i, " ".join(text), "h"), (10_000 * k + 2 * i + 1, " ".join(edited(rng, text, rate)), "h")]
+    got = near_duplicates.op8_near_duplicates(spark, table(spark, tmp_path, rows)).collect()
+    assert all(r.class_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in got)  # nothing else is taken for a copy
+    recall = [sum(r.doc_id % 2 and r.class_id == r.doc_id - 1 for r in got if r.doc_id // 10_000 == k) / 60 for k in range(len(rates))]
+    assert recall[:3] == [1, 1, 1] and recall[3] >= 0.95 and recall[4] >= 0.85, recall
+
+
+def test_many_small_components_share_a_passage(spark, tmp_path):
+    rng = random.Random(32)
+    passage = prose(rng, 120, 399).split(" ")
+    rows = []
+    for i in range(80):  # pairs of copies; each pair has 60 words of its own besides the passage
+        own = prose(rng, 60, 399).split(" ")
+        rows += [(2 * i, " ".join(passage + own), "h"), (2 * i + 1, " ".join([*passage, *own[:30], "edit", *own[31:]]), "h")]
+    got = {r.doc_id: r.class_id for r in near_duplicates.op8_near_duplicates(spark, table(spark, tmp_path, rows)).collect()}
+    assert sum(got[i] == i - i % 2 for i in got) >= 0.97 * len(got) and all(got[i] in (i, i - 1) for i in got)
 
 
 def test_components(spark):
