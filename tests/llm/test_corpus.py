@@ -296,7 +296,7 @@ def test_suffix_array_and_common_prefixes():
             assert lcp[k] == min(10, next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 900, "range_bytes": 700}])
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 900, "range_bytes": 700}, {"min_count": 1}])
 def test_language_model(spark, tmp_path, sizes):
     rows = corpus()
     rows = [(i, None if t is None else t.replace("wa", "Wa"), s) for i, t, s in rows if i is not None]
@@ -308,7 +308,7 @@ def test_language_model(spark, tmp_path, sizes):
     total, kinds = sum(c.values()), len(c)
     root = lambda w: (c.get(w, 0) + 0.5) / (total + 0.5 * (kinds + 1))
     arcs = Counter(p for x, o in zip(words, out) if not o for p in zip(["end", *x], x))
-    arcs = {p: n - lm_scoring.DISCOUNT for p, n in arcs.items() if n >= 2}
+    arcs = {p: n - lm_scoring.DISCOUNT for p, n in arcs.items() if n >= sizes.get("min_count", 2)}
     taken = Counter()
     for (a, _), n in arcs.items():
         taken[a] += n

@@ -8,14 +8,13 @@ With c(a b) >= ``min_count`` a bigram is kept, and p(b | a) = (c(a b) - discount
 g(a) p(b). g(a), the backoff weight, is what the kept arcs of a leave of 1, so the probabilities of a state add up to 1.
 
 The corpus is counted by *blocks* of documents and by *ranges* of names, both of bounded size; words and bigrams are named by
-64-bit hashes. A block sends each range one row: the sorted names of the range that it holds, packed, with their counts in its
+hashes, of 64 bits in a block and 48 within a range. A block sends each range one row: the sorted names of the range that it holds, packed, with their counts in its
 training texts. The range adds them up and answers each block in the same order, so a block gets just its part of a model that
 may be larger than any one machine. Each kept bigram has one owner among the blocks; owners send what their bigrams take of the
 states' mass to the ranges, which answer with the sums. A name adds one entry a block to its range, and there are at most
 ``MAX_BLOCKS`` blocks, so a very common name does not make a range much larger. The driver gets two totals.
 
-Two words (or bigrams) share a name with probability about V^2 / 2^65 (for five million words, below 1e-6; for a hundred million
-bigrams, about 3e-4).
+A range has about a million names, so one in 2e8 shares its name with another, whatever the size of the corpus.
 
 Defined cases: a null text is an empty text (its end only); a row's part is decided by its id, so rows of equal id are all held
 out or all learnt from, each as a document of its own; a very long text is a block by itself; an empty table gives an empty
@@ -124,66 +123,88 @@ def _blocks(rows: DataFrame, total: int, block_bytes: int) -> Column:
     return block("k_id", "k_text")
 
 
-def _cuts(names: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range of names begins in sorted names, and the end."""
-    edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
-    return np.append(np.searchsorted(names, edges), len(names))
+NAME = 6  # bytes of a name within its range
+
+
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """Numbers of eight bytes as planes of their ``width`` lowest bytes, which compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _numbers(data: bytes, kind: str = "<u8", width: int = 8) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
+
+
+def _joined(cells: pd.Series, kind: str = "<u8", width: int = 8) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_numbers(c, kind, width) for c in cells)])
+
+
+def _cuts(names: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Where each of the 2^bits ranges begins and ends in sorted names."""
+    edges = np.append(np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)), len(names))
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
+def _within(names: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits below those that tell the range; sorted names stay sorted within a range."""
+    return names << np.uint64(bits) >> np.uint64(16)
 
 
 CELLS_DDL = "block int, range int, words binary, word_counts binary, pairs binary, pair_counts binary"
 
 
-def _count(ranges: int) -> Callable:
+def _cells(part: pd.DataFrame, rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """A row per range that the block has names of."""
+    out = pd.DataFrame(rows, columns=columns)
+    out.insert(0, "block", np.int32(part["block"].iloc[0]))
+    out.insert(1, "range", np.arange(len(rows), dtype=np.int32))
+    return out[out[columns].map(len).any(axis=1)]
+
+
+def _count(bits: int) -> Callable:
     def count(part: pd.DataFrame) -> pd.DataFrame:
         """The block's names by range, each with its count in the block's training texts."""
         block = Block(part["text"].tolist())
         learnt = np.repeat(part["learn"].to_numpy(), np.diff(block.ends, prepend=0))
-        n_words = np.bincount(block.word, learnt, len(block.words)).astype("<u4")
-        n_pairs = np.bincount(block.pair, learnt, len(block.pairs)).astype("<u4")
+        n_words = np.bincount(block.word, learnt, len(block.words)).astype("<u8")
+        n_pairs = np.bincount(block.pair, learnt, len(block.pairs)).astype("<u8")
+        words, pairs = _within(block.words, bits), _within(block.pairs, bits)
         rows = [
-            (block.words[a:b].tobytes(), n_words[a:b].tobytes(), block.pairs[c:d].tobytes(), n_pairs[c:d].tobytes())
-            for (a, b), (c, d) in zip(_steps(_cuts(block.words, ranges)), _steps(_cuts(block.pairs, ranges)))
+            (_planes(words[a:b], NAME), _planes(n_words[a:b], 4), _planes(pairs[c:d], NAME), _planes(n_pairs[c:d], 4))
+            for (a, b), (c, d) in zip(_cuts(block.words, bits), _cuts(block.pairs, bits))
         ]
-        out = pd.DataFrame(rows, columns=["words", "word_counts", "pairs", "pair_counts"])
-        out.insert(0, "block", np.int32(part["block"].iloc[0]))
-        out.insert(1, "range", np.arange(ranges, dtype=np.int32))
-        return out[(out["words"].str.len() > 0) | (out["pairs"].str.len() > 0)]
+        return _cells(part, rows, ["words", "word_counts", "pairs", "pair_counts"])
 
     return count
 
 
-def _steps(edges: np.ndarray) -> list[tuple[int, int]]:
-    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-
-
 REPLIES_DDL = "block int, range int, words binary, pairs binary, own binary, n_tokens long, n_types long"
 
 
-def _totals(names: list[bytes], counts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct names' sums; each entry's place among them; which entry is its name's first; where each block's entries end."""
-    every = np.frombuffer(b"".join(names), "<u8")
-    distinct, first, at = np.unique(every, return_index=True, return_inverse=True)
-    total = np.bincount(at, np.frombuffer(b"".join(counts), kind), len(distinct))
-    own = np.zeros(len(every), bool)
+def _totals(names: pd.Series, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names' sums; each entry's place among them; which entry is its name's first; where blocks' entries part."""
+    distinct, first, at = np.unique(_joined(names, width=NAME), return_index=True, return_inverse=True)
+    own = np.zeros(len(at), bool)
     own[first] = True
-    return total, at, own, np.cumsum([len(x) // 8 for x in names])
+    return np.bincount(at, counts, len(distinct)), at, own, np.cumsum(names.str.len() // NAME)[:-1]
 
 
 def _answer(min_count: int) -> Callable:
     def answer(cells: pd.DataFrame) -> pd.DataFrame:
         """For each block its entries' totals, in their order; bigrams that are not kept have 0. own: the kept ones the block owns."""
-        total, at, _, word_ends = _totals(cells["words"].tolist(), cells["word_counts"].tolist(), "<u4")
+        total, at, _, word_ends = _totals(cells["words"], _joined(cells["word_counts"], width=4))
         words = total.astype("<i8")[at]
-        pair_total, at, own, pair_ends = _totals(cells["pairs"].tolist(), cells["pair_counts"].tolist(), "<u4")
+        pair_total, at, own, pair_ends = _totals(cells["pairs"], _joined(cells["pair_counts"], width=4))
         pairs = np.where(pair_total >= min_count, pair_total, 0).astype("<i8")[at]
         own &= pairs > 0
-        out = cells[["block", "range"]].copy()
-        out["words"] = [x.tobytes() for x in np.split(words, word_ends[:-1])]
-        out["pairs"] = [x.tobytes() for x in np.split(pairs, pair_ends[:-1])]
-        out["own"] = [np.packbits(x).tobytes() for x in np.split(own, pair_ends[:-1])]
-        out["n_tokens"], out["n_types"] = 0, 0
-        out.iloc[0, -2:] = int(total.sum()), int((total > 0).sum())  # of the whole range, once
-        return out
+        first = np.arange(len(cells)) == 0  # the whole range's sums go along once
+        return pd.DataFrame({
+            "block": cells["block"], "range": cells["range"], "words": [_planes(x) for x in np.split(words, word_ends)],
+            "pairs": [_planes(x) for x in np.split(pairs, pair_ends)], "own": [np.packbits(x).tobytes() for x in np.split(own, pair_ends)],
+            "n_tokens": np.where(first, int(total.sum()), 0), "n_types": np.where(first, int((total > 0).sum()), 0),
+        })
 
     return answer
 
@@ -191,47 +212,41 @@ def _answer(min_count: int) -> Callable:
 def _own_part(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's totals of its words and its bigrams, and which bigrams it owns."""
     replies = replies.sort_values("range")
-    words, pairs = (np.frombuffer(b"".join(replies[c]), "<i8") for c in ("words", "pairs"))
     own = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(p) // 8) for o, p in zip(replies["own"], replies["pairs"])]
-    return words, pairs, np.concatenate(own).astype(bool)
+    return _joined(replies["words"], "<i8"), _joined(replies["pairs"], "<i8"), np.concatenate(own).astype(bool)
 
 
 TAKEN_DDL = "block int, range int, words binary, taken binary"
 
 
-def _take(ranges: int, discount: float) -> Callable:
+def _take(bits: int, min_count: int, discount: float) -> Callable:
     def take(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        """What the bigrams that the block owns take of their states' mass; a state that was met once has no kept bigram."""
+        """What the bigrams that the block owns take of their states' mass; a state met less than min_count times has no kept bigram."""
         block = Block(part["text"].tolist())
         words, pairs, own = _own_part(replies)
         taken = np.bincount(block.pair_state[own], pairs[own] - discount, len(words))
-        asked = words > 1
+        asked = words >= min_count
         names, taken = block.words[asked], taken[asked]
-        rows = [(names[a:b].tobytes(), taken[a:b].tobytes()) for a, b in _steps(_cuts(names, ranges))]
-        out = pd.DataFrame(rows, columns=["words", "taken"])
-        out.insert(0, "block", np.int32(part["block"].iloc[0]))
-        out.insert(1, "range", np.arange(ranges, dtype=np.int32))
-        return out[out["words"].str.len() > 0]
+        within = _within(names, bits)
+        return _cells(part, [(_planes(within[a:b], NAME), _planes(taken[a:b])) for a, b in _cuts(names, bits)], ["words", "taken"])
 
     return take
 
 
 def _sum_taken(cells: pd.DataFrame) -> pd.DataFrame:
-    total, at, _, ends = _totals(cells["words"].tolist(), cells["taken"].tolist(), "<f8")
-    out = cells[["block", "range"]].copy()
-    out["taken"] = [x.tobytes() for x in np.split(total[at], ends[:-1])]
-    return out
+    total, at, _, ends = _totals(cells["words"], _joined(cells["taken"], "<f8"))
+    return pd.DataFrame({"block": cells["block"], "range": cells["range"], "taken": [_planes(x) for x in np.split(total[at], ends)]})
 
 
-def _score(n_tokens: int, n_types: int, discount: float) -> Callable:
+def _score(n_tokens: int, n_types: int, min_count: int, discount: float) -> Callable:
     def score(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"doc_id": pd.array(part["doc_id"], dtype="Int64"), "held_out": ~part["learn"]})
         block = Block(part["text"].tolist())
         words, pairs, _ = _own_part(replies[replies["taken"].isna()])
-        sums = replies[replies["taken"].notna()].sort_values("range")["taken"]
         backoff = np.ones(len(words))
-        asked = words > 1
-        backoff[asked] = 1 - np.frombuffer(b"".join(sums), "<f8") / words[asked]
+        sums = _joined(replies[replies["taken"].notna()].sort_values("range")["taken"], "<f8")
+        asked = words >= min_count
+        backoff[asked] = 1 - sums / words[asked]
         known, base, own = Automaton(words, pairs, backoff, n_tokens, n_types, discount).traverse(block)
         return out.assign(n_tokens=np.diff(block.ends, prepend=0), n_known=known, train_tokens=n_tokens, base_score=base, score=own)
 
@@ -251,18 +266,18 @@ def score_documents(
     total = total_bytes(docs, text_col)
     rows = rows.select(_blocks(rows, total, block_bytes).alias("block"), "doc_id", learn.alias("learn"), "text")
     by_block = rows.groupBy("block")
-    ranges = max(1, -(-total // range_bytes))
+    bits = max(0, total // range_bytes).bit_length()
     scratch = Scratch(docs.sparkSession, "lm")
-    cells = rows.select("block", "learn", "text").groupBy("block").applyInPandas(_count(ranges), CELLS_DDL)
+    cells = rows.select("block", "learn", "text").groupBy("block").applyInPandas(_count(bits), CELLS_DDL)
     replies = scratch.save(cells.groupBy("range").applyInPandas(_answer(min_count), REPLIES_DDL), "replies")
     n_tokens, n_types = replies.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
-    taken = rows.select("block", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_take(ranges, discount), TAKEN_DDL)
+    taken = rows.select("block", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_take(bits, min_count, discount), TAKEN_DDL)
     sums = scratch.save(taken.groupBy("range").applyInPandas(_sum_taken, "block int, range int, taken binary"), "sums")
     columns = ["block", "range", "words", "pairs", "own"]
     answers = replies.select(*columns, F.lit(None).cast("binary").alias("taken")).unionByName(
         sums.select("block", "range", *[F.lit(None).cast("binary").alias(c) for c in columns[2:]], "taken")
     )
-    return by_block.cogroup(answers.groupBy("block")).applyInPandas(_score(n_tokens, n_types, discount), SCORES_DDL)
+    return by_block.cogroup(answers.groupBy("block")).applyInPandas(_score(n_tokens, n_types, min_count, discount), SCORES_DDL)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
