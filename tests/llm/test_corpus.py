@@ -112,8 +112,106 @@ def test_a_block_of_shared_lines_is_dropped(spark, tmp_path):
         w = [*words[: 7 * i], f"edit{i}", *words[7 * i + 1 :]]
         rows.append((100 + i, "\n".join(" ".join(w[k : k + 30]) for k in range(0, 150, 30)), "h"))
     docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
-    got = {r.k_id: sorted(r.dropped) for r in line_templates.recurring_lines(docs).collect()}
+    got = {r.k_id: sorted(r.dropped) for r in line_templates.recurring_lines(docs, copies="near").collect()}
     assert got == {i: [0, 1, 2, 3, 7, 8, 9, 10] for i in range(30)}
+    every = {r.k_id: sorted(r.dropped) for r in line_templates.recurring_lines(docs).collect()}
+    assert {i: every[i] for i in range(30)} == got and len(every) == 50
+
+
+def boilerplate(shared, seed, hosts=4, pages=30):
+    """Pages of three lines of their own and some that their host's pages share."""
+    rng = random.Random(seed)
+    rows = []
+    for h in range(hosts):
+        common = [prose(rng, 12) for _ in range(shared)]
+        for i in range(pages):
+            lines = [prose(rng, 12) for _ in range(3)]
+            for c in common:
+                lines.insert(rng.randint(0, len(lines)), c)
+            rows.append((1000 * h + i, "\n".join(lines), f"host{h}"))
+    return rows
+
+
+@pytest.mark.parametrize("shared", [1, 2, 5, 10])
+def test_shared_lines_are_found_however_many_a_page_has(spark, tmp_path, shared):
+    rows = [r for seed in (1, 2) for r in [(i + 100_000 * seed, t, f"{s}-{seed}") for i, t, s in boilerplate(shared, seed)]]
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    held = Counter((s, x) for _, t, s in rows for x in set(t.split("\n")))
+    common = {x for (_, x), n in held.items() if n > 20}
+    for copies in ("text", "near"):
+        got = {r.k_id: sorted(r.dropped) for r in line_templates.recurring_lines(docs, copies=copies).collect()}
+        assert got == {i: [k for k, x in enumerate(t.split("\n")) if x in common] for i, t, _ in rows}
+        verdicts = {r.doc_id: r for r in quality_rules.judge(docs, copies=copies).collect()}
+        assert all(verdicts[i].n_removed_words == 12 * shared and verdicts[i].kept == (len(t.split()) >= 50 and shared < 10) for i, t, _ in rows)
+
+
+def test_near_copies_keep_their_lines(spark, tmp_path):
+    rng = random.Random(17)
+    words = prose(rng, 200).split(" ")
+    rows = []
+    for i in range(40):  # lines of 20 words; two or three words of each copy differ
+        w = list(words)
+        for _ in range(3):
+            w[rng.randrange(200)] = f"edit{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        rows.append((i, "\n".join(" ".join(w[k : k + 20]) for k in range(0, 200, 20)), "h"))
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    assert line_templates.recurring_lines(docs, copies="near").count() == 0 and line_templates.recurring_lines(docs).count() == 40
+    assert {r.n_removed_words for r in quality_rules.judge(docs, copies="near").collect()} == {0}
+    assert all(r.n_removed_words > 60 for r in quality_rules.judge(docs).collect())
+
+
+def brute_templates(rows, depth=3, min_tokens=4, min_docs=10, max_children=4, min_constant=0.6):
+    """Line numbers that go, by document, from dictionaries of tokens."""
+    leaves, holders, lines = defaultdict(lambda: defaultdict(set)), defaultdict(set), []
+    for i, t, _ in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            tokens = line.split()
+            masked = tuple("<*>" if re.search("[0-9]", x) else x for x in tokens)
+            leaf = (len(masked), *masked[:depth]) if len(tokens) >= min_tokens else ("exact", *tokens)
+            if tokens:
+                lines.append((i, t, no, leaf, masked if len(tokens) >= min_tokens else leaf))
+                holders[leaf].add((i, t))
+                for k, x in enumerate(masked if len(tokens) >= min_tokens else ()):
+                    if x != "<*>":
+                        leaves[leaf][k].add(x)
+    named = []
+    for i, t, no, leaf, own in lines:
+        variable = {k for k, xs in leaves[leaf].items() if len(xs) > max_children} if len(holders[leaf]) >= min_docs else set()
+        general = tuple("<*>" if k in variable else x for k, x in enumerate(own))
+        constant = sum(x != "<*>" for x in general)
+        named.append((i, t, no, (leaf, general) if variable and constant >= min_constant * len(own) else (leaf, own)))
+    docs = defaultdict(set)
+    for i, t, _, template in named:
+        docs[template].add(t)
+    out = defaultdict(set)
+    for i, _, no, template in named:
+        if len(docs[template]) >= min_docs:
+            out[i].add(no)
+    return {i: sorted(x) for i, x in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_templates_against_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    forms = ["Posted by {} on day {} of the month in {}", "Read more", "Page {} of {}", "The {} of {} was {} when {} came to {}", "首页 导航 é {}", "All rights reserved {} by {} and {}"]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 8)):
+            form = rng.choice(forms) if rng.random() < 0.6 else prose(rng, rng.randint(1, 9), 6)
+            lines.append(re.sub(r"\{\}", lambda _: rng.choice([f"n{rng.randint(0, 9)}", rng.choice("abc"), rng.choice("abcdefghij")]), form))
+        rows.append((i, "\n".join(rng.choice(["", " ", "\t"]) + x for x in lines), "h"))
+    rows += [(200, None, None), (201, "", "h"), (202, "\n\n \n", "h"), (203, "long line " * 40_000, "h"), (150, rows[3][1], "h"), (3, rows[3][1], "h")]
+    d = table(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    expected = brute_templates(rows)
+    assert len(expected) > 50
+    assert {r.k_id: sorted(r.dropped) for r in line_templates.recurring_lines(docs).collect()} == expected
+    kept = {i: "\n".join(x for no, x in enumerate((t or "").split("\n")) if no not in expected.get(i, ())) for i, t, _ in rows}
+    got = line_templates.op6_line_dedup(spark, d).collect()
+    assert sorted((r.doc_id, r.n_dropped_lines, r.kept_bytes, r.kept_sha256) for r in got) == sorted(
+        (i, len(expected.get(i, ())), len(kept[i].encode()), hashlib.sha256(kept[i].encode()).hexdigest()) for i, _, _ in rows
+    )
 
 
 def test_short_lines_are_dropped_by_their_exact_tokens(spark, tmp_path):

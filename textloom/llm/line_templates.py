@@ -3,22 +3,23 @@
 Each line is a path in the tree: its token count, then its leading tokens (a token with a digit is the wildcard), which leads
 to a leaf. In leaves that enough documents reach, places that hold more than ``max_children`` different tokens are variable
 fields and become wildcards; a line's template is what remains, provided that at least ``min_constant`` of its tokens are
-constant. Otherwise, and in all other leaves, its template is its own masked text. A line of fewer than ``min_tokens`` tokens
-has too few of them to generalise: its template is its exact tokens, digits included. Templates that recur across documents are
-dropped from all of them.
+constant. Otherwise its template is its own masked text. A line of fewer than ``min_tokens`` tokens has too few of them to
+generalise: its template is its exact tokens, digits included. Templates that ``min_docs`` documents hold are dropped from all.
 
-Recurrence is counted in near-duplicate classes (operator 8): a template is dropped if documents of ``min_docs`` different
-classes hold it. Copies of one document so count once and stay whole for the near-duplicate stage, while a line that stands in
-unrelated documents counts fully, however many other lines they share.
+Documents of equal text count as one. With ``copies="near"`` near-duplicates (operator 8) do, too, so that a group of near
+copies keeps its text for a later stage: of documents that hold a recurring template, those with at least ``SUSPECT`` of their
+bytes in such lines are put in near-duplicate classes, and a template must then occur in ``min_docs`` classes. (A document with
+less of that loses less than that.)
 
-Defined cases: a null text has no lines and stays null; lines without a token are kept and never counted; rows of equal id and text get the same decisions; an empty table gives an empty result; only
-the id and text columns are read, the others are handed through.
+Tokens are compared by 64-bit hashes, in a leaf's places by 32 bits of them.
+
+Defined cases: a null text has no lines and stays null; lines without a token are kept and never counted; rows of equal id and
+text get the same decisions, those of a null id as well; whole texts count, however long; an empty table gives an empty result;
+only the id and text columns are read, the others are handed through.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, KEY_DDL, Scratch, load_documents, row_key, text_or_empty
+from .common import KEY, KEY_DDL, Scratch, hash_words, load_documents, mix, row_key, text_or_empty
 from .near_duplicates import duplicate_classes
 
 DEPTH = 3
@@ -35,85 +36,76 @@ MIN_TOKENS = 4
 MIN_DOCS = 10
 MAX_CHILDREN = 4
 MIN_CONSTANT = 0.6
-WILDCARD = b"<*>"
-_DIGIT = re.compile(rb"[0-9]")
-LINES_DDL = f"{KEY_DDL}, line int, leaf long, own long, new_leaf boolean, tokens binary"
-
-
-def _hash(parts: list[bytes]) -> int:
-    return int.from_bytes(hashlib.blake2b(b"\x1f".join(parts), digest_size=8).digest(), "little", signed=True)
-
-
-def masked_tokens(line: bytes) -> list[bytes]:
-    """Runs of bytes other than ASCII white space; those with a digit are the wildcard."""
-    tokens = line.split()
-    return [WILDCARD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
-
-
-def token_codes(tokens: list[bytes], codes: dict[bytes, bytes]) -> bytes:
-    """Four bytes for each token, by which places of a leaf are compared; zeros: the wildcard."""
-    found = list(map(codes.get, tokens))
-    if None in found:
-        for i, t in enumerate(tokens):
-            if found[i] is None:
-                found[i] = codes[t] = bytes(4) if t == WILDCARD else (_hash([t]) & 0xFFFFFFFF or 1).to_bytes(4, "little")
-    return b"".join(found)
-
-
-def parsed(text: str, min_tokens: int, depth: int) -> list[tuple[int, int, int, list[bytes]]]:
-    """(line number, leaf, own template, tokens) of the lines with tokens; a short line is a leaf of its own, without places."""
-    out = []
-    for no, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-        tokens = masked_tokens(line)
-        if len(tokens) >= min_tokens:
-            out.append((no, _hash([b"%d" % len(tokens), *tokens[:depth]]), _hash(tokens), tokens))
-        elif tokens:
-            exact = _hash([b"exact", *line.split()])
-            out.append((no, exact, exact, []))
-    return out
+SUSPECT = 0.3
+#: Tokens with a digit are this one.
+WILDCARD = np.uint64(0)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_IS_DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
+LINES_DDL = f"{KEY_DDL}, line int, size int, leaf long, own long, new_leaf boolean, tokens binary"
+
+
+def _line_hashes(tokens: np.ndarray, place: np.ndarray, heads: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each line's tokens in order."""
+    return mix(np.add.reduceat(mix(tokens + (place + salt).astype(np.uint64) * _STEP), heads) ^ counts.astype(np.uint64))
+
+
+def parsed(texts: list[bytes], min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> pd.DataFrame:
+    """doc (number), line, size, leaf, own template, tokens (four bytes each) of the lines with tokens.
+
+    A short line is a leaf of its own, without places. Tokens are runs of bytes other than ASCII white space.
+    """
+    data = b"\n".join(texts)
+    buf = np.frombuffer(data, np.uint8)
+    starts, exact = hash_words(data)
+    if not len(starts):
+        return pd.DataFrame({"doc": [], "line": [], "size": [], "leaf": [], "own": [], "tokens": []})
+    breaks = np.flatnonzero(buf == 10)
+    line = np.searchsorted(breaks, starts)
+    digits = np.concatenate(([0], np.cumsum(_IS_DIGIT[buf])))
+    tokens = np.where(np.diff(digits[np.append(starts, len(buf))]) > 0, WILDCARD, exact)
+    heads = np.flatnonzero(np.diff(line, prepend=-1))
+    counts = np.diff(np.append(heads, len(line)))
+    place = np.arange(len(line)) - np.repeat(heads, counts)
+    leaf = counts.astype(np.uint64)
+    for k in range(depth):
+        leaf = mix(leaf * _STEP + np.where(counts > k, tokens[np.minimum(heads + k, len(tokens) - 1)], WILDCARD) + np.uint64(1))
+    short = counts < min_tokens
+    own = np.where(short, _line_hashes(exact, place, heads, counts, 1 << 32), _line_hashes(tokens, place, heads, counts, 0))
+    leaf = np.where(short, own, leaf)
+    low = tokens.astype(np.uint32)
+    codes = np.where((low == 0) & (tokens != WILDCARD), np.uint32(1), low).astype("<u4").tobytes()
+    # A text's lines: those that end within it, and the break that joins it to the next text ends its last.
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    at = line[heads]
+    doc = np.searchsorted(ends, starts[heads], "right")
+    first = np.searchsorted(breaks, ends - [len(t) + 1 for t in texts])
+    size = np.diff(np.concatenate(([-1], breaks, [len(buf)])))[at] - 1
+    cuts = [(4 * h, 4 * (h if x else h + n)) for h, n, x in zip(heads.tolist(), counts.tolist(), short.tolist())]
+    return pd.DataFrame({
+        "doc": doc, "line": (at - first[doc]).astype(np.int32), "size": size.astype(np.int32), "leaf": leaf.view(np.int64), "own": own.view(np.int64),
+        "tokens": [codes[a:b] for a, b in cuts],
+    })
 
 
 def _parse(min_tokens: int, depth: int):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes: dict[bytes, bytes] = {}
         for b in batches:
-            rows = []
-            for k_id, k_text, text in zip(b["k_id"], b["k_text"], b["text"]):
-                leaves: set[int] = set()
-                for no, leaf, own, tokens in parsed(text, min_tokens, depth):
-                    rows.append((k_id, k_text, no, leaf, own, leaf not in leaves, tokens))
-                    leaves.add(leaf)
-                if len(rows) > 20_000:
-                    yield _frame(rows, codes)
-                    rows = []
-            yield _frame(rows, codes)
+            texts, first, size = [], 0, 0
+            for i, text in enumerate(b["text"]):
+                texts.append(text.encode("utf-8", "surrogatepass"))
+                size += len(texts[-1])
+                if size > 1 << 18 or i == len(b) - 1:
+                    out = parsed(texts, min_tokens, depth)
+                    doc = out.pop("doc").to_numpy(np.int64) + first
+                    for place, c in enumerate(KEY):
+                        out.insert(place, c, b[c].to_numpy()[doc])
+                    out.insert(6, "new_leaf", ~pd.DataFrame({"doc": doc, "leaf": out["leaf"]}).duplicated().to_numpy())
+                    yield out
+                    texts, first, size = [], i + 1, 0
 
     return parse
 
 
-def _frame(rows: list, codes: dict[bytes, bytes]) -> pd.DataFrame:
-    if len(codes) > 300_000:
-        codes.clear()
-    return pd.DataFrame([(*r[:6], token_codes(r[6], codes)) for r in rows], columns=[*KEY, "line", "leaf", "own", "new_leaf", "tokens"])
-
-
-def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(key, class) of each document; classes are named by 64-bit hashes."""
-    near = Scratch(docs.sparkSession, "near")
-    classes, _ = duplicate_classes(docs, id_col, text_col, scratch=near)
-    out = scratch.save(classes.select(*KEY, F.xxhash64("class_id", "class_text").alias("class")).distinct(), "classes")
-    near.drop("")
-    return out
-
-
-def _recurring(named: DataFrame, classes: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
-    """Templates that documents of min_docs different classes hold. Only those of as many documents are joined with the classes."""
-    rows = named.select("template", *KEY).distinct()
-    often = scratch.save(rows.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template"), "often")
-    held = rows.join(often.hint("merge"), "template").join(classes.hint("merge"), KEY).select("template", "class").distinct()
-    return held.groupBy("template").agg(F.count("*").alias("n_classes")).where(F.col("n_classes") >= min_docs)
-
-
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per place of each line: leaf, place, token code; repeats within the batch go first."""
     for b in batches:
@@ -128,55 +120,73 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @F.pandas_udf(T.LongType())
 def _template(own: pd.Series, tokens: pd.Series, variable: pd.Series, share: pd.Series) -> pd.Series:
     """The line's template: its tokens with the leaf's variable places as wildcards, if enough of them are constant."""
+    import xxhash
+
     out = []
     for o, t, v, s in zip(own, tokens, variable, share):
         codes = np.frombuffer(t, "<i4").copy()
         codes[np.asarray(v, np.int64)] = 0
         constant = np.count_nonzero(codes) >= s * len(codes)
-        out.append(int.from_bytes(hashlib.blake2b(b"tree" + codes.tobytes(), digest_size=8).digest(), "little", signed=True) if constant else o)
+        out.append(xxhash.xxh3_64_intdigest(codes.tobytes(), 6) - (1 << 63) if constant else o)
     return pd.Series(out, dtype="int64")
 
 
 def recurring_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
-    min_docs: int = MIN_DOCS, max_children: int = MAX_CHILDREN, min_constant: float = MIN_CONSTANT,
+    min_docs: int = MIN_DOCS, max_children: int = MAX_CHILDREN, min_constant: float = MIN_CONSTANT, copies: str = "text",
 ) -> DataFrame:
     """A row per document that loses lines: key, dropped (the line numbers)."""
     scratch = Scratch(docs.sparkSession, "templates")
-    classes = _classes(docs, id_col, text_col, scratch)
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     lines = scratch.save(rows.mapInPandas(_parse(min_tokens, depth), LINES_DDL), "lines")
-    # A template lies in one leaf, so a leaf of fewer documents holds none that recurs.
+    # A template lies in one leaf, so a leaf of fewer documents holds none that recurs. Spark broadcasts the leaves where they are few.
     leaves = lines.where("new_leaf").groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    leaves = scratch.save(leaves, "leaves")
-    reached = scratch.save(lines.select(*KEY, "line", "own", "leaf", "tokens").join(leaves.select("leaf").hint("merge"), "leaf"), "reached")
+    leaves = scratch.save(leaves.select("leaf"), "leaves")
+    reached = scratch.save(lines.join(leaves, "leaf").select(*KEY, "line", "size", "own", "leaf", "tokens"), "reached")
     places = reached.select("leaf", "tokens").mapInPandas(_places, "leaf long, place int, code int").distinct()
     counts = places.where(F.col("code") != 0).groupBy("leaf", "place").agg(F.count("*").alias("n")).where(F.col("n") > max_children)
     variable = scratch.save(counts.groupBy("leaf").agg(F.collect_list("place").alias("variable")), "variable")  # at most a line's tokens
-    own = lines.join(variable.hint("merge"), "leaf", "left_anti").select(*KEY, "line", F.col("own").alias("template"))
-    tree = reached.join(variable.hint("merge"), "leaf").select(
-        *KEY, "line", _template("own", "tokens", "variable", F.lit(float(min_constant))).alias("template")
+    own = reached.join(variable, "leaf", "left_anti").select(*KEY, "line", "size", F.col("own").alias("template"))
+    tree = reached.join(variable, "leaf").select(
+        *KEY, "line", "size", _template("own", "tokens", "variable", F.lit(float(min_constant))).alias("template")
     )
     named = scratch.save(own.unionByName(tree), "named")
-    scratch.drop("lines")
     scratch.drop("reached")
-    recurring = scratch.save(_recurring(named, classes, min_docs, scratch), "recurring")
-    hits = named.select(*KEY, "line", "template").join(recurring.select("template").hint("merge"), "template")
+    recurring = named.groupBy("template").agg(F.count_distinct("k_text").alias("n")).where(F.col("n") >= min_docs).select("template")
+    hits = scratch.save(named.join(scratch.save(recurring, "recurring"), "template"), "hits")
+    if copies == "near":
+        sizes = lines.groupBy(*KEY).agg(F.sum("size").alias("all"))
+        suspects = hits.groupBy(*KEY).agg(F.sum("size").alias("some")).join(sizes, KEY).where(F.col("some") >= SUSPECT * F.col("all"))
+        classes = suspect_classes(docs, suspects, scratch, id_col, text_col)
+        held = hits.select("template", *KEY).join(classes, KEY, "left").select("template", F.coalesce("class", "k_text").alias("class"))
+        independent = held.groupBy("template").agg(F.count_distinct("class").alias("n")).where(F.col("n") >= min_docs).select("template")
+        hits = hits.join(scratch.save(independent, "independent"), "template")
     return hits.groupBy(*KEY).agg(F.collect_set("line").alias("dropped"))
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
-    return pd.Series(["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for t, gone in zip(text, map(set, dropped))], dtype=object)
+def suspect_classes(docs: DataFrame, suspects: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, class) of the documents among suspects (KEY): the near-duplicate classes of those documents, named by 64-bit hashes."""
+    suspects = scratch.save(suspects.select(*KEY).distinct(), "suspects")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
+    some = scratch.save(keyed.join(suspects, KEY, "left_semi").select("id", "text"), "suspect-texts")
+    near = Scratch(docs.sparkSession, "near")
+    classes, _ = duplicate_classes(some, "id", "text", scratch=near)
+    out = scratch.save(classes.select(*KEY, F.xxhash64("class_id", "class_text").alias("class")).distinct(), "classes")
+    near.drop("")
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All documents with their recurring lines dropped, and n_dropped_lines."""
+    """All documents with their recurring lines dropped, and n_dropped_lines; options are those of recurring_lines."""
     dropped = Scratch(docs.sparkSession, "templates").save(recurring_lines(docs, id_col, text_col, **options), "dropped")
-    keyed = docs.withColumns(dict(zip(KEY, row_key(id_col, text_col))))
-    joined = keyed.join(dropped.hint("merge"), KEY, "left").withColumn("n_dropped_lines", F.coalesce(F.size("dropped"), F.lit(0)))
-    changed = F.when(F.col("n_dropped_lines") > 0, _without(text_or_empty(text_col), F.coalesce("dropped", F.array().cast("array<int>")))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, changed).select(*docs.columns, "n_dropped_lines")
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")
+    keyed = docs.select(own, *row_key(id_col, text_col))
+    joined = keyed.join(dropped.hint("merge"), KEY, "left")
+    text = F.col("own")[text_col]
+    without = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    changed = F.when(F.col("dropped").isNotNull(), without).otherwise(text)
+    columns = [changed.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns, F.when(F.col("dropped").isNotNull(), F.size("dropped")).otherwise(0).alias("n_dropped_lines"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
