@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
+import time
 import uuid
 from functools import lru_cache
 
@@ -32,12 +36,23 @@ def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="textloom-")
+    folder = tempfile.mkdtemp(prefix="textloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
+    conf = spark.sparkContext.getConf()
+    if folder := conf.get("spark.checkpoint.dir"):
+        return folder
+    if re.match(r"local(\[|$)", conf.get("spark.master") or ""):
+        return _own_folder()
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+#: Shuffle files are cleared away after jobs of so many seconds.
+RELEASE_S = 2
 
 
 class Scratch:
@@ -45,12 +60,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
-        self.spark = spark
+        self.spark, self.began = spark, 0.0
         self.root = f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         """Writes df and gives it back as read from there; the finished job's shuffle files are released."""
-        path, schema = f"{self.root}/{label}", df.schema
+        path, schema, self.began = f"{self.root}/{label}", df.schema, time.monotonic()
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         del df
         self.release()
@@ -61,9 +76,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Spark deletes shuffle files once nothing refers to their plan; the driver's collectors are asked to notice."""
+        """Spark deletes shuffle files once nothing refers to their plan; the driver's collectors are asked to notice.
+
+        The first collection ends what refers to a finished plan, the second finds that its shuffles are free. Jobs of less than
+        RELEASE_S seconds leave little and wait for the next.
+        """
+        if time.monotonic() - self.began < RELEASE_S:
+            return
         gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            self.spark._jvm.System.gc()
+            time.sleep(0.15)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

@@ -9,7 +9,7 @@
 4. Merging. An anchor with very many contexts is split over several shards. Their sorted lists of distinct windows are merged by
    binary search, by ranges of the windows' hash, and windows that an earlier shard's text also holds repeat.
 
-Order is that of (doc_id, start). Contexts are compared by two 64-bit hashes (anchor and context); windows by their bytes.
+Order is that of (doc_id, start). Contexts are compared by 128 bits of hashes (anchor and context); windows by their bytes.
 
 Defined cases: a null text is an empty text; texts under 100 bytes lose nothing; rows of equal id go by their text's hash, and
 rows equal in both are one document and get the same result; a null doc_id sorts first; an empty table gives an empty result;
@@ -36,6 +36,7 @@ REACH = WINDOW - ANCHOR  # bytes around an anchor that its windows may hold on e
 SIZE_BITS = 8  # a context's place is kept as its start, shifted by these, and its size (at most ANCHOR + 2 * REACH)
 SHARD_CONTEXTS = 4096
 SPLIT_CONTEXTS = 2048
+RANGE_WINDOWS = 8192
 _FACTORS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 ANCHORS_DDL = "anchor long, context long, doc long, at long"
 
@@ -166,27 +167,37 @@ def shard_repeats(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([found, runs])
 
 
+def _merged(x: tuple, y: tuple) -> tuple[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Two sorted lists of distinct windows (grams, docs, starts) as one, with the least place of each; the places that lose."""
+    (grams, docs, starts), (other, doc, start) = x, y
+    at = np.searchsorted(grams, other)
+    known = np.zeros(len(other), bool)
+    inside = at < len(grams)
+    known[inside] = grams[at[inside]] == other[inside]
+    here = at[known]
+    d, s = doc[known], start[known]
+    earlier = (d < docs[here]) | ((d == docs[here]) & (s < starts[here]))
+    same = (d == docs[here]) & (s == starts[here])
+    lost = np.where(earlier, docs[here], d)[~same], np.where(earlier, starts[here], s)[~same]
+    docs, starts = docs.copy(), starts.copy()
+    docs[here], starts[here] = np.where(earlier, d, docs[here]), np.where(earlier, s, starts[here])
+    fresh = ~known
+    return tuple(np.insert(a, at[fresh], b[fresh]) for a, b in ((grams, other), (docs, doc), (starts, start))), lost
+
+
 def merge_runs(group: pd.DataFrame) -> pd.DataFrame:
-    """Merges the shards' sorted distinct windows by binary search; windows that an earlier place holds, too, as spans."""
-    whole = np.zeros(0, f"S{WINDOW + 1}")  # a last byte of one, as numpy drops zeros at the end
-    docs, starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lost = []
+    """Merges the shards' sorted distinct windows by binary search, two lists at a time; windows that an earlier place holds, too, as spans."""
+    runs, lost = [], []
     for _, run in group.groupby("shard"):
-        grams = np.array([bytes(g) + b"\1" for g in run["gram"]], whole.dtype)
+        grams = np.array([bytes(g) + b"\1" for g in run["gram"]], f"S{WINDOW + 1}")  # a last byte of one, as numpy drops zeros at the end
         order = np.argsort(grams, kind="stable")
-        grams, doc, start = grams[order], run["doc"].to_numpy()[order], run["lo"].to_numpy().astype(np.int64)[order]
-        at = np.searchsorted(whole, grams)
-        known = np.zeros(len(grams), bool)
-        inside = at < len(whole)
-        known[inside] = whole[at[inside]] == grams[inside]
-        here = at[known]
-        earlier = (doc[known] < docs[here]) | ((doc[known] == docs[here]) & (start[known] < starts[here]))
-        same = (doc[known] == docs[here]) & (start[known] == starts[here])
-        lost.append((np.where(earlier, docs[here], doc[known])[~same], np.where(earlier, starts[here], start[known])[~same]))
-        docs[here], starts[here] = np.where(earlier, doc[known], docs[here]), np.where(earlier, start[known], starts[here])
-        fresh = ~known
-        whole, docs, starts = np.insert(whole, at[fresh], grams[fresh]), np.insert(docs, at[fresh], doc[fresh]), np.insert(starts, at[fresh], start[fresh])
-    return _runs(np.concatenate([x for x, _ in lost]), np.concatenate([x for _, x in lost]))[["doc", "lo", "hi"]]
+        runs.append((grams[order], run["doc"].to_numpy()[order], run["lo"].to_numpy().astype(np.int64)[order]))
+    while len(runs) > 1:
+        pairs = [_merged(runs[i], runs[i + 1]) for i in range(0, len(runs) - 1, 2)]
+        lost += [places for _, places in pairs]
+        runs = [run for run, _ in pairs] + runs[len(pairs) * 2 :]
+    none = [(np.zeros(0, np.int64),) * 2]
+    return _runs(np.concatenate([x for x, _ in lost or none]), np.concatenate([x for _, x in lost or none]))[["doc", "lo", "hi"]]
 
 
 def document_order(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -226,7 +237,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = cut.join(several, "anchor").select("anchor", "doc", "lo", "bytes", split.alias("split"), shard.alias("shard"), part.alias("part"))
     repeats = dealt.groupBy("split", "shard", "part").applyInPandas(_with_shard, f"{FOUND_DDL}, shard long")
     found = scratch.save(repeats, "found")
-    runs = found.where("hi = -1").withColumn("range", F.pmod(F.xxhash64("gram"), F.lit(64)))
+    # An anchor's windows are as many as its contexts, up to a factor of REACH + 1, and so are the ranges: a range stays small.
+    runs = found.where("hi = -1").join(several, "anchor").withColumn("range", F.pmod(F.xxhash64("gram"), F.ceil(F.col("n") * (REACH + 1) / RANGE_WINDOWS)))
     merged = runs.groupBy("anchor", "range").applyInPandas(merge_runs, "doc long, lo int, hi int")
     spans = copies.unionByName(found.where("hi > -1").select("doc", "lo", "hi")).unionByName(merged)
     return spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -263,19 +275,21 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 @F.pandas_udf(T.StringType())
 def _keep_text(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """Text without its spans; characters that lose some of their bytes go whole."""
+    """Text without its spans (null: stays null); characters that lose some of their bytes go whole."""
     out = []
     for t, s in zip(text, spans):
-        data = t.encode("utf-8", "surrogatepass")
-        out.append(without_spans(data, merged_spans(s, len(data))).decode("utf-8", "ignore"))
+        data = (t or "").encode("utf-8", "surrogatepass")
+        out.append(t and without_spans(data, merged_spans(s, len(data))).decode("utf-8", "ignore"))
     return pd.Series(out, dtype=object)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents, repeated bytes removed from their texts."""
     found = find_repeats(docs, id_col, text_col)
+    # A Python function sees every row: texts without spans go there as nulls.
+    repeats = F.col("spans").isNotNull()
     empty = F.array().cast("array<struct<lo:int,hi:int>>")
-    text = F.when(F.col("spans").isNotNull(), _keep_text(text_or_empty(text_col), F.coalesce("spans", empty))).otherwise(F.col(text_col))
+    text = F.when(repeats, _keep_text(F.when(repeats, F.col(text_col)), F.coalesce("spans", empty))).otherwise(F.col(text_col))
     return found.withColumn(text_col, text).select(*docs.columns)
 
 
