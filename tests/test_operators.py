@@ -52,7 +52,8 @@ def test_similar_sets_loses_no_pair(spark, threshold):
     df = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(sets)], "ord long, shingles array<long>, n int")
     j = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
     expected = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if j(sets[a], sets[b]) >= threshold}
-    assert {(r.i, r.j) for r in dedup.similar_sets(df, threshold, Tables(spark, "t")).collect()} == expected
+    tables = Tables(spark, "t")
+    assert {(r.i, r.j) for r in dedup.expanded(*dedup.fuzzy_pairs(df, threshold, tables)).collect()} == expected
 
 
 def test_tfidf_drops_terms_of_all_documents(spark):
@@ -64,7 +65,7 @@ def test_tfidf_drops_terms_of_all_documents(spark):
 
 def test_exact_duplicates_ignore_case_and_marks(spark):
     df = spark.createDataFrame([(2, "A b!"), (1, "a, B"), (3, "other")], "ord long, content string")
-    assert {r.ord: r.first_ord for r in dedup.exact_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.ord: r.first_ord for r in dedup.exact_duplicates(df, Tables(spark, "t")).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_vocabulary(spark):

@@ -27,6 +27,8 @@ class VocabularyConfig:
     min_frequency: int = 200
     max_tokens: int | None = None
     sample_limit: int = 500
+    #: Tokens to add by hand where the vocabulary lacks them.
+    manual_tokens: tuple[str, ...] = ("pytorch", "tensorflow", "cuda", "gpu", "transformer", "bert", "llama")
 
 
 def load(kind: type, path: str | None = None, section: str | None = None):

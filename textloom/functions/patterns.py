@@ -37,7 +37,6 @@ PII = [
     ("CREDIT_CARD", r"\b[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}\b"),
     ("IP_ADDRESS", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
 ]
-MANUAL_TOKENS = ["mahedi", "hasan", "pytorch", "tensorflow", "cuda", "gpu", "transformer", "bert", "llama"]
 
 #: English stop words, a short list of our own choice.
 STOP_WORDS = [

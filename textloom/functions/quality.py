@@ -81,16 +81,18 @@ def gate_reason(words: Column, pieces: Column, gibberish: Column, min_words: int
 def with_extraction_scores(df: DataFrame, text: str = "text", tables: Column | None = None) -> DataFrame:
     """Type-token ratio, reading ease, entropy ratio, structure, richness, overall (not rounded), grade; zeros for blank texts."""
     t = F.col(text)
-    df = df.withColumn("_w", X.words(t)).withColumn("_s", X.sentences(t)).withColumn("_l", F.transform("_w", F.lower))
-    n, s, distinct = F.size("_w"), F.size("_s"), F.size(F.array_distinct("_l"))
+    df = df.withColumn("_w", X.words(t)).withColumn("_l", F.transform("_w", F.lower))
+    no = P.WS.replace("[", "[^", 1)
+    df = df.withColumn("_n", F.struct(
+        X.syllables(t).alias("syllables"), F.regexp_count(t, F.lit(rf"(?![.!?]){no}[^.!?]*")).alias("sentences"),
+        F.regexp_count(t, F.lit(rf"(?:(?![.!?]){no})+")).alias("words"), F.regexp_count(t, F.lit("[,;:]")).alias("marks"),
+    ))
+    n, s, distinct, syllables = F.size("_w"), F.col("_n.sentences"), F.size(F.array_distinct("_l")), F.col("_n.syllables")
     ratio = _ratio(distinct, n)
-    syllables = F.aggregate("_w", F.lit(0), lambda a, w: a + X.syllables(w))
     ease = F.lit(206.835) - 1.015 * n / F.greatest(s, F.lit(1)) - 84.6 * syllables / F.greatest(n, F.lit(1))
     reading = F.when((s == 0) | (n == 0), 0.0).when(syllables > 0, F.greatest(F.lit(0.0), _cap(ease / 100.0))).otherwise(F.lit(0.5))
     density = F.when(distinct > 1, X.word_entropy(F.col("_l")) / F.log2(distinct.cast("double"))).otherwise(F.lit(0.0))
-    in_sentences = F.aggregate("_s", F.lit(0), lambda a, x: a + F.size(X.words(x)))
-    marks = F.aggregate("_s", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("[,;:]")))
-    structure = F.when(s == 0, 0.0).otherwise((_cap(_ratio(in_sentences, s) / 20.0) + _cap(_ratio(marks, s) / 3.0)) / 2.0)
+    structure = F.when(s == 0, 0.0).otherwise((_cap(_ratio(F.col("_n.words"), s) / 20.0) + _cap(_ratio(F.col("_n.marks"), s) / 3.0)) / 2.0)
     b = P.BOUNDARY
     numbers, acronyms = F.regexp_count(t, F.lit(rf"{b}\p{{Nd}}+\.?\p{{Nd}}*{b}")), F.regexp_count(t, F.lit(rf"{b}[A-Z]{{2,}}{b}"))
     k = tables if tables is not None else F.lit(0)
@@ -101,4 +103,4 @@ def with_extraction_scores(df: DataFrame, text: str = "text", tables: Column | N
     named = {"lexical_diversity": x.l, "readability": x.e, "information_density": x.i, "structural_complexity": x.s, "content_richness": x.r}
     df = df.withColumns({k: F.when(blank, 0.0).otherwise(rounded(v, 3)) for k, v in named.items()})
     df = df.withColumn("overall_quality", F.when(blank, 0.0).otherwise(overall)).withColumn("word_count", n).withColumn("sentence_count", s)
-    return df.withColumn("extraction_grade", extraction_grade(F.col("overall_quality"))).drop("_w", "_s", "_l", "_x")
+    return df.withColumn("extraction_grade", extraction_grade(F.col("overall_quality"))).drop("_w", "_n", "_l", "_x")

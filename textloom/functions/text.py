@@ -37,8 +37,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode compatibility composition; plain ASCII never leaves the JVM's value."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    """Unicode compatibility composition. A Python function sees every row, so plain ASCII goes there as null."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def normalise_content(c: Column) -> Column:
@@ -73,10 +73,18 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[.!?]+"), strip), lambda x: x != "")
 
 
-def syllables(word: Column) -> Column:
-    w = F.regexp_replace(F.lower(word), r"^[.,!?;:]+|[.,!?;:]+$", "")
-    n = F.regexp_count(w, F.lit("[aeiouy]+"))
-    return F.when(w == "", 0).otherwise(F.greatest(n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0), F.lit(1)))
+def syllables(c: Column) -> Column:
+    """Syllables of all words of a text: vowel groups, without a last e of words that have others, one at least for each word.
+
+    Counted by three patterns over the whole text: vowel groups, words with such an e, words without a vowel. Marks around a
+    word do not count.
+    """
+    no = WS.replace("[", "[^", 1)  # a character of a word
+    low, mark, end = F.lower(c), "[.,!?;:]", f"(?!{no})"
+    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
+    silent = F.regexp_count(low, F.lit(rf"[aeiouy]{no}*(?![aeiouy]){no}[aeiouy]*(?<=e){mark}*{end}"))
+    bare = F.regexp_count(low, F.lit(rf"(?<!{no})(?!{mark}*{end})(?:(?![aeiouy]){no})+{end}"))
+    return groups - silent + bare
 
 
 def basename(c: Column) -> Column:

@@ -17,11 +17,14 @@ from ..storage import Tables
 REPLAY_DDL = "i long, j long, similarity double, removed long, kept long, logged boolean"
 
 
-def exact_duplicates(df: DataFrame, content: str = "content", ord_col: str = "ord") -> DataFrame:
-    """Adds content_hash (of the comparison key) and first_ord, the first document of the hash; keepers are their own first."""
-    df = df.withColumn("content_hash", F.sha2(X.comparison_key(F.col(content)), 256))
-    first = df.groupBy("content_hash").agg(F.min(ord_col).alias("first_ord"))
-    return df.join(first, "content_hash")
+def exact_duplicates(df: DataFrame, tables: Tables, content: str = "content", ord_col: str = "ord") -> DataFrame:
+    """(ord, content_hash of the comparison key, first_ord): the first document of each hash; keepers are their own first.
+
+    Texts are normalised and hashed once; only numbers and hashes are shuffled.
+    """
+    keys = tables.save(df.select(F.col(ord_col).alias("ord"), F.sha2(X.comparison_key(F.col(content)), 256).alias("content_hash")), "content-hashes")
+    first = keys.groupBy("content_hash").agg(F.min("ord").alias("first_ord"))
+    return keys.join(first, "content_hash")
 
 
 def shingle_table(df: DataFrame, content: str = "content", ord_col: str = "ord", n: int = 5) -> DataFrame:
@@ -31,35 +34,38 @@ def shingle_table(df: DataFrame, content: str = "content", ord_col: str = "ord",
     return s.withColumn("n", F.size("shingles"))
 
 
+def equal_sets(sets: DataFrame, tables: Tables) -> DataFrame:
+    """(ord, first_ord): documents with equal shingle sets have the first of them in common. Sets are compared whole, not by a hash."""
+    keyed = sets.select("ord", F.array_sort("shingles").alias("s"))
+    first = keyed.groupBy("s").agg(F.min("ord").alias("first_ord"))
+    return tables.save(keyed.join(first, "s").select("ord", "first_ord"), "equal-sets")
+
+
 def similar_sets(sets: DataFrame, threshold: float, tables: Tables) -> DataFrame:
-    """Pairs (i, j), i < j, with Jaccard similarity of at least threshold, similarity beside them.
+    """Pairs (i, j), i < j, of different sets with Jaccard similarity of at least threshold, similarity beside them.
 
-    Documents with equal sets are one node here and expanded at the end. Prefix filtering, which loses no pair: with hashes in
-    ascending order of their frequency, a pair that reaches t shares one of its first n - ceil(t n) + 1 hashes on either side.
-    Empty sets are similar to each other only (by 1).
+    sets: (ord, shingles, n), one row for each set, as equal_sets gives them. Prefix filtering, which loses no pair: with hashes
+    in ascending order of their frequency, a pair that reaches t shares one of its first n - ceil(t n) + 1 hashes on either side;
+    of the pairs that share one, those go whose rests are too short to reach t.
     """
-    sets = sets.withColumn("node", F.xxhash64(F.array_sort("shingles")))
-    nodes = tables.save(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n").alias("n")), "nodes")
-    members = tables.save(sets.select("node", "ord"), "members")
-    flat = nodes.where("n > 0").select("node", "n", F.explode("shingles").alias("h"))
+    nodes = tables.save(sets.where("n > 0").select(F.col("ord").alias("node"), "shingles", "n"), "nodes")
+    flat = nodes.select("node", "n", F.explode("shingles").alias("h"))
     df = flat.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = flat.join(df, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1").select("node", "n", "h")
-    prefix = tables.save(prefix, "prefix")
+    # Hashes of one set only stand first in the order and match nothing: just their number counts.
+    shared = flat.join(df, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    need = F.ceil(F.col("n") * threshold - 1e-9)
+    prefix = F.slice("s", 1, F.greatest(F.col("n") - need + 1 - own, F.lit(0)).cast("int"))
+    prefix = shared.where(F.size("s") >= need).select("node", "n", own.alias("own"), F.posexplode(prefix).alias("k", "e"))
+    prefix = tables.save(prefix.select("node", "n", (F.col("n") - F.col("own") - F.col("k")).alias("rest"), F.col("e.h").alias("h")), "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
-    fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
+    fits = F.least("a.rest", "b.rest") >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & fits)
-    pairs = pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    left, right = nodes.toDF("x", "sx", "nx"), nodes.toDF("y", "sy", "ny")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    near = pairs.join(left, "x").join(right, "y").withColumn("similarity", shared / (F.col("nx") + F.col("ny") - shared))
-    near = near.where(F.col("similarity") >= threshold).select("x", "y", "similarity")
-    m1, m2 = members.toDF("x", "ox"), members.toDF("y", "oy")
-    between = near.join(m1, "x").join(m2, "y").select("ox", "oy", "similarity")
-    same = m1.join(members.toDF("x", "oy"), "x").where("ox < oy").select("ox", "oy", F.lit(1.0).alias("similarity"))
-    every = between.unionByName(same)
-    return every.select(F.least("ox", "oy").alias("i"), F.greatest("ox", "oy").alias("j"), "similarity")
+    pairs = pairs.select(F.col("a.node").alias("i"), F.col("b.node").alias("j")).distinct()
+    left, right = nodes.toDF("i", "si", "ni"), nodes.toDF("j", "sj", "nj")
+    common = F.size(F.array_intersect("si", "sj"))
+    near = pairs.join(left, "i").join(right, "j").withColumn("similarity", common / (F.col("ni") + F.col("nj") - common))
+    return near.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
 
 
 def component_labels(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -100,9 +106,27 @@ def greedy_removals(pairs: DataFrame, scores: DataFrame, tables: Tables, name: s
     return full.groupBy("label").applyInPandas(lambda p: replay(p), REPLAY_DDL)
 
 
+def expanded(pairs: DataFrame, equal: DataFrame) -> DataFrame:
+    """Pairs of all documents: those between sets go for all that have them, and documents of equal sets are similar by 1.
+
+    Only for the greedy visit, which is defined on such pairs: it comes after exact duplicates are gone, when few sets are equal.
+    """
+    x, y = equal.toDF("x", "i"), equal.toDF("y", "j")
+    between = pairs.join(x, "i").join(y, "j").select("x", "y", "similarity")
+    same = equal.toDF("x", "first_ord").join(equal.toDF("y", "first_ord"), "first_ord").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    every = between.unionByName(same)
+    return every.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
+
+
+def fuzzy_pairs(sets: DataFrame, threshold: float, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs between the first documents of equal sets, and equal_sets' membership."""
+    equal = equal_sets(sets, tables)
+    return similar_sets(sets.join(equal.where("ord = first_ord").select("ord"), "ord", "left_semi"), threshold, tables), equal
+
+
 def fuzzy_removals(df: DataFrame, tables: Tables, threshold: float = 0.85, content: str = "content", score: str = "overall_score") -> DataFrame:
-    pairs = similar_sets(shingle_table(df, content), threshold, tables)
-    return greedy_removals(pairs, df.select("ord", score), tables, "fuzzy")
+    sets = tables.save(shingle_table(df, content), "sets")
+    return greedy_removals(expanded(*fuzzy_pairs(sets, threshold, tables)), df.select("ord", score), tables, "fuzzy")
 
 
 def semantic_removals(df: DataFrame, tables: Tables, threshold: float = 0.80, content: str = "content", score: str = "overall_score") -> DataFrame:

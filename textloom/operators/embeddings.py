@@ -17,16 +17,25 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def initialise(tokens: DataFrame, base: DataFrame, dim: int, seed: int = 42) -> DataFrame:
-    """Input rows of new tokens: the mean of their pieces' rows; a small Gaussian row where there is none.
+def gaussian(key: Column, place: Column, seed: int = 42) -> Column:
+    """A standard normal number that depends on key, place and seed alone, and so not on the rows' layout (Box-Muller)."""
+    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(key, place, F.lit(seed), F.lit(k)), 11) + 1) / F.lit(float(1 << 53))
+    return F.sqrt(-2.0 * F.log(uniform(0))) * F.cos(2.0 * F.pi() * uniform(1))
 
-    tokens: (token, piece_ids), base: (id, embedding). Gives token, embedding, initialised.
+
+def initialise(tokens: DataFrame, base: DataFrame, dim: int, seed: int = 42, fallback: str = "noise") -> DataFrame:
+    """Input rows of new tokens: the mean of their pieces' rows; where there is none, a small Gaussian row or the mean of all base rows.
+
+    tokens: (token, piece_ids), base: (id, embedding). Gives token, embedding, initialised (from pieces). fallback: noise or mean.
     """
     pieces = tokens.select("token", F.explode_outer("piece_ids").alias("id")).join(base, "id", "left").where(F.col("embedding").isNotNull())
-    means = mean_vectors(pieces, "token", "embedding")
-    noise = F.array(*[F.randn(seed + i) * 0.02 for i in range(dim)])
-    out = tokens.select("token").join(means, "token", "left")
-    return out.select("token", F.coalesce("mean", noise).alias("embedding"), F.col("mean").isNotNull().alias("initialised"))
+    out = tokens.select("token").join(mean_vectors(pieces, "token", "embedding"), "token", "left")
+    if fallback == "mean":
+        whole = mean_vectors(base.withColumn("all", F.lit(1)), "all", "embedding").select(F.col("mean").alias("other"))
+        out = out.join(F.broadcast(whole), F.lit(True), "left")  # one row
+    else:
+        out = out.withColumn("other", F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: gaussian(F.col("token"), i, seed) * 0.02))
+    return out.select("token", F.coalesce("mean", "other").alias("embedding"), F.col("mean").isNotNull().alias("initialised"))
 
 
 def zero_rows(tokens: DataFrame, dim: int) -> DataFrame:

@@ -49,8 +49,8 @@ def speed_up(a: Column, b: Column, name_a: str, name_b: str) -> dict[str, Column
 
 
 def response_table(df: DataFrame, prompt: str, model: str, value: str, models: list[str]) -> DataFrame:
-    """One row per prompt and a column per enabled model; blank prompts have no responses."""
-    return df.where(F.trim(F.col(prompt)) != "").groupBy(prompt).pivot(model, models).agg(F.first(value))
+    """One row per prompt and a column per enabled model (of several values the largest); blank prompts have no responses."""
+    return df.where(F.trim(F.col(prompt)) != "").groupBy(prompt).pivot(model, models).agg(F.max(value))
 
 
 def enabled_models(df: DataFrame, only: list[str] | None = None) -> DataFrame:

@@ -69,10 +69,11 @@ def curate(docs: DataFrame, cfg: CurationConfig | None = None) -> Curation:
     low = F.col("overall_score") < cfg.min_quality_score
     rejections = rejections.unionByName(_rejected(scored.where(low), "Stage 2 - Quality", F.format_string(f"Low quality score: %.3f < {cfg.min_quality_score}", "overall_score")))
     good = scored.where(~low)
-    first = tables.save(dedup.exact_duplicates(good), "exact")
     name = X.basename(F.col("file_path"))
-    keepers = first.select(F.col("ord").alias("first_ord"), name.alias("kept"))
-    exact = first.where(F.col("ord") != F.col("first_ord"))
+    first = good.join(tables.save(dedup.exact_duplicates(good, tables), "exact"), "ord")
+    # Names and counts of all that follows, without the texts.
+    exact = first.where(F.col("ord") != F.col("first_ord")).select("ord", "first_ord", "file_path", "word_count")
+    keepers = good.select(F.col("ord").alias("first_ord"), name.alias("kept"))
     pairs = exact.join(keepers, "first_ord").select(F.lit("exact").alias("type"), name.alias("removed"), "kept", F.lit(1.0).alias("similarity"))
     rejections = rejections.unionByName(_rejected(exact, "Stage 3 - Exact Dedup", F.lit("Exact duplicate")))
     left = tables.save(first.where(F.col("ord") == F.col("first_ord")).withColumn("content_hash", F.substring("content_hash", 1, 12)).drop("first_ord"), "after-exact")
@@ -110,15 +111,10 @@ def curate(docs: DataFrame, cfg: CurationConfig | None = None) -> Curation:
     return Curation(curated, rejections, pairs, stages, grades)
 
 
-def ranks(df: DataFrame, tables: Tables, score: str = "quality_score") -> DataFrame:
-    """Adds training_rank, 1-based by score from the highest on, then by ord.
-
-    Rows are counted by score, and ranks are made within each score: no one task orders all rows.
-    """
-    by = df.groupBy(score).agg(F.count("*").alias("_n"))
-    before = tables.save(by.withColumn("_before", F.sum("_n").over(Window.orderBy(F.desc(score))) - F.col("_n")).drop("_n"), "score-offsets")
-    within = F.row_number().over(Window.partitionBy(score).orderBy("ord"))
-    return df.join(before, score).withColumn("training_rank", (F.col("_before") + within).cast("int")).drop("_before")
+def ranks(df: DataFrame, tables: Tables, score: str = "quality_score", name: str = "ranks") -> DataFrame:
+    """Adds training_rank, 1-based by score from the highest on, then by ord."""
+    out = tables.numbered(df, [F.desc(score), F.col("ord")], f"_{name}")
+    return out.withColumn("training_rank", (F.col(f"_{name}") + 1).cast("int")).drop(f"_{name}")
 
 
 def retention(stages: DataFrame) -> DataFrame:

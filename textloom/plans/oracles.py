@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import VocabularyConfig
 from ..functions import patterns as P
 
 
@@ -112,9 +113,13 @@ sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1)
 """
 
 
+#: The first document of each shingle set.
+EQUAL = f"{SHINGLES}, eq AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS f FROM (SELECT doc_id, list_sort(list(s)) AS k FROM sh GROUP BY 1))"
+
+
 def _fuzzy(threshold: float) -> str:
-    return f"""WITH {SHINGLES},
-p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
+    return f"""WITH {EQUAL}, sr AS (SELECT sh.* FROM sh JOIN eq USING (doc_id) WHERE doc_id = f),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS m FROM sr a JOIN sr b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT i, j, {_round('m / (x.n + y.n - m)::DOUBLE', 6)} AS similarity FROM p JOIN sz x ON x.doc_id = i JOIN sz y ON y.doc_id = j WHERE m / (x.n + y.n - m)::DOUBLE >= {threshold}"""
 
 
@@ -202,6 +207,7 @@ ORACLES = {
     "shingle_counts": f"WITH {SHINGLES} SELECT doc_id, coalesce(n, 0) AS n_shingles FROM raw LEFT JOIN sz USING (doc_id)",
     "fuzzy_pairs": _fuzzy(0.85),
     "fuzzy_pairs_half": _fuzzy(0.5),
+    "fuzzy_members": f"WITH {EQUAL} SELECT doc_id, f AS representative FROM eq",
     "tfidf_top_terms": f"WITH {GRAMS} SELECT term, df, cf FROM stats ORDER BY cf DESC, term LIMIT 50",
     "semantic_pairs": f"""WITH {GRAMS}, v AS (SELECT term, df FROM stats ORDER BY cf DESC, term LIMIT 5000),
 w AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0) AS x FROM tf JOIN v USING (term)),
@@ -227,7 +233,7 @@ cut(word, frequency, rest, pieces) AS (
   SELECT word, frequency, substr(rest, k + 1), list_append(pieces, substr(rest, 1, k)) FROM (
     SELECT word, frequency, rest, pieces, coalesce((SELECT max(length(token)) FROM base WHERE length(token) <= 16 AND starts_with(rest, token)), 1) AS k FROM cut WHERE rest <> ''))
 SELECT word, frequency, len(pieces) AS split_count, pieces AS base_tokens FROM cut WHERE rest = '' AND len(pieces) > 1""",
-    "manual_tokens": f"WITH {VOC} SELECT token, token IN (SELECT word FROM voc) AS present FROM (SELECT unnest([{_in(P.MANUAL_TOKENS)}]) AS token)",
+    "manual_tokens": f"WITH {VOC} SELECT token, token IN (SELECT word FROM voc) AS present FROM (SELECT unnest([{_in(VocabularyConfig().manual_tokens)}]) AS token)",
     "token_counts": f"WITH {COUNTS} SELECT doc_id, n AS n_tokens FROM cnt",
     "token_stats": f"WITH {COUNTS} SELECT count(*) AS num_documents, sum(n)::BIGINT AS total_tokens, round(avg(n), 4) AS mean_tokens, round(median(n), 4) AS median_tokens, min(n) AS min_tokens, max(n) AS max_tokens, round(stddev_pop(n), 4) AS std_tokens, round(avg(nc), 4) AS mean_chars, round(sum(nc) / sum(n), 4) AS chars_per_token FROM cnt",
     "token_percentiles": f"WITH {COUNTS} SELECT p AS percentile, round(v, 4) AS value FROM (SELECT unnest([10, 25, 50, 75, 90, 95, 99]) AS p, unnest((SELECT quantile_cont(n, [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) FROM cnt)) AS v)",
@@ -236,7 +242,7 @@ SELECT word, frequency, len(pieces) AS split_count, pieces AS base_tokens FROM c
     "training_tokens": f"SELECT count(*) AS rows, count(*) * 4096 AS approximate_tokens FROM ({RAW}) WHERE {_strip('c')} <> ''",
     "embedding_mean_by_group": "SELECT label, place, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS place FROM embeddings) GROUP BY 1, 2",
     "embedding_norm_check": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) < 1e-6 AS is_zero FROM embeddings",
-    "embedding_zero_rows": "SELECT count(*) AS rows, count(*) AS zero_rows FROM embeddings",
+    "embedding_zero_rows": "SELECT count(*) AS rows, sum((label = 0 OR list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) < 1e-12)::INT)::BIGINT AS zero_rows FROM embeddings",
     "embedding_init_report": "SELECT n AS new_tokens, n AS initialised, true AS inputs_ok, n AS zeroed, true AS outputs_ok, true AS passed FROM (SELECT count(DISTINCT label) AS n FROM embeddings)",
     "train_val_split": f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || '-42'), doc_id) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'validation' END AS split FROM ({RAW}) WHERE {_strip('c')} <> ''",
     "loss_monitor": "SELECT event_id, first_value(value) OVER w AS initial_loss, min(value) OVER w AS best_loss, value > 10 AS is_spike, value > 3 * first_value(value) OVER w AS is_explosion FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
@@ -253,7 +259,7 @@ SELECT model, round(p, 4) AS improvement_pct, CASE WHEN p > 0 THEN 'improved' WH
     "response_speed_up": f"""WITH {RESP}, r AS (SELECT conv_id, role, CASE WHEN sec > 0 THEN round(wc / sec, 2) ELSE 0 END AS r FROM resp),
 s AS (SELECT conv_id, coalesce(round(avg(CASE WHEN role = 'user' THEN r END), 4), 0) AS a, coalesce(round(avg(CASE WHEN role = 'assistant' THEN r END), 4), 0) AS b FROM r GROUP BY 1)
 SELECT conv_id, CASE WHEN a >= b THEN 'user' ELSE 'assistant' END AS faster, round(greatest(a, b) / nullif(least(a, b), 0), 3) AS ratio FROM s""",
-    "response_table": "SELECT conv_id::VARCHAR AS prompt, max(CASE WHEN role = 'assistant' THEN length(text) END) AS assistant, max(CASE WHEN role = 'user' THEN length(text) END) AS user FROM conversations WHERE turn < 2 GROUP BY conv_id",
+    "response_table": "SELECT conv_id::VARCHAR AS prompt, max(CASE WHEN role = 'assistant' THEN length(text) END) AS assistant, max(CASE WHEN role = 'system' THEN length(text) END) AS system, max(CASE WHEN role = 'user' THEN length(text) END) AS user FROM conversations GROUP BY conv_id",
     "html_text": f"SELECT page_id, md5({_html()}) AS text_md5 FROM pages",
     "html_tables": "SELECT page_id, len(regexp_extract_all(html, '(?is)<table.*?</table>')) AS tables FROM pages",
     "markdown_tables": f"""WITH l AS (SELECT doc_id, unnest(string_split(c, chr(10))) AS x, unnest(range(len(string_split(c, chr(10))))) AS no FROM ({RAW})),
@@ -271,5 +277,5 @@ SELECT doc_id, len(t) AS rows, md5(array_to_string(list_transform(t, lambda r: a
     "document_stats": f"SELECT doc_id, len({_words('c')}) AS total_words, 0 AS total_tables, 0 AS total_images, 1 AS total_pages FROM ({RAW})",
     "extraction_success": f"SELECT count(*) AS files, sum(({_strip('c')} <> '')::INT)::BIGINT AS successful, sum(({_strip('c')} = '')::INT)::BIGINT AS failed, count(*) AS elements, 1.0::DOUBLE AS mean_elements, sum(({_strip('c')} <> '')::INT) * 100.0::DOUBLE / count(*) AS success_rate FROM ({RAW})",
     "word_count_range": f"SELECT min(n) AS min, max(n) AS max, sum(n)::BIGINT AS total FROM (SELECT len({_words('c')}) AS n FROM ({RAW}))",
-    "pretrain_check": "SELECT true AS rows_ok, true AS sizes_ok FROM (SELECT 1)",
+    "pretrain_check": f"WITH {VOC} SELECT (SELECT bool_and(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) >= 1e-6) FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 3)) AS rows_ok, (SELECT count(*) FROM base) = (SELECT count(*) FROM embeddings) AS sizes_ok",
 }

@@ -11,7 +11,8 @@ from ..functions import quality as Q
 from ..functions import text as X
 from ..operators import dedup, embeddings, evaluation, markup, reports, tfidf, tokens, training, vocabulary
 from ..sources import readers
-from ..storage import Tables
+from ..config import VocabularyConfig
+from ..storage import Tables, spread
 from . import curation
 from .oracles import ORACLES  # noqa: F401
 
@@ -29,11 +30,11 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their whole text as content."""
-    return _table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("content"), "source")
+    return spread(_table(spark, d, "documents")).select("doc_id", F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("content"), "source")
 
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
-    df = curation.prepare(readers.documents_as_extracted(_table(spark, d, "documents")), curation.CurationConfig()).withColumn("doc_id", F.col("ord"))
+    df = curation.prepare(readers.documents_as_extracted(spread(_table(spark, d, "documents"))), curation.CurationConfig()).withColumn("doc_id", F.col("ord"))
     # Written, so that a filter on the reason isn't pushed below the columns it is made of, which would repeat them.
     return Tables(spark, "prepared").save(df.select("doc_id", "id", "word_count", "content", "original_content", "file_path", "reason"), "documents")
 
@@ -145,14 +146,18 @@ def extraction_run_stats(spark, d):
     )
 
 
+def _exact(spark, d):
+    return dedup.exact_duplicates(_raw(spark, d), Tables(spark, "exact"))
+
+
 @query
 def exact_dedup(spark, d):
-    return dedup.exact_duplicates(_raw(spark, d)).where("ord = first_ord").select("doc_id", F.substring("content_hash", 1, 12).alias("content_hash"))
+    return _exact(spark, d).where("ord = first_ord").select(F.col("ord").alias("doc_id"), F.substring("content_hash", 1, 12).alias("content_hash"))
 
 
 @query
 def exact_dup_pairs(spark, d):
-    return dedup.exact_duplicates(_raw(spark, d)).where("ord <> first_ord").select(F.lit("exact").alias("type"), F.col("ord").alias("removed"), F.col("first_ord").alias("kept"))
+    return _exact(spark, d).where("ord <> first_ord").select(F.lit("exact").alias("type"), F.col("ord").alias("removed"), F.col("first_ord").alias("kept"))
 
 
 @query
@@ -160,14 +165,19 @@ def shingle_counts(spark, d):
     return dedup.shingle_table(_raw(spark, d)).select(F.col("ord").alias("doc_id"), F.col("n").alias("n_shingles"))
 
 
-def _pairs(spark, d, threshold):
+def _sets(spark, d):
     t = Tables(spark, "pairs")
-    sets = t.save(dedup.shingle_table(_raw(spark, d)), "sets").where("n > 0")
-    return dedup.similar_sets(sets, threshold, t).select("i", "j", F.round("similarity", 6).alias("similarity"))
+    return t.save(dedup.shingle_table(_raw(spark, d)), "sets").where("n > 0"), t
+
+
+def _pairs(spark, d, threshold):
+    sets, t = _sets(spark, d)
+    return dedup.fuzzy_pairs(sets, threshold, t)[0].select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def fuzzy_pairs(spark, d):
+    """Pairs between the first documents of equal sets; fuzzy_members has the documents of each."""
     return _pairs(spark, d, 0.85)
 
 
@@ -176,18 +186,28 @@ def fuzzy_pairs_half(spark, d):
     return _pairs(spark, d, 0.5)
 
 
+@query
+def fuzzy_members(spark, d):
+    sets, t = _sets(spark, d)
+    return dedup.equal_sets(sets, t).select(F.col("ord").alias("doc_id"), F.col("first_ord").alias("representative"))
+
+
+def _keepers(spark, d, t):
+    """Scored documents after exact duplicates are gone, as the similarity levels get them."""
+    keep = dedup.exact_duplicates(_raw(spark, d), t).where("ord = first_ord").select("ord")
+    return t.save(_scored(spark, d).where("size(words) > 4").select("ord", "content", "overall_score").join(keep, "ord", "left_semi"), "scored")
+
+
 @query
 def fuzzy_dedup(spark, d):
     t = Tables(spark, "fuzzy")
-    scored = t.save(_scored(spark, d).where("size(words) > 4").select("ord", "content", "overall_score"), "scored")
-    return dedup.fuzzy_removals(scored, t).select("i", "j", F.round("similarity", 6).alias("similarity"), "removed", "kept", "logged")
+    return dedup.fuzzy_removals(_keepers(spark, d, t), t).select("i", "j", F.round("similarity", 6).alias("similarity"), "removed", "kept", "logged")
 
 
 @query
 def semantic_dedup(spark, d):
     t = Tables(spark, "semantic")
-    scored = t.save(_scored(spark, d).select("ord", "content", "overall_score"), "scored")
-    return dedup.semantic_removals(scored, t).select("i", "j", F.round("similarity", 6).alias("similarity"), "removed", "kept", "logged")
+    return dedup.semantic_removals(_keepers(spark, d, t), t).select("i", "j", F.round("similarity", 6).alias("similarity"), "removed", "kept", "logged")
 
 
 @query
@@ -303,15 +323,13 @@ def vocab_semi_join(spark, d):
 
 @query
 def vocab_growth(spark, d):
-    from pyspark.sql import Window
-
-    base = _base_vocabulary(spark, d).withColumn("id", F.row_number().over(Window.orderBy("token")) - 1)
+    base = Tables(spark, "base").numbered(_base_vocabulary(spark, d), [F.col("token")], "id")
     return vocabulary.grown(base, word_frequency(spark, d).where("frequency >= 200"))
 
 
 @query
 def manual_tokens(spark, d):
-    return vocabulary.manual_tokens(spark, word_frequency(spark, d).select(F.col("word").alias("token"))).select("token", "present")
+    return vocabulary.manual_tokens(spark, word_frequency(spark, d).select(F.col("word").alias("token")), list(VocabularyConfig().manual_tokens)).select("token", "present")
 
 
 def _counts(spark, d):
@@ -364,7 +382,9 @@ def embedding_norm_check(spark, d):
 
 @query
 def embedding_zero_rows(spark, d):
-    z = embeddings.zero_rows(_table(spark, d, "embeddings").select(F.col("vec_id").alias("token")), 64)
+    """Zero rows for the first label, the rows as they are for the others."""
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    z = embeddings.zero_rows(e.where("label = 0"), 64).unionByName(e.where("label <> 0").select("token", "embedding"))
     return embeddings.verify(z).agg(F.count("*").alias("rows"), F.sum(F.col("is_zero").cast("int")).alias("zero_rows"))
 
 
@@ -433,8 +453,8 @@ def response_speed_up(spark, d):
 
 @query
 def response_table(spark, d):
-    t = evaluation.response_table(_responses(spark, d).where("turn < 2").groupBy(F.col("conv_id").cast("string").alias("prompt"), "role").agg(F.max(F.length("text")).alias("n")), "prompt", "role", "n", ["assistant", "user"])
-    return t.select("prompt", "assistant", "user")
+    t = _responses(spark, d).select(F.col("conv_id").cast("string").alias("prompt"), "role", F.length("text").alias("n"))
+    return evaluation.response_table(t, "prompt", "role", "n", ["assistant", "system", "user"])
 
 
 @query
@@ -502,5 +522,6 @@ def word_count_range(spark, d):
 
 @query
 def pretrain_check(spark, d):
+    """The vocabulary is the benchmark's words, the matrix has the embeddings' rows."""
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return reports.pretrain_check(e, 10, 10)
+    return reports.pretrain_check(e, _base_vocabulary(spark, d).count(), e.count())
