@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import dedup, embeddings, evaluation, tfidf, tokens, training, vocabulary
+from textloom.operators import dedup, embeddings, evaluation, reports, tfidf, tokens, training, vocabulary
 from textloom.plans import curation
 from textloom.sources import readers, writers
 from textloom.storage import Tables
@@ -182,8 +182,8 @@ def test_reports(spark, tmp_path):
     lines = [(1, 0.0, y, 9.0, y) for y in (0.0, 5.0, 9.0)] + [(1, x, 0.0, x, 9.0) for x in (0.0, 5.0, 9.0)] + [(2, 0.0, 0.0, 9.0, 0.0)]
     (g,) = reports.grid_box(spark.createDataFrame(lines, "k int, x0 double, y0 double, x1 double, y1 double"), "k").collect()
     assert (g.k, g.bbox, g.data) == (1, [0.0, 0.0, 9.0, 9.0], [["Grid table detected"]])
-    schema = "doc_id int, page int, rows int, cols int, place int"
-    found, known = spark.createDataFrame([(1, 1, 2, 2, 0), (1, 1, 3, 3, 1), (1, 1, 4, 4, 2)], schema), spark.createDataFrame([(1, 1, 2, 2, 9)], schema)
+    schema = "doc_id int, page int, rows int, cols int, place int, strategy int"
+    found, known = spark.createDataFrame([(1, 1, 2, 2, 0, 1), (1, 1, 3, 3, 1, 1), (1, 1, 4, 4, 2, 1)], schema), spark.createDataFrame([(1, 1, 2, 2, 9, 0)], schema)
     assert [(r.rows, r.place) for r in reports.new_tables(found, known).collect()] == [(3, 1)]
     rows = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "id int, embedding array<double>")
     assert not reports.pretrain_check(rows, 2, 2).first().rows_ok and reports.pretrain_check(rows.where("id = 1"), 2, 3).first().asDict() == {"rows_ok": True, "sizes_ok": False}
@@ -192,3 +192,65 @@ def test_reports(spark, tmp_path):
     assert reports.missing_files(str(tmp_path), ["out", "x"]) == ["x"] and reports.folder_bytes(str(tmp_path)) == 3
     place = reports.clean_run(str(tmp_path), ["out"])
     assert not (tmp_path / "out").exists() and (tmp_path / place / "out" / "f").read_text() == "abc"
+
+
+def test_numbers_follow_the_order_across_partitions(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(500)], "ord long, score int").repartition(7)
+    got = Tables(spark, "t").numbered(df, [F.desc("score"), F.col("ord")], "k").collect()
+    assert [(r.score, r.ord) for r in sorted(got, key=lambda r: r.k)] == sorted(((i % 3, i) for i in range(500)), key=lambda x: (-x[0], x[1]))
+    assert sorted(r.k for r in got) == list(range(500))
+
+
+def test_new_rows_do_not_depend_on_the_layout(spark):
+    tokens = spark.createDataFrame([(f"t{i}", []) for i in range(200)], "token string, piece_ids array<long>")
+    base = spark.createDataFrame([(0, [1.0] * 8)], "id long, embedding array<float>")
+    one, two = ({r.token: r.embedding for r in embeddings.initialise(tokens.repartition(n), base, 8).collect()} for n in (1, 5))
+    flat = [x for e in one.values() for x in e]
+    assert one == two and abs(sum(flat) / len(flat)) < 0.003 and abs((sum(x * x for x in flat) / len(flat)) ** 0.5 - 0.02) < 0.002
+    assert {tuple(r.embedding) for r in embeddings.initialise(tokens, base, 8, fallback="mean").collect()} == {(1.0,) * 8}
+
+
+def test_files_of_a_reason_come_in_parts(spark):
+    rows = spark.createDataFrame([(f"f{i:03}", "a") for i in range(250)] + [("x", "b")], "filename string, reason string")
+    got = reports.reason_files(rows, 100).collect()
+    assert sorted(f for r in got if r.reason == "a" for f in r.files) == [f"f{i:03}" for i in range(250)] and all(r.files == sorted(r.files) for r in got)
+    assert sum(r.reason == "a" for r in got) == 3 and [r.files for r in got if r.reason == "b"] == [["x"]]
+
+
+def test_comparison_and_its_text(spark):
+    s = spark.createDataFrame([("base", 3, 2.0, 7.0), ("pretrained", 3, 1.0, 3.0)], "model string, n long, avg_loss double, perplexity double")
+    rows = evaluation.comparison(s).orderBy("place").collect()
+    assert [(r.model, r.exists, r.improvement_pct) for r in rows] == [("base", True, 0.0), ("initialized", False, None), ("pretrained", True, 50.0)]
+    text = evaluation.report_text(rows)
+    assert "initialized: not evaluated" in text and "pretrained: loss 1.0000, perplexity 3.00, +50.00 % against base" in text
+    assert evaluation.is_model_id("org/model") and not evaluation.is_model_id("/") and not evaluation.is_model_id("model")
+    info = evaluation.model_info(spark.createDataFrame([("m", "p/q", True)], "model string, path string, enabled boolean")).first()
+    assert info.info == "m (enabled): p/q"
+
+
+def test_logger_and_stages(tmp_path, capsys):
+    from textloom.logs import Stages, logger
+
+    log = logger("textloom.test", str(tmp_path / "logs" / "run.log"))
+    assert logger("textloom.test", str(tmp_path / "logs" / "run.log")).handlers == log.handlers and len(log.handlers) == 2
+    stages = Stages(log)
+    with stages.stage("a"):
+        pass
+    with stages.stage("a"):
+        pass
+    assert list(stages.seconds) == ["a"] and stages.total >= 0 and "a: 0.00 s" in (tmp_path / "logs" / "run.log").read_text()
+
+
+def test_curation_leaves_its_files(spark, tmp_path):
+    words = "It is a sentence of several words about table {}. "
+    rows = [(i, f"a/{i}.json", {"0": (words.format(i) * 8,)}, [], 0, 1) for i in range(3)] + [(3, "a/3.json", {"x": ("text",)}, [], 0, 1), (4, "a/4.json", {"0": ("short text only",)}, [], 0, 1)]
+    schema = "ord long, file_path string, pages map<string, struct<text: string>>, tables array<struct<data: array<array<string>>>>, images_detected int, total_pages int"
+    c = curation.curate(spark.createDataFrame(rows, schema))
+    writers.curation_files(c, str(tmp_path / "out"), {"all": 1.5})
+    report = json.loads((tmp_path / "out" / "report.json").read_text())
+    assert report["input_documents"] == 5 and report["seconds"] == {"all": 1.5} and report["stage_retention"]["prepared"] == 0.6 and "fuzzy_dedup" in report["methodology"]
+    statistics = json.loads((tmp_path / "out" / "statistics.json").read_text())
+    assert statistics["rejections_by_stage"]["Stage 1 - Preparation"] == 2 and statistics["rejections_by_reason"] == report["rejections_by_reason"]
+    files = {r.reason: list(r.files) for r in spark.read.json(str(tmp_path / "out" / "files_by_reason")).collect()}
+    assert files["Processing error: page key is no number: x"] == ["3.json"] and files["No extractable content"] == ["4.json"]
+    assert spark.read.json(str(tmp_path / "out" / "training")).count() == report["final_documents"] == spark.read.parquet(str(tmp_path / "out" / "dataset" / "documents")).count()

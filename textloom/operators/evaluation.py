@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,38 @@ def model_rows(models: DataFrame, summary: DataFrame) -> DataFrame:
     return models.join(summary, "model", "left").withColumn("exists", F.col("n").isNotNull()).withColumns({c: F.coalesce(c, inf) for c in ("avg_loss", "perplexity")})
 
 
+def is_model_id(place: str) -> bool:
+    """Whether a model's place is an id of a hub, rather than a folder that is there."""
+    return "/" in place and not os.path.exists(place)
+
+
+#: The models that a run compares, in order: untrained, with new tokens initialised, after training.
+COMPARED = ("base", "initialized", "pretrained")
+
+
+def comparison(summary: DataFrame, compared: tuple[str, ...] = COMPARED) -> DataFrame:
+    """A row for each of the models that are compared: place, model, exists, n, avg_loss, perplexity, improvement over the first."""
+    spark = summary.sparkSession
+    listed = spark.createDataFrame(list(enumerate(compared)), "place int, model string")
+    rows = model_rows(listed, summary)
+    base = rows.where(F.col("place") == 0).select(F.col("avg_loss").alias("base_loss"))  # one row
+    change = (F.col("base_loss") - F.col("avg_loss")) / F.nullif("base_loss", F.lit(0.0)) * 100
+    finite = F.col("exists") & (F.col("base_loss") < float("inf"))
+    return rows.join(F.broadcast(base), F.lit(True)).withColumn("improvement_pct", F.when(finite, change)).drop("base_loss")
+
+
+def report_text(rows: list) -> str:
+    """The comparison as text; rows: those of comparison(), a handful."""
+    out = ["Model comparison", "=" * 16]
+    for r in sorted(rows, key=lambda r: r["place"]):
+        if not r["exists"]:
+            out.append(f"{r['model']}: not evaluated")
+            continue
+        change = "" if r["place"] == 0 or r["improvement_pct"] is None else f", {r['improvement_pct']:+.2f} % against {min(rows, key=lambda x: x['place'])['model']}"
+        out.append(f"{r['model']}: loss {r['avg_loss']:.4f}, perplexity {r['perplexity']:.2f}{change}")
+    return "\n".join(out) + "\n"
+
+
 def verdicts(summary: DataFrame, base: str) -> DataFrame:
     """Improvement in per cent over the base model, and its verdict."""
     b = summary.where(F.col("model") == base).select(F.col("avg_loss").alias("base_loss"))  # one row
@@ -56,3 +90,9 @@ def response_table(df: DataFrame, prompt: str, model: str, value: str, models: l
 def enabled_models(df: DataFrame, only: list[str] | None = None) -> DataFrame:
     out = df.where("enabled")
     return out.where(F.col("model").isin(only)) if only else out
+
+
+def model_info(df: DataFrame) -> DataFrame:
+    """A line about each model (model, path, enabled): its name, state and place."""
+    state = F.when(F.col("enabled"), "enabled").otherwise("disabled")
+    return df.select("model", "path", "enabled", F.format_string("%s (%s): %s", "model", state, "path").alias("info"))

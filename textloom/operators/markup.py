@@ -99,10 +99,3 @@ def page_summary(pages: Column) -> Column:
     p = F.array_sort(F.array_distinct(pages))
     named = F.transform(p, lambda x: x.cast("string"))
     return F.when(F.size(p) <= 5, F.array_join(named, ",")).otherwise(F.concat(F.lit("P"), F.element_at(named, 1), F.lit("-"), F.element_at(named, -1)))
-
-
-def grid_detected(lines: Column, tolerance: float = 2.0) -> Column:
-    """Whether at least three horizontal and three vertical lines are drawn; lines: structs x0, y0, x1, y1."""
-    flat = F.size(F.filter(lines, lambda q: F.abs(q["y0"] - q["y1"]) < tolerance))
-    upright = F.size(F.filter(lines, lambda q: F.abs(q["x0"] - q["x1"]) < tolerance))
-    return (flat >= 3) & (upright >= 3)

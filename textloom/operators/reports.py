@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .embeddings import init_report, verify
+from .markup import table_of_lines
 
 
 def document_stats(pages: Column, n_tables: Column, n_images: Column) -> Column:
@@ -52,9 +54,58 @@ def grid_box(lines: DataFrame, key: str, tolerance: float = 2.0) -> DataFrame:
 
 
 def new_tables(found: DataFrame, known: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Tables of a further parser that no known table of the same page, row and column count stands for; one per page."""
+    """Tables of a further parser that no known table of the same page, row and column count stands for.
+
+    found: (doc, page, strategy, place, rows, cols, ...). Each strategy adds the first such table of a page; of tables of one
+    shape that several strategies add, the one of the first strategy stays.
+    """
     fresh = found.join(known.select(doc, "page", "rows", "cols").distinct(), [doc, "page", "rows", "cols"], "left_anti")
-    return fresh.groupBy(doc, "page").agg(F.min_by(F.struct(*[c for c in found.columns if c not in (doc, "page")]), "place").alias("t")).select(doc, "page", "t.*")
+    first = lambda df, by, order: df.groupBy(*by).agg(F.min(F.struct(*order, *[c for c in found.columns if c not in (*by, *order)])).alias("t")).select(*by, "t.*")
+    each = first(fresh, [doc, "page", "strategy"], ["place"])
+    return first(each, [doc, "page", "rows", "cols"], ["strategy", "place"]).select(*found.columns)
+
+
+def fallback_tables(found: DataFrame, known: DataFrame, pages: DataFrame, doc: str = "doc_id", longer_than: int = 50) -> DataFrame:
+    """Tables of a last parser, for pages (doc, page, text) that have none yet and a text of more than so many characters."""
+    long = pages.where(F.length("text") > longer_than).select(doc, "page")
+    return found.join(long, [doc, "page"], "left_semi").join(known.select(doc, "page").distinct(), [doc, "page"], "left_anti")
+
+
+def block_tables(blocks: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Tables that stand in text blocks (key, text): data, rows, cols, confidence medium; blocks of under two rows have none."""
+    t = blocks.withColumn("data", table_of_lines(F.split(text, "\n"))).where(F.size("data") >= 2)
+    cols = F.array_max(F.transform("data", F.size))
+    return t.select(*key, "data", F.size("data").alias("rows"), cols.alias("cols"), F.lit("medium").alias("confidence"))
+
+
+def reason_files(rejections: DataFrame, chunk: int = 1000) -> DataFrame:
+    """(reason, part, files): the file names of each reason, sorted, in lists of at most about ``chunk``.
+
+    Names are dealt to parts by their hash, by the reason's count, so no reason's names stand in one list, however many there are.
+    """
+    n = rejections.groupBy("reason").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    dealt = rejections.join(n, "reason").withColumn("part", F.pmod(F.xxhash64("filename"), F.col("parts")).cast("int"))
+    return dealt.groupBy("reason", "part").agg(F.array_sort(F.collect_list("filename")).alias("files"))
+
+
+def as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """One row: a small table (a row per grade, stage, reason kind) as a map, sorted by key."""
+    return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+
+
+def extraction_statistics(df: DataFrame, quality: str = "overall_quality") -> DataFrame:
+    """One row: extraction_success' totals, mean, least and largest quality, and how many documents each tenth of quality has."""
+    tenths = df.groupBy(F.least(F.floor(F.col(quality) * 10), F.lit(9)).cast("int").alias("tenth")).agg(F.count("*").alias("n"))
+    stats = df.agg(F.avg(quality).alias("mean_quality"), F.min(quality).alias("least_quality"), F.max(quality).alias("largest_quality"))
+    one = F.lit(True)  # one row each
+    return extraction_success(df).join(stats, one).join(as_map(tenths.where("tenth is not null"), "tenth", "n", "quality_tenths"), one)
+
+
+def embedding_report(input_rows: DataFrame, output_rows: DataFrame, samples: int = 5) -> DataFrame:
+    """One row: init_report's counts, and the norms of the first tokens as samples."""
+    first = verify(input_rows).orderBy("token").limit(samples)
+    shown = first.agg(F.array_sort(F.collect_list(F.struct("token", F.round("norm", 6).alias("norm"), "initialised"))).alias("samples"))
+    return init_report(input_rows, output_rows).join(shown, F.lit(True))  # one row each
 
 
 def pretrain_check(rows: DataFrame, tokenizer_size: int, matrix_rows: int, first: int = 3, least: float = 1e-6) -> DataFrame:

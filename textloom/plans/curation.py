@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from ..functions import quality as Q
 from ..functions import text as X
 from ..operators import dedup
 from ..operators.markup import flat_table
+from ..operators.reports import as_map
 from ..storage import Tables
 
 
@@ -29,7 +31,7 @@ class Curation:
 
 def page_text(pages: Column) -> Column:
     """Texts of ten characters or more, by numeric page, joined by blank lines."""
-    ordered = F.array_sort(F.transform(F.map_entries(pages), lambda e: F.struct(e["key"].cast("int").alias("k"), X.strip(F.coalesce(e["value"]["text"], F.lit(""))).alias("t"))))
+    ordered = F.array_sort(F.transform(F.map_entries(pages), lambda e: F.struct(e["key"].try_cast("int").alias("k"), X.strip(F.coalesce(e["value"]["text"], F.lit(""))).alias("t"))))
     return F.array_join(F.filter(F.transform(ordered, lambda e: e["t"]), lambda t: F.length(t) >= 10), "\n\n")
 
 
@@ -47,7 +49,9 @@ def prepare(docs: DataFrame, cfg: CurationConfig) -> DataFrame:
     df = df.withColumn("original_content", F.when(has & (F.col("_t") != ""), F.concat_ws("\n\n", "original_content", "_t")).otherwise(F.col("original_content"))).drop("_t")
     df = Q.with_tokens(df.withColumn("content", X.normalise_content(F.col("original_content"))))
     n = F.size("words")
-    reason = F.when(~has, "No extractable content").otherwise(
+    odd = F.filter(F.map_keys("pages"), lambda k: k.try_cast("int").isNull())  # such a row must not fail the others
+    error = F.concat(F.lit("Processing error: "), F.substring(F.concat(F.lit("page key is no number: "), F.try_element_at(odd, F.lit(1))), 1, 50))
+    reason = F.when(F.size(odd) > 0, error).when(~has, "No extractable content").otherwise(
         Q.gate_reason(n, Q.sentence_pieces(F.col("content")), Q.gibberish_matches(F.col("content"), F.col("tokens")), cfg.min_words_per_doc, cfg.min_sentences_per_doc)
     )
     return df.withColumn("reason", reason).withColumn("word_count", n).withColumn("id", F.substring(F.md5("content"), 1, 12))
@@ -58,8 +62,8 @@ def _rejected(df: DataFrame, stage: str, reason: Column, counted: bool = True) -
     return df.select("ord", X.basename(F.col("file_path")).alias("filename"), F.lit(stage).alias("stage"), reason.alias("reason"), words.cast("int").alias("word_count"))
 
 
-def curate(docs: DataFrame, cfg: CurationConfig | None = None) -> Curation:
-    """docs: extracted documents with ord, the order that decides ties."""
+def curate(docs: DataFrame, cfg: CurationConfig | None = None, until: str = "semantic") -> Curation:
+    """docs: extracted documents with ord, the order that decides ties; until: the last level of duplicates (exact, fuzzy, semantic)."""
     cfg = cfg or CurationConfig()
     tables = Tables(docs.sparkSession, "curation")
     prepared = tables.save(prepare(docs, cfg), "prepared")
@@ -79,7 +83,7 @@ def curate(docs: DataFrame, cfg: CurationConfig | None = None) -> Curation:
     left = tables.save(first.where(F.col("ord") == F.col("first_ord")).withColumn("content_hash", F.substring("content_hash", 1, 12)).drop("first_ord"), "after-exact")
     counts = [("input", docs), ("prepared", prepared.where("reason is null")), ("quality", good), ("exact", left)]
     for level, removals in (("fuzzy", dedup.fuzzy_removals), ("semantic", dedup.semantic_removals)):
-        if level == "semantic" and not cfg.semantic:
+        if until == "exact" or level == "semantic" and not (cfg.semantic and until == level):
             continue
         gone = tables.save(removals(left, tables, getattr(cfg, f"{level}_dedup_threshold")), f"{level}-removals")
         names = left.select("ord", name.alias("name"))
@@ -125,9 +129,45 @@ def retention(stages: DataFrame) -> DataFrame:
 
 def metadata(c: Curation) -> DataFrame:
     """One row: total, mean quality, domains, grades, removed pairs by level."""
-    as_map = lambda df, k, v: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias("m"))
     total = c.curated.agg(F.count("*").alias("total_documents"), F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("average_quality"))
-    domains = as_map(c.curated.groupBy("domain_category").agg(F.count("*").alias("n")), "domain_category", "n").withColumnRenamed("m", "domain_distribution")
-    grades = as_map(c.grades, "quality_grade", "documents").withColumnRenamed("m", "quality_distribution")
-    levels = as_map(c.pairs.groupBy("type").agg(F.count("*").alias("n")), "type", "n").withColumnRenamed("m", "deduplication_stats")
+    domains = as_map(c.curated.groupBy("domain_category").agg(F.count("*").alias("n")), "domain_category", "n", "domain_distribution")
+    grades = as_map(c.grades, "quality_grade", "documents", "quality_distribution")
+    levels = as_map(c.pairs.groupBy("type").agg(F.count("*").alias("n")), "type", "n", "deduplication_stats")
     return total.crossJoin(domains).crossJoin(grades).crossJoin(levels).withColumn("curation_date", F.current_timestamp())  # one row each
+
+
+#: How each figure of a curation report is made.
+METHODS = {
+    "preparation": "page texts and tables joined, NFKC, short lines dropped; gates on words, sentences and gibberish",
+    "quality": "weighted mean of six text metrics, graded from A+ to D",
+    "exact_dedup": "equal keys after case, punctuation and white space are dropped",
+    "fuzzy_dedup": "Jaccard similarity of five-word shingles, greedy by score",
+    "semantic_dedup": "cosine of term weights of two- and three-word terms, greedy by score",
+    "privacy": "patterns of personal data replaced by their kind",
+}
+
+
+def statistics(c: Curation) -> DataFrame:
+    """One row: documents at each stage, rejections by stage and by kind of reason, duplicate pairs by level."""
+    kind = F.regexp_replace("reason", r"[0-9].*$|:.*$", "")
+    stages = as_map(c.stages, "stage", "documents", "stages")
+    by_stage = as_map(c.rejections.groupBy("stage").agg(F.count("*").alias("n")), "stage", "n", "rejections_by_stage")
+    by_kind = as_map(c.rejections.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")), "kind", "n", "rejections_by_reason")
+    pairs = as_map(c.pairs.groupBy("type").agg(F.count("*").alias("n")), "type", "n", "duplicate_pairs")
+    one = F.lit(True)  # one row each
+    return stages.join(by_stage, one).join(by_kind, one).join(pairs, one)
+
+
+def report(c: Curation, seconds: dict[str, float] | None = None) -> DataFrame:
+    """The curation report as one row: retention, by stage too; quality of what is kept; statistics; seconds by stage; methods."""
+    kept = retention(c.stages)
+    last = kept.agg(F.max_by("retention", "k").alias("retention_rate"), F.max_by("documents", "k").alias("final_documents"), F.min_by("documents", "k").alias("input_documents"))
+    score = F.col("quality_score")
+    quality = c.curated.agg(F.struct(
+        F.coalesce(F.avg(score), F.lit(0.0)).alias("mean"), F.min(score).alias("least"), F.max(score).alias("largest"), F.stddev_pop(score).alias("deviation"),
+        F.coalesce(F.sum(F.col("pii_removed").cast("int")), F.lit(0)).alias("documents_with_personal_data"),
+    ).alias("quality_analysis"))
+    literal = lambda d, kind: F.from_json(F.lit(json.dumps(d)), f"map<string, {kind}>")
+    one = F.lit(True)  # one row each
+    out = last.join(as_map(kept, "stage", "retention", "stage_retention"), one).join(quality, one).join(statistics(c), one)
+    return out.select("*", literal(seconds or {}, "double").alias("seconds"), literal(METHODS, "string").alias("methodology"), F.current_timestamp().alias("created"))

@@ -183,7 +183,54 @@ def _html() -> str:
     return rf"array_to_string({blocks}, E'\n\n')"
 
 
+#: Scores of what the first stage leaves, and those that pass the second, with the exact level's key.
+EARLY = f"""{NORMAL},
+{SCORED.replace(f"raw AS ({RAW})", "sraw AS (SELECT doc_id, c, source FROM reasons WHERE reason IS NULL)").replace("FROM raw", "FROM sraw")},
+good AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sha256({_strip(KEY)})) AS f FROM scored WHERE overall_score >= 0.25)"""
+
+
+def _rows(names: str, *rows: str) -> str:
+    """Results of hand-made rows, as worked out by hand."""
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({names})"
+
+
 ORACLES = {
+    "doc_word_frequency": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_transform({_words('c')}, lambda x: lower(x))) AS word FROM ({RAW})) GROUP BY 1, 2",
+    "early_retention": f"""WITH {EARLY}, s AS (
+  SELECT 'input' AS stage, count(*) AS documents FROM raw UNION ALL SELECT 'prepared', count(*) FROM reasons WHERE reason IS NULL
+  UNION ALL SELECT 'quality', count(*) FROM good UNION ALL SELECT 'exact', count(DISTINCT f) FROM good)
+SELECT stage, documents, round(documents / (SELECT count(*) FROM raw), 6) AS retention FROM s""",
+    "early_rejections": f"""WITH {EARLY}, r AS (
+  SELECT 'Stage 1 - Preparation' AS stage, reason, CASE WHEN reason = 'No extractable content' THEN 0 ELSE n END AS n FROM reasons WHERE reason IS NOT NULL
+  UNION ALL SELECT 'Stage 2 - Quality', 'Low quality score: ' || format('{{:.3f}}', overall_score) || ' < 0.25', n FROM scored WHERE overall_score < 0.25
+  UNION ALL SELECT 'Stage 3 - Exact Dedup', 'Exact duplicate', n FROM good WHERE doc_id <> f)
+SELECT stage, reason, count(*) AS documents, sum(n)::BIGINT AS words FROM r GROUP BY 1, 2""",
+    "early_reason_files": f"WITH {NORMAL} SELECT reason, count(*) AS files, sum(doc_id)::BIGINT AS ids FROM reasons WHERE reason IS NOT NULL GROUP BY 1",
+    "extraction_statistics": f"""WITH {EXTRACTION} SELECT count(*) AS files, sum((word_count > 0)::INT)::BIGINT AS successful, round(avg(q), 4) AS mean_quality, round(min(q), 4) AS least_quality,
+  round(max(q), 4) AS largest_quality, {', '.join(f"sum((least(floor(q * 10), 9) = {i})::INT)::BIGINT AS t{i}" for i in range(10))} FROM ext""",
+    "model_comparison": """WITH s AS (SELECT event_type AS model, count(*) AS n, avg(value) AS l FROM events GROUP BY 1), p AS (SELECT * FROM (VALUES (0, 'view'), (1, 'click'), (2, 'none')) AS t(place, model))
+SELECT place, p.model, n IS NOT NULL AS exists, n, coalesce(round(l, 4), 'inf'::DOUBLE) AS avg_loss, round(((SELECT l FROM s WHERE model = 'view') - l) / (SELECT l FROM s WHERE model = 'view') * 100, 4) AS improvement_pct FROM p LEFT JOIN s USING (model)""",
+    "embedding_report": """WITH m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2),
+n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY 1), k AS (SELECT count(*) AS k FROM n)
+SELECT k AS new_tokens, k AS initialised, k AS zeroed, true AS passed, (row_number() OVER (ORDER BY label) - 1)::INT AS place, label AS token, round(norm, 4) AS norm FROM n, k ORDER BY label LIMIT 3""",
+    "manual_embedding_fallback": """WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64))::INT AS place FROM embeddings)
+SELECT 'none' AS token, false AS initialised, place, round(avg(x), 5) AS x FROM f GROUP BY place UNION ALL SELECT 'pieces', true, place, round(avg(x), 5) FROM f WHERE vec_id IN (0, 1) GROUP BY place""",
+    "markdown_table_cases": _rows("doc_id, table_no, content, row_count", "(1, 1, E'| a | b |\\n|---|---|\\n| 1 | 2 |', 2)", "(1, 2, E'| c |\\n| 3 |', 1)", "(3, 1, '| x |', 0)"),
+    "html_table_cases": _rows("page_id, tables", "(1, 2)", "(2, 0)", "(3, 0)"),
+    "pii_cases": _rows("id, redacted, pii_removed", "(1, 'call [PHONE] or [PHONE]', true)", "(2, 'id [SSN].', true)", "(3, '[CREDIT_CARD]', true)", "(4, '[IP_ADDRESS] [EMAIL]', true)", "(5, 'nothing 12-34', false)"),
+    "near_image_cases": _rows("id, images", """(1, '[{"width":100,"height":50},{"width":105,"height":50}]')""", "(2, '[]')", """(3, '[{"width":11,"height":11},{"width":300,"height":11}]')"""),
+    "page_summary_cases": _rows("id, summary", "(1, '1,3')", "(2, 'P1-6')", "(3, '')", "(4, '5,6,7,8,9')"),
+    "unique_table_cases": _rows("doc_id, page, place", "(1, 1, 0)", "(1, 2, 2)", "(1, 1, 3)", "(2, 1, 4)"),
+    "added_table_cases": _rows("doc_id, page, strategy, place, rows, cols", "(1, 1, 1, 1, 3, 2)", "(1, 1, 3, 0, 5, 5)", "(1, 2, 1, 0, 2, 2)", "(1, 3, 9, 0, 7, 7)"),
+    "block_table_cases": _rows("doc_id, block, flat, rows, cols, confidence", "(1, 0, E'a | b\\nc | d', 2, 2, 'medium')", "(2, 0, E'x | y\\n1 | 2\\n3 | 4', 3, 2, 'medium')"),
+    "grid_box_cases": _rows("page_id, rows, cols, bbox", "(1, 1, 1, '0,0,9,10')"),
+    "unicode_cases": _rows("id, normalised", "(1, 'fine 12 line')", "(2, 'softhyphen andspace')", "(3, 'plain text here')"),
+    "element_cases": _rows("filename, text, tables, element_count", "('a', E'Head\\n\\n1 2', '<table>1 2</table>', 3)", "('b', 'only', 'only', 1)"),
+    "page_key_cases": _rows("ord, reason, middle, last", "(1, NULL, 398, 416)", "(2, 'Processing error: page key is no number: zero', 0, 0)"),
+    "training_lines_read_back": f"SELECT md5(c) AS text_md5, length(c) AS n_chars, count(*) AS rows FROM ({RAW}) WHERE c <> '' GROUP BY 1, 2",
+    "limited_lines_read_back": "SELECT md5(text) AS text_md5 FROM (SELECT CASE WHEN item_id % 7 = 0 THEN '' ELSE text END AS text, item_id FROM benchmark ORDER BY item_id LIMIT 30) WHERE text <> ''",
+    "document_files_read_back": f"SELECT doc_id::VARCHAR || '.pdf' AS filename, md5(c) AS text_md5 FROM ({RAW})",
+    "vocabulary_files_read_back": f"WITH {VOC} SELECT word, frequency FROM voc WHERE frequency >= 200",
     "doc_word_stats": f"SELECT doc_id, len({_words('c')}) AS n_words, length(c) AS n_chars, len(list_distinct(list_transform({_words('c')}, lambda x: lower(x)))) AS n_distinct FROM ({RAW})",
     "doc_ids_md5": f"SELECT doc_id, left(md5(c), 12) AS id, left(sha256(c), 12) AS sha_id FROM ({RAW})",
     "normalize_lines": f"WITH {NORMAL.replace('length(' + _strip('c') + ') >= 10', 'true')} SELECT doc_id, md5(c) AS content_md5 FROM norm",
@@ -245,6 +292,7 @@ SELECT word, frequency, len(pieces) AS split_count, pieces AS base_tokens FROM c
     "embedding_zero_rows": "SELECT count(*) AS rows, sum((label = 0 OR list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) < 1e-12)::INT)::BIGINT AS zero_rows FROM embeddings",
     "embedding_init_report": "SELECT n AS new_tokens, n AS initialised, true AS inputs_ok, n AS zeroed, true AS outputs_ok, true AS passed FROM (SELECT count(DISTINCT label) AS n FROM embeddings)",
     "train_val_split": f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || '-42'), doc_id) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'validation' END AS split FROM ({RAW}) WHERE {_strip('c')} <> ''",
+    "dataset_read_back": f"SELECT split, count(*) AS rows, sum(length(c))::BIGINT AS n_chars FROM (SELECT c, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || '-42'), doc_id) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'validation' END AS split FROM ({RAW}) WHERE {_strip('c')} <> '') GROUP BY 1",
     "loss_monitor": "SELECT event_id, first_value(value) OVER w AS initial_loss, min(value) OVER w AS best_loss, value > 10 AS is_spike, value > 3 * first_value(value) OVER w AS is_explosion FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
     "early_stopping": """WITH a AS (SELECT *, min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events),
 b AS (SELECT *, best IS NULL OR best - value > 0.01 AS improved FROM a),

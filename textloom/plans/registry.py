@@ -10,7 +10,7 @@ from ..functions import patterns as P
 from ..functions import quality as Q
 from ..functions import text as X
 from ..operators import dedup, embeddings, evaluation, markup, reports, tfidf, tokens, training, vocabulary
-from ..sources import readers
+from ..sources import readers, writers
 from ..config import VocabularyConfig
 from ..storage import Tables, spread
 from . import curation
@@ -260,8 +260,8 @@ def curated_top_k(spark, d):
     return _scored(spark, d).orderBy(F.desc("overall_score"), "doc_id").limit(20).select("doc_id", "overall_score")
 
 
-def _curated(spark, d):
-    return curation.curate(readers.documents_as_extracted(_table(spark, d, "documents")))
+def _curated(spark, d, until="semantic"):
+    return curation.curate(readers.documents_as_extracted(spread(_table(spark, d, "documents"))), until=until)
 
 
 @query
@@ -525,3 +525,224 @@ def pretrain_check(spark, d):
     """The vocabulary is the benchmark's words, the matrix has the embeddings' rows."""
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return reports.pretrain_check(e, _base_vocabulary(spark, d).count(), e.count())
+
+
+@query
+def doc_word_frequency(spark, d):
+    """Lower-cased words of each document, counted."""
+    w = _raw(spark, d).select("doc_id", F.explode(F.transform(X.words(F.col("content")), F.lower)).alias("word"))
+    return w.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query
+def early_retention(spark, d):
+    """Retention up to exact duplicates."""
+    r = curation.retention(_curated(spark, d, until="exact").stages).where("k <= 3")
+    return r.select("stage", "documents", F.round("retention", 6).alias("retention"))
+
+
+@query
+def early_rejections(spark, d):
+    """Rejections of the stages up to exact duplicates, by stage and reason."""
+    r = _curated(spark, d, until="exact").rejections
+    return r.groupBy("stage", "reason").agg(F.count("*").alias("documents"), F.sum("word_count").cast("long").alias("words"))
+
+
+@query
+def early_reason_files(spark, d):
+    """Files of each reason of the first stage, in lists of a hundred or so, told by their number and a digest of the names."""
+    r = _prepared(spark, d).where("reason is not null").select("reason", X.basename(F.col("file_path")).alias("filename"))
+    files = reports.reason_files(r, 100).select("reason", F.explode("files").alias("f"))
+    return files.groupBy("reason").agg(F.count("*").alias("files"), F.sum(F.col("f").cast("long")).alias("ids"))
+
+
+@query
+def curation_statistics(spark, d):
+    return curation.statistics(_curated(spark, d)).select(*[F.to_json(c).alias(c) for c in ("stages", "rejections_by_stage", "duplicate_pairs")])
+
+
+@query
+def curation_report(spark, d):
+    r = curation.report(_curated(spark, d), {"all": 0.0})
+    return r.select("input_documents", "final_documents", F.round("retention_rate", 6).alias("retention_rate"), F.to_json("quality_analysis").alias("quality_analysis"))
+
+
+@query
+def extraction_statistics(spark, d):
+    df = _extraction(spark, d).withColumn("extraction_success", F.col("word_count") > 0).withColumn("total_pages", F.lit(1))
+    s = reports.extraction_statistics(df)
+    tenths = [F.coalesce(F.try_element_at("quality_tenths", F.lit(i)), F.lit(0).cast("long")).alias(f"t{i}") for i in range(10)]
+    return s.select("files", "successful", *[F.round(c, 4).alias(c) for c in ("mean_quality", "least_quality", "largest_quality")], *tenths)
+
+
+@query
+def model_comparison(spark, d):
+    """Event types stand for models; one of them has no losses."""
+    s = evaluation.loss_summary(_losses(spark, d), "event_type", "value")
+    c = evaluation.comparison(s, ("view", "click", "none"))
+    return c.select("place", "model", "exists", "n", F.round("avg_loss", 4).alias("avg_loss"), F.round("improvement_pct", 4).alias("improvement_pct"))
+
+
+@query
+def embedding_report(spark, d):
+    e = _table(spark, d, "embeddings")
+    new = e.groupBy(F.col("label").alias("token")).agg(F.array_sort(F.collect_list("vec_id")).alias("piece_ids"))
+    rows = embeddings.initialise(new, e.select(F.col("vec_id").alias("id"), "embedding"), 64)
+    r = reports.embedding_report(rows, embeddings.zero_rows(new, 64), 3)
+    return r.select("new_tokens", "initialised", "zeroed", "passed", F.posexplode("samples").alias("place", "s")).select(
+        "new_tokens", "initialised", "zeroed", "passed", "place", "s.token", F.round("s.norm", 4).alias("norm")
+    )
+
+
+@query
+def manual_embedding_fallback(spark, d):
+    """A token without pieces gets the mean of all base rows."""
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    new = spark.createDataFrame([("pieces", [0, 1]), ("none", [])], "token string, piece_ids array<long>")
+    rows = embeddings.initialise(new, e, 64, fallback="mean")
+    return rows.select("token", "initialised", F.posexplode("embedding").alias("place", "x")).select("token", "initialised", "place", F.round("x", 5).alias("x"))
+
+
+def _cases(spark, rows, schema):
+    """Hand-made rows, where no table of the fixture has the case."""
+    return spark.createDataFrame(rows, schema)
+
+
+@query
+def markdown_table_cases(spark, d):
+    text = "before\n| a | b |\n|---|---|\n| 1 | 2 |\nbetween\n  | c |  \n| 3 |"
+    t = markup.markdown_tables(_cases(spark, [(1, text), (2, "no table | here"), (3, "| x |")], "doc_id long, content string"), "doc_id", "content")
+    return t.select("doc_id", "table_no", "content", "row_count")
+
+
+@query
+def html_table_cases(spark, d):
+    rows = [(1, "<p>x</p><TABLE border=1><tr><td>1</td></tr>\n</TABLE><table></table>"), (2, "<p>none</p>"), (3, "<table> not closed")]
+    return _cases(spark, rows, "page_id long, html string").select("page_id", F.size(markup.html_tables(F.col("html"))).alias("tables"))
+
+
+@query
+def pii_cases(spark, d):
+    rows = [(1, "call 555-123-4567 or 5551234567"), (2, "id 123-45-6789."), (3, "4111 1111 1111 1111"), (4, "10.0.0.1 a.b@c.org"), (5, "nothing 12-34")]
+    return _cases(spark, rows, "id long, t string").select("id", D.redact(F.col("t")).alias("redacted"), (D.redact(F.col("t")) != F.col("t")).alias("pii_removed"))
+
+
+@query
+def near_image_cases(spark, d):
+    image = "array<struct<width: int, height: int>>"
+    rows = [(1, [(100, 50), (102, 53), (105, 50), (8, 90)]), (2, []), (3, [(11, 11), (300, 11), (15, 15)])]
+    return _cases(spark, rows, f"id long, images {image}").select("id", F.to_json(markup.near_images(F.col("images"))).alias("images"))
+
+
+@query
+def page_summary_cases(spark, d):
+    rows = [(1, [3, 1, 3]), (2, [1, 2, 3, 4, 5, 6]), (3, []), (4, [9, 8, 7, 6, 5])]
+    return _cases(spark, rows, "id long, pages array<int>").select("id", markup.page_summary(F.col("pages")).alias("summary"))
+
+
+@query
+def unique_table_cases(spark, d):
+    rows = [(1, 1, 2, 2, 0), (1, 1, 2, 2, 1), (1, 2, 2, 2, 2), (1, 1, 3, 2, 3), (2, 1, 2, 2, 4)]
+    t = markup.unique_tables(_cases(spark, rows, "doc_id long, page int, rows int, cols int, place int"), "doc_id", "place")
+    return t.select("doc_id", "page", "place")
+
+
+@query
+def added_table_cases(spark, d):
+    """Tables that further parsers add: the first new one of each strategy on a page; the last parser's only for pages without any."""
+    schema = "doc_id long, page int, strategy int, place int, rows int, cols int"
+    known = _cases(spark, [(1, 1, 0, 0, 2, 2)], schema)
+    found = _cases(spark, [(1, 1, 1, 0, 2, 2), (1, 1, 1, 1, 3, 2), (1, 1, 1, 2, 4, 2), (1, 1, 2, 0, 3, 2), (1, 1, 3, 0, 5, 5), (1, 2, 1, 0, 2, 2)], schema)
+    last = _cases(spark, [(1, 1, 9, 0, 7, 7), (1, 3, 9, 0, 7, 7), (1, 4, 9, 0, 7, 7)], schema)
+    pages = _cases(spark, [(1, 1, "x" * 60), (1, 3, "x" * 60), (1, 4, "x" * 50)], "doc_id long, page int, text string")
+    new = reports.new_tables(found, known)
+    return new.unionByName(reports.fallback_tables(last, known.unionByName(new), pages))
+
+
+@query
+def block_table_cases(spark, d):
+    rows = [(1, 0, "a\tb\nc\td"), (1, 1, "one line\tonly"), (2, 0, "x | y\n1 | 2\n3 | 4"), (2, 1, "plain\nprose")]
+    t = reports.block_tables(_cases(spark, rows, "doc_id long, block int, text string"), ["doc_id", "block"])
+    return t.select("doc_id", "block", markup.flat_table(F.col("data")).alias("flat"), "rows", "cols", "confidence")
+
+
+@query
+def grid_box_cases(spark, d):
+    grid = [(1, 0.0, float(y), 9.0, float(y) + 1) for y in (0, 5, 9)] + [(1, float(x), 0.0, float(x), 9.0) for x in (0, 4, 9)]
+    rows = grid + [(2, 0.0, 0.0, 9.0, 0.0)] * 3
+    g = reports.grid_box(_cases(spark, rows, "page_id long, x0 double, y0 double, x1 double, y1 double"), "page_id")
+    return g.select("page_id", "rows", "cols", F.array_join(F.transform("bbox", lambda v: v.cast("int").cast("string")), ",").alias("bbox"))
+
+
+@query
+def unicode_cases(spark, d):
+    rows = [(1, "\ufb01ne \uff11\uff12 line"), (2, "soft\u00adhyphen and\u200bspace"), (3, "plain  text   here")]
+    return _cases(spark, rows, "id long, t string").select("id", X.normalise_content(F.col("t")).alias("normalised"))
+
+
+@query
+def element_cases(spark, d):
+    schema = "filename string, place int, type string, text string, text_as_html string"
+    rows = [("a", 1, "Title", "Head", None), ("a", 2, "Table", "1 2", "<table>1 2</table>"), ("a", 0, "Text", " ", None), ("b", 0, "Table", "only", "")]
+    out = readers.elements_as_documents(_cases(spark, rows, schema))
+    return out.select("filename", "text", F.array_join(F.transform("tables", lambda t: t["content"]), "; ").alias("tables"), "element_count")
+
+
+@query
+def page_key_cases(spark, d):
+    """A row that cannot be processed is rejected with its error, and leaves the others alone."""
+    words = "It is a sentence of several words about a table. " * 8
+    rows = [(1, "a/x.json", {"0": (words,), "10": ("The last page.",), "2": ("The middle page.",)}, [], 0, 3), (2, "a/y.json", {"zero": (words,)}, [], 0, 1)]
+    schema = "ord long, file_path string, pages map<string, struct<text: string>>, tables array<struct<data: array<array<string>>>>, images_detected int, total_pages int"
+    p = curation.prepare(_cases(spark, rows, schema), curation.CurationConfig())
+    return p.select("ord", "reason", F.instr("original_content", "middle") .alias("middle"), F.instr("original_content", "last").alias("last"))
+
+
+def _reread(spark, d, what):
+    """Training rows that the writers leave, read back."""
+    t = Tables(spark, what)
+    return t, t.numbered(_scored(spark, d).select("doc_id", F.col("content").alias("text"), "overall_score"), [F.desc("overall_score"), F.col("doc_id")], "rank").withColumn("training_rank", F.col("rank").cast("int") + 1)
+
+
+@query
+def training_lines_read_back(spark, d):
+    t, rows = _reread(spark, d, "training-lines")
+    writers.training_lines(rows, f"{t.root}/lines")
+    back = readers.json_lines(spark, f"{t.root}/lines")
+    return back.select(F.md5("text").alias("text_md5"), F.length("text").alias("n_chars")).groupBy("text_md5", "n_chars").agg(F.count("*").alias("rows"))
+
+
+@query
+def limited_lines_read_back(spark, d):
+    """The first 100 lines of the benchmark as JSON lines, in order; blank ones count."""
+    t = Tables(spark, "limited-lines")
+    b = _table(spark, d, "benchmark").orderBy("item_id").select(F.when(F.col("item_id") % 7 == 0, "").otherwise(F.col("text")).alias("text"))
+    b.coalesce(1).write.json(f"{t.root}/lines")
+    return readers.json_lines(spark, f"{t.root}/lines", limit=30).select(F.md5("text").alias("text_md5"))
+
+
+@query
+def document_files_read_back(spark, d):
+    t = Tables(spark, "document-files")
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    docs = _raw(spark, d).select(path.alias("file_path"), F.struct(F.col("content").alias("text")).alias("page"))
+    t.save(writers.document_files(docs, f"{t.root}/files"), "written")
+    back = spark.read.schema("file_path string, page struct<text: string>").option("multiLine", True).json(f"{t.root}/files/*.json")
+    return back.select(X.basename(F.col("file_path")).alias("filename"), F.md5("page.text").alias("text_md5"))
+
+
+@query
+def dataset_read_back(spark, d):
+    """Documents as a dataset with metadata, as split files, and both read again."""
+    t = Tables(spark, "datasets")
+    rows = t.save(training.split_rows(_raw(spark, d), "content").select("split", F.col("content").alias("text")), "rows")
+    writers.split_files(rows, f"{t.root}/splits")
+    data = readers.json_dataset(spark, train=f"{t.root}/splits/split=train", validation=f"{t.root}/splits/split=validation")
+    return data.groupBy("split").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query
+def vocabulary_files_read_back(spark, d):
+    t = Tables(spark, "vocabulary-files")
+    writers.vocabulary(word_frequency(spark, d).where("frequency >= 200"), t.root)
+    return spark.read.text(f"{t.root}/words").select(F.col("value").alias("word")).join(spark.read.schema("word string, frequency long").json(f"{t.root}/candidates"), "word")

@@ -30,13 +30,47 @@ def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
     return df.where(F.col("_corrupt").isNull() & F.coalesce("extraction_success", F.lit(False)) & (F.size("pages") > 0)).drop("_corrupt")
 
 
-def json_lines(spark: SparkSession, path: str, field: Column | None = None) -> DataFrame:
-    """(text) of JSON lines: text, or content where that is empty; broken and empty lines are skipped."""
-    df = spark.read.schema("text string, content string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def json_lines(spark: SparkSession, path: str, field: Column | None = None, limit: int | None = None) -> DataFrame:
+    """(text) of JSON lines: text, or content where that is empty; broken and empty lines are skipped.
+
+    limit: only so many lines are read, in order of files and places in them, blank and broken ones among them.
+    """
+    schema = "text string, content string, _corrupt string"
+    if limit is None:
+        df = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    else:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+        first = lines.orderBy("f", "b", "m").limit(limit)
+        df = first.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     both = F.coalesce(F.nullif("text", F.lit("")), F.nullif("content", F.lit("")))
     return df.where(F.col("_corrupt").isNull()).select((field if field is not None else both).alias("text")).where(F.col("text").isNotNull())
 
 
+def json_dataset(spark: SparkSession, **splits: str) -> DataFrame:
+    """(split, text) of JSON-lines files by split, as in json_dataset(spark, train=..., validation=...)."""
+    parts = [json_lines(spark, path).select(F.lit(name).alias("split"), "text") for name, path in splits.items()]
+    out = spark.createDataFrame([], "split string, text string")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def elements_as_documents(elements: DataFrame) -> DataFrame:
+    """(filename, text, tables, element_count) of a parser's elements (filename, place, type, text, text_as_html).
+
+    Texts are joined by blank lines in order; a table's content is its HTML, or its text where it has none.
+    """
+    own = F.col("type") == "Table"
+    content = F.coalesce(F.nullif("text_as_html", F.lit("")), "text")
+    by = elements.groupBy("filename").agg(
+        F.array_sort(F.collect_list(F.when(F.coalesce(F.trim("text"), F.lit("")) != "", F.struct("place", "text")))).alias("t"),  # at most a document's elements
+        F.array_sort(F.collect_list(F.when(own, F.struct("place", content.alias("content"))))).alias("k"),
+        F.count("*").cast("int").alias("element_count"),
+    )
+    tables = F.transform("k", lambda x: F.struct(x["content"].alias("content"), F.lit("table").alias("type")))
+    return by.select("filename", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"), tables.alias("tables"), "element_count")
+
+
 def sample(df: DataFrame, ord_col: str, text: str, limit: int, longer_than: int = 0) -> DataFrame:
     """The first rows by order, then those of them whose stripped text is longer."""
     return df.orderBy(ord_col).limit(limit).where(F.length(strip(F.coalesce(F.col(text), F.lit("")))) > longer_than)
