@@ -84,7 +84,7 @@ def test_every_confirmed_licence_whatever_its_gain():
     got = L.scan_block(prose + "All rights reserved. " + prose)
     assert (got["license"], got["exact"]) == ("all-rights-reserved", True)
     got = L.scan_block(" and ".join(L.TEMPLATES.values()))
-    assert sorted(x["license"] for x in got["licenses"]) == sorted(L.TEMPLATES) and all(x["exact"] for x in got["licenses"])
+    assert {x["license"] for x in got["licenses"]} == set(L.TEMPLATES) and all(x["exact"] for x in got["licenses"])
     assert [x["license"] for x in L.scan_block("All rights reserved. " * 2 + L.TEMPLATES["gpl-3.0"])["licenses"]].count("gpl-2.0") == 0
 
 
@@ -120,3 +120,87 @@ def test_scan_with_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_blocks, r.license) for r in L.op4_license_scan(spark, str(tmp_path)).collect()}
     assert got == {1: (0, None), 2: (0, None), 3: (2, "mit"), None: (1, "cc-by-nc-4.0"), 5: (1, None)}
+
+
+def plain_scan(text):
+    """Licences of a text: every template against all of the text's words, by plain dynamic programming."""
+    words = L.wording("\n".join(L._MARKS.sub("", x) for x in text.split("\n")))
+    found = []
+    for name, template in L.TEMPLATES.items():
+        t = L.wording(template)
+        row = [(0, j) for j in range(len(words) + 1)]  # least edits and where the part starts
+        for i, x in enumerate(t, 1):
+            new = [(i, 0)]
+            for j, y in enumerate(words, 1):
+                new.append(min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1]), key=lambda c: c[0]))
+            row = new
+        found += [(len(t) - n, n, name, a, b) for b, (n, a) in enumerate(row) if n <= L.MAX_DIFFERENCE * len(t)]
+    taken, out = [False] * len(words), []
+    for _, n, name, a, b in sorted(found, key=lambda x: (-x[0], *x[1:])):
+        if not any(taken[a:b]):
+            taken[a:b] = [True] * (b - a)
+            out.append((name, n))
+    return out
+
+
+def test_scan_against_brute_force(spark, tmp_path):
+    import random
+    import textwrap
+
+    rng = random.Random(3)
+    short = [n for n, t in L.TEMPLATES.items() if len(t) < 400]
+    rows = []
+    for i in range(24):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            parts.append(" ".join(f"word{rng.randint(0, 99)}" for _ in range(rng.randint(0, 40))))
+            words = L.TEMPLATES[rng.choice(short)].split(" ")
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                words[rng.randrange(len(words))] = "changed"
+            lines = textwrap.wrap(" ".join(words), 30, break_on_hyphens=False, break_long_words=False) if rng.random() < 0.5 else [" ".join(words)]
+            parts += [rng.choice(["", "# ", "// "]) + x for x in lines]
+        rows.append((rng.choice([i, i, 3]), "\n".join(parts)))
+    rows += [(90, L.TEMPLATES["mit-text"].replace("merge, ", "")), (90, "plain"), (90, "plain")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = []
+    for i, text in rows:
+        parts = plain_scan(text)
+        expected.append((i, len(parts), sorted({n for n, _ in parts}), min((d for _, d in parts), default=None), sum(d == 0 for _, d in parts)))
+    got = [(r.doc_id, r.n_confirmed, list(r.licenses), r.least_diff, r.n_exact) for r in L.op4_license_scan(spark, str(tmp_path)).collect()]
+    order = lambda x: (x[0], x[1], x[2])
+    assert sorted(got, key=order) == sorted(expected, key=order) and sum(x[1] for x in got) > 20
+
+
+def test_license_scan_of_an_empty_table_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, t string, license int").write.parquet(str(tmp_path / "documents.parquet"))
+    assert L.op4_license_scan(spark, str(tmp_path)).count() == 0
+    rows = [(7, "Released under the MIT License.", "x", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, t string, license int").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert L.op4_license_scan(spark, str(tmp_path)).first().license == "mit"
+
+
+def test_media_query_against_brute_force(spark, tmp_path):
+    import hashlib
+    import random
+    import zlib
+
+    rng = random.Random(4)
+    texts = ["", None, "a", "x" * 192, "x" * 191, "é" * 96, "é" * 97, "line\n" * 4000, "same", "same", "".join(chr(rng.randint(32, 0x2FFF)) for _ in range(500))]
+    rows = [(None if i == 3 else i, t, "x", 5) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, media string, n_bytes int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = media.op2_media_columns(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        data = (texts[3 if r.doc_id is None else r.doc_id] or "").encode()
+        payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
+        assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+        stored = media.encode_bytes(payload)
+        frame = media.decode(stored)
+        assert bytes(media.payload_of(frame)) == payload
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == media.rgb_feature(media.to_rgb(frame))
+        assert by.setdefault(payload, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert media.op2_media_columns(spark, str(tmp_path / "empty")).count() == 0

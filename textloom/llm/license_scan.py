@@ -8,7 +8,9 @@ not exceed ``max_difference`` of the template's words. Of confirmed parts that o
 words counts; all that remain are given back, ordered by gain. A template of which the block lacks too many words is not aligned.
 
 Defined cases: a null or empty text has no blocks and gives a row with none; a block without a confirmed template counts as
-unknown; equal gains rank by template name; every whole block is used, however long; further columns are not read.
+unknown; equal gains rank by template name; every whole block is used, however long the block or its text; each row is judged by
+itself, so repeated rows, rows of one id and rows of a null id get what their own text holds; an empty table gives an empty
+result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,26 @@ from pyspark.sql import functions as F
 
 from .common import load_documents, text_or_empty
 
-#: Public licence statements, as fixed values.
+_MERCHANTABLE = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GPL_REST = (
+    " or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+    "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+)
+#: Public licence statements, notices and whole licences, as fixed values.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -53,9 +74,49 @@ TEMPLATES = {
     ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "public-domain": "This work is dedicated to the public domain.",
+    "bsd-2-clause-text": _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    "bsd-3-clause-text": _BSD_CONDITIONS
+    + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. " + _BSD_DISCLAIMER,
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+    "by the Free Software Foundation; either version 2 of the License," + _GPL_REST,
+    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+    "by the Free Software Foundation, either version 3 of the License," + _GPL_REST,
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject "
+        "to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software. " + _MERCHANTABLE + "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+        "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions "
+        "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an "
+        "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _MERCHANTABLE + "IN NO EVENT SHALL "
+        "THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+        "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+        "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may "
+        "not be removed or altered from any source distribution."
+    ),
 }
 #: A line with one of these is a candidate; phrases may be wrapped, with comment marks between their words.
-CANDIDATE = r"(?i)licen[cs]e|copyright|\(c\)\s|©|all rights reserved|spdx|public domain|creative commons|permission is hereby|redistribution".replace(
+CANDIDATE = r"(?i)licen[cs]e|copyright|\(c\)\s|©|all rights reserved|spdx|public domain|creative commons|permission is|permission to use|redistribution".replace(
     " ", r"[\s*#/;%!>-]+"
 )
 _CANDIDATE = re.compile(CANDIDATE, re.ASCII)
@@ -218,20 +279,44 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return candidate_blocks(docs, id_col, text_col).mapInPandas(_scan, BLOCKS_DDL)
 
 
+SUMMARY = ["n_blocks", "n_confirmed", "license", "gain", "least_diff", "n_exact", "licenses"]
+SUMMARY_DDL = "doc_id long, n_blocks long, n_confirmed long, license string, gain int, least_diff int, n_exact long, licenses array<string>"
+
+
+def summary(found: list[tuple[int, dict]]) -> tuple:
+    """SUMMARY of a text's blocks, each with its candidate lines and scan_block's result: the licence of the largest gain, of equal ones the first."""
+    parts = [x for _, b in found for x in b["licenses"]]
+    best = max(parts, key=lambda x: x["gain"], default={"license": None, "gain": None})
+    return (
+        sum(n for n, _ in found), len(parts), best["license"], best["gain"], min((x["n_diff"] for x in parts), default=None),
+        sum(x["exact"] for x in parts), sorted({x["license"] for x in parts}),
+    )
+
+
+def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo: dict[str, dict] = {}
+    none = summary([])
+    for b in batches:
+        rows = []
+        for doc_id, text in zip(b["doc_id"], b["t"]):
+            found = []
+            for _, n_lines, block in passages(text) if text else ():
+                if block not in memo:
+                    if len(memo) > 20_000:
+                        memo.clear()
+                    memo[block] = scan_block(block)
+                found.append((n_lines, memo[block]))
+            rows.append((doc_id, *(summary(found) if found else none)))
+        yield pd.DataFrame(rows, columns=["doc_id", *SUMMARY]).astype({"doc_id": "Int64", "gain": "Int32", "least_diff": "Int32"})
+
+
+def license_summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs; texts without a word of licensing go to Python as nulls."""
+    t = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(t.rlike(CANDIDATE), t).alias("t"))
+    return rows.mapInPandas(_summarise, SUMMARY_DDL)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: its lines with a word of licensing (n_blocks), its confirmed parts, and its first confirmed licence of the largest gain, and all of them."""
-    docs = load_documents(spark, sf_dir)
-    found = scan_licenses(docs).groupBy("doc_id").agg(
-        F.sum(F.when(F.col("place") == 0, F.col("n_lines"))).alias("n_blocks"),
-        F.count("license").alias("n_confirmed"),
-        F.max_by("license", F.when(F.col("license").isNotNull(), F.struct("gain", -F.col("block_no"), -F.col("place")))).alias("license"),
-        F.max(F.when(F.col("license").isNotNull(), F.col("gain"))).alias("gain"),
-        F.min("n_diff").alias("least_diff"),
-        F.coalesce(F.sum(F.col("exact").cast("int")), F.lit(0)).alias("n_exact"),
-        F.sort_array(F.collect_set("license")).alias("licenses"),
-    )
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = every.join(found, every.doc_id.eqNullSafe(found.doc_id), "left").drop(found.doc_id)
-    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_blocks", "n_confirmed", "n_exact")}).withColumn(
-        "licenses", F.coalesce("licenses", F.array().cast("array<string>"))
-    )
+    """A row per document: its lines with a word of licensing (n_blocks), its confirmed parts, the first licence of the largest gain, and all of them."""
+    return license_summaries(load_documents(spark, sf_dir))
