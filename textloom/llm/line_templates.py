@@ -109,12 +109,11 @@ def _parse(min_tokens: int, depth: int):
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per place of each line: leaf, place, token code; repeats within the batch go first."""
     for b in batches:
-        frames = []
-        for leaf, tokens in b.groupby("leaf")["tokens"]:
-            table = np.frombuffer(b"".join(tokens), "<i4").reshape(len(tokens), -1)
-            for place, column in enumerate(table.T):
-                frames.append(pd.DataFrame({"leaf": leaf, "place": np.int32(place), "code": np.unique(column)}))
-        yield pd.concat(frames) if frames else pd.DataFrame({"leaf": [], "place": [], "code": []}).astype({"leaf": "int64", "place": "int32", "code": "int32"})
+        sizes = b["tokens"].str.len().to_numpy(np.int64) // 4
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        rows = {"leaf": np.repeat(b["leaf"].to_numpy(), sizes), "place": places.astype(np.int32), "code": np.frombuffer(b"".join(b["tokens"]), "<i4")}
+        yield pd.DataFrame(rows).drop_duplicates()
 
 
 @F.pandas_udf(T.LongType())
