@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.patterns import STOP_WORDS
 from ..storage import Tables
@@ -42,24 +45,33 @@ def tfidf_weights(df: DataFrame, content: str = "content", max_features: int = 5
     return weighed.select("ord", "term", "df", (F.col("raw") / norm).alias("w"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _dot(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Dot products of sparse vectors: arrays of (term hash, weight), sorted by term."""
+    out = np.zeros(len(left))
+    for k, (x, y) in enumerate(zip(left, right)):
+        a, b = (np.array([(e["h"], e["w"]) for e in v], [("h", "<i8"), ("w", "<f8")]) for v in (x, y))
+        at = np.minimum(np.searchsorted(b["h"], a["h"]), len(b) - 1)
+        out[k] = np.sum(a["w"] * b["w"][at] * (b["h"][at] == a["h"]))
+    return pd.Series(out)
+
+
 def similar_vectors(weights: DataFrame, threshold: float, tables: Tables) -> DataFrame:
     """Pairs (i, j, similarity) with a cosine of at least threshold.
 
-    Prefix filtering: with a document's terms from rare to frequent, terms are indexed until the rest has a norm under the
-    threshold; a pair that reaches it shares an indexed term, so frequent terms make no candidates.
+    A document's terms go from rare to frequent. If a term is the first that two documents share, their cosine is at most the
+    product of the norms that their vectors have from this term on; so a pair that reaches the threshold meets at a term where
+    that product does, and the join needs only the terms from which on a vector's norm is large enough. This loses no pair, and
+    frequent terms, which stand last, make few candidates.
     """
     weights = tables.save(weights, "weights")
     rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("ord").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
-    # rest: the squared norm of this term and all that are more frequent; below the threshold's square they can be left out
+    # rest: the squared norm of this term and all that are more frequent
     least = threshold * threshold - 1e-9
-    ranked = weights.withColumn("rest", rest)
-    out = ranked.groupBy("ord").agg(F.sqrt(F.coalesce(F.max(F.when(F.col("rest") < least, F.col("rest"))), F.lit(0.0))).alias("beyond"))
-    index = tables.save(ranked.where(F.col("rest") >= least).select("ord", "term", "w").join(out, "ord"), "index")
-    # What a pair shares beyond the index is at most the norm beyond it of the one whose index ends first.
-    a, b = index.toDF("i", "term", "wi", "bi"), index.toDF("j", "term", "wj", "bj")
-    sums = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.max(F.greatest("bi", "bj")).alias("beyond"))
-    pairs = sums.where(F.col("dot") + F.col("beyond") >= threshold - 1e-9).select("i", "j")
-    vectors = tables.save(weights.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v")), "vectors")
+    index = tables.save(weights.withColumn("rest", rest).where(F.col("rest") >= least).select("ord", "term", "rest"), "index")
+    a, b = index.toDF("i", "term", "ri"), index.toDF("j", "term", "rj")
+    pairs = tables.save(a.join(b, "term").where((F.col("i") < F.col("j")) & (F.col("ri") * F.col("rj") >= least)).select("i", "j").distinct(), "candidates")
+    entry = F.struct(F.xxhash64("term").alias("h"), "w")
+    vectors = tables.save(weights.groupBy("ord").agg(F.array_sort(F.collect_list(entry)).alias("v")), "vectors")  # max_features entries at most
     both = pairs.join(vectors.toDF("i", "vi"), "i").join(vectors.toDF("j", "vj"), "j")
-    dot = F.aggregate(F.map_entries("vi"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vj", e["key"]), F.lit(0.0)))
-    return both.select("i", "j", dot.alias("similarity")).where(F.col("similarity") >= threshold)
+    return both.select("i", "j", _dot("vi", "vj").alias("similarity")).where(F.col("similarity") >= threshold)

@@ -258,7 +258,7 @@ SELECT 'none' AS token, false AS initialised, place, round(avg(x), 5) AS x FROM
     "tfidf_top_terms": f"WITH {GRAMS} SELECT term, df, cf FROM stats ORDER BY cf DESC, term LIMIT 50",
     "semantic_pairs": f"""WITH {GRAMS}, v AS (SELECT term, df FROM stats ORDER BY cf DESC, term LIMIT 5000),
 w AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0) AS x FROM tf JOIN v USING (term)),
-u AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM w)
+u AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM w WHERE doc_id IN (SELECT min(doc_id) FROM raw GROUP BY c))
 SELECT a.doc_id AS i, b.doc_id AS j, {_round('sum(a.x * b.x)', 6)} AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.8""",
     "domain_category": f"SELECT {_category()} AS domain_category, count(*) AS documents FROM ({RAW}) GROUP BY 1",
     "domain_boost": f"""WITH {SCORED}, r AS (SELECT doc_id, overall_score, CASE WHEN n > 0 THEN least(greatest((len(list_filter(t, lambda x: x IN ({_in(P.TECHNICAL_TERMS)}))) + len(list_filter(t, lambda x: x IN ({_in(P.DOMAIN_INDICATORS)})))) / n::DOUBLE * 20.0, 0.1), 1.0) ELSE 0.2 END AS rel FROM scored)

@@ -223,8 +223,11 @@ def tfidf_top_terms(spark, d):
 
 @query
 def semantic_pairs(spark, d):
+    """Pairs between the first documents of equal texts; the term weights are those of all documents."""
     t = Tables(spark, "semantic-pairs")
-    return tfidf.similar_vectors(tfidf.tfidf_weights(_raw(spark, d), tables=t), 0.80, t).select("i", "j", F.round("similarity", 6).alias("similarity"))
+    df = _raw(spark, d)
+    first = df.groupBy(F.sha2("content", 256)).agg(F.min("ord").alias("ord")).select("ord")
+    return tfidf.similar_vectors(tfidf.tfidf_weights(df, tables=t).join(first, "ord", "left_semi"), 0.80, t).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
 @query
