@@ -27,13 +27,15 @@ def table(spark, path, rows=ROWS):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_memo_encoder_is_the_library(name):
+@pytest.mark.parametrize("special_ids", [False, True])
+def test_memo_encoder_is_the_library(name, special_ids):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    some = texts(2000)
-    assert [x.tolist() for x in tokens.MemoEncoder(public_tokenizers.path(name)).encode(some)] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
+    if not special_ids:
+        t.encode_special_tokens = True
+    some = texts(2000, parts=[*PARTS, "<|startoftext|>", "<|endoftext|>"]) + ["<|endoftext|>", "'secret", "'sell. x", "(word", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x"]
+    assert [x.tolist() for x in tokens.MemoEncoder(public_tokenizers.path(name), special_ids).encode(some)] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
 
 
 def pieces():
@@ -129,6 +131,15 @@ def test_cuts_are_the_least_cost():
         assert sum(8 - (b - a) + pen[b] for a, b in zip([0, *cuts], cuts)) == best[n] and cuts[-1] == p[-1]
 
 
+def test_padding_is_little(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join(" ".join(rng.choice(["some", "words", "of", "it"]) for _ in range(rng.randint(4, 20))) + "." for _ in range(rng.randint(1, 60)))) for i in range(1500)]
+    got = packing.op7_packing(spark, table(spark, tmp_path, rows)).groupBy("sequence_id").sum("length").collect()
+    sizes = [r[1] for r in got]
+    padded = [2048 - n for n in sizes if n & (n - 1)]
+    assert sum(sizes) > 300_000 and sum(padded) < 0.015 * sum(sizes)
+
+
 def test_packing(spark, tmp_path):
     got = packing.op7_packing(spark, table(spark, tmp_path)).collect()
     sequences, docs = defaultdict(list), defaultdict(list)

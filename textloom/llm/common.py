@@ -112,6 +112,11 @@ def total_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """The size that Spark's plan gives for docs: that of the files it reads, without reading them."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def ascii_lower(data: bytes) -> bytes:
     """Lower-cases A to Z only."""
     return data.translate(_LOWER)

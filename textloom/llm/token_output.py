@@ -6,8 +6,8 @@ reader opens the record files, verifies each checksum, and numbers the ids over
 row per file, gathered by the driver).
 
 Defined cases: a null text is an empty text (its record holds the end id only); rows of equal doc_id go by their text's hash,
-and rows equal in both stand next to each other; a null doc_id sorts first; an empty table writes no file; further columns are
-not read.
+and rows equal in both stand next to each other; a null doc_id sorts first; a very long text is one record, as any other; strings
+of special tokens are ordinary text unless ``special_ids`` is set; an empty table writes no file; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import records
-from .common import KEY, Scratch, load_documents, row_key, text_or_empty
+from .common import KEY, Scratch, input_bytes, load_documents, row_key, text_or_empty
 from .tokens import encoder
 
+FILE_BYTES = 128 << 20
+FILES_A_CORE = 4
 FILES_DDL = "file_no long, path string, n_docs long, n_tokens long"
 ROWS_DDL = "doc_id long, start long, n_tokens long, ids_crc32 long, file_no long, offset long"
 
@@ -47,11 +49,11 @@ def _put(uri: str, data: list[bytes]) -> None:
     filesystem.move(path, _filesystem(uri)[1])
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, special_ids: bool):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_ids)
         dtype = np.dtype("<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4")
         no = TaskContext.get().partitionId()
         uri = f"{folder}/part-{no:06d}.rec"
@@ -81,13 +83,17 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
 
 def write_records(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None
-) -> DataFrame:
-    """Writes record and index files in ascending doc_id order; returns a row per file: file_no, path, n_docs, n_tokens."""
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None,
+    special_ids: bool = False,
+) -> DataFrame:
+    """Writes record and index files in ascending doc_id order; returns a row per file: file_no, path, n_docs, n_tokens.
+
+    Files are so many that each core has some to write, and that none is made of much more than FILE_BYTES of input.
+    """
+    n = files or max(FILES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(docs) // FILE_BYTES))
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     dealt = rows.repartitionByRange(n, *KEY).sortWithinPartitions(*KEY)
-    return dealt.select("k_id", "text").mapInPandas(_writer(folder, tokenizer, end_id), FILES_DDL)
+    return dealt.select("k_id", "text").mapInPandas(_writer(folder, tokenizer, end_id, special_ids), FILES_DDL)
 
 
 def read_index(uri: str) -> tuple[int, np.ndarray]:

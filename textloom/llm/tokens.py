@@ -49,13 +49,21 @@ def byte_characters() -> dict[int, str]:
 
 
 class MemoEncoder:
-    """Encodes whole texts. Strings of special tokens in a text are ordinary text."""
+    """Encodes whole texts.
 
-    def __init__(self, path: str):
+    Strings of special tokens in a text are ordinary text, as the description of the tokenizer files has it
+    (``encode_special_tokens = True``); with ``special_ids`` they become the tokens' ids, as in a library object without that.
+    """
+
+    def __init__(self, path: str, special_ids: bool = False):
         from tokenizers import Tokenizer
 
         with open(path) as f:
-            self.folded = json.load(f)["normalizer"] is not None
+            content = json.load(f)
+        self.folded = content["normalizer"] is not None
+        special = {t["content"]: t["id"] for t in content["added_tokens"] if t["special"]}
+        self.special = {t: array("I", [i]).tobytes() for t, i in special.items()} if special_ids else {}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
@@ -96,9 +104,10 @@ class MemoEncoder:
         """Ids of a unit, kept from now on."""
         text = self.normalise(unit)
         word = text if self.folded else text[1:]
-        if word.isalpha():  # one pre-token
+        plain = self.folded or text[:1] == " " or text[:1].isalpha()  # a text may begin with a mark
+        if plain and word.isalpha():  # one pre-token
             found = self.piece(text)
-        elif word[:-1].isalpha() and word[-1] in ".,;:!?":  # a word and a mark
+        elif plain and word[:-1].isalpha() and word[-1] in ".,;:!?":  # a word and a mark
             if (mark := self.marks.get(word[-1])) is None:
                 mark = self.marks[word[-1]] = self.piece(word[-1])
             found = self.piece(text[:-1]) + mark
@@ -108,6 +117,13 @@ class MemoEncoder:
         return found
 
     def encode_text(self, text: str) -> np.ndarray:
+        if self.special and any(map(text.__contains__, self.special)):  # the parts between them are texts by themselves
+            parts = self.at_special.split(text)
+            ids = [np.frombuffer(self.special[p], "<u4") if p in self.special else self._encode(p) for p in parts if p]
+            return np.concatenate(ids)
+        return self._encode(text)
+
+    def _encode(self, text: str) -> np.ndarray:
         units = self.units(text)
         found = list(map(self.memo.get, units))
         at = -1
@@ -134,6 +150,6 @@ class MemoEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> MemoEncoder:
-    """One encoder for each worker process and file."""
-    return MemoEncoder(path)
+def encoder(path: str, special_ids: bool = False) -> MemoEncoder:
+    """One encoder for each worker process, file and way."""
+    return MemoEncoder(path, special_ids)
