@@ -343,6 +343,89 @@ def test_components(spark):
     assert labels == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40, 60: 60, 61: 60}
 
 
+def brute_kept(rows):
+    """(id, text without repeats) in ascending order of ids."""
+    out, seen = [], set()
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            g = b[s : s + 100]
+            if g in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(g)
+        out.append((i, bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")))
+    return out
+
+
+def brute_quality(rows):
+    """Documents that the quality rules keep, without the lines above the limit."""
+    held = defaultdict(set)
+    for _, t, s in rows:
+        for line in (t or "").split("\n"):
+            if k := quality_rules.normalise_line(line):
+                held[s or "", k].add(t)
+    out = []
+    for i, t, s in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", t or "")
+        windows = Counter(zip(words, words[1:], words[2:]))
+        marked = {j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        gone = [x for x in (t or "").split("\n") if len(held[s or "", quality_rules.normalise_line(x)]) > 20]
+        if len(words) >= 50 and 100 * len(marked) <= 50 * len(words) and 100 * sum(len(x.split()) for x in gone) <= 70 * len(words):
+            out.append((i, "\n".join(x for x in t.split("\n") if x not in gone), s))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    passage, rows = prose(rng, 60), []
+    for i in range(70):
+        lines = [prose(rng, rng.randint(15, 40)) for _ in range(4)]
+        if i < 30:
+            lines.insert(rng.randint(0, 4), f"Page {i} of the site, all rights reserved")  # above the limit of its host
+        if i % 4 == 0:
+            lines.insert(2, f"Posted by user{i} on the old board")  # a template of 17 documents
+        if i % 9 == 0:
+            lines.append(f"{prose(rng, 5)} {passage} é {prose(rng, 5)}")
+        rows.append((i, "\n".join(lines), "site" if i < 30 else f"h{i % 3}"))
+    rows += [(200 + i, rows[40][1], "h1") for i in range(6)] + [(300 + i, rows[41][1].replace(" ", f" x{i} ", 1), "h2") for i in range(4)]
+    rows += [(400, None, None), (401, "", "h"), (402, "too short", None), (403, "again and " * 60, "h"), (404, prose(rng, 30_000), None)]
+    d = table(spark, tmp_path, rows)
+    one = brute_quality(rows)
+    drop = brute_templates(one)
+    two = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop.get(i, ())), s) for i, t, s in one]
+    least = {x[0] for x in similar_classes([r for r in two if r[0] != 404])} | {404}
+    four = brute_kept([(i, t) for i, t, _ in two if i in least])
+    assert len(rows) > len(one) > len(four) and any(drop.values()) and sum(len(t) for _, t in four) < sum(len(t) for i, t, _ in two if i in least)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        expected = {"quality_rules": one, "line_dedup": two, "near_duplicates": [r for r in two if r[0] in least], "suffix_dedup": four}[name]
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted((r[0], r[1]) for r in expected), name
+        assert docs.where("n_chars <> length(text)").count() == 0 or name == "near_duplicates"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in four}
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.run(spark, d).collect():
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(ids)
+    for i, rs in pieces.items():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[i]) and r.ids_crc32 == zlib.crc32(ids[i][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[i])
+    empty = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, d).count() == 0
+
+
 def brute_repeats(rows):
     seen, out = set(), []
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
