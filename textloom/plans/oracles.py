@@ -189,6 +189,13 @@ EARLY = f"""{NORMAL},
 good AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sha256({_strip(KEY)})) AS f FROM scored WHERE overall_score >= 0.25)"""
 
 
+_LISTED = f"len(list_filter(t, lambda x: x IN ({_in(P.TECHNICAL_TERMS)}))) + len(list_filter(t, lambda x: x IN ({_in(P.DOMAIN_INDICATORS)})))"
+#: What is kept up to there, with its domain and boosted score.
+CURATED = f"""{EARLY},
+rel AS (SELECT doc_id, c, overall_score, CASE WHEN n > 0 THEN least(greatest(({_LISTED}) / n::DOUBLE * 20.0, 0.1), 1.0) ELSE 0.2 END AS r FROM scored),
+cur AS (SELECT doc_id, c, {_category()} AS domain, CASE WHEN r >= 0.1 THEN least(overall_score * 1.2::DOUBLE, 1.0) ELSE overall_score END AS score FROM rel WHERE doc_id IN (SELECT f FROM good))"""
+
+
 def _rows(names: str, *rows: str) -> str:
     """Results of hand-made rows, as worked out by hand."""
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({names})"
@@ -205,6 +212,10 @@ SELECT stage, documents, round(documents / (SELECT count(*) FROM raw), 6) AS ret
   UNION ALL SELECT 'Stage 2 - Quality', 'Low quality score: ' || format('{{:.3f}}', overall_score) || ' < 0.25', n FROM scored WHERE overall_score < 0.25
   UNION ALL SELECT 'Stage 3 - Exact Dedup', 'Exact duplicate', n FROM good WHERE doc_id <> f)
 SELECT stage, reason, count(*) AS documents, sum(n)::BIGINT AS words FROM r GROUP BY 1, 2""",
+    "early_metadata": f"""WITH {CURATED}
+SELECT 'domain' AS kind, domain AS name, count(*) AS n FROM cur GROUP BY 2 UNION ALL SELECT 'grade', quality_grade, count(*) FROM scored JOIN graded USING (doc_id) WHERE scored.overall_score >= 0.25 GROUP BY 2
+UNION ALL SELECT 'pairs', 'exact', count(*) FROM good WHERE doc_id <> f HAVING count(*) > 0 UNION ALL SELECT 'quality', 'mean', round(avg(score) * 10000)::BIGINT FROM cur""",
+    "early_training_rows": f"""WITH {CURATED} SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS training_rank, md5({_redacted()}) AS text_md5, {_redacted()} <> c AS pii_removed, domain AS domain_category FROM cur""",
     "early_reason_files": f"WITH {NORMAL} SELECT reason, count(*) AS files, sum(doc_id)::BIGINT AS ids FROM reasons WHERE reason IS NOT NULL GROUP BY 1",
     "extraction_statistics": f"""WITH {EXTRACTION} SELECT count(*) AS files, sum((word_count > 0)::INT)::BIGINT AS successful, round(avg(q), 4) AS mean_quality, round(min(q), 4) AS least_quality,
   round(max(q), 4) AS largest_quality, {', '.join(f"sum((least(floor(q * 10), 9) = {i})::INT)::BIGINT AS t{i}" for i in range(10))} FROM ext""",

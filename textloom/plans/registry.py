@@ -551,6 +551,23 @@ def early_rejections(spark, d):
     return r.groupBy("stage", "reason").agg(F.count("*").alias("documents"), F.sum("word_count").cast("long").alias("words"))
 
 
+@query
+def early_metadata(spark, d):
+    """Documents by domain, grade and level of duplicates, and the mean quality in ten-thousandths, up to exact duplicates."""
+    c = _curated(spark, d, until="exact")
+    rows = lambda df, kind, name: df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    grades = c.grades.select(F.lit("grade").alias("kind"), F.col("quality_grade").alias("name"), F.col("documents").alias("n"))
+    mean = c.curated.agg(F.round(F.avg("quality_score") * 10_000).cast("long").alias("n")).select(F.lit("quality").alias("kind"), F.lit("mean").alias("name"), "n")
+    return rows(c.curated, "domain", "domain_category").unionByName(grades).unionByName(rows(c.pairs, "pairs", "type")).unionByName(mean)
+
+
+@query
+def early_training_rows(spark, d):
+    """Training rows up to exact duplicates, by rank, with their redacted texts."""
+    c = _curated(spark, d, until="exact").curated
+    return c.select(F.col("ord").alias("doc_id"), "training_rank", F.md5("text").alias("text_md5"), "pii_removed", "domain_category")
+
+
 @query
 def early_reason_files(spark, d):
     """Files of each reason of the first stage, in lists of a hundred or so, told by their number and a digest of the names."""
