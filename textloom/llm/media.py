@@ -5,7 +5,8 @@ tensors are stored (raw bytes with height and width). ``bytes_to_media`` keeps a
 coefficients of a progressive file, one 8-bit unit a byte; ``decode_media`` reads files back.
 
 Defined cases: a null text is an empty text (a payload of 192 spaces); a null or broken medium gives null features and its error
-in ``error``; equal payloads give equal media; further columns are not read.
+in ``error``; equal payloads give equal media; repeated rows and rows of a null id are each given back; whole texts are kept,
+however long; an empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ cluster: each chunk yields its boundary-state transfer matrix, a document's matr
 is backtraced independently from its own two edge states. ``piece_model`` says why the best path is the model's BPE encoding.
 
 Defined cases: a null text has no ids and decodes to an empty text; rows of equal id and text share one result and are each
-given back; an empty table gives an empty result; further columns are not read.
+given back, a null id as null; an empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
