@@ -254,3 +254,26 @@ def test_curation_leaves_its_files(spark, tmp_path):
     files = {r.reason: list(r.files) for r in spark.read.json(str(tmp_path / "out" / "files_by_reason")).collect()}
     assert files["Processing error: page key is no number: x"] == ["3.json"] and files["No extractable content"] == ["4.json"]
     assert spark.read.json(str(tmp_path / "out" / "training")).count() == report["final_documents"] == spark.read.parquet(str(tmp_path / "out" / "dataset" / "documents")).count()
+
+
+def test_page_parser_and_enrichers(spark, tmp_path):
+    grid = lambda r, c: [[f"{i}{j}" for j in range(c)] for i in range(r)]
+    good = {"pages": ["  First page \x00\n\n text ", "second"], "tables": [{"page": 1, "data": grid(2, 2)}, {"page": 1, "data": [["alone"]]}],
+            "images": [{"page": 2, "xref": 7, "width": 100, "height": 50}, {"page": 2, "xref": 8, "width": 102, "height": 52}, {"page": 1, "xref": 9, "width": 5, "height": 5}]}
+    for name, content in (("a.pdf", json.dumps(good)), ("b.pdf", "broken"), ("c.pdf", json.dumps({"pages": []})), ("d.txt", "no")):
+        (tmp_path / name).write_text(content)
+
+    def more(data, found):
+        return [{"page": 1, "data": grid(2, 2)}, {"page": 1, "data": grid(3, 2)}, {"page": 1, "data": grid(4, 2)}, {"page": 2, "data": grid(2, 2)}] if found["pages"] else []
+
+    def again(data, found):
+        return [{"page": 1, "data": grid(3, 2)}, {"page": 1, "data": grid(5, 2)}]
+
+    rows = {r.file_path.rsplit("/", 1)[1]: r for r in readers.pdf_files(spark, str(tmp_path), page_parser=json.loads, enrichers=(more, again)).collect()}
+    a = rows["a.pdf"]
+    assert set(rows) == {"a.pdf", "b.pdf", "c.pdf"} and not rows["b.pdf"].extraction_success and rows["c.pdf"].error == "no pages"
+    assert a.pages["0"].text == "First page\ntext" and (a.pages["0"].word_count, a.pages["0"].table_count, a.pages["1"].image_count) == (3, 3, 1)
+    assert [(t.page, t.rows, t.cols, t.confidence, t.method) for t in a.tables] == [(1, 2, 2, "high", "pdf"), (1, 3, 2, "medium", "pdf_enricher_1"), (2, 2, 2, "medium", "pdf_enricher_1"), (1, 5, 2, "medium", "pdf_enricher_2")]
+    assert [(i.xref, i.width) for i in a.images] == [(7, 100)] and a.images_detected == 1 and a.total_pages == 2
+    assert a.document_stats.asDict() == {"total_words": 4, "total_tables": 4, "total_images": 1, "total_pages": 2}
+    assert curation.prepare(readers.pdf_files(spark, str(tmp_path), page_parser=json.loads).withColumn("ord", F.lit(1)).where("extraction_success"), curation.CurationConfig()).count() == 1

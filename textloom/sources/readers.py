@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..operators.markup import html_text
+from ..operators.markup import html_text, near_images, valid_table
+from ..operators.reports import document_stats
 from ..schemas import EXTRACTED
 
 
@@ -141,14 +143,93 @@ def binary_files(spark: SparkSession, folder: str, pattern: str, parser, method:
     return good.unionByName(failed(df.where("error is not null"), F.col("path"), F.col("error")))
 
 
+#: What a page parser gives for a file, as JSON: texts by page, tables and images with their pages (from 1 on).
+PARSED = (
+    "pages array<string>, tables array<struct<page: int, strategy: int, data: array<array<string>>, bbox: array<double>>>, "
+    "images array<struct<page: int, xref: int, width: int, height: int, bbox: array<double>>>"
+)
+
+
+def _parsed_pages(parser, enrichers):
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    found = parser(bytes(content))
+                    more = [{**t, "strategy": k} for k, f in enumerate(enrichers, 1) for t in f(bytes(content), found)]
+                    rows.append((path, json.dumps({**found, "tables": [{**t, "strategy": 0} for t in found.get("tables", [])] + more}), None))
+                except Exception as e:  # noqa: BLE001  a broken file is a record of its own
+                    rows.append((path, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["path", "found", "error"])
+
+    return parse
+
+
+def page_files(spark: SparkSession, folder: str, pattern: str, parser, enrichers: tuple = (), method: str = "pages") -> DataFrame:
+    """Files through a page parser of the caller's, on the executors, as extracted documents with pages, tables and images.
+
+    parser: bytes to a dict of PARSED's fields; enrichers: (bytes, that dict) to further tables, in order. Page texts are cleaned.
+    Tables that are not valid go; an enricher adds the first valid table of a page whose shape no table of an earlier step has on
+    that page. Images of 10 units or less, and near copies of an earlier one, go. A file that cannot be read, or that has no page,
+    is a failed record.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    df = raw.mapInPandas(_parsed_pages(parser, tuple(enrichers)), "path string, found string, error string")
+    df = df.select("path", "error", F.from_json("found", PARSED).alias("f"))
+    none = F.coalesce("error", F.when(F.size(F.coalesce("f.pages", F.array().cast("array<string>"))) == 0, "no pages"))
+    good, bad = df.where(none.isNull()), df.where(none.isNotNull())
+    no_tables = F.array().cast("array<struct<page: int, strategy: int, data: array<array<string>>, bbox: array<double>>>")
+    valid = F.filter(F.coalesce("f.tables", no_tables), lambda t: valid_table(t["data"]))
+    width = lambda t: F.coalesce(F.array_max(F.transform(t["data"], F.size)), F.lit(0))
+    same = lambda a, b: (a["page"] == b["page"]) & (F.size(a["data"]) == F.size(b["data"])) & (width(a) == width(b))
+
+    def add(kept, t):
+        taken = F.exists(kept, lambda k: same(k, t) | ((k["page"] == t["page"]) & (k["strategy"] == t["strategy"])))
+        return F.when((t["strategy"] == 0) | ~taken, F.concat(kept, F.array(t))).otherwise(kept)
+
+    tables = F.aggregate(F.array_sort(valid, lambda a, b: a["strategy"] - b["strategy"]), F.slice(valid, 1, 0), add)
+    images = near_images(F.coalesce("f.images", F.array().cast("array<struct<page: int, xref: int, width: int, height: int, bbox: array<double>>>")))
+    df = good.select("path", F.col("f.pages").alias("p"), tables.alias("t"), images.alias("i"))
+
+    def page(text, no):
+        clean = clean_page_text(F.coalesce(text, F.lit("")))
+        k, n = (F.size(F.filter(c, lambda x: x["page"] == no + 1)) for c in ("t", "i"))
+        words = F.size(F.filter(F.split(clean, r"\s+"), lambda x: x != ""))
+        return F.struct(clean.alias("text"), words.alias("word_count"), k.alias("table_count"), n.alias("image_count"), (k > 0).alias("has_tables"), (n > 0).alias("has_images"))
+
+    own = F.when(F.lit(True), F.lit(method))
+    table = lambda t, k: F.struct(
+        k.alias("table_id"), t["page"].alias("page"), F.when(t["strategy"] == 0, own).otherwise(F.concat(own, F.lit("_enricher_"), t["strategy"].cast("string"))).alias("method"),
+        t["data"].alias("data"), F.lit(None).cast("string").alias("content"), F.size(t["data"]).alias("rows"), width(t).alias("cols"), t["bbox"].alias("bbox"),
+        F.when(t["strategy"] == 0, "high").otherwise("medium").alias("confidence"),
+    )
+    image = lambda x, k: F.struct(
+        k.alias("image_id"), x["page"].alias("page"), own.alias("method"), x["xref"].alias("xref"), x["width"].alias("width"), x["height"].alias("height"), x["bbox"].alias("bbox")
+    )
+    no = F.transform(F.col("p"), lambda _, k: k.cast("string"))
+    one = df.select(
+        F.col("path").alias("file_path"), own.alias("extraction_method"), F.lit(True).alias("extraction_success"), F.lit(None).cast("string").alias("error"),
+        F.map_from_arrays(no, F.transform("p", page)).alias("pages"), F.transform("t", table).alias("tables"), F.transform("i", image).alias("images"),
+        F.size("i").alias("images_detected"), F.size("p").alias("total_pages"),
+    )
+    one = one.withColumn("document_stats", document_stats(F.col("pages"), F.size("tables"), F.size("images")))
+    return spark.createDataFrame([], EXTRACTED).unionByName(one, allowMissingColumns=True).unionByName(failed(bad, F.col("path"), none))
+
+
 def docx_files(spark: SparkSession, folder: str) -> DataFrame:
     return binary_files(spark, folder, "*.docx", docx_text, "docx")
 
 
-def pdf_files(spark: SparkSession, folder: str, parser=None) -> DataFrame:
-    """PDF files through a parser of the caller's (bytes to text): no PDF library is among the requirements."""
+def pdf_files(spark: SparkSession, folder: str, parser=None, page_parser=None, enrichers: tuple = ()) -> DataFrame:
+    """PDF files through a parser of the caller's, as no PDF library is among the requirements.
+
+    parser: a file's bytes to its text; or page_parser and enrichers, as page_files takes them.
+    """
+    if page_parser is not None:
+        return page_files(spark, folder, "*.pdf", page_parser, enrichers, "pdf")
     if parser is None:
-        raise ValueError("pdf_files needs a parser: a function from a file's bytes to its text")
+        raise ValueError("pdf_files needs a parser: a function from a file's bytes to its text, or to its pages")
     return binary_files(spark, folder, "*.pdf", parser, "pdf")
 
 
