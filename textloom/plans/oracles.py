@@ -189,11 +189,78 @@ EARLY = f"""{NORMAL},
 good AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sha256({_strip(KEY)})) AS f FROM scored WHERE overall_score >= 0.25)"""
 
 
+def _greedy(p: str) -> str:
+    """{p}g: what the visit of the pairs {p}q (i, j, sim, qi, qj) in order removes; its state is the list of what has gone."""
+    gone = f"(list_contains(r.gone, o.i) OR list_contains(r.gone, o.j))"
+    return f"""
+{p}o AS (SELECT *, row_number() OVER (ORDER BY i, j) AS k FROM {p}q),
+{p}r(k, gone, hit) AS (
+  SELECT 0::BIGINT, []::BIGINT[], false
+  UNION ALL SELECT o.k, CASE WHEN {gone} THEN r.gone ELSE list_append(r.gone, CASE WHEN qi >= qj THEN o.j ELSE o.i END) END, NOT {gone} FROM {p}r r JOIN {p}o o ON o.k = r.k + 1),
+{p}g AS (
+  SELECT i, j, sim, CASE WHEN qi >= qj THEN j ELSE i END AS removed, CASE WHEN qi >= qj THEN i ELSE j END AS kept, qi >= qj AS logged
+  FROM {p}r JOIN {p}o USING (k) WHERE hit)"""
+
+
+#: fg: what the shingle level removes of fb (doc_id, c, q).
+FUZZY = rf"""
+ft AS (SELECT doc_id, {_TOKENS} AS t FROM fb),
+fsh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' '))) AS s FROM ft WHERE len(t) >= 5)),
+fsz AS (SELECT doc_id, count(*) AS n FROM fsh GROUP BY 1),
+fm AS (SELECT x.doc_id AS i, y.doc_id AS j, count(*) AS m FROM fsh x JOIN fsh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+fp AS (
+  SELECT i, j, m / (x.n + y.n - m)::DOUBLE AS sim FROM fm JOIN fsz x ON x.doc_id = i JOIN fsz y ON y.doc_id = j WHERE m / (x.n + y.n - m)::DOUBLE >= 0.85
+  UNION ALL SELECT x.doc_id, y.doc_id, 1.0 FROM ft x JOIN ft y ON x.doc_id < y.doc_id WHERE len(x.t) < 5 AND len(y.t) < 5),
+fq AS (SELECT i, j, sim, x.q AS qi, y.q AS qj FROM fp JOIN fb x ON x.doc_id = i JOIN fb y ON y.doc_id = j),{_greedy("f")}"""
+#: sg: what the term level removes of sb (doc_id, c, q).
+SEMANTIC = rf"""
+stk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(c), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_in(P.STOP_WORDS)})) AS t FROM sb),
+sgr AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: array_to_string(t[i : i + 1], ' '))) AS term FROM stk
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i : i + 2], ' '))) FROM stk WHERE len(t) > 2),
+stf AS (SELECT doc_id, term, count(*) AS tf FROM sgr GROUP BY 1, 2),
+svo AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM stf GROUP BY 1 HAVING count(*) <= 0.95 * (SELECT count(*) FROM sb) ORDER BY cf DESC, term LIMIT 5000),
+sw AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM sb)) / (1.0 + df)) + 1.0) AS x FROM stf JOIN svo USING (term)),
+su AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM sw),
+sp AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.x * b.x) AS sim FROM su a JOIN su b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.8),
+sq AS (SELECT i, j, sim, x.q AS qi, y.q AS qj FROM sp JOIN sb x ON x.doc_id = i JOIN sb y ON y.doc_id = j),{_greedy("s")}"""
+#: The raw texts that the similarity levels get by themselves: scored, of more than four words, the first of each exact key.
+KEEPERS = f"""{SCORED}, kb AS (
+  SELECT doc_id, c, overall_score AS q FROM scored WHERE n > 4 AND doc_id IN (SELECT min(doc_id) FROM raw GROUP BY sha256({_strip(KEY)})))"""
+#: All levels in turn.
+LEVELS = f"""{EARLY},
+fb AS (SELECT doc_id, c, overall_score AS q FROM scored JOIN good USING (doc_id) WHERE doc_id = f),{FUZZY},
+sb AS (SELECT * FROM fb WHERE doc_id NOT IN (SELECT removed FROM fg)),{SEMANTIC},
+left_over AS (SELECT doc_id FROM sb WHERE doc_id NOT IN (SELECT removed FROM sg))"""
+_STAGES = """s AS (
+  SELECT 'input' AS stage, count(*) AS documents FROM raw UNION ALL SELECT 'prepared', count(*) FROM reasons WHERE reason IS NULL UNION ALL SELECT 'quality', count(*) FROM good
+  UNION ALL SELECT 'exact', count(*) FROM fb UNION ALL SELECT 'fuzzy', count(*) FROM sb UNION ALL SELECT 'semantic', count(*) FROM left_over)"""
+_REJECTED = """r AS (
+  SELECT 'Stage 1 - Preparation' AS stage, reason FROM reasons WHERE reason IS NOT NULL
+  UNION ALL SELECT 'Stage 2 - Quality', 'Low quality score: ' || format('{:.3f}', overall_score) || ' < 0.25' FROM scored WHERE overall_score < 0.25
+  UNION ALL SELECT 'Stage 3 - Exact Dedup', 'Exact duplicate' FROM good WHERE doc_id <> f
+  UNION ALL SELECT 'Stage 3 - Fuzzy Dedup', 'Fuzzy duplicate' FROM fg UNION ALL SELECT 'Stage 3 - Semantic Dedup', 'Semantic duplicate' FROM sg)"""
+_REMOVALS = f"SELECT i, j, {_round('sim', 6)} AS similarity, removed, kept, logged"
 _LISTED = f"len(list_filter(t, lambda x: x IN ({_in(P.TECHNICAL_TERMS)}))) + len(list_filter(t, lambda x: x IN ({_in(P.DOMAIN_INDICATORS)})))"
 #: What is kept up to there, with its domain and boosted score.
-CURATED = f"""{EARLY},
-rel AS (SELECT doc_id, c, overall_score, CASE WHEN n > 0 THEN least(greatest(({_LISTED}) / n::DOUBLE * 20.0, 0.1), 1.0) ELSE 0.2 END AS r FROM scored),
-cur AS (SELECT doc_id, c, {_category()} AS domain, CASE WHEN r >= 0.1 THEN least(overall_score * 1.2::DOUBLE, 1.0) ELSE overall_score END AS score FROM rel WHERE doc_id IN (SELECT f FROM good))"""
+def _curated(before: str, kept: str) -> str:
+    return f"""{before},
+rel AS (SELECT doc_id, c, n, overall_score, CASE WHEN n > 0 THEN least(greatest(({_LISTED}) / n::DOUBLE * 20.0, 0.1), 1.0) ELSE 0.2 END AS r FROM scored),
+cur AS (SELECT doc_id, c, n, {_category()} AS domain, CASE WHEN r >= 0.1 THEN least(overall_score * 1.2::DOUBLE, 1.0) ELSE overall_score END AS score FROM rel WHERE doc_id IN ({kept}))"""
+
+
+CURATED = _curated(EARLY, "SELECT f FROM good")
+FULL = _curated(LEVELS, "SELECT doc_id FROM left_over")
+
+
+def _distributions(curated: str, pairs: str) -> str:
+    return f"""{curated}
+SELECT 'domain' AS kind, domain AS name, count(*) AS n FROM cur GROUP BY 2 UNION ALL SELECT 'grade', quality_grade, count(*) FROM scored JOIN graded USING (doc_id) WHERE scored.overall_score >= 0.25 GROUP BY 2
+UNION ALL {pairs} UNION ALL SELECT 'quality', 'mean', round(avg(score) * 10000)::BIGINT FROM cur"""
+
+
+_PAIRS_BY_LEVEL = """SELECT 'exact' AS type, count(*) AS removed FROM good WHERE doc_id <> f HAVING count(*) > 0 UNION ALL SELECT 'fuzzy', count(*) FROM fg WHERE logged HAVING count(*) > 0
+UNION ALL SELECT 'semantic', count(*) FROM sg WHERE logged HAVING count(*) > 0"""
 
 
 def _rows(names: str, *rows: str) -> str:
@@ -212,9 +279,20 @@ SELECT stage, documents, round(documents / (SELECT count(*) FROM raw), 6) AS ret
   UNION ALL SELECT 'Stage 2 - Quality', 'Low quality score: ' || format('{{:.3f}}', overall_score) || ' < 0.25', n FROM scored WHERE overall_score < 0.25
   UNION ALL SELECT 'Stage 3 - Exact Dedup', 'Exact duplicate', n FROM good WHERE doc_id <> f)
 SELECT stage, reason, count(*) AS documents, sum(n)::BIGINT AS words FROM r GROUP BY 1, 2""",
-    "early_metadata": f"""WITH {CURATED}
-SELECT 'domain' AS kind, domain AS name, count(*) AS n FROM cur GROUP BY 2 UNION ALL SELECT 'grade', quality_grade, count(*) FROM scored JOIN graded USING (doc_id) WHERE scored.overall_score >= 0.25 GROUP BY 2
-UNION ALL SELECT 'pairs', 'exact', count(*) FROM good WHERE doc_id <> f HAVING count(*) > 0 UNION ALL SELECT 'quality', 'mean', round(avg(score) * 10000)::BIGINT FROM cur""",
+    "early_metadata": "WITH " + _distributions(CURATED, "SELECT 'pairs', 'exact', count(*) FROM good WHERE doc_id <> f HAVING count(*) > 0"),
+    "fuzzy_dedup": f"WITH RECURSIVE {KEEPERS}, fb AS (SELECT * FROM kb),{FUZZY} {_REMOVALS} FROM fg",
+    "semantic_dedup": f"WITH RECURSIVE {KEEPERS}, sb AS (SELECT * FROM kb),{SEMANTIC} {_REMOVALS} FROM sg",
+    "multi_level_dedup": f"WITH RECURSIVE {LEVELS} {_PAIRS_BY_LEVEL}",
+    "stage_retention": f"WITH RECURSIVE {LEVELS}, {_STAGES} SELECT stage, documents, round(documents / (SELECT count(*) FROM raw), 6) AS retention FROM s",
+    "rejection_reasons": f"WITH RECURSIVE {LEVELS}, {_REJECTED} SELECT stage, reason, count(*) AS documents FROM r GROUP BY 1, 2",
+    "curation_statistics": rf"""WITH RECURSIVE {LEVELS}, {_REJECTED}, {_STAGES}
+SELECT 'stages' AS kind, stage AS name, documents AS n FROM s UNION ALL SELECT 'rejections', stage, count(*) FROM r GROUP BY 2
+UNION ALL SELECT 'reasons', regexp_replace(reason, '[0-9].*$|:.*$', ''), count(*) FROM r GROUP BY 2 UNION ALL SELECT 'pairs', type, removed FROM ({_PAIRS_BY_LEVEL})""",
+    "curation_metadata": "WITH RECURSIVE " + _distributions(FULL, f"SELECT 'pairs', type, removed FROM ({_PAIRS_BY_LEVEL})"),
+    "curated_dataset": f"""WITH RECURSIVE {FULL} SELECT doc_id, left(md5(c), 12) AS id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS training_rank, md5({_redacted()}) AS text_md5,
+  {_redacted()} <> c AS pii_removed, {_round('score', 6)} AS quality_score, quality_grade, domain AS domain_category, cur.n::INT AS word_count, left(sha256({_strip(KEY)}), 12) AS content_hash FROM cur JOIN (SELECT doc_id, quality_grade FROM graded) USING (doc_id)""",
+    "curation_report": f"""WITH RECURSIVE {FULL}, k AS (SELECT (SELECT count(*) FROM raw) AS a, (SELECT count(*) FROM left_over) AS b)
+SELECT a AS input_documents, b AS final_documents, round(b / a, 6) AS retention_rate, (SELECT round(avg(score), 4) FROM cur) AS mean_quality, (SELECT sum(({_redacted()} <> c)::INT)::BIGINT FROM cur) AS documents_with_personal_data FROM k""",
     "early_training_rows": f"""WITH {CURATED} SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS training_rank, md5({_redacted()}) AS text_md5, {_redacted()} <> c AS pii_removed, domain AS domain_category FROM cur""",
     "early_reason_files": f"WITH {NORMAL} SELECT reason, count(*) AS files, sum(doc_id)::BIGINT AS ids FROM reasons WHERE reason IS NOT NULL GROUP BY 1",
     "extraction_statistics": f"""WITH {EXTRACTION} SELECT count(*) AS files, sum((word_count > 0)::INT)::BIGINT AS successful, round(avg(q), 4) AS mean_quality, round(min(q), 4) AS least_quality,
@@ -333,6 +411,9 @@ k AS (SELECT doc_id, list_filter(t, lambda r: abs(len(r) - list_sum(list_transfo
 SELECT doc_id, len(t) AS rows, md5(array_to_string(list_transform(t, lambda r: array_to_string(r, ' | ')), chr(10))) AS flat_md5, true AS valid FROM k WHERE len(t) >= 2""",
     "validation_sample": f"SELECT doc_id, length(c) AS n_chars FROM (SELECT * FROM ({RAW}) ORDER BY doc_id LIMIT 100) WHERE length({_strip('c')}) > 50",
     "json_roundtrip": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, '{\"k\":' || (props::JSON ->> 'k') || '}' AS json FROM events",
+    "optional_predicates": """SELECT doc_id, coalesce(list_bool_or(list_transform(range(1, 11), lambda k: length(t) % k = 0 AND length(t) // k >= 6 AND t = repeat(left(t, k::INT), (length(t) // k)::INT))), false) AND NOT contains(t, chr(10)) AS low_information
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\n$', '') AS t FROM documents)""",
+    "optional_predicate_cases": _rows("id, low_information, repetitive", "(1, true, false)", "(2, false, false)", "(3, true, false)", "(4, false, false)", "(5, false, true)", "(6, false, false)", "(7, false, false)"),
     "document_stats": f"SELECT doc_id, len({_words('c')}) AS total_words, 0 AS total_tables, 0 AS total_images, 1 AS total_pages FROM ({RAW})",
     "extraction_success": f"SELECT count(*) AS files, sum(({_strip('c')} <> '')::INT)::BIGINT AS successful, sum(({_strip('c')} = '')::INT)::BIGINT AS failed, count(*) AS elements, 1.0::DOUBLE AS mean_elements, sum(({_strip('c')} <> '')::INT) * 100.0::DOUBLE / count(*) AS success_rate FROM ({RAW})",
     "word_count_range": f"SELECT min(n) AS min, max(n) AS max, sum(n)::BIGINT AS total FROM (SELECT len({_words('c')}) AS n FROM ({RAW}))",

@@ -269,7 +269,11 @@ def _curated(spark, d, until="semantic"):
 
 @query
 def curated_dataset(spark, d):
-    return _curated(spark, d).curated.drop("text_original", "text_redacted")
+    c = _curated(spark, d).curated
+    return c.select(
+        F.col("ord").alias("doc_id"), "id", "training_rank", F.md5("text").alias("text_md5"), "pii_removed", F.round("quality_score", 6).alias("quality_score"), "quality_grade",
+        "domain_category", "source_info.word_count", "content_hash",
+    )
 
 
 @query
@@ -291,7 +295,8 @@ def rejection_files(spark, d):
 
 @query
 def curation_metadata(spark, d):
-    return curation.metadata(_curated(spark, d)).drop("curation_date")
+    """The distributions of the metadata as rows, and the mean quality in ten-thousandths."""
+    return _distributions(_curated(spark, d))
 
 
 @query
@@ -505,6 +510,13 @@ def optional_predicates(spark, d):
     return _raw(spark, d).select("doc_id", c.rlike(P.LOW_INFORMATION).alias("low_information"))
 
 
+@query
+def optional_predicate_cases(spark, d):
+    rows = [(1, "abababababab"), (2, "abcabcabcabcabc"), (3, "x" * 6), (4, "plain prose"), (5, "start " + "twenty characters xx" * 5), (6, "twenty characters xx" * 4), (7, "")]
+    t = F.col("t")
+    return _cases(spark, rows, "id long, t string").select("id", t.rlike(P.LOW_INFORMATION).alias("low_information"), t.rlike(P.REPETITIVE).alias("repetitive"))
+
+
 @query
 def document_stats(spark, d):
     df = readers.documents_as_extracted(_table(spark, d, "documents"))
@@ -553,12 +565,23 @@ def early_rejections(spark, d):
 
 @query
 def early_metadata(spark, d):
-    """Documents by domain, grade and level of duplicates, and the mean quality in ten-thousandths, up to exact duplicates."""
-    c = _curated(spark, d, until="exact")
-    rows = lambda df, kind, name: df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    grades = c.grades.select(F.lit("grade").alias("kind"), F.col("quality_grade").alias("name"), F.col("documents").alias("n"))
-    mean = c.curated.agg(F.round(F.avg("quality_score") * 10_000).cast("long").alias("n")).select(F.lit("quality").alias("kind"), F.lit("mean").alias("name"), "n")
-    return rows(c.curated, "domain", "domain_category").unionByName(grades).unionByName(rows(c.pairs, "pairs", "type")).unionByName(mean)
+    """The same up to exact duplicates."""
+    return _distributions(_curated(spark, d, until="exact"))
+
+
+def _rows_of_maps(df, **columns):
+    """(kind, name, n) of a one-row table's maps."""
+    out = None
+    for kind, c in columns.items():
+        part = df.select(F.lit(kind).alias("kind"), F.explode(c).alias("name", "n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _distributions(c):
+    m = Tables(c.curated.sparkSession, "metadata").save(curation.metadata(c).drop("curation_date"), "row")
+    mean = m.select(F.lit("quality").alias("kind"), F.lit("mean").alias("name"), F.round(F.col("average_quality") * 10_000).cast("long").alias("n"))
+    return _rows_of_maps(m, domain="domain_distribution", grade="quality_distribution", pairs="deduplication_stats").unionByName(mean)
 
 
 @query
@@ -578,13 +601,14 @@ def early_reason_files(spark, d):
 
 @query
 def curation_statistics(spark, d):
-    return curation.statistics(_curated(spark, d)).select(*[F.to_json(c).alias(c) for c in ("stages", "rejections_by_stage", "duplicate_pairs")])
+    s = Tables(spark, "statistics").save(curation.statistics(_curated(spark, d)), "row")
+    return _rows_of_maps(s, stages="stages", rejections="rejections_by_stage", reasons="rejections_by_reason", pairs="duplicate_pairs")
 
 
 @query
 def curation_report(spark, d):
     r = curation.report(_curated(spark, d), {"all": 0.0})
-    return r.select("input_documents", "final_documents", F.round("retention_rate", 6).alias("retention_rate"), F.to_json("quality_analysis").alias("quality_analysis"))
+    return r.select("input_documents", "final_documents", F.round("retention_rate", 6).alias("retention_rate"), F.round("quality_analysis.mean", 4).alias("mean_quality"), "quality_analysis.documents_with_personal_data")
 
 
 @query
