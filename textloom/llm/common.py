@@ -60,7 +60,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
-        self.spark, self.began = spark, 0.0
+        self.spark, self.began, self.labels = spark, 0.0, []
         self.root = f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
@@ -68,6 +68,7 @@ class Scratch:
         path, schema, self.began = f"{self.root}/{label}", df.schema, time.monotonic()
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         del df
+        self.labels.append(label)
         self.release()
         return self.spark.read.schema(schema).parquet(path)
 
@@ -75,6 +76,13 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *labels: str) -> None:
+        """Drops all tables but these: those that what is handed on is still read from."""
+        for label in self.labels:
+            if label not in labels:
+                self.drop(label)
+        self.labels = [x for x in self.labels if x in labels]
+
     def release(self) -> None:
         """Spark deletes shuffle files once nothing refers to their plan; the driver's collectors are asked to notice.
 

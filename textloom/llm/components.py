@@ -29,5 +29,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         found = scratch.save(jumped, f"{name}-{step}")
         changed = not found.where(F.col("label") != F.col("old")).isEmpty()
         labels = found.select("node", "label")
+        scratch.drop(f"{name}-least-{step}")
+        scratch.drop(f"{name}-{step - 1}")
         if not changed:
+            scratch.drop(f"{name}-edges")
             return labels

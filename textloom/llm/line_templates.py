@@ -133,9 +133,10 @@ def _template(own: pd.Series, tokens: pd.Series, variable: pd.Series, share: pd.
 def recurring_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
     min_docs: int = MIN_DOCS, max_children: int = MAX_CHILDREN, min_constant: float = MIN_CONSTANT, copies: str = "text",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """A row per document that loses lines: key, dropped (the line numbers)."""
-    scratch = Scratch(docs.sparkSession, "templates")
+    scratch = scratch or Scratch(docs.sparkSession, "templates")
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     lines = scratch.save(rows.mapInPandas(_parse(min_tokens, depth), LINES_DDL), "lines")
     # A template lies in one leaf, so a leaf of fewer documents holds none that recurs. Spark broadcasts the leaves where they are few.
@@ -153,6 +154,7 @@ def recurring_lines(
     scratch.drop("reached")
     recurring = named.groupBy("template").agg(F.count_distinct("k_text").alias("n")).where(F.col("n") >= min_docs).select("template")
     hits = scratch.save(named.join(scratch.save(recurring, "recurring"), "template"), "hits")
+    scratch.drop("named")
     if copies == "near":
         sizes = lines.groupBy(*KEY).agg(F.sum("size").alias("all"))
         suspects = hits.groupBy(*KEY).agg(F.sum("size").alias("some")).join(sizes, KEY).where(F.col("some") >= SUSPECT * F.col("all"))
@@ -172,12 +174,15 @@ def suspect_classes(docs: DataFrame, suspects: DataFrame, scratch: Scratch, id_c
     classes, _ = duplicate_classes(some, "id", "text", scratch=near)
     out = scratch.save(classes.select(*KEY, F.xxhash64("class_id", "class_text").alias("class")).distinct(), "classes")
     near.drop("")
+    scratch.drop("suspect-texts")
     return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All documents with their recurring lines dropped, and n_dropped_lines; options are those of recurring_lines."""
-    dropped = Scratch(docs.sparkSession, "templates").save(recurring_lines(docs, id_col, text_col, **options), "dropped")
+    scratch = Scratch(docs.sparkSession, "templates")
+    dropped = scratch.save(recurring_lines(docs, id_col, text_col, scratch=scratch, **options), "dropped")
+    scratch.keep_only("dropped")
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")
     keyed = docs.select(own, *row_key(id_col, text_col))
     joined = keyed.join(dropped.hint("merge"), KEY, "left")

@@ -113,10 +113,9 @@ def frequent_lines(lines: DataFrame, name: str, limit: int) -> DataFrame:
 
 
 def _judged(
-    docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs_per_host: int, max_removed_percent: int, copies: str
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs_per_host: int, max_removed_percent: int, copies: str, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame]:
     """The verdicts that judge() gives, and (key, host, h, words) of each document's lines above the limit."""
-    scratch = Scratch(docs.sparkSession, "quality")
     profiles = scratch.save(profile(docs, id_col, text_col, host_col), "profiles")
     lines = profiles.select(*KEY, "host", F.explode("lines").alias("l")).select(*KEY, "host", "l.h", "l.words")
     above = scratch.save(frequent_lines(lines, "k_text", max_docs_per_host), "above")
@@ -150,7 +149,7 @@ def judge(
     copies: str = "text",
 ) -> DataFrame:
     """One row per document: key, doc_id, the rules' counts, n_removed_words, base_failed, kept."""
-    return _judged(docs, id_col, text_col, host_col, max_docs_per_host, max_removed_percent, copies)[0]
+    return _judged(docs, id_col, text_col, host_col, max_docs_per_host, max_removed_percent, copies, Scratch(docs.sparkSession, "quality"))[0]
 
 
 def _normalised_hash(line):
@@ -170,10 +169,11 @@ def apply_quality_rules(
     copies: str = "text",
 ) -> DataFrame:
     """The documents that are kept, with all their columns, and their texts without the lines above the limit."""
-    scratch = Scratch(docs.sparkSession, "quality-kept")
-    verdicts, found = _judged(docs, id_col, text_col, host_col, max_docs_per_host, max_removed_percent, copies)
+    scratch = Scratch(docs.sparkSession, "quality")
+    verdicts, found = _judged(docs, id_col, text_col, host_col, max_docs_per_host, max_removed_percent, copies, scratch)
     kept = scratch.save(verdicts.where("kept").select(*KEY, "host").distinct(), "kept")
     gone = scratch.save(found.groupBy(*KEY, "host").agg(F.collect_set("h").alias("gone")), "gone")  # at most a text's lines
+    scratch.keep_only("kept", "gone")
     names = dict(zip(KEY, row_key(id_col, text_col)), host=F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")
     keyed = docs.select(own, *[v.alias(k) for k, v in names.items()])

@@ -229,6 +229,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = contexts.join(several.select("anchor"), "anchor").select("first.doc", F.struct("anchor", "first.at").alias("w"))
     wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
     cut = scratch.save(texts.join(scratch.save(wanted, "wanted"), "doc").mapInPandas(_cut_contexts, "anchor long, doc long, lo int, bytes binary"), "cut")
+    for label in ("wanted", "contexts", "twice"):
+        scratch.drop(label)
     shards = max(1, -(-total // SHARD_CONTEXTS))
     split = F.col("n") > SPLIT_CONTEXTS
     parts = F.ceil(F.col("n") / SPLIT_CONTEXTS)
@@ -237,6 +239,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = cut.join(several, "anchor").select("anchor", "doc", "lo", "bytes", split.alias("split"), shard.alias("shard"), part.alias("part"))
     repeats = dealt.groupBy("split", "shard", "part").applyInPandas(_with_shard, f"{FOUND_DDL}, shard long")
     found = scratch.save(repeats, "found")
+    scratch.drop("cut")
     # An anchor's windows are as many as its contexts, up to a factor of REACH + 1, and so are the ranges: a range stays small.
     runs = found.where("hi = -1").join(several, "anchor").withColumn("range", F.pmod(F.xxhash64("gram"), F.ceil(F.col("n") * (REACH + 1) / RANGE_WINDOWS)))
     merged = runs.groupBy("anchor", "range").applyInPandas(merge_runs, "doc long, lo int, hi int")
@@ -270,6 +273,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = document_order(docs, scratch, id_col, text_col)
     # Rows equal in id and text are one document; where ids are unique nothing is to be done for that.
     spans = scratch.save(repeated_spans(ordered.select("doc", F.col(text_col).alias("text")), scratch), "spans")
+    scratch.keep_only("spans", "numbers")
     return ordered.join(spans, "doc", "left")
 
 
