@@ -316,6 +316,20 @@ SELECT 'none' AS token, false AS initialised, place, round(avg(x), 5) AS x FROM
     "unicode_cases": _rows("id, normalised", "(1, 'fine 12 line')", "(2, 'softhyphen andspace')", "(3, 'plain text here')"),
     "element_cases": _rows("filename, text, tables, element_count", "('a', E'Head\\n\\n1 2', '<table>1 2</table>', 3)", "('b', 'only', 'only', 1)"),
     "page_key_cases": _rows("ord, reason, middle, last", "(1, NULL, 398, 416)", "(2, 'Processing error: page key is no number: zero', 0, 0)"),
+    "document_file_cases": _rows(
+        "file, extraction_method, extraction_success, has_error, text", "('a.txt', 'text', true, false, E'plain text\nof two lines')", "('b.html', 'html', true, false, 'A & B')",
+        "('c.docx', 'docx', true, false, E'First\nSecond part')", "('d.docx', 'failed', false, true, NULL)", "('e.pdf', 'pdf', true, false, 'one page')", "('f.pdf', 'failed', false, true, NULL)",
+    ),
+    "extracted_json_cases": _rows("file_path, pages, total_pages", "('a/good.pdf', 1, 1)"),
+    "json_lines_cases": _rows("kind, text", "('all', 'one')", "('all', 'two')", "('all', 'three')", "('all', 'last')", "('first five', 'one')", "('first five', 'two')", "('first five', 'three')"),
+    "gzip_training_rows": "SELECT kind, kind = 'gz' AS gz, (SELECT count(*) FROM documents) AS rows FROM (VALUES ('gz'), ('plain')) AS t(kind)",
+    "table_append_cases": _rows("ord, original_content", "(1, E'The first page.\n\nThe third page.\n\n[TABLE_1]\na\n1 | 2\n\n[TABLE_3]\na\n1 | 2')"),
+    "shown_pair_cases": "SELECT 10 AS ten, 0 AS eleven",
+    "embedding_resize": """WITH f AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(64))::INT AS place FROM embeddings WHERE vec_id < 100)
+SELECT id, place, round(x, 5) AS x FROM f UNION ALL SELECT 100 + k, place, round(avg(x), 5) FROM f, (VALUES (0), (1)) AS t(k) GROUP BY 1, 2""",
+    "training_steps": f"SELECT n, n < 100 AS small, 16 AS effective_batch, n // 16 AS steps_per_epoch, n // 16 * 3 AS total_steps, 0 AS warnings_0, 2 AS warnings_1 FROM (SELECT count(*) AS n FROM ({RAW}) WHERE {_strip('c')} <> '')",
+    "model_registry_cases": _rows("model, info, chosen", "('a', 'a (enabled): org/a', true)", "('b', 'b (disabled): org/b', false)", "('c', 'c (enabled): org/c', false)"),
+    "configuration_cases": _rows("words, quality, sentences", "(10, 0.75::DOUBLE, 2)"),
     "training_lines_read_back": f"SELECT md5(c) AS text_md5, length(c) AS n_chars, count(*) AS rows FROM ({RAW}) WHERE c <> '' GROUP BY 1, 2",
     "limited_lines_read_back": "SELECT md5(text) AS text_md5 FROM (SELECT CASE WHEN item_id % 7 = 0 THEN '' ELSE text END AS text, item_id FROM benchmark ORDER BY item_id LIMIT 30) WHERE text <> ''",
     "document_files_read_back": f"SELECT doc_id::VARCHAR || '.pdf' AS filename, md5(c) AS text_md5 FROM ({RAW})",

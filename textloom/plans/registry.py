@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from ..functions import quality as Q
 from ..functions import text as X
 from ..operators import dedup, embeddings, evaluation, markup, reports, tfidf, tokens, training, vocabulary
 from ..sources import readers, writers
+from .. import config
 from ..config import VocabularyConfig
 from ..storage import Tables, spread
 from . import curation
@@ -742,6 +747,115 @@ def page_key_cases(spark, d):
     return p.select("ord", "reason", F.instr("original_content", "middle") .alias("middle"), F.instr("original_content", "last").alias("last"))
 
 
+def _files(spark, name, files):
+    """A folder in the shared place with these small files, by name."""
+    t = Tables(spark, name)
+    for file, content in files.items():
+        writers.text_file(spark, f"{t.root}/{file}", content)
+    return t.root
+
+
+@query
+def document_file_cases(spark, d):
+    """Files of all formats in one folder; a broken one is a failed record."""
+    word = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
+    xml = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>' + word.format("First") + word.format("Second part") + "</w:body></w:document>"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", xml)
+    files = {"a.txt": "plain text\nof two lines", "b.html": "<html><head><title>no</title></head><body><p>A &amp; B</p><script>x</script></body></html>",
+             "c.docx": buffer.getvalue(), "d.docx": b"broken", "e.pdf": b"one page", "f.pdf": b"\xff", "g.md": "not read"}
+    df = readers.document_files(spark, _files(spark, "formats", files), _ascii)
+    return df.select(X.basename(F.col("file_path")).alias("file"), "extraction_method", "extraction_success", F.col("error").isNotNull().alias("has_error"), F.try_element_at("pages", F.lit("0"))["text"].alias("text"))
+
+
+def _ascii(data: bytes) -> str:
+    """Stands for a PDF parser."""
+    return data.decode("ascii")
+
+
+@query
+def extracted_json_cases(spark, d):
+    page = {"text": "words", "word_count": 1}
+    good = {"file_path": "a/good.pdf", "extraction_success": True, "pages": {"0": page}, "total_pages": 1}
+    files = {"good.json": good, "failed.json": {**good, "extraction_success": False}, "empty.json": {**good, "pages": {}}, "unsaid.json": {"file_path": "x", "pages": {"0": page}}}
+    folder = _files(spark, "extracted", {**{k: json.dumps(v, indent=2) for k, v in files.items()}, "broken.json": "{", "other.txt": json.dumps(good)})
+    return readers.extracted_json(spark, folder).select("file_path", F.size("pages").alias("pages"), "total_pages")
+
+
+@query
+def json_lines_cases(spark, d):
+    lines = ['{"text": "one"}', "", '{"content": "two"}', "not json", '{"text": "", "content": "three"}', '{"text": ""}', '{"other": 1}', '{"text": "last", "content": "x"}']
+    folder = _files(spark, "lines", {"rows.jsonl": "\n".join(lines)})
+    every = readers.json_lines(spark, folder).select(F.lit("all").alias("kind"), "text")
+    return every.unionByName(readers.json_lines(spark, folder, limit=5).select(F.lit("first five").alias("kind"), "text"))
+
+
+@query
+def gzip_training_rows(spark, d):
+    """Training lines are compressed unless that is turned off."""
+    t, rows = _reread(spark, d, "gzip")
+    writers.training_lines(rows, f"{t.root}/gz")
+    writers.training_lines(rows, f"{t.root}/plain", compressed=False)
+    name = lambda p: spark.read.format("binaryFile").load(f"{t.root}/{p}").where(F.col("length") > 0).select(F.lit(p).alias("kind"), F.col("path").endswith(".json.gz").alias("gz"))
+    files = name("gz").unionByName(name("plain")).groupBy("kind").agg(F.bool_and("gz").alias("gz"))
+    counts = spark.read.json(f"{t.root}/gz").select(F.lit("gz").alias("kind")).unionByName(spark.read.json(f"{t.root}/plain").select(F.lit("plain").alias("kind"))).groupBy("kind").agg(F.count("*").alias("rows"))
+    return files.join(counts, "kind")
+
+
+@query
+def table_append_cases(spark, d):
+    """Several pages in numeric order, and tables under their numbers over all tables."""
+    grid, blank = [["a", None], ["1", "2"]], [[" ", None]]
+    rows = [(1, "x/1.json", {"0": ("The first page.",), "2": ("The third page.",), "1": ("short",)}, [(grid,), (blank,), (grid,)], 0, 3)]
+    schema = "ord long, file_path string, pages map<string, struct<text: string>>, tables array<struct<data: array<array<string>>>>, images_detected int, total_pages int"
+    return curation.prepare(_cases(spark, rows, schema), curation.CurationConfig()).select("ord", "original_content")
+
+
+@query
+def shown_pair_cases(spark, d):
+    """Pairs are shown if there are ten at most."""
+    ten, eleven = spark.range(10).toDF("k"), spark.range(11).toDF("k")
+    return reports.shown_pairs(ten).agg(F.count("*").alias("ten")).join(reports.shown_pairs(eleven).agg(F.count("*").alias("eleven")), F.lit(True))
+
+
+@query
+def embedding_resize(spark, d):
+    """Rows that the vocabulary has beyond the matrix get the mean of all its rows."""
+    e = _table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("id"), "embedding")
+    rows = embeddings.resized(e, spark.range(102))
+    return rows.select("id", F.posexplode("embedding").alias("place", "x")).select("id", "place", F.round("x", 5).alias("x"))
+
+
+@query
+def training_steps(spark, d):
+    """Steps of a run over the training rows, whether they are few, and what is advised about two configurations."""
+    n = _raw(spark, d).where(X.strip(F.col("content")) != "").agg(F.count("*").alias("n"))
+    steps = training.step_counts(F.col("n"), 2, 8, 3)
+    advice = [training.config_advice(2e-4, 3), training.config_advice(1e-3, 9)]
+    return n.select("n", training.small_set(F.col("n")).alias("small"), *[v.cast("long").alias(k) for k, v in steps.items()], *[F.lit(len(a)).alias(f"warnings_{k}") for k, a in enumerate(advice)])
+
+
+@query
+def model_registry_cases(spark, d):
+    rows = [("a", "org/a", True), ("b", "org/b", False), ("c", "org/c", True)]
+    models = _cases(spark, rows, "model string, path string, enabled boolean")
+    chosen = evaluation.enabled_models(models, ["a", "b"]).select("model", F.lit(True).alias("chosen"))
+    return evaluation.model_info(models).join(chosen, "model", "left").select("model", "info", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query
+def configuration_cases(spark, d):
+    """A file's settings, those of its section before those at its top, over the defaults."""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as f:  # settings are read on the driver
+        f.write("min_words_per_doc: 10\nmin_quality_score: 0.5\ncuration:\n  min_quality_score: 0.75\n  unknown: 1\n")
+        f.flush()
+        cfg = config.load(config.CurationConfig, f.name, "curation")
+    return _cases(spark, [(cfg.min_words_per_doc, cfg.min_quality_score, cfg.min_sentences_per_doc)], "words int, quality double, sentences int")
+
+
 def _reread(spark, d, what):
     """Training rows that the writers leave, read back."""
     t = Tables(spark, what)

@@ -50,15 +50,15 @@ def json_file(row: DataFrame, path: str) -> None:
     _put(row.sparkSession, path, json.dumps(json.loads(only.j), indent=2, ensure_ascii=False))
 
 
-def text_file(spark: SparkSession, path: str, text: str) -> None:
+def text_file(spark: SparkSession, path: str, text: str | bytes) -> None:
     _put(spark, path, text)
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def _put(spark: SparkSession, path: str, text: str | bytes) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(text if isinstance(text, bytes) else text.encode("utf-8")))
     finally:
         out.close()
 
