@@ -43,10 +43,9 @@ def _own_folder() -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir"):
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return folder
-    if re.match(r"local(\[|$)", conf.get("spark.master") or ""):
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
         return _own_folder()
     raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
