@@ -124,3 +124,19 @@ def test_images_pages_grid(spark):
     df = spark.sql("SELECT transform(array(array(100, 50), array(103, 52), array(9, 9), array(300, 300)), x -> named_struct('width', x[0], 'height', x[1])) AS i, array(3, 1, 3) AS p, array(1,2,3,4,5,6) AS q")
     row = df.select(F.size(M.near_images(F.col("i"))).alias("n"), M.page_summary(F.col("p")).alias("p"), M.page_summary(F.col("q")).alias("q")).first()
     assert (row.n, row.p, row.q) == (2, "1,3", "P1-6")
+
+
+def test_syllables_of_whole_texts(spark):
+    import random
+    import re
+
+    def of(word):
+        w = word.lower().strip(".,!?;:")
+        n = len(re.findall("[aeiouy]+", w))
+        return 0 if not w else max(n - (w.endswith("e") and n > 1), 1)
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aeiouybcdt.,!?;: \n\té-E") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.n for r in df.select("k", X.syllables(F.col("t")).alias("n")).collect()}
+    assert all(got[k] == sum(map(of, t.split())) for k, t in enumerate(texts)), next((t, got[k], sum(map(of, t.split()))) for k, t in enumerate(texts) if got[k] != sum(map(of, t.split())))

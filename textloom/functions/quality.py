@@ -82,10 +82,9 @@ def with_extraction_scores(df: DataFrame, text: str = "text", tables: Column | N
     """Type-token ratio, reading ease, entropy ratio, structure, richness, overall (not rounded), grade; zeros for blank texts."""
     t = F.col(text)
     df = df.withColumn("_w", X.words(t)).withColumn("_l", F.transform("_w", F.lower))
-    no = P.WS.replace("[", "[^", 1)
     df = df.withColumn("_n", F.struct(
-        X.syllables(t).alias("syllables"), F.regexp_count(t, F.lit(rf"(?![.!?]){no}[^.!?]*")).alias("sentences"),
-        F.regexp_count(t, F.lit(rf"(?:(?![.!?]){no})+")).alias("words"), F.regexp_count(t, F.lit("[,;:]")).alias("marks"),
+        X.syllables(t, F.size("_w")).alias("syllables"), F.regexp_count(t, F.lit(rf"{X.no_space('.!?')}[^.!?]*+")).alias("sentences"),
+        F.regexp_count(t, F.lit(f"{X.no_space('.!?')}++")).alias("words"), F.regexp_count(t, F.lit("[,;:]")).alias("marks"),
     ))
     n, s, distinct, syllables = F.size("_w"), F.col("_n.sentences"), F.size(F.array_distinct("_l")), F.col("_n.syllables")
     ratio = _ratio(distinct, n)
@@ -93,8 +92,10 @@ def with_extraction_scores(df: DataFrame, text: str = "text", tables: Column | N
     reading = F.when((s == 0) | (n == 0), 0.0).when(syllables > 0, F.greatest(F.lit(0.0), _cap(ease / 100.0))).otherwise(F.lit(0.5))
     density = F.when(distinct > 1, X.word_entropy(F.col("_l")) / F.log2(distinct.cast("double"))).otherwise(F.lit(0.0))
     structure = F.when(s == 0, 0.0).otherwise((_cap(_ratio(F.col("_n.words"), s) / 20.0) + _cap(_ratio(F.col("_n.marks"), s) / 3.0)) / 2.0)
-    b = P.BOUNDARY
-    numbers, acronyms = F.regexp_count(t, F.lit(rf"{b}\p{{Nd}}+\.?\p{{Nd}}*{b}")), F.regexp_count(t, F.lit(rf"{b}[A-Z]{{2,}}{b}"))
+    # A boundary before a word character is no word character before it; that is looked at only where the first one matches.
+    b, w = P.BOUNDARY, P.WORD_CHAR
+    numbers = F.regexp_count(t, F.lit(rf"\p{{Nd}}(?<!{w}\p{{Nd}})\p{{Nd}}*\.?\p{{Nd}}*{b}"))
+    acronyms = F.regexp_count(t, F.lit(rf"[A-Z](?<!{w}[A-Z])[A-Z]+{b}"))
     k = tables if tables is not None else F.lit(0)
     rich = _cap(F.least(k * 0.2, F.lit(0.6)) + F.when(n > 0, F.least(_ratio(numbers + acronyms, n) * 2.0, F.lit(0.4))).otherwise(F.lit(0.0)))
     df = df.withColumn("_x", F.struct(ratio.alias("l"), reading.alias("e"), density.alias("i"), structure.alias("s"), rich.alias("r")))

@@ -73,18 +73,24 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[.!?]+"), strip), lambda x: x != "")
 
 
-def syllables(c: Column) -> Column:
+def syllables(c: Column, n_words: Column | None = None) -> Column:
     """Syllables of all words of a text: vowel groups, without a last e of words that have others, one at least for each word.
 
-    Counted by three patterns over the whole text: vowel groups, words with such an e, words without a vowel. Marks around a
-    word do not count.
+    Counted by patterns over the whole text: vowel groups, words with such an e, words with a vowel, words of marks only (they
+    have no syllable). Marks around a word do not count. n_words: the number of words, if it is known.
     """
-    no = WS.replace("[", "[^", 1)  # a character of a word
-    low, mark, end = F.lower(c), "[.,!?;:]", f"(?!{no})"
-    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
-    silent = F.regexp_count(low, F.lit(rf"[aeiouy]{no}*(?![aeiouy]){no}[aeiouy]*(?<=e){mark}*{end}"))
-    bare = F.regexp_count(low, F.lit(rf"(?<!{no})(?!{mark}*{end})(?:(?![aeiouy]){no})+{end}"))
-    return groups - silent + bare
+    low, vowel, mark = F.lower(c), "[aeiouy]", "[.,!?;:]"
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern))
+    silent = count(rf"{vowel}++(?:{no_space('aeiouy')}++{vowel}++)+(?<=e){mark}*+(?!{no_space()})")
+    only_marks = count(rf"{mark}(?<!{no_space()}{mark}){mark}*+(?!{no_space()})")
+    n_words = count(f"{no_space()}++") if n_words is None else n_words
+    without = n_words - count(rf"{vowel}{no_space()}*+") - only_marks
+    return count(f"{vowel}++") - silent + without
+
+
+def no_space(*others: str) -> str:
+    """The class of characters that are no white space, and none of these."""
+    return WS.replace("[", "[^", 1)[:-1] + "".join(others) + "]"
 
 
 def basename(c: Column) -> Column:
