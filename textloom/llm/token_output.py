@@ -28,7 +28,6 @@ from .common import KEY, Scratch, input_bytes, load_documents, row_key, text_or_
 from .tokens import encoder
 
 FILE_BYTES = 128 << 20
-FILES_A_CORE = 4
 FILES_DDL = "file_no long, path string, n_docs long, n_tokens long"
 ROWS_DDL = "doc_id long, start long, n_tokens long, ids_crc32 long, file_no long, offset long"
 
@@ -88,9 +87,9 @@ def write_records(
 ) -> DataFrame:
     """Writes record and index files in ascending doc_id order; returns a row per file: file_no, path, n_docs, n_tokens.
 
-    Files are so many that each core has some to write, and that none is made of much more than FILE_BYTES of input.
+    Files are as many as the session's shuffle partitions, and more where one would be made of over FILE_BYTES of input.
     """
-    n = files or max(FILES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(docs) // FILE_BYTES))
+    n = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // FILE_BYTES))
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     dealt = rows.repartitionByRange(n, *KEY).sortWithinPartitions(*KEY)
     return dealt.select("k_id", "text").mapInPandas(_writer(folder, tokenizer, end_id, special_ids), FILES_DDL)
