@@ -337,6 +337,30 @@ def test_many_small_components_share_a_passage(spark, tmp_path):
     assert sum(got[i] == i - i % 2 for i in got) >= 0.97 * len(got) and all(got[i] in (i, i - 1) for i in got)
 
 
+def scattered(words, every):
+    """The words, every so many of them replaced: few shingles are left, most words are."""
+    return [f"s{i}x{words[0]}" if i % every == every // 2 else w for i, w in enumerate(words)]
+
+
+def test_n_links_are_all_links(spark, tmp_path):
+    rng = random.Random(41)
+    texts = []
+    for size in (40, 25, 3, 2):
+        base = prose(rng, 90, 399).split(" ")
+        texts += [" ".join(edited(rng, base, rng.choice((0.01, 0.03, 0.06, 0.09)))) for _ in range(size)]
+    for _ in range(10):
+        base = prose(rng, 110, 399).split(" ")
+        texts += [" ".join(base), " ".join(scattered(base, 10))]
+    texts, links = list(dict.fromkeys(texts)), Counter()
+    for a, b in itertools.combinations(texts, 2):
+        x, y = a.split(" "), b.split(" ")
+        if (m := common_words(x, y)) >= 0.8 * (len(x) + len(y) - m):
+            links.update([a, b])
+    rows = [(i, t, "h") for i, t in enumerate([*texts, *texts[:5]])]
+    got = near_duplicates.op8_near_duplicates(spark, table(spark, tmp_path, rows)).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: links[t] for i, t, _ in rows} and sum(links.values()) > 900
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (60, 61)], "a int, b int")
     labels = {r.node: r.label for r in connected_components(edges, Scratch(spark, "t"), "c").collect()}
