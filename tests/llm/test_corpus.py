@@ -361,6 +361,19 @@ def test_n_links_are_all_links(spark, tmp_path):
     assert {r.doc_id: r.n_links for r in got} == {i: links[t] for i, t, _ in rows} and sum(links.values()) > 900
 
 
+def test_the_pipeline_finds_scattered_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(42)
+    rows = []
+    for i in range(30):  # every tenth word differs: sketches of five-word shingles seldom meet
+        base = prose(rng, 100, 399).split(" ")
+        rows += [(2 * i, " ".join(base), "h"), (2 * i + 1, " ".join(scattered(base, 10)), "h")]
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (60, 61)], "a int, b int")
     labels = {r.node: r.label for r in connected_components(edges, Scratch(spark, "t"), "c").collect()}
