@@ -380,6 +380,33 @@ def test_components(spark):
     assert labels == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40, 60: 60, 61: 60}
 
 
+def test_components_of_dense_groups(spark, monkeypatch):
+    rows, save = {}, Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    dense = list(itertools.combinations(range(40), 2))
+    hubs = [(100 + i, 200 + i % 3) for i in range(60)] + [(200, 201)]  # the greatest node has the links; two hubs meet
+    paths = [(300, 310), (300, 311), (301, 310), (301, 312), (302, 311), (302, 312), (305, 306)]
+    edges = spark.createDataFrame(dense + hubs + paths, "a int, b int")
+    labels = {r.node: r.label for r in connected_components(edges, Scratch(spark, "t"), "c").collect()}
+    expected = {i: 0 for i in range(40)} | {100 + i: 102 if i % 3 == 2 else 100 for i in range(60)} | {200: 100, 201: 100, 202: 102}
+    assert labels == expected | {i: 300 for i in (300, 301, 302, 310, 311, 312)} | {305: 305, 306: 305}
+    assert rows["c-edges"] <= 4 * len(labels)  # what each step joins
+    rng = random.Random(9)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    least = list(range(400))
+    for _ in range(400):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = connected_components(spark.createDataFrame(pairs, "a int, b int"), Scratch(spark, "t"), "c").collect()
+    assert {r.node: r.label for r in got} == {x: least[x] for p in pairs for x in p}
+
+
 def brute_kept(rows):
     """(id, text without repeats) in ascending order of ids."""
     out, seen = [], set()
