@@ -361,6 +361,29 @@ def test_n_links_are_all_links(spark, tmp_path):
     assert {r.doc_id: r.n_links for r in got} == {i: links[t] for i, t, _ in rows} and sum(links.values()) > 900
 
 
+def test_texts_of_a_few_common_rare_words_are_no_candidates(spark, tmp_path, monkeypatch):
+    rng = random.Random(43)
+    met, save = [], Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        met.extend([out.count()] * (label == "met"))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    rows = []
+    for i in range(40):  # two rare words that five texts share, some of its own, and others that more texts hold
+        words = [f"w{i}x{k}" for k in range(18)] + [f"s{i % 8}", f"t{i % 8}"] + rng.sample([f"p{k}" for k in range(900)], 180)
+        rng.shuffle(words)
+        rows.append((2 * i, " ".join(words), "h"))
+    for i in range(0, 20, 2):
+        rows.append((2 * i + 1, " ".join(scattered(rows[i][1].split(" "), 10)), "h"))
+    got = near_duplicates.op8_near_duplicates(spark, table(spark, tmp_path, rows)).collect()
+    copied = {2 * i for i in range(0, 20, 2)}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 2, int(i - i % 2 in copied)) for i, *_ in rows}
+    assert met == [len(copied)]
+
+
 def test_the_pipeline_finds_scattered_copies(spark, tmp_path):
     import corpus_pipeline
 
