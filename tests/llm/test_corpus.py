@@ -397,6 +397,62 @@ def test_the_pipeline_finds_scattered_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
 
 
+def test_a_group_of_near_copies_meets_itself_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(44)
+    met, save = [], Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        met.extend([out.count()] * (label == "met"))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    base = prose(rng, 120, 399).split(" ")
+    rows = [(i, " ".join(edited(rng, base, rng.choice((0.01, 0.03, 0.05, 0.07)))), "h") for i in range(160)]
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    assert [r.doc_id for r in near_duplicates.drop_near_duplicates(docs).collect()] == [0]
+    assert len(met) == 1 and met[0] <= len(rows)
+
+
+def test_class_members_are_all_classes(spark, tmp_path):
+    rng = random.Random(45)
+    texts = []
+    for size in (30, 4, 2):  # edits that sketches miss, or that leave a text linked to some of its group only
+        base = prose(rng, 90, 399).split(" ")
+        texts += [" ".join(edited(rng, base, rng.choice((0.01, 0.05, 0.09, 0.13)))) for _ in range(size)]
+    for _ in range(6):  # chains: each text is linked to the next
+        words = prose(rng, 100, 399).split(" ")
+        for _ in range(5):
+            texts.append(" ".join(words))
+            words = scattered(words, 10)[7:] + prose(rng, 4, 399).split(" ")
+    texts = list(dict.fromkeys(texts))
+    least = list(range(len(texts)))
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
+        x, y = a.split(" "), b.split(" ")
+        if (m := common_words(x, y)) >= 0.8 * (len(x) + len(y) - m):
+            old, new = sorted((least[i], least[j]), reverse=True)
+            least = [new if c == old else c for c in least]
+    rows = [(i, t, "h") for i, t in enumerate(texts)] + [(900, None, "h"), (901, "", "h"), (902, texts[3], "h")]
+    docs = spark.read.parquet(table(spark, tmp_path, rows) + "/documents.parquet")
+    got = {r.k_id: r.class_id for r in near_duplicates.class_members(docs).collect()}
+    assert got == {**dict(enumerate(least)), 900: 900, 901: 901, 902: least[3]} and 5 < len(set(least)) < len(texts)
+
+
+@pytest.mark.parametrize("alone", [0, 1 << 17])
+def test_components_in_one_task_and_in_many(spark, alone):
+    rng = random.Random(46)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    edges = [(a, b) for a, b in edges if a != b]
+    expected = {x: x for e in edges for x in e}
+    for _ in expected:
+        for a, b in edges:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    got = connected_components(spark.createDataFrame(edges, "a int, b int"), Scratch(spark, "t"), "c", alone)
+    assert {r.node: r.label for r in got.collect()} == expected
+    none = connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "n", alone)
+    assert none.count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (60, 61)], "a int, b int")
     labels = {r.node: r.label for r in connected_components(edges, Scratch(spark, "t"), "c").collect()}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import KEY, KEY_DDL, Scratch, hash_words, load_documents, mix, row_key, text_or_empty
-from .near_duplicates import duplicate_classes
+from .near_duplicates import class_members
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -171,7 +171,7 @@ def suspect_classes(docs: DataFrame, suspects: DataFrame, scratch: Scratch, id_c
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     some = scratch.save(keyed.join(suspects, KEY, "left_semi").select("id", "text"), "suspect-texts")
     near = Scratch(docs.sparkSession, "near")
-    classes, _ = duplicate_classes(some, "id", "text", scratch=near)
+    classes = class_members(some, "id", "text", scratch=near)
     out = scratch.save(classes.select(*KEY, F.xxhash64("class_id", "class_text").alias("class")).distinct(), "classes")
     near.drop("")
     scratch.drop("suspect-texts")
