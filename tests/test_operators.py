@@ -277,3 +277,31 @@ def test_page_parser_and_enrichers(spark, tmp_path):
     assert [(i.xref, i.width) for i in a.images] == [(7, 100)] and a.images_detected == 1 and a.total_pages == 2
     assert a.document_stats.asDict() == {"total_words": 4, "total_tables": 4, "total_images": 1, "total_pages": 2}
     assert curation.prepare(readers.pdf_files(spark, str(tmp_path), page_parser=json.loads).withColumn("ord", F.lit(1)).where("extraction_success"), curation.CurationConfig()).count() == 1
+
+
+def test_similar_vectors_in_tiles_are_all_pairs(spark, monkeypatch):
+    """Vectors of few terms, many of them alike, in blocks of about three documents: each pair once, with its whole cosine."""
+    monkeypatch.setattr(tfidf, "TILE", 3)
+    rng = random.Random(5)
+    vectors = {}
+    for n in range(60):
+        v = {t: rng.choice([1.0, 2.0, 5.0]) for t in rng.sample("abcdefgh", rng.choice([1, 1, 2, 3, 4]))}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        vectors[n] = {t: x / norm for t, x in v.items()}
+    df = {t: sum(t in v for v in vectors.values()) for t in "abcdefgh"}
+    rows = [(n, t, df[t], x) for n, v in vectors.items() for t, x in v.items()]
+    want = {(a, b): sum(x * vectors[b].get(t, 0.0) for t, x in vectors[a].items()) for a, b in itertools.combinations(vectors, 2)}
+    want = {p: c for p, c in want.items() if c >= 0.77}
+    got = tfidf.similar_vectors(spark.createDataFrame(rows, "ord long, term string, df long, w double"), 0.77, Tables(spark, "tiles")).collect()
+    assert len(got) == len(want) > 100
+    assert {(r.i, r.j): r.similarity for r in got} == pytest.approx(want)
+
+
+def test_tile_of_thousands_of_vectors_is_compared_by_blocks():
+    """Two thousand vectors of one term are two million pairs: without a loop over pairs they take a second or so."""
+    import time
+
+    n, start = 2000, time.process_time()
+    rows = pd.DataFrame({"at": 7, "x": 0, "y": 0, "b": 0, "ord": range(n), "k": [[7, 9]] * n, "w": [[0.6, 0.8]] * n})
+    assert len(tfidf._tile(rows, 0.8)) == n * (n - 1) // 2
+    assert time.process_time() - start < 60
