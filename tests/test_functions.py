@@ -140,3 +140,19 @@ def test_syllables_of_whole_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     got = {r.k: r.n for r in df.select("k", X.syllables(F.col("t")).alias("n")).collect()}
     assert all(got[k] == sum(map(of, t.split())) for k, t in enumerate(texts)), next((t, got[k], sum(map(of, t.split()))) for k, t in enumerate(texts) if got[k] != sum(map(of, t.split())))
+
+
+def test_extraction_quality_is_rounded_as_its_sql(spark, tmp_path):
+    """Halves away from zero, though the last bits of the arithmetic leave 0.71125 a little below."""
+    from textloom.plans import registry
+
+    spark.createDataFrame([(1, "Be the. Thstorsh reen blely er.", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["extraction_quality"](spark, str(tmp_path)).first().overall_quality == 0.7113
+
+
+def test_low_scores_are_shown_as_python_formats_them(spark):
+    from textloom.plans import curation
+
+    df = spark.range(2000, 2500).select((F.col("id") / 10000.0).alias("x"))
+    got = df.select("x", curation.low_score(F.col("x"), 0.25).alias("r")).collect()
+    assert all(r.r == f"Low quality score: {r.x:.3f} < 0.25" for r in got)

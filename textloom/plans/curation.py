@@ -62,6 +62,11 @@ def _rejected(df: DataFrame, stage: str, reason: Column, counted: bool = True) -
     return df.select("ord", X.basename(F.col("file_path")).alias("filename"), F.lit(stage).alias("stage"), reason.alias("reason"), words.cast("int").alias("word_count"))
 
 
+def low_score(score: Column, least: float) -> Column:
+    """The reason of the second stage. format_number rounds the binary value, as Python's format does; format_string rounds its shortest decimal."""
+    return F.concat(F.lit("Low quality score: "), F.format_number(score, 3), F.lit(f" < {least}"))
+
+
 def curate(docs: DataFrame, cfg: CurationConfig | None = None, until: str = "semantic") -> Curation:
     """docs: extracted documents with ord, the order that decides ties; until: the last level of duplicates (exact, fuzzy, semantic)."""
     cfg = cfg or CurationConfig()
@@ -71,7 +76,7 @@ def curate(docs: DataFrame, cfg: CurationConfig | None = None, until: str = "sem
     scored = Q.with_scores(prepared.where("reason is null"), tables=F.size("tables"), images=F.col("images_detected")).drop("words", "tokens", "lower_words", "reason")
     scored = tables.save(scored, "scored")
     low = F.col("overall_score") < cfg.min_quality_score
-    rejections = rejections.unionByName(_rejected(scored.where(low), "Stage 2 - Quality", F.format_string(f"Low quality score: %.3f < {cfg.min_quality_score}", "overall_score")))
+    rejections = rejections.unionByName(_rejected(scored.where(low), "Stage 2 - Quality", low_score(F.col("overall_score"), cfg.min_quality_score)))
     good = scored.where(~low)
     name = X.basename(F.col("file_path"))
     first = good.join(tables.save(dedup.exact_duplicates(good, tables), "exact"), "ord")

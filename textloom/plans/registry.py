@@ -123,7 +123,7 @@ def _extraction(spark, d):
 
 @query
 def extraction_quality(spark, d):
-    return _extraction(spark, d).select("doc_id", F.round("overall_quality", 4).alias("overall_quality"), "extraction_grade", "word_count", "sentence_count")
+    return _extraction(spark, d).select("doc_id", Q.rounded(F.col("overall_quality"), 4).alias("overall_quality"), "extraction_grade", "word_count", "sentence_count")
 
 
 @query
