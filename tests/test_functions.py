@@ -156,3 +156,21 @@ def test_low_scores_are_shown_as_python_formats_them(spark):
     df = spark.range(2000, 2500).select((F.col("id") / 10000.0).alias("x"))
     got = df.select("x", curation.low_score(F.col("x"), 0.25).alias("r")).collect()
     assert all(r.r == f"Low quality score: {r.x:.3f} < 0.25" for r in got)
+
+
+def test_strip_takes_all_white_space_at_the_ends(spark):
+    from textloom.functions.patterns import WS, WS_CHARS
+
+    every = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    assert sorted(every) == sorted(WS_CHARS)
+    texts = ["", every, "a", f"{every}a{every}b{every}", " a\n", "\na\r\n\n", "\u200ba\u200b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert {r.k: r.t for r in df.select("k", X.strip(F.col("t")).alias("t")).collect()} == {k: t.strip() for k, t in enumerate(texts)}
+
+
+def test_costly_ways_are_not_taken(spark):
+    """No comparator of one expression a comparison in an entropy; the pattern of a backslash only where there is one."""
+    df = spark.createDataFrame([("x\\11111111 bcdfghjk abc",)], "c string").withColumn("t", X.word_tokens(F.col("c")))
+    plan = df.select(X.word_entropy(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
+    assert df.select(Q.gibberish_matches(F.col("c"), F.col("t"))).first()[0] == 2
