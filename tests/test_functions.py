@@ -174,3 +174,15 @@ def test_costly_ways_are_not_taken(spark):
     plan = df.select(X.word_entropy(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array" in plan and "array_sort" not in plan
     assert df.select(Q.gibberish_matches(F.col("c"), F.col("t"))).first()[0] == 2
+
+
+def test_filters_make_no_scores_or_tables_again(spark, tmp_path):
+    from textloom.plans import registry
+
+    spark.createDataFrame([(1, "a\tb\nc\td", "s"), (2, "no words of a table here", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("quality_gate", "text_pattern_tables"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert all("split(" not in line and "sort_array" not in line for line in plan.splitlines() if "Filter" in line), name
+    assert [r.doc_id for r in registry.QUERIES["text_pattern_tables"](spark, str(tmp_path)).collect()] == [1]
+    assert registry.QUERIES["quality_gate"](spark, str(tmp_path)).first().kept == 2
