@@ -186,3 +186,21 @@ def test_filters_make_no_scores_or_tables_again(spark, tmp_path):
         assert all("split(" not in line and "sort_array" not in line for line in plan.splitlines() if "Filter" in line), name
     assert [r.doc_id for r in registry.QUERIES["text_pattern_tables"](spark, str(tmp_path)).collect()] == [1]
     assert registry.QUERIES["quality_gate"](spark, str(tmp_path)).first().kept == 2
+
+
+def test_one_score_does_not_make_the_others(spark):
+    """Syllables and the slow class of white space were made for each extraction score; each metric of curation is made once."""
+    df = spark.createDataFrame([(1, "One, two words. Three?")], "doc_id long, content string")
+    plan = Q.with_extraction_scores(df, "content").select("structural_complexity")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aeiouy" not in plan and plan.count("[,;:]") == 1
+    plan = Q.with_scores(Q.with_tokens(df)).select("overall_score", "information_density", "structural_quality")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1 and plan.count("Appendix") == 1
+
+
+def test_white_space_is_looked_up_in_a_table(spark):
+    from textloom.functions.patterns import WS
+
+    every = spark.range(0x20, 0xD800).unionByName(spark.range(0, 0x20)).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    got = {r.c for r in every.where(F.col("c").rlike(WS)).collect()}
+    assert got == {c for c in map(chr, range(0xD800)) if c.isspace()} and r"\s" not in WS
+    assert every.where(F.col("c").rlike(WS) == F.col("c").rlike(X.no_space())).isEmpty()

@@ -1,7 +1,8 @@
 """Character classes, word lists and patterns. They decide the results and must stay as they are."""
 
-#: What str.isspace() accepts below U+3001, for Java regular expressions.
-WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What str.isspace() accepts below U+3001, for Java regular expressions. Single characters below U+0100 are looked up in a table, and
+#: the others are tried only beyond it; a plain list of ranges tries each of them at every character.
+WS = r"[\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0[[^\x00-\xff]&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 #: The same characters.
 WS_CHARS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD_CHAR = r"[\p{L}\p{N}_]"

@@ -44,18 +44,20 @@ def sentence_pieces(content: Column) -> Column:
 
 def with_scores(df: DataFrame, content: str = "content", tables: Column | None = None, images: Column | None = None) -> DataFrame:
     """The seven curation metrics, rounded to four places, and the grade. df has with_tokens' arrays."""
-    n, distinct = F.size("words"), F.size(F.array_distinct("lower_words"))
+    n, distinct = F.size("words"), F.col("_distinct")
     lexical = _cap(_ratio(distinct, n) * 1.5)
     density = F.when(distinct > 1, _cap(X.word_entropy(F.col("lower_words")) / F.log2(distinct.cast("double")) * 1.2)).otherwise(F.lit(0.3))
     technical = _cap(_ratio(X.tokens_in(F.col("tokens"), P.TECHNICAL_TERMS), n) * 100.0)
     structural = _cap(F.regexp_count(F.col(content), F.lit("(?i)" + P.STRUCTURED_MARKERS)).cast("double") / 5.0)
     domain = _cap(_ratio(X.tokens_in(F.col("tokens"), P.DOMAIN_INDICATORS), n) * 50.0)
     rich = _cap(F.lit(0.3) + (tables if tables is not None else F.lit(0)) * 0.15 + (images if images is not None else F.lit(0)) * 0.10)
-    df = df.withColumn("_m", F.struct(lexical.alias("l"), density.alias("i"), technical.alias("t"), structural.alias("s"), domain.alias("d"), rich.alias("r")))
-    m = F.col("_m")
-    overall = F.greatest(m.l * 0.15 + m.i * 0.20 + m.t * 0.15 + m.s * 0.15 + m.d * 0.15 + m.r * 0.20, F.lit(0.2))
-    named = {"lexical_diversity": m.l, "information_density": m.i, "technical_density": m.t, "structural_quality": m.s, "domain_relevance": m.d, "content_richness": m.r, "overall_score": overall}
-    df = df.withColumns({k: F.when(n > 0, rounded(v, 4)).otherwise(F.lit(0.0)) for k, v in named.items()}).drop("_m")
+    # Columns of their own and no struct: each is made once, and only if it is asked for.
+    parts = {"_l": lexical, "_i": density, "_t": technical, "_s": structural, "_d": domain, "_r": rich}
+    df = df.withColumn("_distinct", F.size(F.array_distinct("lower_words"))).withColumns(parts)
+    l, i, t, s, d, r = map(F.col, parts)
+    overall = F.greatest(l * 0.15 + i * 0.20 + t * 0.15 + s * 0.15 + d * 0.15 + r * 0.20, F.lit(0.2))
+    named = {"lexical_diversity": l, "information_density": i, "technical_density": t, "structural_quality": s, "domain_relevance": d, "content_richness": r, "overall_score": overall}
+    df = df.withColumns({k: F.when(n > 0, rounded(v, 4)).otherwise(F.lit(0.0)) for k, v in named.items()}).drop("_distinct", *parts)
     return df.withColumn("quality_grade", grade(F.col("overall_score")))
 
 
@@ -84,26 +86,29 @@ def with_extraction_scores(df: DataFrame, text: str = "text", tables: Column | N
     """Type-token ratio, reading ease, entropy ratio, structure, richness, overall (not rounded), grade; zeros for blank texts."""
     t = F.col(text)
     df = df.withColumn("_w", X.words(t)).withColumn("_l", F.transform("_w", F.lower))
-    df = df.withColumn("_n", F.struct(
-        X.syllables(t, F.size("_w")).alias("syllables"), F.regexp_count(t, F.lit(rf"{X.no_space('.!?')}[^.!?]*+")).alias("sentences"),
-        F.regexp_count(t, F.lit(f"{X.no_space('.!?')}++")).alias("words"), F.regexp_count(t, F.lit("[,;:]")).alias("marks"),
-    ))
-    n, s, distinct, syllables = F.size("_w"), F.col("_n.sentences"), F.size(F.array_distinct("_l")), F.col("_n.syllables")
+    # Columns of their own and no structs: each is made once, and only if it is asked for.
+    df = df.withColumns({
+        "_syllables": X.syllables(t, F.size("_w")), "_sentences": F.regexp_count(t, F.lit(rf"{X.no_space('.!?')}[^.!?]*+")),
+        "_words": F.regexp_count(t, F.lit(f"{X.no_space('.!?')}++")), "_marks": F.regexp_count(t, F.lit("[,;:]")), "_distinct": F.size(F.array_distinct("_l")),
+    })
+    n, s, distinct, syllables = F.size("_w"), F.col("_sentences"), F.col("_distinct"), F.col("_syllables")
     ratio = _ratio(distinct, n)
     ease = F.lit(206.835) - 1.015 * n / F.greatest(s, F.lit(1)) - 84.6 * syllables / F.greatest(n, F.lit(1))
     reading = F.when((s == 0) | (n == 0), 0.0).when(syllables > 0, F.greatest(F.lit(0.0), _cap(ease / 100.0))).otherwise(F.lit(0.5))
     density = F.when(distinct > 1, X.word_entropy(F.col("_l")) / F.log2(distinct.cast("double"))).otherwise(F.lit(0.0))
-    structure = F.when(s == 0, 0.0).otherwise((_cap(_ratio(F.col("_n.words"), s) / 20.0) + _cap(_ratio(F.col("_n.marks"), s) / 3.0)) / 2.0)
+    structure = F.when(s == 0, 0.0).otherwise((_cap(_ratio(F.col("_words"), s) / 20.0) + _cap(_ratio(F.col("_marks"), s) / 3.0)) / 2.0)
     # A boundary before a word character is no word character before it; that is looked at only where the first one matches.
     b, w = P.BOUNDARY, P.WORD_CHAR
     numbers = F.regexp_count(t, F.lit(rf"\p{{Nd}}(?<!{w}\p{{Nd}})\p{{Nd}}*\.?\p{{Nd}}*{b}"))
     acronyms = F.regexp_count(t, F.lit(rf"[A-Z](?<!{w}[A-Z])[A-Z]+{b}"))
     k = tables if tables is not None else F.lit(0)
     rich = _cap(F.least(k * 0.2, F.lit(0.6)) + F.when(n > 0, F.least(_ratio(numbers + acronyms, n) * 2.0, F.lit(0.4))).otherwise(F.lit(0.0)))
-    df = df.withColumn("_x", F.struct(ratio.alias("l"), reading.alias("e"), density.alias("i"), structure.alias("s"), rich.alias("r")))
-    x, blank = F.col("_x"), n == 0
-    overall = _cap(F.greatest(x.l * 0.25 + x.e * 0.25 + x.i * 0.20 + x.s * 0.15 + x.r * 0.15, F.lit(0.0)))
-    named = {"lexical_diversity": x.l, "readability": x.e, "information_density": x.i, "structural_complexity": x.s, "content_richness": x.r}
+    parts = {"_ratio": ratio, "_reading": reading, "_density": density, "_structure": structure, "_rich": rich}
+    df = df.withColumns(parts)
+    l, e, i, k, r = map(F.col, parts)
+    blank = n == 0
+    overall = _cap(F.greatest(l * 0.25 + e * 0.25 + i * 0.20 + k * 0.15 + r * 0.15, F.lit(0.0)))
+    named = {"lexical_diversity": l, "readability": e, "information_density": i, "structural_complexity": k, "content_richness": r}
     df = df.withColumns({k: F.when(blank, 0.0).otherwise(rounded(v, 3)) for k, v in named.items()})
     df = df.withColumn("overall_quality", F.when(blank, 0.0).otherwise(overall)).withColumn("word_count", n).withColumn("sentence_count", s)
-    return df.withColumn("extraction_grade", extraction_grade(F.col("overall_quality"))).drop("_w", "_n", "_l", "_x")
+    return df.withColumn("extraction_grade", extraction_grade(F.col("overall_quality"))).drop("_w", "_l", "_syllables", "_sentences", "_words", "_marks", "_distinct", *parts)

@@ -18,7 +18,7 @@ def strip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """What str.split() gives."""
-    return F.filter(F.split(c, f"{WS}+"), lambda x: x != "")
+    return F.array_remove(F.split(c, f"{WS}+"), "")
 
 
 def word_tokens(c: Column) -> Column:
