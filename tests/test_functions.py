@@ -213,3 +213,18 @@ def test_redaction_tries_patterns_where_they_can_match(spark):
     df = spark.createDataFrame(rows, "k int, t string").select("k", D.redact(F.col("t")).alias("r"))
     assert {r.k: r.r for r in df.collect()} == {1: "[EMAIL] [PHONE] x5551234567 [PHONE]", 2: "no sign", 3: None, 4: "[IP_ADDRESS], [SSN]; [CREDIT_CARD]"}
     assert "contains(" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_numbering_makes_its_input_once(spark):
+    from textloom.storage import Tables
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(k):
+        made.add(1)
+        return -k
+
+    df = spark.range(100).repartition(3).select("id", seen("id").alias("s"))
+    got = Tables(spark, "numbered").numbered(df, [F.col("s")], "n").collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, 99 - i) for i in range(100)] and made.value == 100

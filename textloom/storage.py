@@ -50,8 +50,10 @@ class Tables:
         """df with ``name``, its rows' numbers from 0 on in this order.
 
         Rows are dealt by ranges of the order and numbered within them; what each range begins with is summed up over the ranges,
-        a row for each. No task orders all rows, and ties in the first columns of the order are split by the others.
+        a row for each. No task orders all rows, and ties in the first columns of the order are split by the others. df is written
+        first, since dealing by ranges reads its input twice, to find the ranges and to deal.
         """
+        df = self.save(df, f"{name}-input")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
         rows = self.save(rows, f"{name}-rows").withColumn("_p", F.shiftright("_m", 33))
