@@ -228,3 +228,19 @@ def test_numbering_makes_its_input_once(spark):
     df = spark.range(100).repartition(3).select("id", seen("id").alias("s"))
     got = Tables(spark, "numbered").numbered(df, [F.col("s")], "n").collect()
     assert sorted((r.id, r.n) for r in got) == [(i, 99 - i) for i in range(100)] and made.value == 100
+
+
+def test_extraction_quality_at_the_bound_of_a_tenth(spark):
+    """Three tenths exactly; the logarithms' last bits made it less, and so a grade F and the third tenth."""
+    from textloom.operators.reports import extraction_statistics
+
+    words = ["banana", "potato", "tomato", "canada", "panama", "bahama", "alaska", "arizona"]
+    df = spark.createDataFrame([(1, " ".join(w for w in words for _ in range(10))), (2, "")], "doc_id long, content string")
+    scored = Q.with_extraction_scores(df, "content").withColumn("extraction_success", F.col("word_count") > 0).withColumn("total_pages", F.lit(1))
+    assert [(r.overall_quality, r.extraction_grade) for r in scored.orderBy("doc_id").collect()] == [(0.3, "D"), (0.0, "F")]
+    stats = extraction_statistics(scored)
+    r = stats.first()
+    assert (r.files, r.successful, r.failed, r.elements, r.mean_quality, r.least_quality, r.largest_quality, r.quality_tenths) == (2, 1, 1, 2, 0.15, 0.0, 0.3, {0: 1, 3: 1})
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+    none = extraction_statistics(scored.where("false")).first()
+    assert (none.files, none.successful, none.elements, none.mean_elements, none.mean_quality, none.quality_tenths) == (0, 0, 0, 0.0, None, {})

@@ -83,7 +83,7 @@ def gate_reason(words: Column, pieces: Column, gibberish: Column, min_words: int
 
 
 def with_extraction_scores(df: DataFrame, text: str = "text", tables: Column | None = None) -> DataFrame:
-    """Type-token ratio, reading ease, entropy ratio, structure, richness, overall (not rounded), grade; zeros for blank texts."""
+    """Type-token ratio, reading ease, entropy ratio, structure, richness, overall (but for its last bits not rounded), grade; zeros for blank texts."""
     t = F.col(text)
     df = df.withColumn("_w", X.words(t)).withColumn("_l", F.transform("_w", F.lower))
     # Columns of their own and no structs: each is made once, and only if it is asked for.
@@ -110,5 +110,6 @@ def with_extraction_scores(df: DataFrame, text: str = "text", tables: Column | N
     overall = _cap(F.greatest(l * 0.25 + e * 0.25 + i * 0.20 + k * 0.15 + r * 0.15, F.lit(0.0)))
     named = {"lexical_diversity": l, "readability": e, "information_density": i, "structural_complexity": k, "content_richness": r}
     df = df.withColumns({k: F.when(blank, 0.0).otherwise(rounded(v, 3)) for k, v in named.items()})
-    df = df.withColumn("overall_quality", F.when(blank, 0.0).otherwise(overall)).withColumn("word_count", n).withColumn("sentence_count", s)
+    # Without the last bits of the arithmetic, which decide grades and tenths where the quality is at a bound of theirs.
+    df = df.withColumn("overall_quality", F.when(blank, 0.0).otherwise(F.round(overall, 12))).withColumn("word_count", n).withColumn("sentence_count", s)
     return df.withColumn("extraction_grade", extraction_grade(F.col("overall_quality"))).drop("_w", "_l", "_syllables", "_sentences", "_words", "_marks", "_distinct", *parts)

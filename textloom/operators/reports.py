@@ -95,10 +95,19 @@ def as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 def extraction_statistics(df: DataFrame, quality: str = "overall_quality") -> DataFrame:
     """One row: extraction_success' totals, mean, least and largest quality, and how many documents each tenth of quality has."""
-    tenths = df.groupBy(F.least(F.floor(F.col(quality) * 10), F.lit(9)).cast("int").alias("tenth")).agg(F.count("*").alias("n"))
-    stats = df.agg(F.avg(quality).alias("mean_quality"), F.min(quality).alias("least_quality"), F.max(quality).alias("largest_quality"))
-    one = F.lit(True)  # one row each
-    return extraction_success(df).join(stats, one).join(as_map(tenths.where("tenth is not null"), "tenth", "n", "quality_tenths"), one)
+    ok, q = F.coalesce("extraction_success", F.lit(False)).cast("int"), F.col(quality)
+    tenths = df.groupBy(F.least(F.floor(q * 10), F.lit(9)).cast("int").alias("tenth")).agg(
+        F.count("*").alias("n"), F.sum(ok).alias("ok"), F.sum("total_pages").alias("elements"), F.count("total_pages").alias("counted"),
+        F.sum(q).alias("quality"), F.count(q).alias("scored"), F.min(q).alias("least"), F.max(q).alias("largest"),
+    )  # a row for each tenth; documents are scored once
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    listed = F.collect_list(F.when(F.col("tenth").isNotNull(), F.struct("tenth", "n")))
+    return tenths.agg(
+        total("n").alias("files"), total("ok").alias("successful"), (total("n") - total("ok")).alias("failed"), total("elements").alias("elements"),
+        F.coalesce(F.try_divide(F.sum("elements"), F.sum("counted")), F.lit(0.0)).alias("mean_elements"), (total("ok") * 100.0 / F.greatest(total("n"), F.lit(1))).alias("success_rate"),
+        F.try_divide(F.sum("quality"), F.sum("scored")).alias("mean_quality"), F.min("least").alias("least_quality"), F.max("largest").alias("largest_quality"),
+        F.map_from_entries(F.array_sort(listed)).alias("quality_tenths"),
+    )
 
 
 def embedding_report(input_rows: DataFrame, output_rows: DataFrame, samples: int = 5) -> DataFrame:
