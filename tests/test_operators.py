@@ -305,3 +305,15 @@ def test_tile_of_thousands_of_vectors_is_compared_by_blocks():
     rows = pd.DataFrame({"at": 7, "x": 0, "y": 0, "b": 0, "ord": range(n), "k": [[7, 9]] * n, "w": [[0.6, 0.8]] * n})
     assert len(tfidf._tile(rows, 0.8)) == n * (n - 1) // 2
     assert time.process_time() - start < 60
+
+
+def test_sets_and_terms_are_not_shuffled_again(spark, tmp_path):
+    """Whole sets went by shuffle to find equal ones, and terms by document to count them."""
+    df = spark.createDataFrame([(1, "alpha beta gamma alpha beta"), (2, "alpha beta delta"), (3, ""), (4, "alpha beta gamma alpha beta")], "ord long, content string")
+    v = tfidf.vocabulary(tfidf.ngrams(df), 100, 3)
+    assert [tuple(r) for r in v.collect()] == [("alpha beta", 3, 5), ("alpha beta gamma", 2, 2), ("beta gamma", 2, 2)]
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    sets = spark.createDataFrame([(1, [3, 1, 2], 3), (2, [1, 2, 3], 3), (3, [1, 2], 2), (4, [12, 3], 2), (5, [1, 23], 2)], "ord long, shingles array<long>, n int")
+    tables = Tables(spark, "equal")
+    assert {(r.ord, r.first_ord) for r in dedup.equal_sets(sets, tables).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
+    assert spark.read.parquet(f"{tables.root}/set-keys").dtypes == [("ord", "bigint"), ("s", "string")]
