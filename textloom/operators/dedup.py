@@ -35,8 +35,8 @@ def shingle_table(df: DataFrame, content: str = "content", ord_col: str = "ord",
 
 
 def equal_sets(sets: DataFrame, tables: Tables) -> DataFrame:
-    """(ord, first_ord): documents with equal shingle sets have the first of them in common. Sets are compared whole, not by a hash."""
-    keyed = sets.select("ord", F.sort_array("shingles").alias("s"))
+    """(ord, first_ord): documents with equal shingle sets have the first of them in common. Sets are told by SHA-256 of all their hashes in order, and only that is shuffled."""
+    keyed = tables.save(sets.select("ord", F.sha2(F.sort_array("shingles").cast("string"), 256).alias("s")), "set-keys")
     first = keyed.groupBy("s").agg(F.min("ord").alias("first_ord"))
     return tables.save(keyed.join(first, "s").select("ord", "first_ord"), "equal-sets")
 
@@ -48,21 +48,22 @@ def similar_sets(sets: DataFrame, threshold: float, tables: Tables) -> DataFrame
     in ascending order of their frequency, a pair that reaches t shares one of its first n - ceil(t n) + 1 hashes on either side;
     of the pairs that share one, those go whose rests are too short to reach t.
     """
-    nodes = tables.save(sets.where("n > 0").select(F.col("ord").alias("node"), "shingles", "n"), "nodes")
-    flat = nodes.select("node", "n", F.explode("shingles").alias("h"))
-    df = flat.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    # Hashes of one set only stand first in the order and match nothing: just their number counts.
-    shared = flat.join(df, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    own = F.col("n") - F.size("s")
+    flat = sets.where("n > 0").select(F.col("ord").alias("node"), "n", F.explode("shingles").alias("h"))
+    # One shuffle by hash counts them and keeps who has them. Hashes of one set only go: they stand first in the order and match
+    # nothing, so just their number counts, and what two sets have in common is among the others.
+    df = flat.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    shared = df.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     need = F.ceil(F.col("n") * threshold - 1e-9)
+    shared = tables.save(shared.where(F.size("s") >= need).select("node", "n", F.col("s.h").alias("s")), "shared")
+    own = F.col("n") - F.size("s")
     prefix = F.slice("s", 1, F.greatest(F.col("n") - need + 1 - own, F.lit(0)).cast("int"))
-    prefix = shared.where(F.size("s") >= need).select("node", "n", own.alias("own"), F.posexplode(prefix).alias("k", "e"))
-    prefix = tables.save(prefix.select("node", "n", (F.col("n") - F.col("own") - F.col("k")).alias("rest"), F.col("e.h").alias("h")), "prefix")
+    prefix = shared.select("node", "n", own.alias("own"), F.posexplode(prefix).alias("k", "h"))
+    prefix = tables.save(prefix.select("node", "n", (F.col("n") - F.col("own") - F.col("k")).alias("rest"), "h"), "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = F.least("a.rest", "b.rest") >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & fits)
     pairs = pairs.select(F.col("a.node").alias("i"), F.col("b.node").alias("j")).distinct()
-    left, right = nodes.toDF("i", "si", "ni"), nodes.toDF("j", "sj", "nj")
+    left, right = shared.toDF("i", "ni", "si"), shared.toDF("j", "nj", "sj")
     common = F.size(F.array_intersect("si", "sj"))
     near = pairs.join(left, "i").join(right, "j").withColumn("similarity", common / (F.col("ni") + F.col("nj") - common))
     return near.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
