@@ -1,5 +1,6 @@
 """Scalar functions on hand-made rows, against plain Python."""
 
+import math
 import re
 
 import pytest
@@ -244,3 +245,32 @@ def test_extraction_quality_at_the_bound_of_a_tenth(spark):
     assert stats._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
     none = extraction_statistics(scored.where("false")).first()
     assert (none.files, none.successful, none.elements, none.mean_elements, none.mean_quality, none.quality_tenths) == (0, 0, 0, 0.0, None, {})
+
+
+def test_entropy_of_runs_in_one_pattern(spark):
+    """A lambda was called for each word; a run of any length must not recurse."""
+    texts = {1: "b a aa a ab b b a", 2: "", 3: "one", 4: " ".join(["x"] * 100_000 + ["xx", "x.y", "\U0001d4b3"] * 3), 5: "$1 \\1 $1 .* .*"}
+    df = spark.createDataFrame(list(texts.items()), "k int, t string").withColumn("w", X.words(F.col("t")))
+    got = {r.k: r.e for r in df.select("k", X.word_entropy(F.col("w")).alias("e")).collect()}
+
+    def entropy(words):
+        counts = [words.count(w) for w in set(words)]
+        return sum(-c / len(words) * math.log2(c / len(words)) for c in counts)
+
+    assert got.pop(2) is None and got == pytest.approx({k: entropy(t.split()) for k, t in texts.items() if t}, abs=1e-9)
+    plan = df.select(X.word_entropy(F.col("w")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "prior" not in plan
+
+
+def test_markers_and_terms_are_counted_once(spark):
+    from textloom.functions import domain as D
+    from textloom.functions import patterns as P
+
+    words = "Table figure SECTION chapter Appendix reference References Fig Eq equation page vol Volume No. Number No nu. 1 7"
+    df = spark.createDataFrame([(words + " data research",)], "content string")
+    counts = [F.regexp_count("content", F.lit("(?i)" + start + P.STRUCTURED_MARKERS)) for start in ("", P.MARKER_START)]
+    assert len(set(df.select(*[c.alias(str(k)) for k, c in enumerate(counts)]).first())) == 1
+    scored = Q.with_scores(Q.with_tokens(df)).withColumn("r", D.relevance(F.size("words"), F.col("term_count")))
+    assert scored.first().term_count == 6  # table, figure, equation, data, and research as both
+    plan = scored.select("overall_score", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count(" INSET ") == 2, plan
