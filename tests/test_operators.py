@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import pandas as pd
@@ -317,3 +318,47 @@ def test_sets_and_terms_are_not_shuffled_again(spark, tmp_path):
     tables = Tables(spark, "equal")
     assert {(r.ord, r.first_ord) for r in dedup.equal_sets(sets, tables).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
     assert spark.read.parquet(f"{tables.root}/set-keys").dtypes == [("ord", "bigint"), ("s", "string")]
+
+
+def test_components_are_replayed_in_a_stream_and_edges_become_stars(spark):
+    """Components went as whole groups to a function, and a chain took as many rounds as doublings of its length."""
+    rng = random.Random(11)
+    pairs = pd.DataFrame(sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(260)}), columns=["i", "j"])
+    pairs["similarity"] = 1.0
+    score = [rng.choice([0.3, 0.4, 0.5]) for _ in range(300)]
+    pairs["q_i"], pairs["q_j"] = [score[i] for i in pairs["i"]], [score[j] for j in pairs["j"]]
+    parts = list(dedup._replayed(iter([pairs[k : k + 7] for k in range(0, len(pairs), 7)])))
+    want = sequential(300, {(p.i, p.j) for p in pairs.itertuples()}, score)
+    assert {r for p in parts for r in p["removed"]} == want
+    stars = pd.concat(dedup._stars(iter([pairs[:100], pairs[100:]]), 50))
+    assert len(stars) < len(pairs)
+    scores = spark.createDataFrame(list(enumerate(score)), "ord long, score double")
+    got = dedup.greedy_removals(spark.createDataFrame(pairs[["i", "j", "similarity"]]).repartition(3), scores, Tables(spark, "stream"), "x")
+    assert {r.removed for r in got.collect()} == want and "MapInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
+    chain = spark.range(1000).selectExpr("id i", "id + 1 j").coalesce(1)
+    tables = Tables(spark, "chain")
+    assert {r.label for r in dedup.component_labels(chain, tables, "c").collect()} == {0}
+    assert spark.read.parquet(f"{tables.root}/c-1").count() == 1001 and not os.path.exists(f"{tables.root}/c-3".replace("file://", ""))
+
+
+def test_terms_are_counted_in_parts_with_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "HELD", 3)
+    rows = [(1, "Alpha beta the GAMMA alpha beta x"), (2, None), (3, "alpha_1 Été ٣٤ de-ta"), (4, ""), (5, "beta gamma")]
+    df = spark.createDataFrame(rows, "ord long, content string").coalesce(1)
+    got = {r.term: (r.df, r.cf) for r in tfidf.vocabulary(tfidf.ngrams(df), 100).collect()}
+    assert got == {"alpha beta": (1, 2), "beta gamma": (2, 2), "gamma alpha": (1, 1), "alpha beta gamma": (1, 1), "beta gamma alpha": (1, 1), "gamma alpha beta": (1, 1),
+                   "alpha_1 été": (1, 1), "été ٣٤": (1, 1), "٣٤ de": (1, 1), "de ta": (1, 1), "alpha_1 été ٣٤": (1, 1),
+                   "été ٣٤ de": (1, 1), "٣٤ de ta": (1, 1)}
+    assert {(r.ord, r.term, r.df, r.tf) for r in tfidf.term_counts(df, {"alpha beta": 1, "beta gamma": 2}).collect()} == {(1, "alpha beta", 1, 2), (1, "beta gamma", 2, 1), (5, "beta gamma", 2, 1)}
+
+
+def test_curation_writes_texts_once_and_ranks_on_demand(spark):
+    """Pages and the words of each text were written with it, and counts of rejections had all rows redacted and ranked."""
+    docs = [_extracted(k, {"0": f"It is sentence {k} of a table in the study. " * (9 + k)}) for k in range(3)]
+    schema = "ord long, file_path string, pages map<string, struct<text: string>>, tables array<struct<data: array<array<string>>>>, images_detected int, total_pages int"
+    c = curation.curate(spark.createDataFrame(docs, schema), until="exact")
+    root = c.tables.root.replace("file://", "")
+    assert not {"pages", "words", "tokens", "lower_words"} & set(spark.read.parquet(f"{c.tables.root}/prepared").columns)
+    c.rejections.collect(), curation.metadata(c).collect()
+    assert not any("ranks" in f for f in os.listdir(root))
+    assert c.curated.count() == 3 and any("ranks" in f for f in os.listdir(root))
