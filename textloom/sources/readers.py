@@ -18,6 +18,7 @@ from ..functions.text import strip
 from ..operators.markup import html_text, near_images, valid_table
 from ..operators.reports import document_stats
 from ..schemas import EXTRACTED
+from ..storage import spread
 
 
 def available(*libraries: str) -> dict[str, bool]:
@@ -48,6 +49,26 @@ def json_lines(spark: SparkSession, path: str, field: Column | None = None, limi
     return df.where(F.col("_corrupt").isNull()).select((field if field is not None else both).alias("text")).where(F.col("text").isNotNull())
 
 
+def named_files(names: DataFrame, folder: str, at_once: int = 256) -> DataFrame:
+    """(name, body): these UTF-8 files of a shared folder (names: name), read by the executors.
+
+    For folders of a file a document whose names are known: Spark's readers would list every file and send the list to the driver.
+    """
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for b in batches:
+            for k in range(0, len(b), at_once):
+                some, bodies = b["name"].iloc[k : k + at_once], []
+                for name in some:
+                    with system.open_input_stream(f"{root}/{name}") as f:
+                        bodies.append(f.read().decode("utf-8"))
+                yield pd.DataFrame({"name": some.to_numpy(), "body": bodies})
+
+    return spread(names.select("name")).mapInPandas(read, "name string, body string")
+
+
 def json_dataset(spark: SparkSession, **splits: str) -> DataFrame:
     """(split, text) of JSON-lines files by split, as in json_dataset(spark, train=..., validation=...)."""
     parts = [json_lines(spark, path).select(F.lit(name).alias("split"), "text") for name, path in splits.items()]
