@@ -375,3 +375,14 @@ def test_files_of_known_names_are_not_listed(spark, tmp_path):
     assert "JsonScan" not in (plan := df._jdf.queryExecution().toString()) and "MapInPandas" in plan and " json" not in plan.lower().split("== physical plan ==")[1].split("mapinpandas")[0]
     want = {(f"{k}.pdf", hashlib.md5((t or "").encode()).hexdigest()) for k, t, _ in rows}
     assert {tuple(r) for r in df.collect()} == want
+
+
+def test_words_of_a_document_are_counted_where_they_are_made(spark, tmp_path):
+    from textloom.plans import registry
+
+    rows = [(1, "One one TWO ΟΔΟΣ İx"), (1, "one more"), (2, None), (3, " \n ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["doc_word_frequency"](spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {(1, "one", 3), (1, "two", 1), (1, "οδος", 1), (1, "i̇x", 1), (1, "more", 1)}
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    assert "word" not in df._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[-1].split("\n")[0]

@@ -553,7 +553,9 @@ def pretrain_check(spark, d):
 @query
 def doc_word_frequency(spark, d):
     """Lower-cased words of each document, counted."""
-    w = _raw(spark, d).select("doc_id", F.explode(F.transform(X.words(F.col("content")), F.lower)).alias("word"))
+    # Texts are dealt by document, so that words are counted where they are made, and no table of words is shuffled.
+    texts = _table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content")).repartition("doc_id")
+    w = texts.select("doc_id", F.explode(X.words(F.lower("content"))).alias("word"))
     return w.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
