@@ -384,6 +384,52 @@ def test_texts_of_a_few_common_rare_words_are_no_candidates(spark, tmp_path, mon
     assert met == [len(copied)]
 
 
+def shared_runs(texts, run=2):
+    """Runs of words that two texts share, the end counted as a word."""
+    of = [Counter(zip(*([*x, None][i:] for i in range(run)))) for x in texts]
+    return sum((of[0] & of[1]).values())
+
+
+def test_linked_texts_share_the_runs_that_the_join_asks_for():
+    rng = random.Random(46)
+    counts = np.random.default_rng(46).integers(0, 9, (2, near_duplicates.COUNTERS)).astype(np.int32)
+    linked = 0
+    for _ in range(2000):
+        a = [rng.randrange(60) for _ in range(rng.randint(1, 60))]
+        b = [x for x in a if rng.random() < rng.choice((0.85, 1))]
+        for _ in range(rng.randint(0, 8)):
+            b.insert(rng.randint(0, len(b)), rng.randrange(60, 99))
+        if not b or (m := common_words(a, b)) < 0.8 * (len(a) + len(b) - m):
+            continue
+        linked += 1
+        assert shared_runs([a, b]) >= (len(a) + len(b)) / 3 - 1e-9
+        words = [np.array(x, np.uint64) + np.uint64(1) for x in (a, b)]
+        x, y = (near_duplicates.rarest_runs(w, counts, 0.8).tolist() for w in words)
+        assert set(x) & set(y)
+    assert linked > 200
+
+
+def test_texts_of_the_same_words_do_not_meet(spark, tmp_path, monkeypatch):
+    """Words are held by all texts, pairs of them by few: the join's rows do not grow with the square of the texts of a word."""
+    rng = random.Random(47)
+    met, save = [], Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        met.extend([out.count()] * (label == "rare-words"))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    words = [f"v{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.sample(words, 300)), "h") for i in range(60)]
+    rows.append((60, " ".join(scattered(rows[7][1].split(" "), 10)), "h"))
+    got = near_duplicates.op8_near_duplicates(spark, table(spark, tmp_path, rows)).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, 7 if i == 60 else i, int(i in (7, 60))) for i, *_ in rows}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in near_duplicates.drop_near_duplicates(docs).collect()) == list(range(60))
+    assert len(met) == 2 and max(met) < 60 * 300 * 0.24 / 2, met  # by words, all of the rarest 0.24 x 300 of each text
+
+
 def test_the_pipeline_finds_scattered_copies(spark, tmp_path):
     import corpus_pipeline
 
