@@ -386,3 +386,22 @@ def test_words_of_a_document_are_counted_where_they_are_made(spark, tmp_path):
     assert {tuple(r) for r in df.collect()} == {(1, "one", 3), (1, "two", 1), (1, "οδος", 1), (1, "i̇x", 1), (1, "more", 1)}
     assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
     assert "word" not in df._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[-1].split("\n")[0]
+
+
+def test_rare_terms_are_neither_shuffled_nor_missed(spark, tmp_path, monkeypatch):
+    rng = random.Random(48)
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(40)] + [f"c{rng.randint(0, 3)} d{rng.randint(0, 3)} e{i % 2}" for _ in range(6)])) for i in range(120)]
+    df = spark.createDataFrame([*rows, (200, None), (201, "")], "ord long, content string")
+    asked, ngrams = [], tfidf.ngrams
+
+    def counted(*args, **named):
+        out = ngrams(*args, **named)
+        asked.append(out.agg(F.countDistinct("term")).first()[0])
+        return out
+
+    every = {(r.term, r.df, r.cf) for r in tfidf.vocabulary(ngrams(df), 122, 20).collect()}
+    monkeypatch.setattr(tfidf, "ngrams", counted)
+    assert {(r.term, r.df, r.cf) for r in tfidf.listed_terms(df, 122, "content", 20, 0.95, Tables(spark, "terms")).collect()} == every
+    assert len(asked) == 1 and asked[0] < 500 and ngrams(df).count() > 9000
+    most = {(r.term, r.df, r.cf) for r in tfidf.listed_terms(df, 122, "content", 50_000, 0.95, Tables(spark, "terms")).collect()}
+    assert most == {(r.term, r.df, r.cf) for r in tfidf.vocabulary(ngrams(df), 122, 50_000).collect()} and len(most) > 9000
